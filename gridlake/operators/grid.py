@@ -35,26 +35,35 @@ def row_evidence(grid: DataFrame) -> DataFrame:
     )
 
 
-def header_rows(grid: DataFrame) -> DataFrame:
-    """Number of header rows per sheet, from its first rows only."""
+def sheet_heads(grid: DataFrame) -> DataFrame:
+    """Per sheet the number of header rows and the first two rows, from the top rows only."""
     top = row_evidence(grid.where(F.col("row_index") <= fv.MAX_HEADER_ROWS))
     stops = F.col("is_blank_row") | ((F.col("row_index") > 1) & F.col("is_data_row"))
+
+    def row(n: int) -> Column:
+        return F.max(F.when(F.col("row_index") == n, F.col("cells")))
+
     return top.groupBy(*SHEET_KEYS).agg(
         F.greatest(
             F.lit(1),
             F.coalesce(F.min(F.when(stops, F.col("row_index"))) - 1, F.max("row_index")),
-        ).cast("bigint").alias("n_header_rows")
-    )
+        ).cast("bigint").alias("n_header_rows"),
+        row(1).alias("names"), row(2).alias("notes"))
+
+
+def header_rows(grid: DataFrame) -> DataFrame:
+    """Number of header rows per sheet."""
+    return sheet_heads(grid).select(*SHEET_KEYS, "n_header_rows")
 
 
-def table_summary(grid: DataFrame) -> DataFrame:
-    """One row per sheet: shape, header depth, data rows and the A1 range."""
+def table_summary(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """One row per sheet: shape, header depth, data rows, A1 range and the first two rows."""
     shape = grid.groupBy(*SHEET_KEYS, *SHEET_META).agg(
         F.max("row_index").cast("bigint").alias("data_row_end"),
         F.max(F.size("cells")).cast("bigint").alias("col_count"),
     )
     return (
-        shape.join(header_rows(grid), SHEET_KEYS)
+        shape.join(sheet_heads(grid) if heads is None else heads, SHEET_KEYS)
         .withColumn("data_row_start", F.col("n_header_rows") + 1)
         .withColumn("row_count", F.col("data_row_end") - F.col("n_header_rows"))
         .withColumn("table_id", F.concat("sheet_name", F.lit("#0")))
@@ -100,35 +109,33 @@ def column_types(grid: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
-def column_names(grid: DataFrame, tables: DataFrame) -> DataFrame:
+def name_at(at: Column) -> Column:
+    """Technical name of the column at a 0-based place, from the first sheet row."""
+    return F.coalesce(F.get("names", at), F.concat(F.lit("Column"), (at + 1).cast("string")))
+
+
+def note_at(at: Column) -> Column:
+    """Description of a column: its cell in a second header row."""
+    return F.when(F.col("n_header_rows") >= 2, F.get("notes", at))
+
+
+def column_names(tables: DataFrame, *keep: str) -> DataFrame:
     """Technical name, description and display name of each column."""
-    first = grid.where(F.col("row_index") == 1).select(*SHEET_KEYS, F.col("cells").alias("names"))
-    second = grid.where(F.col("row_index") == 2).select(*SHEET_KEYS, F.col("cells").alias("notes"))
-    columns = (
-        tables.select(*SHEET_KEYS, "n_header_rows", "col_count")
-        .join(first, SHEET_KEYS, "left")
-        .join(second, SHEET_KEYS, "left")
-        .select(
-            "*", F.explode(F.sequence(F.lit(1), F.col("col_count").cast("int"))).alias("col_index"))
-    )
+    numbers = F.sequence(F.lit(1), F.col("col_count").cast("int"))
+    columns = tables.select("*", F.explode(numbers).alias("col_index"))
     at = F.col("col_index") - 1
-    note = F.when(F.col("n_header_rows") >= 2, F.get("notes", at))
+    note = note_at(at)
     shown = (F.length(note) > 0) & (F.length(note) <= fv.MAX_DISPLAY_NAME) & ~note.rlike(
         f"[.。;；:]{fv.WS}*\\z")
     return columns.select(
-        *SHEET_KEYS, "col_index",
-        F.coalesce(
-            F.get("names", at), F.concat(F.lit("Column"), F.col("col_index").cast("string"))
-        ).alias("technical_name"),
-        note.alias("description"),
-        F.when(shown, note).alias("shown"),
-    ).withColumn("display_name", F.coalesce("shown", "technical_name")).drop("shown")
+        *SHEET_KEYS, "col_index", name_at(at).alias("technical_name"), note.alias("description"),
+        F.when(shown, note).otherwise(name_at(at)).alias("display_name"), *keep)
 
 
 def describe_columns(grid: DataFrame, tables: DataFrame) -> DataFrame:
     """Column descriptors: names, description and logical type."""
     types = column_types(grid, tables)
-    return column_names(grid, tables).join(
+    return column_names(tables).join(
         types, [*SHEET_KEYS, "col_index"], "left"
     ).withColumn("data_type", F.coalesce("data_type", F.lit("text")))
 

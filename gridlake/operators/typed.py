@@ -15,7 +15,8 @@ from gridlake.functions.values import (
     exceeds_exact_double, has_leading_zero, is_identifier_name, to_number, to_timestamp,
 )
 from gridlake.operators.grid import (
-    SHEET_KEYS, data_rows, describe_columns, table_summary, to_cells,
+    SHEET_KEYS, column_names, column_types, data_rows, name_at, note_at, sheet_heads,
+    table_summary, to_cells,
 )
 
 
@@ -28,22 +29,40 @@ class SheetModel:
     columns: DataFrame
 
 
-def infer(grid: DataFrame) -> SheetModel:
-    """Summary, descriptors and physical types of all sheets, as lazy DataFrames."""
-    summary = table_summary(grid)
-    logical = describe_columns(grid, summary)
-    tables = summary.join(_first_columns(logical), SHEET_KEYS)
-    columns = physical_types(grid, tables, logical)
-    return SheetModel(grid, tables, columns)
+def infer(grid: DataFrame, sample_rows: int = fv.TYPE_SAMPLE_ROWS) -> SheetModel:
+    """Summary, descriptors and physical types of all sheets, as lazy DataFrames.
 
+    Every step ends in one small row per sheet: heads, then logical types below the heads,
+    then evidence from the first kept rows.
+    """
+    heads = sheet_heads(grid)
+    types = _by_column(column_types(grid, heads), "data_type", "types")
+    described = heads.join(types, SHEET_KEYS, "left").select(
+        *SHEET_KEYS, "n_header_rows", "names", "notes", "types",
+        name_at(F.lit(0)).alias("first_name"), note_at(F.lit(0)).alias("first_note"),
+        _type_at(F.lit(0)).alias("first_type"))
+    seen = _by_column(
+        _sample_evidence(grid, described, sample_rows),
+        F.struct("parses", "too_long", "zero_led"), "seen")
+    tables = table_summary(grid, described.join(seen, SHEET_KEYS, "left"))
+    return SheetModel(grid, tables, _typed_columns(tables))
+
+
+def settled(model: SheetModel) -> SheetModel:
+    """The model with its per-sheet rows cached, for several jobs over one inference."""
+    tables = model.tables.persist()
+    return SheetModel(model.grid, tables, _typed_columns(tables))
+
+
+def _by_column(df: DataFrame, value: Column | str, name: str) -> DataFrame:
+    """Per-column values as one array per sheet, in column order."""
+    item = F.struct("col_index", (F.col(value) if isinstance(value, str) else value).alias("v"))
+    return df.groupBy(*SHEET_KEYS).agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
 
-def _first_columns(columns: DataFrame) -> DataFrame:
-    return columns.where(F.col("col_index") == 1).select(
-        *SHEET_KEYS,
-        F.col("technical_name").alias("first_name"),
-        F.col("description").alias("first_note"),
-        F.col("data_type").alias("first_type"),
-    )
+
+def _type_at(at: Column) -> Column:
+    return F.coalesce(F.get("types", at), F.lit("text"))
 
 
 def _is_junk() -> Column:
@@ -66,47 +85,54 @@ def junk_rows(grid: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.where(_is_junk())
 
 
-def physical_types(
-    grid: DataFrame, tables: DataFrame, logical: DataFrame, sample_rows: int = fv.TYPE_SAMPLE_ROWS
-) -> DataFrame:
-    """TIMESTAMP, DOUBLE or VARCHAR per column with the reason, from the first kept rows.
+def _sample_evidence(grid: DataFrame, described: DataFrame, sample_rows: int) -> DataFrame:
+    """What the first kept rows of each sheet show per column.
 
     The rank filter runs before the shuffle as well, so each task sends at most
     sample_rows rows per sheet.
     """
     first_rows = Window.partitionBy(*SHEET_KEYS).orderBy("row_index")
     sample = (
-        kept_rows(grid, tables).select(*SHEET_KEYS, "row_index", "cells")
+        kept_rows(grid, described).select(*SHEET_KEYS, "row_index", "cells")
         .withColumn("rank", F.row_number().over(first_rows))
         .where(F.col("rank") <= sample_rows)
     )
     value = F.col("value")
     given = ~is_blank(value)
-    seen = to_cells(sample).groupBy(*SHEET_KEYS, "col_index").agg(
+    return to_cells(sample).groupBy(*SHEET_KEYS, "col_index").agg(
         F.bool_and(F.when(given, to_timestamp(value).isNotNull())).alias("parses"),
         F.bool_or(given & exceeds_exact_double(value)).alias("too_long"),
         F.bool_or(given & has_leading_zero(value)).alias("zero_led"),
     )
-    kind = F.col("data_type")
-    no = F.lit(False)
+
+
+def _typed_columns(tables: DataFrame) -> DataFrame:
+    """Descriptors with logical type, physical type and the reason for it."""
+    at = F.col("col_index") - 1
+    columns = column_names(tables, "types", "seen")
+    kind, evidence = F.col("data_type"), F.get("seen", at)
+
+    def is_seen(name: str, default: bool = False) -> Column:
+        return F.coalesce(evidence[name], F.lit(default))
+
     reason = (
-        F.when((kind == "date") & F.coalesce("parses", F.lit(True)), "representation:date")
+        F.when((kind == "date") & is_seen("parses", True), "representation:date")
         .when(kind == "date", "date-unparseable")
         .when(kind == "text", "representation:text")
         .when(is_identifier_name(F.col("technical_name")), "identifier-column")
-        .when(F.coalesce("too_long", no), "long-number-precision")
-        .when(F.coalesce("zero_led", no), "leading-zero")
+        .when(is_seen("too_long"), "long-number-precision")
+        .when(is_seen("zero_led"), "leading-zero")
         .otherwise("numeric-measure")
     )
     return (
-        logical.join(seen, [*SHEET_KEYS, "col_index"], "left")
+        columns.withColumn("data_type", _type_at(at))
         .withColumn("reason", reason)
         .withColumn(
             "physical_type",
             F.when(F.col("reason") == "representation:date", "TIMESTAMP")
             .when(F.col("reason") == "numeric-measure", "DOUBLE")
             .otherwise("VARCHAR"))
-        .drop("parses", "too_long", "zero_led")
+        .drop("types", "seen")
     )
 
 
@@ -157,6 +183,7 @@ def typed_frames(model: SheetModel, max_layouts: int = 1000, percent: str = "nul
     Only the distinct layouts come to the driver. Building a wide table is a projection of
     the cells array: no pivot and no shuffle of the data.
     """
+    model = settled(model)
     sheets = layouts(model)
     found = sheets.groupBy("layout_id").agg(F.any_value("layout").alias("layout")).limit(
         max_layouts + 1).collect()
@@ -209,7 +236,7 @@ def publish_views(
     from gridlake.operators.relational import tenant_scope
 
     grid = tenant_scope(model.grid, user_id, document_id)
-    scoped = infer(grid)
+    scoped = settled(infer(grid))
     sheets = (
         layouts(scoped)
         .withColumn("view", table_name(F.col("document_id"), F.col("sheet_idx")))

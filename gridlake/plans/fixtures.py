@@ -231,3 +231,63 @@ UP_TO_FACTS = f"WITH {GRID_CTE},\n{FACTS_CTE}"
 UP_TO_TYPES = f"{UP_TO_FACTS},\n{NAMES_CTE},\n{TYPES_CTE}"
 UP_TO_KEPT = f"{UP_TO_TYPES},\n{KEPT_CTE}"
 UP_TO_PHYS = f"{UP_TO_KEPT},\n{PHYS_CTE}"
+
+
+# Question log: one question per order about the sheet that holds the order. Templates
+# follow the routing rules; numbers, ids and words come from the order.
+_TEMPLATES = [
+    ["第", "{a}", "到", "{b}", "条 Order Amount 是什么？"],
+    ["前 ", "{a}", " 条的 Status 和 Priority"],
+    ["最后", "{b}", "行"],
+    ["列出所有 Order ID"],
+    ["Order ID 为 ", "{id}", " 的 Status 和 Batch"],
+    ["订单号", "{id}", "在哪里"],
+    ["这个表有多少列？"],
+    ["Seller SKU 是什么意思？"],
+    ["这个表有多少条记录？"],
+    ["数量是多少？"],
+    ["所有文件的销量加起来总和是多少？"],
+    ["按 Order Amount 从高到低排列前 ", "{a}", " 条订单。"],
+    ["查 \"KEY-", "{id}", "\" 对应的 Priority"],
+    ["金眼这个产品相关的数据在哪里？"],
+    ["物流商为 ", "{priority}", " 的有几单？"],
+    ["把全部内容的 SKU 给我，", "{status}", "几个意思"],
+    ["Buyer 为 ", "{buyer}", " 的订单金额大于 ", "{a}", " 的有多少单"],
+    ["  "],
+    ["完整的前", "{a}", "项"],
+    ["运费金额最高的 ", "{a}", " 笔折后运费"],
+]
+
+
+def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    values = {
+        "{a}": (key % 40).cast("string"), "{b}": (F.col("o_custkey") % 50).cast("string"),
+        "{id}": F.concat(F.lit("57"), F.lpad(key.cast("string"), 16, "0")),
+        "{priority}": F.col("o_orderpriority"), "{status}": F.col("o_orderstatus"),
+        "{buyer}": F.col("o_custkey").cast("string"),
+    }
+    text = F
+    for i, parts in enumerate(_TEMPLATES):
+        text = text.when(
+            key % len(_TEMPLATES) == i, F.concat(*[values.get(p, F.lit(p)) for p in parts]))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("request_id"),
+        F.concat(F.lit("doc_"), F.floor(key / ROWS_PER_DOCUMENT).cast("string")).alias("document_id"),
+        F.lit(0).alias("sheet_idx"), text.alias("question"))
+
+
+def _questions_cte() -> str:
+    values = {
+        "{a}": "(o_orderkey % 40)::VARCHAR", "{b}": "(o_custkey % 50)::VARCHAR",
+        "{id}": "'57' || lpad(o_orderkey::VARCHAR, 16, '0')",
+        "{priority}": "o_orderpriority", "{status}": "o_orderstatus", "{buyer}": "o_custkey::VARCHAR",
+    }
+    cases = " ".join(
+        f"WHEN {i} THEN " + " || ".join(values.get(p, f"'{p}'") for p in parts)
+        for i, parts in enumerate(_TEMPLATES))
+    return (f"questions AS (SELECT o_orderkey AS request_id, o_orderkey // 500 AS doc, "
+            f"CASE o_orderkey % {len(_TEMPLATES)} {cases} END AS question FROM orders)")
+
+
+QUESTIONS_CTE = _questions_cte()

@@ -32,7 +32,7 @@ SELECT 'doc_' || doc AS document_id, col_index, technical_name, description,
             THEN description ELSE technical_name END AS display_name FROM names""")
 def g03(spark, sf):
     grid = fx.orders_grid(spark, sf)
-    return g.column_names(grid, g.table_summary(grid)).select(
+    return g.column_names(g.table_summary(grid)).select(
         "document_id", F.col("col_index").cast("bigint"), "technical_name", "description",
         "display_name")
 
