@@ -5,12 +5,16 @@ WS = (
     r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+WS_CHARS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # --- fixed values: number literals accepted as numeric, underscores between digits allowed ---
 FLOAT_LITERAL = (
     r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\z"
 )
-FLOAT_WORD = r"(?i)^[+-]?(nan|inf|infinity)\z"
+FLOAT_WORDS = [sign + word for sign in ("", "+", "-") for word in ("nan", "inf", "infinity")]
 MAX_EXACT_INTEGER = 2 ** 53
 
 # --- fixed values: column names that mark identifiers ---

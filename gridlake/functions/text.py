@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridlake.functions.fixed_values import WS
+from gridlake.functions.fixed_values import WS, WS_CHARS
 
 
 def trim_ws(c: Column) -> Column:
     """Strip every kind of Unicode white space from both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:

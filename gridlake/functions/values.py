@@ -12,14 +12,14 @@ from gridlake.functions.text import trim_ws
 def _literal_number(text: Column) -> Column:
     """Double for text spelled as a number literal, else NULL."""
     bare = trim_ws(text)
-    plain = F.when(bare.rlike(fv.FLOAT_LITERAL), F.replace(bare, F.lit("_"), F.lit("")))
-    word = F.when(bare.rlike(fv.FLOAT_WORD), bare)
-    return F.coalesce(plain, word).try_cast("double")
+    digits = F.translate(bare, "_", "")
+    return F.when(bare.rlike(fv.FLOAT_LITERAL), digits).when(
+        F.lower(bare).isin(fv.FLOAT_WORDS), bare).try_cast("double")
 
 
 def to_number(c: Column, percent: str = "null") -> Column:
     """Number of a cell. Thousands commas go; percent='scale' reads '12%' as 0.12."""
-    no_commas = F.replace(c, F.lit(","), F.lit(""))
+    no_commas = F.translate(c, ",", "")
     value = _literal_number(no_commas)
     if percent == "scale":
         scaled = _literal_number(F.regexp_replace(no_commas, f"%{fv.WS}*\\z", "")) / 100
@@ -29,17 +29,19 @@ def to_number(c: Column, percent: str = "null") -> Column:
 
 def is_numeric(c: Column) -> Column:
     """Looks numeric once commas and percent signs are removed; FALSE for NULL."""
-    bare = trim_ws(F.regexp_replace(c, "[,%]", ""))
-    return F.coalesce(bare.rlike(fv.FLOAT_LITERAL) | bare.rlike(fv.FLOAT_WORD), F.lit(False))
+    bare = trim_ws(F.translate(c, ",%", ""))
+    return F.coalesce(
+        bare.rlike(fv.FLOAT_LITERAL) | F.lower(bare).isin(fv.FLOAT_WORDS), F.lit(False))
 
 
 def is_date_like(c: Column) -> Column:
     """Has a digit and date punctuation; only a shape test, see to_timestamp."""
-    shape = (
-        c.rlike(r"[/-]") & c.rlike(r"\d")
-        & (c.contains(":") | c.rlike("(?s)/.*/") | c.rlike("(?s)-.*-"))
-    )
-    return F.coalesce(shape, F.lit(False))
+
+    def many(mark: str) -> Column:
+        return F.length(c) - F.length(F.translate(c, mark, "")) >= 2
+
+    marked = many("/") | many("-") | (c.contains(":") & (c.contains("/") | c.contains("-")))
+    return F.coalesce(marked & c.rlike(r"\d"), F.lit(False))
 
 
 def is_long_id(c: Column) -> Column:
@@ -53,7 +55,7 @@ def has_leading_zero(c: Column) -> Column:
 
 def exceeds_exact_double(c: Column) -> Column:
     """Too large for a double to hold every integer."""
-    number = _literal_number(F.regexp_replace(c, "[,%]", ""))
+    number = _literal_number(F.translate(c, ",%", ""))
     return F.coalesce(~F.isnan(number) & (F.abs(number) > fv.MAX_EXACT_INTEGER), F.lit(False))
 
 
@@ -69,7 +71,7 @@ def to_timestamp(c: Column) -> Column:
     dashed = F.when(text.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{time}\z"), text)
     slashed = F.when(
         text.rlike(rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{blank_time}\z"),
-        F.replace(text, F.lit("/"), F.lit("-")),
+        F.translate(text, "/", "-"),
     )
     year_last = r"^(\d{1,2})/(\d{1,2})/(\d{4})\z"
     day_first = F.when(text.rlike(year_last), F.regexp_replace(text, year_last, "$3-$2-$1"))

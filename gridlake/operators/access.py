@@ -54,12 +54,16 @@ def lookup_in_column(
     return keyed.join(asked, "__key").drop("__key")
 
 
-def lookup_anywhere(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Rows with a requested value in any column; a row matches a request once."""
-    asked = requests.withColumn("__key", compact(F.col("value"))).select("request_id", "__key")
+def lookup_anywhere(rows: DataFrame, requests: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Rows with a requested value in any column; a row matches a request once.
+
+    `on` names keys that requests and rows share, for requests about their own table.
+    """
+    on = on or []
+    asked = requests.withColumn("__key", compact(F.col("value"))).select("request_id", *on, "__key")
     keys = F.array_distinct(F.transform("cells", compact))
     keyed = rows.withColumn("__key", F.explode(keys)).where(F.col("__key").isNotNull())
-    return keyed.join(asked, "__key").drop("__key")
+    return keyed.join(asked, [*on, "__key"]).drop("__key")
 
 
 def first_document_with_hit(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import fixed_values as fv
+from gridlake.functions.binding import let
 from gridlake.functions.text import contains_any, trim_ws
 
 
@@ -45,60 +46,70 @@ def asks_for_everything(question: Column) -> Column:
     )
 
 
-def access_intent(questions: DataFrame, text: str) -> DataFrame:
-    """Adds operation, lookup_value, range_start, range_end and row_limit."""
-    q = F.coalesce(F.col(text), F.lit(""))
-    value = lookup_value(q)
-    operation = (
-        F.when(value.isNotNull(), "lookup")
-        .when(_found(q, fv.RANGE_PATTERN), "range")
-        .when(_found(q, fv.FIRST_N_PATTERN), "first_n")
-        .when(_found(q, fv.LAST_N_PATTERN), "last_n")
-        .when(asks_for_everything(q), "full_column")
-    )
+def _intent(question: Column) -> Column:
+    """Struct of operation and its parameters; operation is NULL without an intent."""
 
     def number(pattern: str, n: int = 1) -> Column:
-        return _group(q, pattern, n).try_cast("bigint")
+        return _group(question, pattern, n).try_cast("bigint")
 
-    limit = F.when(F.col("operation") == "first_n", number(fv.FIRST_N_PATTERN)).when(
-        F.col("operation") == "last_n", number(fv.LAST_N_PATTERN))
-    is_range = F.col("operation") == "range"
-    return (
-        questions.withColumn("operation", operation)
-        .withColumn("lookup_value", value)
-        .withColumn("range_start", F.when(is_range, number(fv.RANGE_PATTERN, 1)))
-        .withColumn("range_end", F.when(is_range, number(fv.RANGE_PATTERN, 2)))
-        .withColumn("row_limit", limit)
-    )
+    def described(value: Column) -> Column:
+        return let(
+            F.when(value.isNotNull(), "lookup")
+            .when(_found(question, fv.RANGE_PATTERN), "range")
+            .when(_found(question, fv.FIRST_N_PATTERN), "first_n")
+            .when(_found(question, fv.LAST_N_PATTERN), "last_n")
+            .when(asks_for_everything(question), "full_column"),
+            lambda operation: F.struct(
+                operation.alias("operation"), value.alias("lookup_value"),
+                F.when(operation == "range", number(fv.RANGE_PATTERN, 1)).alias("range_start"),
+                F.when(operation == "range", number(fv.RANGE_PATTERN, 2)).alias("range_end"),
+                F.when(operation == "first_n", number(fv.FIRST_N_PATTERN))
+                .when(operation == "last_n", number(fv.LAST_N_PATTERN)).alias("row_limit")))
+
+    return let(lookup_value(question), described)
+
+
+def access_intent(questions: DataFrame, text: str) -> DataFrame:
+    """Adds operation, lookup_value, range_start, range_end and row_limit."""
+    found = let(F.coalesce(F.col(text), F.lit("")), _intent)
+    return questions.withColumn("__i", found).select(*questions.columns, "__i.*")
+
+
+def _route(question: Column) -> Column:
+    """Struct of operation, route and confidence; rules apply in a fixed order."""
+    counts = _found(question, fv.COUNT_PATTERN)
+    any_count = counts | _found(question, fv.FEW_COUNT_PATTERN)
+    by_default = _found(question, fv.DEFAULT_COUNT_PATTERN)
+
+    def chosen(operation: Column) -> Column:
+        rules = [
+            (question == "", "AMBIGUOUS", "LOW"),
+            (_found(question, fv.CROSS_DOCUMENT_PATTERN) & counts, "UNSUPPORTED", "MEDIUM"),
+            (_found(question, fv.MEANING_STRONG_PATTERN), "SEMANTIC_RETRIEVAL", "HIGH"),
+            (_found(question, fv.MEANING_PATTERN), "SEMANTIC_RETRIEVAL", "MEDIUM"),
+            (_found(question, fv.SCHEMA_PATTERN), "SCHEMA", "HIGH"),
+            (_found(question, fv.SORT_TOPN_PATTERN), "PRECISE_QUERY", "HIGH"),
+            (operation.isNotNull() & ~any_count, "STRUCTURED_ACCESS", "HIGH"),
+            (by_default & ~_found(question, fv.EXPLICIT_MEASURE_PATTERN), "PRECISE_QUERY", "MEDIUM"),
+            (any_count | by_default, "PRECISE_QUERY", "HIGH"),
+            (_found(question, fv.LOCATE_PATTERN), "SEMANTIC_RETRIEVAL", "MEDIUM"),
+        ]
+        verdict = F
+        for condition, name, confidence in rules:
+            verdict = verdict.when(condition, F.struct(
+                operation.alias("operation"), F.lit(name).alias("route"),
+                F.lit(confidence).alias("confidence")))
+        return verdict.otherwise(F.struct(
+            operation.alias("operation"), F.lit("AMBIGUOUS").alias("route"),
+            F.lit("LOW").alias("confidence")))
+
+    return let(_intent(question)["operation"], chosen)
 
 
 def route(questions: DataFrame, text: str) -> DataFrame:
-    """Adds route and confidence; rules apply in a fixed order of priority."""
-    q = trim_ws(F.coalesce(F.col(text), F.lit("")))
-    counts = _found(q, fv.COUNT_PATTERN)
-    any_count = counts | _found(q, fv.FEW_COUNT_PATTERN)
-    by_default = _found(q, fv.DEFAULT_COUNT_PATTERN)
-    structured = access_intent(questions, text).withColumn("__q", q)
-    rules = [
-        (q == "", "AMBIGUOUS", "LOW"),
-        (_found(q, fv.CROSS_DOCUMENT_PATTERN) & counts, "UNSUPPORTED", "MEDIUM"),
-        (_found(q, fv.MEANING_STRONG_PATTERN), "SEMANTIC_RETRIEVAL", "HIGH"),
-        (_found(q, fv.MEANING_PATTERN), "SEMANTIC_RETRIEVAL", "MEDIUM"),
-        (_found(q, fv.SCHEMA_PATTERN), "SCHEMA", "HIGH"),
-        (_found(q, fv.SORT_TOPN_PATTERN), "PRECISE_QUERY", "HIGH"),
-        (F.col("operation").isNotNull() & ~any_count, "STRUCTURED_ACCESS", "HIGH"),
-        (by_default & ~_found(q, fv.EXPLICIT_MEASURE_PATTERN), "PRECISE_QUERY", "MEDIUM"),
-        (any_count | by_default, "PRECISE_QUERY", "HIGH"),
-        (_found(q, fv.LOCATE_PATTERN), "SEMANTIC_RETRIEVAL", "MEDIUM"),
-    ]
-    verdict = F
-    for condition, name, confidence in rules:
-        verdict = verdict.when(condition, F.struct(
-            F.lit(name).alias("route"), F.lit(confidence).alias("confidence")))
-    verdict = verdict.otherwise(
-        F.struct(F.lit("AMBIGUOUS").alias("route"), F.lit("LOW").alias("confidence")))
-    return structured.withColumn("__v", verdict).select(
-        *questions.columns, "operation", "__v.route", "__v.confidence")
+    """Adds operation, route and confidence."""
+    found = let(trim_ws(F.coalesce(F.col(text), F.lit(""))), _route)
+    return questions.withColumn("__r", found).select(*questions.columns, "__r.*")
 
 
 def embedding_error(status: Column, code: Column, kind: Column, text: Column) -> Column:

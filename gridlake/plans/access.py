@@ -1 +1,213 @@
-"""Registered queries."""
+"""Queries on structured access and exact lookups."""
+
+from pyspark.sql import functions as F
+
+from gridlake.operators import access as ac
+from gridlake.operators import questions as qs
+from gridlake.operators.grid import column_names, table_summary
+from gridlake.plans import fixtures as fx
+from gridlake.plans.questions import INTENT_CTE
+from gridlake.plans.registry import query, table
+
+POSITION_CTE = f"""{fx.UP_TO_FACTS}, {fx.NAMES_CTE},
+placed AS (SELECT g.*, g.row_index - f.n_header_rows AS position, f.last_row - f.n_header_rows AS row_count
+  FROM grid g JOIN facts f USING (doc) WHERE g.row_index > f.n_header_rows)"""
+
+
+def _placed(spark, sf):
+    grid = fx.orders_grid(spark, sf)
+    tables = table_summary(grid)
+    return ac.positioned(grid, tables), column_names(tables)
+
+
+def _shown(rows):
+    return rows.select(
+        "document_id", "row_index", F.get("cells", F.lit(0)).alias("order_id"),
+        F.get("cells", F.lit(3)).alias("amount"))
+
+
+_SHOWN_SQL = "SELECT document_id, row_index, cells[1] AS order_id, cells[4] AS amount FROM placed"
+
+
+@query("a01_full_columns", f"""{POSITION_CTE}
+SELECT document_id, row_index, n.technical_name, cells[n.col_index] AS value FROM placed
+JOIN names n USING (doc) WHERE n.technical_name IN ('Priority', 'Order Amount')""")
+def a01(spark, sf):
+    rows, names = _placed(spark, sf)
+    values = ac.column_values(rows, names, ["Priority", "Order Amount"])
+    return values.select("document_id", "row_index", "technical_name", "value")
+
+
+@query("a02_first_rows", f"{POSITION_CTE} {_SHOWN_SQL} WHERE position <= 25")
+def a02(spark, sf):
+    return _shown(ac.first_rows(_placed(spark, sf)[0], 25))
+
+
+@query("a03_last_rows", f"{POSITION_CTE} {_SHOWN_SQL} WHERE position > row_count - 25")
+def a03(spark, sf):
+    return _shown(ac.last_rows(_placed(spark, sf)[0], 25)).orderBy("document_id", "row_index")
+
+
+@query("a04_row_range", f"{POSITION_CTE} {_SHOWN_SQL} WHERE position BETWEEN 480 AND 530")
+def a04(spark, sf):
+    return _shown(ac.rows_between(_placed(spark, sf)[0], 530, 480))
+
+
+# Lookup requests: every customer asks for the sheet rows with its number.
+_REQUESTS_SQL = "requests AS (SELECT c_custkey AS request_id, ' ' || c_custkey || ' ' AS value FROM customer)"
+
+
+def _requests(spark, sf):
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("request_id"),
+        F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" ")).alias("value"))
+
+
+@query("a05_lookup_in_column", f"""{POSITION_CTE}, {_REQUESTS_SQL}
+SELECT request_id, document_id, row_index, cells[4] AS amount, cells[7] AS priority
+FROM placed JOIN requests ON lower(regexp_replace(cells[2], '\\s+', '', 'g')) = lower(regexp_replace(value, '\\s+', '', 'g'))""")
+def a05(spark, sf):
+    rows, names = _placed(spark, sf)
+    found = ac.lookup_in_column(rows, names, _requests(spark, sf), "Buyer")
+    return found.select(
+        "request_id", "document_id", "row_index", F.get("cells", F.lit(3)).alias("amount"),
+        F.get("cells", F.lit(6)).alias("priority"))
+
+
+_ANY_SQL = """anywhere AS (SELECT DISTINCT p.doc, p.document_id, p.row_index, r.request_id
+  FROM (SELECT doc, document_id, row_index, lower(regexp_replace(unnest(cells), '\\s+', '', 'g')) AS key FROM placed) p
+  JOIN (SELECT request_id, lower(regexp_replace(value, '\\s+', '', 'g')) AS key FROM asked) r USING (key))"""
+# Values that can sit in several columns: batch numbers and order states.
+_ASKED_SQL = """asked AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 50 = 0 THEN ' f '
+  ELSE lpad(c_custkey::VARCHAR, 6, '0') END AS value FROM customer)"""
+
+
+def _asked(spark, sf):
+    key = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        key.alias("request_id"),
+        F.when(key % 50 == 0, " f ").otherwise(F.lpad(key.cast("string"), 6, "0")).alias("value"))
+
+
+@query("a06_lookup_anywhere", f"""{POSITION_CTE}, {_ASKED_SQL}, {_ANY_SQL}
+SELECT request_id, document_id, row_index FROM anywhere""")
+def a06(spark, sf):
+    return ac.lookup_anywhere(_placed(spark, sf)[0], _asked(spark, sf)).select(
+        "request_id", "document_id", "row_index")
+
+
+@query("a07_first_document_with_hit", f"""{POSITION_CTE}, {_ASKED_SQL}, {_ANY_SQL},
+candidates AS (SELECT o_custkey AS request_id, 'doc_' || o_orderkey // 500 AS document_id,
+    round(min(o_totalprice), 2) AS score FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL),
+hits AS (SELECT request_id, document_id, count(*) AS n_matches FROM anywhere GROUP BY ALL)
+SELECT request_id, document_id, CASE WHEN score IS NULL THEN 1 ELSE 0 END::BIGINT AS tier, n_matches
+FROM hits LEFT JOIN candidates USING (request_id, document_id)
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score IS NULL, score,
+  'orders_' || replace(document_id, 'doc_', '') || '.csv', document_id) = 1""")
+def a07(spark, sf):
+    grid = fx.orders_grid(spark, sf)
+    tables = table_summary(grid)
+    hits = ac.lookup_anywhere(ac.positioned(grid, tables), _asked(spark, sf))
+    candidates = table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(
+        F.col("o_custkey").alias("request_id"),
+        F.concat(F.lit("doc_"), F.floor(F.col("o_orderkey") / 500).cast("string")).alias("document_id")
+    ).agg(F.round(F.min("o_totalprice"), 2).alias("score"))
+    best = ac.first_document_with_hit(hits.select("request_id", "document_id"), candidates, tables)
+    return best.withColumn("tier", F.col("tier").cast("bigint"))
+
+
+_BARE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(question, '前\s*\d+\s*(?:条|行|个)', '', 'g'),
+  '(?:最后|后)\s*\d+\s*(?:条|行|个)', '', 'g'), '第\s*\d+\s*(?:[到~至\-—]|~)\s*\d+\s*(?:条|行|个)?', '', 'g')"""
+MENTIONED_CTE = f"""{fx.UP_TO_FACTS}, {fx.NAMES_CTE}, {fx.QUESTIONS_CTE},
+shown AS (SELECT *, CASE WHEN length(description) BETWEEN 1 AND 40
+    AND NOT regexp_matches(description, '[.。;；:]\\s*$') THEN description ELSE technical_name END AS display_name
+  FROM names),
+mentioned AS (SELECT request_id, doc, question, col_index, technical_name FROM questions JOIN shown USING (doc)
+  WHERE contains({_BARE_SQL}, technical_name) OR contains({_BARE_SQL}, display_name)
+     OR (length(description) > 0 AND contains({_BARE_SQL}, description)))"""
+
+
+def _mentioned(spark, sf):
+    questions = fx.question_log(spark, sf).withColumn("bare", ac.strip_quantities(F.col("question")))
+    names = column_names(table_summary(fx.orders_grid(spark, sf)))
+    return ac.mentioned_columns(questions, names, "bare")
+
+
+@query("a08_mentioned_columns", f"{MENTIONED_CTE} SELECT request_id, col_index, technical_name FROM mentioned")
+def a08(spark, sf):
+    return _mentioned(spark, sf).select(
+        "request_id", F.col("col_index").cast("bigint"), "technical_name")
+
+
+TARGETS_CTE = f"""{MENTIONED_CTE},
+marked AS (SELECT *, regexp_matches(question, regexp_escape(technical_name) || '\\s*(?:为|=|:|：|等于|是)\\s') AS is_key
+  FROM mentioned),
+keyed AS (SELECT request_id, min(col_index) FILTER (is_key) AS key_col FROM marked GROUP BY request_id),
+targets AS (SELECT request_id, max(technical_name) FILTER (col_index = key_col) AS lookup_column,
+    coalesce(string_agg(technical_name, ',' ORDER BY col_index) FILTER (key_col IS NULL OR col_index <> key_col), '') AS return_columns
+  FROM marked JOIN keyed USING (request_id) GROUP BY request_id)"""
+
+
+@query("a09_lookup_targets", f"{TARGETS_CTE} SELECT request_id, lookup_column, return_columns FROM targets")
+def a09(spark, sf):
+    return ac.lookup_targets(_mentioned(spark, sf), "question")
+
+
+@query("a10_lookup_values", f"""WITH {fx.QUESTIONS_CTE}, {INTENT_CTE}
+SELECT request_id, lookup_value FROM intents WHERE lookup_value IS NOT NULL""")
+def a10(spark, sf):
+    return qs.access_intent(fx.question_log(spark, sf), "question").where(
+        "lookup_value IS NOT NULL").select("request_id", "lookup_value")
+
+
+@query("a11_lookup_answers", f"""{TARGETS_CTE}, {INTENT_CTE},
+placed AS (SELECT g.doc, g.row_index, g.cells, f.last_row - f.n_header_rows AS row_count
+  FROM grid g JOIN facts f USING (doc) WHERE g.row_index > f.n_header_rows),
+asked AS (SELECT i.request_id, i.doc, i.lookup_value AS value, f.last_row - f.n_header_rows AS row_count
+  FROM intents i JOIN facts f ON f.doc = i.doc WHERE i.lookup_value IS NOT NULL),
+hits AS (SELECT DISTINCT a.request_id, p.row_index, p.cells FROM asked a JOIN (
+    SELECT doc, row_index, cells, lower(regexp_replace(unnest(cells), '\\s+', '', 'g')) AS key FROM placed) p
+  ON p.doc = a.doc AND p.key = lower(regexp_replace(a.value, '\\s+', '', 'g'))),
+wanted AS (SELECT request_id, lookup_column, CASE WHEN coalesce(return_columns, '') = ''
+    THEN 'Order ID,Buyer,Status,Order Amount,Created Time,Discount,Priority,Batch' ELSE return_columns END AS cols
+  FROM asked LEFT JOIN targets USING (request_id)),
+lines AS (SELECT h.request_id, h.row_index, w.lookup_column, len(string_split(w.cols, ',')) AS n_cols,
+    string_split(w.cols, ',')[1] AS first_name,
+    string_agg(n.technical_name || '：' || coalesce({fx.sql_trim('h.cells[n.col_index]')}, ''), chr(10)
+      ORDER BY list_position(string_split(w.cols, ','), n.technical_name)) AS body,
+    max(coalesce({fx.sql_trim('h.cells[n.col_index]')}, '')) FILTER (n.technical_name = string_split(w.cols, ',')[1]) AS first_value
+  FROM hits h JOIN wanted w USING (request_id) JOIN asked a USING (request_id)
+  JOIN names n ON n.doc = a.doc AND list_contains(string_split(w.cols, ','), n.technical_name)
+  GROUP BY h.request_id, h.row_index, w.lookup_column, w.cols),
+n_hits AS (SELECT request_id, count(*) AS n FROM lines GROUP BY request_id)
+SELECT a.request_id, coalesce(n, 0) AS n_matches,
+  CASE WHEN n IS NULL THEN '已在工作表「Orders」表 Orders#0 中精确扫描全部 ' || a.row_count || ' 条数据行，未找到值「'
+         || a.value || '」。（已完整覆盖，非 top-k 抽样）'
+       WHEN n_cols = 1 THEN coalesce(lookup_column || ' 为 ' || value, '值「' || value || '」') || ' 对应的 ' || first_name
+         || ' 是「' || first_value || '」。' || chr(10) || chr(10) || first_name || '：' || first_value || chr(10) || '行号：' || row_index
+       ELSE '已为您查到 ' || coalesce(lookup_column || ' 为 ' || value, '值「' || value || '」') || ' 的信息（行' || row_index
+         || '）：' || chr(10) || chr(10) || body END AS answer
+FROM asked a LEFT JOIN lines USING (request_id) LEFT JOIN n_hits USING (request_id)""")
+def a11(spark, sf):
+    grid = fx.orders_grid(spark, sf)
+    tables = table_summary(grid)
+    names = column_names(tables)
+    questions = qs.access_intent(fx.question_log(spark, sf), "question").where("lookup_value IS NOT NULL")
+    bare = questions.withColumn("bare", ac.strip_quantities(F.col("question")))
+    targets = ac.lookup_targets(ac.mentioned_columns(bare, names, "bare"), "question")
+    requests = questions.select(
+        "request_id", "document_id", "sheet_idx", F.col("lookup_value").alias("value")
+    ).join(targets, "request_id", "left")
+    keys = ["document_id", "sheet_idx"]
+    hits = ac.lookup_anywhere(ac.positioned(grid, tables), requests, keys).join(
+        requests.select("request_id", "return_columns"), "request_id")
+    listed = names.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("col_index", "technical_name"))).alias("cols"))
+    wanted = F.split("return_columns", ",")
+    all_columns = F.coalesce(F.length("return_columns"), F.lit(0)) == 0
+    chosen = F.filter("cols", lambda c: all_columns | F.array_contains(wanted, c["technical_name"]))
+    matches = hits.join(listed, keys).select(
+        "request_id", "row_index", F.transform(chosen, lambda c: c["technical_name"]).alias("names"),
+        F.transform(chosen, lambda c: F.get("cells", c["col_index"] - 1)).alias("values"))
+    totals = tables.select(*keys, "row_count", "sheet_name", "table_id")
+    return ac.lookup_answers(requests, matches, totals).select("request_id", "n_matches", "answer")

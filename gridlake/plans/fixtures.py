@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.plans.registry import table
+from gridlake.plans.registry import spread, table
 
 ROWS_PER_DOCUMENT = 500
 HEADER = [
@@ -70,7 +70,7 @@ def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(row(F.lit(1), _text_array(HEADER)), row(F.lit(2), _text_array(NOTES)), data),
     ).otherwise(F.array(data))
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .select(
             (doc % 4).cast("string").alias("user_id"),
             F.concat(F.lit("doc_"), doc.cast("string")).alias("document_id"),

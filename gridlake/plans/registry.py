@@ -26,3 +26,13 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that has fewer splits than the session has cores.
+
+    The given tables are single small files; parsing them is CPU work that one task should
+    not do alone. Inputs with enough splits, as on a cluster, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
