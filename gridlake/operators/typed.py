@@ -18,6 +18,7 @@ from gridlake.operators.grid import (
     SHEET_KEYS, column_names, column_types, data_rows, name_at, note_at, sheet_heads,
     table_summary, to_cells,
 )
+from gridlake.sources.scratch import shared_dir
 
 
 @dataclass
@@ -29,11 +30,14 @@ class SheetModel:
     columns: DataFrame
 
 
-def infer(grid: DataFrame, sample_rows: int = fv.TYPE_SAMPLE_ROWS) -> SheetModel:
-    """Summary, descriptors and physical types of all sheets, as lazy DataFrames.
+def infer(
+    grid: DataFrame, sample_rows: int = fv.TYPE_SAMPLE_ROWS, settle: bool = True
+) -> SheetModel:
+    """Summary, descriptors and physical types of all sheets.
 
     Every step ends in one small row per sheet: heads, then logical types below the heads,
-    then evidence from the first kept rows.
+    then evidence from the first kept rows. Those rows are written once and read back, so
+    the several uses of a model do not repeat the inference; settle=False stays lazy.
     """
     heads = sheet_heads(grid)
     types = _by_column(column_types(grid, heads), "data_type", "types")
@@ -45,15 +49,13 @@ def infer(grid: DataFrame, sample_rows: int = fv.TYPE_SAMPLE_ROWS) -> SheetModel
         _sample_evidence(grid, described, sample_rows),
         F.struct("parses", "too_long", "zero_led"), "seen")
     tables = table_summary(grid, described.join(seen, SHEET_KEYS, "left"))
+    if settle:
+        path = shared_dir(grid.sparkSession, "sheets")
+        tables.write.parquet(path)
+        tables = grid.sparkSession.read.parquet(path)
     return SheetModel(grid, tables, _typed_columns(tables))
 
 
-def settled(model: SheetModel) -> SheetModel:
-    """The model with its per-sheet rows cached, for several jobs over one inference."""
-    tables = model.tables.persist()
-    return SheetModel(model.grid, tables, _typed_columns(tables))
-
-
 def _by_column(df: DataFrame, value: Column | str, name: str) -> DataFrame:
     """Per-column values as one array per sheet, in column order."""
     item = F.struct("col_index", (F.col(value) if isinstance(value, str) else value).alias("v"))
@@ -183,7 +185,6 @@ def typed_frames(model: SheetModel, max_layouts: int = 1000, percent: str = "nul
     Only the distinct layouts come to the driver. Building a wide table is a projection of
     the cells array: no pivot and no shuffle of the data.
     """
-    model = settled(model)
     sheets = layouts(model)
     found = sheets.groupBy("layout_id").agg(F.any_value("layout").alias("layout")).limit(
         max_layouts + 1).collect()
@@ -236,7 +237,7 @@ def publish_views(
     from gridlake.operators.relational import tenant_scope
 
     grid = tenant_scope(model.grid, user_id, document_id)
-    scoped = settled(infer(grid))
+    scoped = infer(grid)
     sheets = (
         layouts(scoped)
         .withColumn("view", table_name(F.col("document_id"), F.col("sheet_idx")))
