@@ -47,9 +47,9 @@ def k02(spark, sf):
 
 
 @query("k03_date_range", f"""WITH {PAIRS_CTE} SELECT conv_id, turn, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM pairs
-WHERE ts BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-04 12:30:00'""")
+WHERE ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-04 12:30:00'""")
 def k03(spark, sf):
-    rows = cv.between(_pairs(spark, sf), "ts", "2024-01-02 00:00:00", "2024-01-04 12:30:00")
+    rows = cv.between(_pairs(spark, sf), "ts", "2024-01-01 00:00:00", "2024-01-04 12:30:00")
     return rows.select("conv_id", "turn", F.date_format("ts", _FMT).alias("at"))
 
 

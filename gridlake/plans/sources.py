@@ -1 +1,293 @@
-"""Registered queries."""
+"""Queries on sources and sinks. Files are written from the given tables, then read."""
+
+from pyspark.sql import functions as F
+
+from gridlake.operators.typed import infer
+from gridlake.plans import evaluation as ep
+from gridlake.plans import file_fixtures as ff
+from gridlake.plans import fixtures as fx
+from gridlake.plans.chunking import _CLEAN_SQL, LINE_CHUNKS_CTE, line_chunks, raw_documents
+from gridlake.plans.conversations import PAIRS_CTE, _pairs
+from gridlake.plans.registry import query, spread, table
+from gridlake.sources import exports, manifest, plaintext, readers, store
+from gridlake.sources.delimited import parse_delimited, read_delimited, read_large_delimited
+from gridlake.sources.scratch import shared_dir
+from gridlake.sources.workbook import parse_workbooks
+from gridlake.streaming.ingest import ingest_tables
+
+_JOINED = "array_to_string([coalesce(x, '<null>') FOR x IN cells], '|')"
+
+
+def _joined(rows, document):
+    line = F.array_join(F.transform("cells", lambda v: F.coalesce(v, F.lit("<null>"))), "|")
+    return rows.select(document.alias("document_id"), "row_index", line.alias("line"))
+
+
+def _doc_of_folder():
+    return F.regexp_extract("path", "document_id=([^/]+)", 1)
+
+
+def _doc_of_file():
+    return F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)
+
+
+def _noted(grid):
+    """Sheets whose last cell holds quotes, separators and a line break."""
+    last = F.concat(F.get("cells", F.lit(7)), F.lit('",\n'), F.get("cells", F.lit(2)))
+    return grid.withColumn("cells", F.concat(F.slice("cells", 1, 7), F.array(last)))
+
+
+@query("s01_csv_scan", f"""WITH {fx.GRID_CTE}
+SELECT document_id, row_index, array_to_string([coalesce(x, '<null>') FOR x IN cells[1:7]], '|') || '|'
+  || coalesce(cells[8] || '",' || chr(10) || cells[3], '<null>') AS line FROM grid""")
+def s01(spark, sf):
+    root = shared_dir(spark, "csv")
+    ff.write_csv_files(_noted(fx.orders_grid(spark, sf)), 8, root)
+    return _joined(read_delimited(spark, root), _doc_of_folder())
+
+
+@query("s01_csv_scan_by_lines", f"WITH {fx.GRID_CTE} SELECT document_id, row_index, {_JOINED} AS line FROM grid")
+def s01_lines(spark, sf):
+    """The path for files of any size: split by lines, numbered by block counts."""
+    root = shared_dir(spark, "csv")
+    ff.write_csv_files(fx.orders_grid(spark, sf), 8, root)
+    return _joined(read_large_delimited(spark, [root]), _doc_of_folder())
+
+
+@query("s02_tsv_scan", """SELECT 'u' || user_id AS document_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row_index,
+  event_id || '|' || event_type || '|' || props AS line FROM events""")
+def s02(spark, sf):
+    root = shared_dir(spark, "tsv")
+    grid = table(spark, sf, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("document_id"),
+        F.col("event_id").alias("row_index"),
+        F.array(F.col("event_id").cast("string"), "event_type", "props").alias("cells"))
+    ff.write_csv_files(grid, 3, root, "\t")
+    return _joined(read_delimited(spark, root, "\t"), _doc_of_folder())
+
+
+@query("s03_workbook_ingest", f"""WITH {fx.GRID_CTE}
+SELECT document_id, row_index, 0::BIGINT AS sheet_idx, 'Orders' AS sheet_name, {_JOINED} AS line FROM grid""")
+def s03(spark, sf):
+    rows = parse_workbooks(ff.contents_of(fx.orders_grid(spark, sf), ["xlsx"]))
+    line = F.array_join(F.transform("cells", lambda v: F.coalesce(v, F.lit("<null>"))), "|")
+    return rows.select(
+        _doc_of_file().alias("document_id"), "row_index", F.col("sheet_idx").cast("bigint"),
+        "sheet_name", line.alias("line"))
+
+
+@query("s04_mixed_directory", f"""WITH {fx.GRID_CTE}
+SELECT document_id, row_index, {_JOINED} AS line FROM grid""")
+def s04(spark, sf):
+    contents = ff.contents_of(fx.orders_grid(spark, sf), ["csv", "tsv", "xlsx"])
+    return _joined(readers.read_contents(contents), _doc_of_file())
+
+
+def _text_contents(spark, sf):
+    return raw_documents(spark, sf).select(
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.encode("raw", "UTF-8").alias("content"))
+
+
+@query("s05_text_scan", f"""WITH cleaned AS ({_CLEAN_SQL})
+SELECT 'd/' || doc_id || '.txt' AS path, 'utf-8' AS encoding, length(text)::BIGINT AS character_count, CASE WHEN text = '' THEN 0
+  ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END::BIGINT AS line_count FROM cleaned""")
+def s05(spark, sf):
+    return plaintext.load_texts(_text_contents(spark, sf)).drop("text")
+
+
+@query("s06_encoding_cascade", """SELECT 'd/' || doc_id || '.txt' AS path, CASE doc_id % 2 WHEN 0 THEN 'utf-8' ELSE 'gbk' END AS encoding,
+  CASE doc_id % 2 WHEN 0 THEN text ELSE '订单编号' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') END AS text FROM documents""")
+def s06(spark, sf):
+    def to_gbk(batches):
+        for pdf in batches:
+            pdf["content"] = [t.encode("gbk") if odd else t.encode("utf-8")
+                              for t, odd in zip(pdf["text"], pdf["odd"])]
+            yield pdf[["path", "content"]]
+
+    odd = F.col("doc_id") % 2 == 1
+    text = F.when(odd, F.concat(F.lit("订单编号"), F.regexp_replace("text", "[^\\x00-\\x7F]", ""))
+                  ).otherwise(F.col("text"))
+    files = spread(table(spark, sf, "documents")).select(
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        text.alias("text"), odd.alias("odd")).mapInPandas(to_gbk, "path string, content binary")
+    return plaintext.decode_texts(files).select("path", "encoding", "text")
+
+
+_NAMES = ["a.csv", "B.XLSX", "c.exe", "noext", "d.pdf", "e.md"]
+_MIMES = ["text/csv", "application/octet-stream", "text/markdown", "application/pdf", ""]
+
+
+@query("s07_upload_manifest", f"""WITH m AS (SELECT page_id, {fx._sql_list(_NAMES)}[page_id % 6 + 1] AS filename,
+  {fx._sql_list(_MIMES)}[length(url) % 5 + 1] AS content_type, length(html) * (page_id % 7 + 1) * 2000 AS size FROM pages),
+e AS (SELECT *, '.' || lower(regexp_extract(filename, '\\.([^./]+)$', 1)) AS ext FROM m)
+SELECT page_id, filename, content_type, size, CASE WHEN ext NOT IN ('.pdf', '.txt', '.docx', '.md', '.xlsx', '.xls', '.csv', '.tsv') THEN 400
+  WHEN content_type NOT IN ('', 'application/octet-stream') AND NOT CASE ext WHEN '.csv' THEN content_type IN ('text/csv', 'text/plain')
+    WHEN '.pdf' THEN content_type = 'application/pdf' WHEN '.md' THEN content_type IN ('text/markdown', 'text/plain', 'text/x-markdown')
+    ELSE content_type = 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' END THEN 415
+  WHEN size > 10485760 THEN 413 ELSE 200 END::BIGINT AS status FROM e""")
+def s07(spark, sf):
+    def pick(values, place):
+        return F.get(F.array(*[F.lit(v) for v in values]), place.cast("int"))
+
+    uploads = table(spark, sf, "pages").select(
+        "page_id", pick(_NAMES, F.col("page_id") % 6).alias("filename"),
+        pick(_MIMES, F.length("url") % 5).alias("content_type"),
+        (F.length("html") * (F.col("page_id") % 7 + 1) * 2000).cast("bigint").alias("size"))
+    return manifest.check_uploads(uploads).withColumn("status", F.col("status").cast("bigint"))
+
+
+@query("s08_file_metadata", """SELECT doc_id || '.' || lang || '.TXT' AS filename, '.txt' AS file_extension,
+  strlen(text)::BIGINT AS file_size, md5(text) AS file_hash FROM documents""")
+def s08(spark, sf):
+    files = table(spark, sf, "documents").select(
+        F.concat(F.lit("/data/"), F.col("doc_id").cast("string"), F.lit("."), "lang", F.lit(".TXT")).alias("path"),
+        F.encode("text", "UTF-8").alias("content"))
+    return manifest.file_metadata(files).drop("path")
+
+
+@query("s09_representation_store", f"""{fx.UP_TO_PHYS}
+SELECT 'doc_' || doc AS document_id, last_row - n_header_rows AS row_count, count(*) AS n_columns,
+  string_agg(technical_name || ':' || physical_type, ',' ORDER BY col_index) AS layout,
+  (SELECT count(*) FROM grid g WHERE g.doc = facts.doc) AS n_grid_rows
+FROM facts JOIN phys USING (doc) WHERE doc % 4 = 1 GROUP BY doc, last_row, n_header_rows""")
+def s09(spark, sf):
+    root = shared_dir(spark, "model")
+    store.save_model(infer(fx.orders_grid(spark, sf)), root)
+    model = store.load_model(spark, root, "1")
+    listed = model.columns.groupBy("document_id").agg(
+        F.count("*").alias("n_columns"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", F.concat(
+            "technical_name", F.lit(":"), "physical_type").alias("t")))), lambda x: x["t"]), ",").alias("layout"))
+    rows = model.grid.groupBy("document_id").agg(F.count("*").alias("n_grid_rows"))
+    return model.tables.select("document_id", "row_count").join(listed, "document_id").join(rows, "document_id")
+
+
+@query("s09_tables_json", f"""{fx.UP_TO_FACTS}
+SELECT (doc % 4)::VARCHAR AS user_id, 'doc_' || doc AS document_id, 'Orders' AS sheet_name, last_row - n_header_rows AS row_count,
+  'Order Amount' AS fourth_column FROM facts""")
+def s09_json(spark, sf):
+    exported = store.export_tables_json(infer(fx.orders_grid(spark, sf)))
+    return exported.select(
+        "user_id", "document_id", F.get_json_object("json", "$.sheet_name").alias("sheet_name"),
+        F.get_json_object("json", "$.row_count").cast("bigint").alias("row_count"),
+        F.get_json_object("json", "$.columns[3].technical_name").alias("fourth_column"))
+
+
+@query("s10_chunk_sink", f"""WITH {LINE_CHUNKS_CTE} SELECT collection, user_id, count(*) AS n, sum(length(content))::BIGINT AS chars
+FROM line_chunks GROUP BY ALL""")
+def s10(spark, sf):
+    """Two batches are published, a refused third one leaves no trace."""
+    root = shared_dir(spark, "chunks")
+    chunks = line_chunks(spark, sf)
+
+    def refuse(written):
+        raise ValueError(f"refused {written.limit(1).count()}")
+
+    store.write_batch(chunks.where("user_id < '3'"), root, ["collection"])
+    store.write_batch(chunks.where("user_id >= '3'"), root, ["collection"])
+    try:
+        store.write_batch(chunks, root, ["collection"], check=refuse)
+    except ValueError:
+        pass
+    return store.read_store(spark, root).groupBy(
+        F.col("collection").cast("string"), "user_id"
+    ).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("s11_report_sink", f"""WITH {ep.CHECKED_CTE}
+SELECT case_id, 'q' || case_id AS question, route_match, result_match, answer_match, failure_category FROM judged""")
+def s11(spark, sf):
+    root = shared_dir(spark, "report")
+    runs = ep.judged(spark, sf).withColumn("question", F.concat(F.lit("q"), F.col("case_id").cast("string")))
+    runs = runs.withColumn("expected_intent", F.lit("PRECISE_QUERY")).withColumn(
+        "actual_intent", F.lit("PRECISE_QUERY")).withColumn("elapsed_ms", F.col("case_id") * 0.5)
+    exports.write_report(runs, root)
+    back = spark.read.option("header", True).csv(f"{root}/csv")
+    return back.select(
+        F.col("case_id").cast("bigint"), "question", F.col("route_match").cast("boolean"),
+        F.col("result_match").cast("boolean"), "answer_match", "failure_category")
+
+
+@query("s11_report_metrics", f"WITH {ep.CHECKED_CTE} {ep.METRICS_SQL}")
+def s11_metrics(spark, sf):
+    root = shared_dir(spark, "report")
+    runs = ep.judged(spark, sf)
+    for name in exports.REPORT_COLUMNS:
+        if name not in runs.columns:
+            runs = runs.withColumn(name, F.lit(None).cast("string"))
+    exports.write_report(runs, root)
+    back = spark.read.json(f"{root}/metrics")
+    return back.select("total", *[c for c in back.columns if c != "total"])
+
+
+@query("s12_conversation_export", f"""WITH {PAIRS_CTE}, parts AS (SELECT *, turn // 4 AS part FROM pairs)
+SELECT conv_id, part, count(*) AS records, (SELECT count(*) FROM pairs p WHERE p.conv_id = parts.conv_id) AS total_conversations,
+  md5(to_json({{'conv_id': conv_id, 'part': part, 'total_conversations': (SELECT count(*) FROM pairs p WHERE p.conv_id = parts.conv_id),
+    'conversations': list({{'turn': turn, 'user': "user", 'assistant': assistant}} ORDER BY turn)}})::VARCHAR) AS digest
+FROM parts GROUP BY conv_id, part""")
+def s12(spark, sf):
+    parts = exports.export_conversations(_pairs(spark, sf).drop("ts"), ["conv_id"], "turn", block=4)
+    return parts.select(
+        "conv_id", "part", F.col("records").cast("bigint"), "total_conversations",
+        F.md5("json").alias("digest"))
+
+
+@query("s13_answer_frames", """WITH lines AS (SELECT o_custkey AS request_id, o_orderkey AS seq, o_orderpriority || ' ' || o_orderstatus AS content FROM orders)
+SELECT request_id, seq, to_json({'type': 'chunk', 'content': content})::VARCHAR AS frame FROM lines
+UNION ALL SELECT request_id, 4611686018427387904, to_json({'type': 'complete', 'row_count': count(*), 'sources': [min(content)],
+  'result_limited': count(*) > 10})::VARCHAR FROM lines GROUP BY request_id""")
+def s13(spark, sf):
+    lines = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("seq"),
+        F.concat("o_orderpriority", F.lit(" "), "o_orderstatus").alias("content"))
+    answers = lines.groupBy("request_id").agg(
+        F.count("*").alias("row_count"), F.array(F.min("content")).alias("sources")
+    ).withColumn("result_limited", F.col("row_count") > 10)
+    root = shared_dir(spark, "frames")
+    exports.answer_frames(lines, answers).write.parquet(root)
+    return spark.read.parquet(root)
+
+
+@query("t05_incremental_ingest", f"""{fx.UP_TO_FACTS},
+groups AS (SELECT g.doc, (g.row_index - f.n_header_rows - 1) // 8 AS grp, min(row_index) AS row_start, max(row_index) AS row_end
+  FROM grid g JOIN facts f USING (doc) WHERE row_index > n_header_rows GROUP BY g.doc, grp)
+SELECT 'doc_' || doc || '_0' AS id, 'workbook_summary' AS chunk_type, 0::BIGINT AS row_start, 0::BIGINT AS row_end FROM facts
+UNION ALL SELECT 'doc_' || doc || '_1', 'sheet_schema', 1, n_header_rows FROM facts
+UNION ALL SELECT 'doc_' || doc || '_' || grp + 2, 'row_group', row_start, row_end FROM groups""")
+def t05(spark, sf):
+    """Half of the files arrive, are ingested; then the rest; each file counts once."""
+    root, inbox = shared_dir(spark, "ingest"), shared_dir(spark, "inbox")
+    grid = fx.orders_grid(spark, sf)
+
+    def identify(path):
+        document = F.regexp_extract(path, "document_id=([^/]+)", 1)
+        number = F.substring_index(document, "_", -1).cast("bigint")
+        return {
+            "document_id": document, "user_id": (number % 4).cast("string"),
+            "filename": F.concat(document, F.lit(".csv")), "file_type": F.lit("csv")}
+
+    for half in (0, 1):
+        ff.write_csv_files(grid.where(F.col("user_id").cast("int") % 2 == half), 8, inbox)
+        chunks = ingest_tables(spark, inbox, root, identify)
+    return chunks.select("id", "chunk_type", "row_start", "row_end")
+
+
+@query("u02_reader_extension", f"WITH {fx.GRID_CTE} SELECT document_id, row_index, {_JOINED} AS line FROM grid")
+def u02(spark, sf):
+    """Pipe-separated files through an added reader."""
+    readers.register_reader(".psv", lambda contents: parse_delimited(contents, "|"))
+    try:
+        contents = ff.contents_of(fx.orders_grid(spark, sf), ["psv", "csv"])
+        return _joined(readers.read_contents(contents), _doc_of_file())
+    finally:
+        readers.TABLE_READERS.pop("psv", None)
+
+
+@query("u03_secret_columns", """SELECT c_custkey, CASE WHEN length(k) > 8 THEN left(k, 4) || '...' || right(k, 4) ELSE '***' END AS k,
+  sha256(k || 'pepper') AS k_hash FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN left(c_name, 8) ELSE c_name END AS k FROM customer)""")
+def u03(spark, sf):
+    keys = table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.left("c_name", F.lit(8)))
+        .otherwise(F.col("c_name")).alias("k"))
+    return manifest.protect(keys, "k", "pepper")
