@@ -43,12 +43,14 @@ def sheet_heads(grid: DataFrame) -> DataFrame:
     def row(n: int) -> Column:
         return F.max(F.when(F.col("row_index") == n, F.col("cells")))
 
-    return top.groupBy(*SHEET_KEYS).agg(
+    return top.groupBy(*SHEET_KEYS, *SHEET_META).agg(
         F.greatest(
             F.lit(1),
             F.coalesce(F.min(F.when(stops, F.col("row_index"))) - 1, F.max("row_index")),
         ).cast("bigint").alias("n_header_rows"),
-        row(1).alias("names"), row(2).alias("notes"))
+        row(1).alias("names"), row(2).alias("notes"),
+        F.max("row_index").cast("bigint").alias("last_row"),
+        F.max(F.size("cells")).cast("bigint").alias("width"))
 
 
 def header_rows(grid: DataFrame) -> DataFrame:
@@ -56,14 +58,17 @@ def header_rows(grid: DataFrame) -> DataFrame:
     return sheet_heads(grid).select(*SHEET_KEYS, "n_header_rows")
 
 
-def table_summary(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """One row per sheet: shape, header depth, data rows, A1 range and the first two rows."""
-    shape = grid.groupBy(*SHEET_KEYS, *SHEET_META).agg(
-        F.max("row_index").cast("bigint").alias("data_row_end"),
-        F.max(F.size("cells")).cast("bigint").alias("col_count"),
-    )
+def summarize(heads: DataFrame, shape: DataFrame) -> DataFrame:
+    """One row per sheet: shape, header depth, data rows, A1 range and the first two rows.
+
+    shape has last_row and width of the rows below the head, missing for header-only sheets.
+    """
+    below = shape.withColumnsRenamed({"last_row": "data_last", "width": "data_width"})
     return (
-        shape.join(sheet_heads(grid) if heads is None else heads, SHEET_KEYS)
+        heads.join(below, SHEET_KEYS, "left")
+        .withColumn("data_row_end", F.greatest("last_row", F.col("data_last").cast("bigint")))
+        .withColumn("col_count", F.greatest("width", F.col("data_width").cast("bigint")))
+        .drop("last_row", "width", "data_last", "data_width")
         .withColumn("data_row_start", F.col("n_header_rows") + 1)
         .withColumn("row_count", F.col("data_row_end") - F.col("n_header_rows"))
         .withColumn("table_id", F.concat("sheet_name", F.lit("#0")))
@@ -73,6 +78,13 @@ def table_summary(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     )
 
 
+def table_summary(grid: DataFrame) -> DataFrame:
+    """Summary rows of all sheets."""
+    shape = grid.groupBy(*SHEET_KEYS).agg(
+        F.max("row_index").alias("last_row"), F.max(F.size("cells")).alias("width"))
+    return summarize(sheet_heads(grid), shape)
+
+
 def data_rows(grid: DataFrame, tables: DataFrame, *extra: str) -> DataFrame:
     """Grid rows below the header, with the named summary columns attached.
 
@@ -91,24 +103,30 @@ def to_cells(rows: DataFrame, *keep: str) -> DataFrame:
     return cells.withColumn("col_index", F.col("pos") + 1).drop("pos")
 
 
-def column_types(grid: DataFrame, tables: DataFrame) -> DataFrame:
-    """numeric, date or text per column; one deviating value makes a column text."""
-    cells = to_cells(data_rows(grid, tables))
+def column_evidence(grid: DataFrame, heads: DataFrame) -> DataFrame:
+    """Logical type and last row of each column of data rows, in one aggregate."""
+    cells = to_cells(data_rows(grid, heads))
     given = F.col("value").isNotNull()
     return (
         cells.groupBy(*SHEET_KEYS, "col_index")
         .agg(
             F.bool_and(F.when(given, is_numeric(F.col("value")))).alias("all_numeric"),
             F.bool_and(F.when(given, is_date_like(F.col("value")))).alias("all_dates"),
+            F.max("row_index").alias("last_row"),
         )
         .select(
-            *SHEET_KEYS, "col_index",
+            *SHEET_KEYS, "col_index", "last_row",
             F.when(F.col("all_numeric"), "numeric").when(F.col("all_dates"), "date")
             .otherwise("text").alias("data_type"),
         )
     )
 
 
+def column_types(grid: DataFrame, heads: DataFrame) -> DataFrame:
+    """numeric, date or text per column; one deviating value makes a column text."""
+    return column_evidence(grid, heads).drop("last_row")
+
+
 def name_at(at: Column) -> Column:
     """Technical name of the column at a 0-based place, from the first sheet row."""
     return F.coalesce(F.get("names", at), F.concat(F.lit("Column"), (at + 1).cast("string")))

@@ -15,8 +15,8 @@ from gridlake.functions.values import (
     exceeds_exact_double, has_leading_zero, is_identifier_name, to_number, to_timestamp,
 )
 from gridlake.operators.grid import (
-    SHEET_KEYS, column_names, column_types, data_rows, name_at, note_at, sheet_heads,
-    table_summary, to_cells,
+    SHEET_KEYS, column_evidence, column_names, data_rows, name_at, note_at, sheet_heads,
+    summarize, to_cells,
 )
 from gridlake.sources.scratch import shared_dir
 
@@ -35,32 +35,29 @@ def infer(
 ) -> SheetModel:
     """Summary, descriptors and physical types of all sheets.
 
-    Every step ends in one small row per sheet: heads, then logical types below the heads,
-    then evidence from the first kept rows. Those rows are written once and read back, so
-    the several uses of a model do not repeat the inference; settle=False stays lazy.
+    Three reads of the grid: its top rows, then all data rows for logical types and shape,
+    then the first kept rows of each sheet. The per-sheet rows are written and read back,
+    so neither these steps nor the users of a model repeat each other; settle=False stays
+    lazy.
     """
-    heads = sheet_heads(grid)
-    types = _by_column(column_types(grid, heads), "data_type", "types")
-    described = heads.join(types, SHEET_KEYS, "left").select(
-        *SHEET_KEYS, "n_header_rows", "names", "notes", "types",
-        name_at(F.lit(0)).alias("first_name"), note_at(F.lit(0)).alias("first_note"),
-        _type_at(F.lit(0)).alias("first_type"))
-    seen = _by_column(
-        _sample_evidence(grid, described, sample_rows),
-        F.struct("parses", "too_long", "zero_led"), "seen")
-    tables = table_summary(grid, described.join(seen, SHEET_KEYS, "left"))
-    if settle:
-        path = shared_dir(grid.sparkSession, "sheets")
-        tables.write.parquet(path)
-        tables = grid.sparkSession.read.parquet(path)
+    keep = _written if settle else (lambda df: df)
+    heads = keep(sheet_heads(grid).withColumns({
+        "first_name": name_at(F.lit(0)), "first_note": note_at(F.lit(0))}))
+    columns = F.array_sort(F.collect_list(F.struct("col_index", "data_type")))
+    shape = column_evidence(grid, heads).groupBy(*SHEET_KEYS).agg(
+        F.transform(columns, lambda c: c["data_type"]).alias("types"),
+        F.max("last_row").alias("last_row"), F.max("col_index").alias("width"))
+    evidence = F.array_sort(F.collect_list(F.struct("col_index", "parses", "too_long", "zero_led")))
+    seen = _sample_evidence(grid, heads, sample_rows).groupBy(*SHEET_KEYS).agg(
+        evidence.alias("seen"))
+    tables = keep(summarize(heads, shape).join(seen, SHEET_KEYS, "left"))
     return SheetModel(grid, tables, _typed_columns(tables))
 
 
-def _by_column(df: DataFrame, value: Column | str, name: str) -> DataFrame:
-    """Per-column values as one array per sheet, in column order."""
-    item = F.struct("col_index", (F.col(value) if isinstance(value, str) else value).alias("v"))
-    return df.groupBy(*SHEET_KEYS).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_dir(df.sparkSession, "sheets")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _type_at(at: Column) -> Column:
@@ -68,23 +65,26 @@ def _type_at(at: Column) -> Column:
 
 
 def _is_junk() -> Column:
-    """A data row that repeats the header, or holds prose where an id or number belongs."""
+    """A data row that repeats the header, or holds prose where an id belongs.
+
+    Prose under a numeric column needs no test: one such value makes the column text.
+    """
     first = trim_ws(F.get("cells", F.lit(0)))
     note = trim_ws(F.coalesce("first_note", F.lit("")))
     repeats = (first == trim_ws(F.col("first_name"))) | ((note != "") & (first == note))
-    keyed = (F.col("first_type") == "numeric") | is_identifier_name(trim_ws(F.col("first_name")))
-    prose = keyed & first.rlike("[A-Za-z]") & first.contains(" ") & (F.length(first) > 6)
+    prose = (
+        first.contains(" ") & (F.length(first) > 6) & first.rlike("[A-Za-z]")
+        & is_identifier_name(trim_ws(F.col("first_name"))))
     return F.coalesce(repeats | prose, F.lit(False))
 
 
 def kept_rows(grid: DataFrame, tables: DataFrame, *extra: str) -> DataFrame:
-    rows = data_rows(grid, tables, "first_name", "first_note", "first_type", *extra)
-    return rows.where(~_is_junk()).drop("first_name", "first_note", "first_type")
+    rows = data_rows(grid, tables, "first_name", "first_note", *extra)
+    return rows.where(~_is_junk()).drop("first_name", "first_note")
 
 
 def junk_rows(grid: DataFrame, tables: DataFrame) -> DataFrame:
-    rows = data_rows(grid, tables, "first_name", "first_note", "first_type")
-    return rows.where(_is_junk())
+    return data_rows(grid, tables, "first_name", "first_note").where(_is_junk())
 
 
 def _sample_evidence(grid: DataFrame, described: DataFrame, sample_rows: int) -> DataFrame:

@@ -64,7 +64,7 @@ def t03(spark, sf):
         .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
     limited = limit_failures(
         stream, "user_id", "at", "event_id", F.col("event_type") == "error",
-        F.col("event_type") == "signup", window_seconds=_WINDOW, slot_seconds=_WINDOW)
+        F.col("event_type") == "signup", window_seconds=_WINDOW, slot_seconds=2 * 86400)
     return run_to_table(limited, root).select(
         "event_id", F.col("user_id").cast("bigint"), "failures", "blocked")
 
