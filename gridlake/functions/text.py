@@ -24,7 +24,7 @@ def squeeze(c: Column) -> Column:
 
 def compact(c: Column) -> Column:
     """Key form of looked-up values: no white space at all, lower case."""
-    return F.lower(F.regexp_replace(c, f"{WS}+", ""))
+    return F.lower(F.translate(c, WS_CHARS, ""))
 
 
 def one_line(c: Column) -> Column:

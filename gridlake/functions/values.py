@@ -29,7 +29,8 @@ def to_number(c: Column, percent: str = "null") -> Column:
 
 def is_numeric(c: Column) -> Column:
     """Looks numeric once commas and percent signs are removed; FALSE for NULL."""
-    bare = trim_ws(F.translate(c, ",%", ""))
+    marked = c.contains(",") | c.contains("%")
+    bare = trim_ws(F.when(marked, F.translate(c, ",%", "")).otherwise(c))
     return F.coalesce(
         bare.rlike(fv.FLOAT_LITERAL) | F.lower(bare).isin(fv.FLOAT_WORDS), F.lit(False))
 
@@ -37,8 +38,12 @@ def is_numeric(c: Column) -> Column:
 def is_date_like(c: Column) -> Column:
     """Has a digit and date punctuation; only a shape test, see to_timestamp."""
 
+    def after(mark: str) -> Column:
+        return F.instr(c, mark) + 1
+
     def many(mark: str) -> Column:
-        return F.length(c) - F.length(F.translate(c, mark, "")) >= 2
+        second = F.call_function("locate", F.lit(mark), c, after(mark))
+        return c.contains(mark) & (second > 0)
 
     marked = many("/") | many("-") | (c.contains(":") & (c.contains("/") | c.contains("-")))
     return F.coalesce(marked & c.rlike(r"\d"), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import fixed_values as fv
+from gridlake.functions.binding import let
 from gridlake.functions.text import contains_any
 from gridlake.functions.values import to_number
 
@@ -18,12 +19,21 @@ def close(a: Column, b: Column, tolerance: float = 0.01) -> Column:
         .otherwise(F.abs(a - b) / F.abs(b) <= tolerance))
 
 
+def _measured(text: Column) -> Column:
+    """A value with its number, for comparisons that look at a value many times."""
+    return F.struct(
+        text.alias("text"), F.when(~text.contains(","), to_number(text)).alias("number"))
+
+
+def _close_measured(a: Column, b: Column, tolerance: float) -> Column:
+    x, y = a["number"], b["number"]
+    return F.when(x.isNotNull() & y.isNotNull(), close(x, y, tolerance)).otherwise(
+        F.coalesce(a["text"], F.lit("None")) == F.coalesce(b["text"], F.lit("None")))
+
+
 def close_text(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     """As close, for values held as text; equality of text if a side is no number."""
-    x = F.when(~a.contains(","), to_number(a))
-    y = F.when(~b.contains(","), to_number(b))
-    return F.when(x.isNotNull() & y.isNotNull(), close(x, y, tolerance)).otherwise(
-        F.coalesce(a, F.lit("None")) == F.coalesce(b, F.lit("None")))
+    return let(_measured(a), lambda x: let(_measured(b), lambda y: _close_measured(x, y, tolerance)))
 
 
 def check_results(runs: DataFrame) -> DataFrame:
@@ -37,18 +47,22 @@ def check_results(runs: DataFrame) -> DataFrame:
     count = F.when(
         F.col("expected_row_count").isNotNull(),
         F.col("actual_row_count").eqNullSafe(F.col("expected_row_count")))
+    no_values = F.array().cast("array<string>")
     listed = F.when(
         F.size("expected_contains") > 0,
-        F.forall("expected_contains", lambda e: F.exists(
-            F.coalesce("actual_values", F.array().cast("array<string>")),
-            lambda a: close_text(e, a))))
-    checks = [scalar, count, listed]
-    any_check = scalar.isNotNull() | count.isNotNull() | listed.isNotNull()
+        let(F.transform(F.coalesce("actual_values", no_values), _measured),
+            lambda found: F.forall(
+                F.transform("expected_contains", _measured),
+                lambda e: F.exists(found, lambda a: _close_measured(e, a, 0.01)))))
+    checked = runs.withColumns({"__scalar": scalar, "__count": count, "__listed": listed})
+    checks = [F.col("__scalar"), F.col("__count"), F.col("__listed")]
+    any_check = F.coalesce(*checks).isNotNull()
     passed = F.lit(True)
     for check in checks:
         passed = passed & F.coalesce(check, F.lit(True))
-    return runs.withColumn("row_count_match", count).withColumn(
-        "result_match", F.when(any_check, passed))
+    return checked.withColumns({
+        "row_count_match": F.col("__count"), "result_match": F.when(any_check, passed),
+    }).drop("__scalar", "__count", "__listed")
 
 
 def check_answers(runs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import fixed_values as fv
 from gridlake.functions.a1 import cell_range
-from gridlake.functions.text import is_blank
+from gridlake.functions.text import is_blank, word_count
 from gridlake.functions.values import is_date_like, is_long_id, is_numeric
 
 SHEET_KEYS = ["document_id", "sheet_idx"]
@@ -207,8 +207,8 @@ def text_tables(lines: DataFrame, keys: list[str], span: int = 1000) -> DataFram
     """
     from gridlake.operators.ordered import running_count
 
-    like = (F.size(F.filter(F.split("line", f"{fv.WS}+"), lambda w: w != "")) >= 3) & (
-        F.col("line").contains("，") | F.col("line").contains("|"))
+    marked = F.col("line").contains("，") | F.col("line").contains("|")
+    like = marked & (word_count(F.col("line")) >= 3)
     candidates = lines.where(like).select(*keys, "line_no", "line")
     # A line opens a run if no candidate sits directly above it: equi-join on line_no - 1.
     above = candidates.select(*keys, (F.col("line_no") + 1).alias("line_no"), F.lit(0).alias("opens"))

@@ -39,7 +39,7 @@ def running_count(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, shares: dict[str, float], n_ranges: int = 200
+    df: DataFrame, keys: list[str], value: str, shares: dict[str, float], n_ranges: int = 256
 ) -> DataFrame:
     """Interpolated quantiles per key, exact, without holding a key's values in one task.
 
@@ -52,7 +52,7 @@ def exact_quantiles(
         F.percentile_approx(value, F.lit(steps), F.lit(1000)).alias("__edges"),
         F.count(value).alias("__rows"))
     ranged = counted.join(edges, keys).withColumn(
-        SPAN, F.size(F.filter("__edges", lambda e: e <= F.col(value)))).drop("__edges")
+        SPAN, _edges_upto(F.col("__edges"), F.col(value), n_ranges)).drop("__edges")
     inside = Window.partitionBy(*keys, SPAN).orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     totals = ranged.groupBy(*keys, SPAN).agg(F.sum("__n").alias("__total"))
@@ -78,6 +78,14 @@ def exact_quantiles(
     ])
 
 
+def _edges_upto(edges: Column, value: Column, n: int) -> Column:
+    """Number of sorted edges that are <= value, by halving steps."""
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda low, step: low + F.when(F.get(edges, low + step - 1) <= value, step).otherwise(0))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only after counting at most max_rows + 1 rows; else left to the optimizer."""
     if df.limit(max_rows + 1).count() <= max_rows:

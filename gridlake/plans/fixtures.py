@@ -65,10 +65,8 @@ def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(index.cast("bigint").alias("row_index"), cells.alias("cells"))
 
     data = row(place + 3, order_cells())
-    rows = F.when(
-        place == 0,
-        F.array(row(F.lit(1), _text_array(HEADER)), row(F.lit(2), _text_array(NOTES)), data),
-    ).otherwise(F.array(data))
+    head = F.array(row(F.lit(1), _text_array(HEADER)), row(F.lit(2), _text_array(NOTES)))
+    rows = F.concat(F.when(place == 0, head).otherwise(F.slice(head, 1, 0)), F.array(data))
     return (
         spread(table(spark, sf_dir, "orders"))
         .select(

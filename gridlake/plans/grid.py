@@ -41,7 +41,7 @@ def g03(spark, sf):
 SELECT 'doc_' || doc AS document_id, col_index, data_type FROM types""")
 def g04(spark, sf):
     grid = fx.orders_grid(spark, sf)
-    return g.column_types(grid, g.table_summary(grid)).select(
+    return g.column_types(grid, g.sheet_heads(grid)).select(
         "document_id", F.col("col_index").cast("bigint"), "data_type")
 
 
