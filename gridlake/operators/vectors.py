@@ -72,7 +72,7 @@ def nearest_for_each(
         right = asked.withColumn(
             "__block", F.pmod(F.xxhash64(query_col), F.lit(n_blocks)).cast("int")
         ).withColumn(
-            "__shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("bigint"))
+            "__shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")))
         partial = left.groupBy("__shard", "__block").cogroup(
             right.groupBy("__shard", "__block")).applyInPandas(best_of, out)
     order = Window.partitionBy(query_col).orderBy("score", id_col)

@@ -221,7 +221,8 @@ def e15(spark, sf):
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"),
         (F.col("doc_id") % 14).cast("string").alias("user_id"))
     left, gone = ct.without_documents(line_chunks(spark, sf), doomed)
-    return left.groupBy("collection").agg(F.count("*").alias("n_left")).join(F.broadcast(gone))
+    return left.groupBy("collection").agg(F.count("*").alias("n_left")).withColumn(
+        "deleted", F.lit(gone.first()["deleted"]))
 
 
 def _with_ids(chunks):

@@ -56,6 +56,7 @@ def load_texts(contents: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str, extensions: list[str] | None = None) -> DataFrame:
+    """Texts of all matching files below path. The file source passes over empty files."""
     names = ",".join(extensions or fv.TEXT_EXTENSIONS)
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{names}}}")
