@@ -74,12 +74,11 @@ def reindex(
     if source == target:
         raise ReindexError("source and target collection are the same")
     held = store.where((F.col("collection") == source) & (F.col("document_id") == document_id))
-    owners = held.select("user_id").distinct().limit(1000).collect()
-    if not owners:
-        raise ReindexError(f"document {document_id} is not in {source}")
-    if user_id not in [r["user_id"] for r in owners]:
-        raise ReindexError(f"user {user_id} does not own document {document_id}")
-    fresh = embed(held.where(F.col("user_id") == user_id)).withColumn("collection", F.lit(target))
+    own = held.where(F.col("user_id") == user_id)
+    if own.isEmpty():
+        reason = "is not in " + source if held.isEmpty() else "belongs to another user"
+        raise ReindexError(f"document {document_id} {reason}")
+    fresh = embed(own).withColumn("collection", F.lit(target))
     return replace_versions(store, fresh)
 
 
@@ -119,9 +118,8 @@ def expand_best_table(hits: DataFrame, store: DataFrame, query: str = "query_id"
     place = F.struct("score", "document_id", "sheet_name", "table_id")
     best = hits.where(F.col("chunk_type").isin(TABLE_CHUNKS)).groupBy(query).agg(
         F.min(place).alias("b")).select(query, "b.document_id", "b.sheet_name", "b.table_id")
-    members = store.where(F.col("chunk_type").isin(TABLE_CHUNKS))
-    return best.join(members, ["document_id", "sheet_name", "table_id"]).dropDuplicates(
-        [query, "id"])
+    members = store.where(F.col("chunk_type").isin(TABLE_CHUNKS)).dropDuplicates(["id"])
+    return best.join(members, ["document_id", "sheet_name", "table_id"])
 
 
 def row_coverage(chunks: DataFrame, keys: list[str]) -> DataFrame:

@@ -104,8 +104,14 @@ def to_cells(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def column_evidence(grid: DataFrame, heads: DataFrame) -> DataFrame:
-    """Logical type and last row of each column of data rows, in one aggregate."""
-    cells = to_cells(data_rows(grid, heads))
+    """Logical type and last row of each column of data rows, in one aggregate.
+
+    Rows past the deepest possible head are data in every sheet, so only the few rows on
+    top are joined with the heads; the rest goes straight into the map-side aggregate.
+    """
+    deep = grid.where(F.col("row_index") > fv.MAX_HEADER_ROWS)
+    shallow = data_rows(grid.where(F.col("row_index") <= fv.MAX_HEADER_ROWS), heads)
+    cells = to_cells(deep).unionByName(to_cells(shallow))
     given = F.col("value").isNotNull()
     return (
         cells.groupBy(*SHEET_KEYS, "col_index")

@@ -87,21 +87,28 @@ def junk_rows(grid: DataFrame, tables: DataFrame) -> DataFrame:
     return data_rows(grid, tables, "first_name", "first_note").where(_is_junk())
 
 
-def _sample_evidence(grid: DataFrame, described: DataFrame, sample_rows: int) -> DataFrame:
-    """What the first kept rows of each sheet show per column.
+def _sample(grid: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """First n kept rows of each sheet.
 
-    The rank filter runs before the shuffle as well, so each task sends at most
-    sample_rows rows per sheet.
+    They lie within the head and n rows, unless junk sits among those. Only sheets where it
+    does are read further, so the rest of a sheet is neither joined nor shuffled.
     """
-    first_rows = Window.partitionBy(*SHEET_KEYS).orderBy("row_index")
-    sample = (
-        kept_rows(grid, described).select(*SHEET_KEYS, "row_index", "cells")
-        .withColumn("rank", F.row_number().over(first_rows))
-        .where(F.col("rank") <= sample_rows)
-    )
+    within = F.col("row_index") <= fv.MAX_HEADER_ROWS + n
+    marked = data_rows(grid.where(within), heads, "first_name", "first_note").select(
+        *SHEET_KEYS, "row_index", "cells", _is_junk().alias("junk"))
+    short = marked.where("junk").select(*SHEET_KEYS).distinct()
+    later = kept_rows(grid.where(~within).join(short, SHEET_KEYS, "left_semi"), heads)
+    kept = marked.where("NOT junk").drop("junk").unionByName(
+        later.select(*SHEET_KEYS, "row_index", "cells"))
+    first = Window.partitionBy(*SHEET_KEYS).orderBy("row_index")
+    return kept.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
+
+
+def _sample_evidence(grid: DataFrame, heads: DataFrame, sample_rows: int) -> DataFrame:
+    """What the first kept rows of each sheet show per column."""
     value = F.col("value")
     given = ~is_blank(value)
-    return to_cells(sample).groupBy(*SHEET_KEYS, "col_index").agg(
+    return to_cells(_sample(grid, heads, sample_rows)).groupBy(*SHEET_KEYS, "col_index").agg(
         F.bool_and(F.when(given, to_timestamp(value).isNotNull())).alias("parses"),
         F.bool_or(given & exceeds_exact_double(value)).alias("too_long"),
         F.bool_or(given & has_leading_zero(value)).alias("zero_led"),

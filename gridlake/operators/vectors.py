@@ -34,7 +34,7 @@ def nearest_for_each(
     vectors: DataFrame, queries: DataFrame, k: int = 5, on: list[str] | None = None,
     id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id",
     query_vec_col: str = "query_vec", exclude_self: bool = False,
-    max_broadcast: int = 20_000, shard_rows: int = 50_000, block_queries: int = 5_000,
+    max_broadcast: int = 10_000, shard_rows: int = 50_000, block_queries: int = 5_000,
 ) -> DataFrame:
     """k nearest vectors for every query; `on` lists metadata columns that must agree.
 

@@ -125,7 +125,7 @@ _LISTED_CTE = f"""listed AS (SELECT doc, string_agg({_LETTERS} || '=' || technic
 
 
 def _model(spark, sf):
-    return ty.infer(fx.orders_grid(spark, sf))
+    return ty.infer(fx.stored_grid(spark, sf))
 
 
 @query("c07_summary_chunks", f"""{fx.UP_TO_TYPES}, {_LISTED_CTE}

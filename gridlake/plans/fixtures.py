@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.plans.registry import spread, table
+from gridlake.sources.scratch import shared_dir
 
 ROWS_PER_DOCUMENT = 500
 HEADER = [
@@ -82,6 +83,13 @@ def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders_grid as ingest leaves it: written once, then read by every later step."""
+    path = shared_dir(spark, "grid")
+    orders_grid(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _sql_list(values: list[str | None]) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 

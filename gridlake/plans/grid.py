@@ -82,7 +82,7 @@ def g07(spark, sf):
 @query("g08_physical_types", f"""{fx.UP_TO_PHYS}
 SELECT 'doc_' || doc AS document_id, col_index, technical_name, physical_type, reason FROM phys""")
 def g08(spark, sf):
-    model = ty.infer(fx.orders_grid(spark, sf))
+    model = ty.infer(fx.stored_grid(spark, sf))
     return model.columns.select(
         "document_id", F.col("col_index").cast("bigint"), "technical_name", "physical_type", "reason")
 
@@ -97,7 +97,7 @@ kept_cells AS (SELECT doc, row_index, c AS col_index, cells[c] AS value FROM kep
 SELECT 'doc_' || doc AS document_id, technical_name, row_index, physical_type, value
 FROM kept_cells JOIN phys USING (doc, col_index) WHERE {FAILED_SQL}""")
 def g09(spark, sf):
-    model = ty.infer(fx.orders_grid(spark, sf))
+    model = ty.infer(fx.stored_grid(spark, sf))
     return ty.conversion_failures(model).drop("sheet_idx")
 
 
@@ -113,7 +113,7 @@ SELECT 'doc_' || doc AS document_id, col_index, physical_type, count(number) AS
   strftime(max(time), '%Y-%m-%d %H:%M:%S') AS last_time, count(text) AS texts, min(text) AS first_text
 FROM typed GROUP BY ALL""")
 def g09_values(spark, sf):
-    cells = ty.typed_cells(ty.infer(fx.orders_grid(spark, sf)))
+    cells = ty.typed_cells(ty.infer(fx.stored_grid(spark, sf)))
     stamp = "yyyy-MM-dd HH:mm:ss"
     return cells.groupBy(
         "document_id", F.col("col_index").cast("bigint").alias("col_index"), "physical_type"
@@ -127,7 +127,7 @@ def g09_values(spark, sf):
 @query("g10_junk_rows", f"""{fx.UP_TO_TYPES}, {fx.KEPT_CTE}
 SELECT 'doc_' || doc AS document_id, row_index, v AS first_value FROM first_cells WHERE {fx.JUNK_SQL}""")
 def g10(spark, sf):
-    model = ty.infer(fx.orders_grid(spark, sf))
+    model = ty.infer(fx.stored_grid(spark, sf))
     return ty.junk_rows(model.grid, model.tables).select(
         "document_id", "row_index", F.get("cells", F.lit(0)).alias("first_value"))
 
@@ -142,7 +142,7 @@ SELECT cells[1] AS order_id, try_cast(cells[2] AS DOUBLE) AS buyer, cells[3] AS
   'Orders' AS __sheet_name, row_index AS __row_index, 'A' || row_index || ':H' || row_index AS __range
 FROM kept JOIN phys p ON p.doc = kept.doc AND p.col_index = 5""")
 def g11(spark, sf):
-    frames = ty.typed_frames(ty.infer(fx.orders_grid(spark, sf)))
+    frames = ty.typed_frames(ty.infer(fx.stored_grid(spark, sf)))
     parts = []
     for frame in frames.values():
         kind = frame.schema["Created Time"].dataType.simpleString()
@@ -164,7 +164,7 @@ def g11(spark, sf):
 SELECT 't_doc_' || doc || '_0' AS table_name, count(*) AS n_columns,
        string_agg(technical_name, ',' ORDER BY col_index) AS column_list FROM names GROUP BY doc""")
 def g12(spark, sf):
-    sheets = ty.layouts(ty.infer(fx.orders_grid(spark, sf)))
+    sheets = ty.layouts(ty.infer(fx.stored_grid(spark, sf)))
     return sheets.select(
         ty.table_name(F.col("document_id"), F.col("sheet_idx")).alias("table_name"),
         F.size("layout").cast("bigint").alias("n_columns"),

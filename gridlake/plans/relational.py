@@ -227,7 +227,7 @@ SELECT {fx.sql_trim('upper(cells[7])')} AS priority, count(*) AS n_orders,
 FROM kept WHERE cells[7] IS NOT NULL GROUP BY 1 ORDER BY n_orders DESC, priority LIMIT 5""")
 def r20_sheets(spark, sf):
     """From cells to an answer: infer, type, group, sort, limit."""
-    frames = ty.typed_frames(ty.infer(fx.orders_grid(spark, sf)))
+    frames = ty.typed_frames(ty.infer(fx.stored_grid(spark, sf)))
     orders = rel.union_compatible(frames, next(iter(frames)), ["Priority", "Order Amount"])
     return (
         orders.where(F.col("Priority").isNotNull())
@@ -370,7 +370,7 @@ def r30(spark, sf):
 SELECT DISTINCT document_id, filename, 'Orders' AS sheet_name, row_index, 'A' || row_index || ':H' || row_index AS range
 FROM kept WHERE cells[3] = 'F' ORDER BY filename, sheet_name, row_index, range LIMIT 50""")
 def r31(spark, sf):
-    frames = ty.typed_frames(ty.infer(fx.orders_grid(spark, sf)))
+    frames = ty.typed_frames(ty.infer(fx.stored_grid(spark, sf)))
     wanted = ["Status", "__document_id", "__filename", "__sheet_name", "__row_index", "__range"]
     rows = rel.union_compatible(frames, next(iter(frames)), wanted)
     return rel.sources_of(rows.where(F.col("Status") == "F"))

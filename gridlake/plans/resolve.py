@@ -80,7 +80,7 @@ FROM phys p LEFT JOIN samples s USING (doc, col_index)""")
 def v02(spark, sf):
     from gridlake.operators import typed as ty
 
-    model = ty.infer(fx.orders_grid(spark, sf))
+    model = ty.infer(fx.stored_grid(spark, sf))
     text = ty.typed_cells(model).where("physical_type = 'VARCHAR' AND text IS NOT NULL")
     keys = ["document_id", "col_index"]
     # Distinct values first; a column above the limit is dropped before its values are listed.

@@ -190,7 +190,7 @@ def e13(spark, sf):
 
 
 def _table_store(spark, sf):
-    model = infer(fx.orders_grid(spark, sf))
+    model = infer(fx.stored_grid(spark, sf))
     return table_chunks(model.grid, model.tables, model.columns), model
 
 

@@ -153,7 +153,7 @@ SELECT 'doc_' || doc AS document_id, last_row - n_header_rows AS row_count, coun
 FROM facts JOIN phys USING (doc) WHERE doc % 4 = 1 GROUP BY doc, last_row, n_header_rows""")
 def s09(spark, sf):
     root = shared_dir(spark, "model")
-    store.save_model(infer(fx.orders_grid(spark, sf)), root)
+    store.save_model(infer(fx.stored_grid(spark, sf)), root)
     model = store.load_model(spark, root, "1")
     listed = model.columns.groupBy("document_id").agg(
         F.count("*").alias("n_columns"),
@@ -167,7 +167,7 @@ def s09(spark, sf):
 SELECT (doc % 4)::VARCHAR AS user_id, 'doc_' || doc AS document_id, 'Orders' AS sheet_name, last_row - n_header_rows AS row_count,
   'Order Amount' AS fourth_column FROM facts""")
 def s09_json(spark, sf):
-    exported = store.export_tables_json(infer(fx.orders_grid(spark, sf)))
+    exported = store.export_tables_json(infer(fx.stored_grid(spark, sf)))
     return exported.select(
         "user_id", "document_id", F.get_json_object("json", "$.sheet_name").alias("sheet_name"),
         F.get_json_object("json", "$.row_count").cast("bigint").alias("row_count"),

@@ -17,10 +17,12 @@ REPORT_COLUMNS = [
 
 def write_report(runs: DataFrame, root: str) -> None:
     """Metrics, per-tag results and all runs as JSON, and the runs as CSV with a header."""
+    runs = runs.persist()
     run_metrics(runs).write.mode("overwrite").json(f"{root}/metrics")
     results_by_tag(runs).write.mode("overwrite").json(f"{root}/by_tag")
     runs.write.mode("overwrite").json(f"{root}/results")
     runs.select(*REPORT_COLUMNS).write.mode("overwrite").option("header", True).csv(f"{root}/csv")
+    runs.unpersist()
 
 
 def export_conversations(

@@ -34,11 +34,17 @@ def extension_of(path):
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)\z", 1))
 
 
-def read_contents(contents: DataFrame, kind: str = "table") -> DataFrame:
-    """Rows of all files of a kind in (path, content), each by its extension's reader."""
+def read_contents(
+    contents: DataFrame, kind: str = "table", extensions: list[str] | None = None
+) -> DataFrame:
+    """Rows of all files of a kind in (path, content), each by its extension's reader.
+
+    Each reader reads the contents on its own; name the extensions that can occur to leave
+    the others out.
+    """
     readers = TABLE_READERS if kind == "table" else TEXT_READERS
     ext = extension_of(F.col("path"))
-    parts = [reader(contents.where(ext == e)) for e, reader in readers.items()]
+    parts = [readers[e](contents.where(ext == e)) for e in extensions or readers]
     return reduce(DataFrame.unionByName, parts)
 
 

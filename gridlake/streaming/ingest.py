@@ -17,7 +17,7 @@ from gridlake.streaming.jobs import new_files, run_each_batch
 
 def ingest_tables(
     spark: SparkSession, inbox: str, root: str, identify: Callable[[Column], dict[str, Column]],
-    glob: str = "*.csv", per_batch: int = 1000,
+    extension: str = "csv", per_batch: int = 1000,
 ) -> DataFrame:
     """Parse, infer and chunk files that are new since the last run; returns the chunk store.
 
@@ -29,7 +29,7 @@ def ingest_tables(
     def handle(files: DataFrame, number: int) -> None:
         session = files.sparkSession
         manifest = files.select("path", *[c.alias(n) for n, c in identify(F.col("path")).items()])
-        grid = as_grid(read_contents(files), manifest)
+        grid = as_grid(read_contents(files, extensions=[extension]), manifest)
         name = f"{number:012d}"
         write_batch(grid, f"{root}/grid", ["user_id"], batch=name)
         stored = session.read.parquet(f"{root}/grid/data/batch={name}").withColumn(
@@ -39,5 +39,6 @@ def ingest_tables(
         write_batch(rejected, f"{root}/rejected", batch=name)
         write_batch(chunks, f"{root}/chunks", ["user_id"], batch=name)
 
-    run_each_batch(new_files(spark, inbox, glob, per_batch), f"{root}/progress", handle)
+    files = new_files(spark, inbox, f"*.{extension}", per_batch)
+    run_each_batch(files, f"{root}/progress", handle)
     return read_store(spark, f"{root}/chunks")
