@@ -98,5 +98,6 @@ def as_json_value(c: Column, type_name: str) -> Column:
         return F.regexp_replace(
             F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000\z", "")
     if type_name == "binary":
-        return F.decode(c, F.lit("UTF-8"))
+        # Invalid bytes are left out: they turn into replacement marks, which go.
+        return F.translate(F.make_valid_utf8(c.cast("string")), "\ufffd", "")
     return c

@@ -40,6 +40,39 @@ def column_values(rows: DataFrame, names: DataFrame, wanted: list[str]) -> DataF
     return cells.join(chosen, [*SHEET_KEYS, "col_index"])
 
 
+def enumeration_lines(rows: DataFrame, names: DataFrame, wanted: list[str]) -> DataFrame:
+    """One text line per row: the value of one column, name=value for several, else all cells."""
+    if not wanted:
+        return format_rows(rows)
+    chosen = names.where(F.col("technical_name").isin(wanted)).groupBy(*SHEET_KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("col_index", "technical_name"))).alias("cols"))
+
+    def shown(c: Column) -> Column:
+        value = one_line(F.get("cells", c["col_index"] - 1))
+        return value if len(wanted) == 1 else F.concat(c["technical_name"], F.lit("="), value)
+
+    return rows.join(chosen, SHEET_KEYS).select(
+        *SHEET_KEYS, "row_index",
+        F.concat(F.lit("第"), F.col("row_index").cast("string"), F.lit("行: "),
+                 F.array_join(F.transform("cols", shown), " | ")).alias("line"))
+
+
+def enumeration_headers(rows: DataFrame, tables: DataFrame, wanted: list[str], label: str) -> DataFrame:
+    """Headline per sheet for enumeration_lines, with the number of rows listed."""
+    counts = rows.groupBy(*SHEET_KEYS).agg(F.count("*").cast("string").alias("n"))
+    about = tables.select(*SHEET_KEYS, "sheet_name", "table_id").join(counts, SHEET_KEYS)
+    where = F.concat(F.lit("工作表「"), "sheet_name", F.lit("」表 "), "table_id")
+    if not wanted:
+        text = F.concat(where, F.lit(" 整表 "), "n", F.lit(" 条数据行（已按原始顺序完整读取，非 top-k 抽样）："))
+    elif len(wanted) == 1:
+        text = F.concat(where, F.lit(f" 字段「{wanted[0]}」的{label}共 "), "n",
+                        F.lit(" 个值（按行顺序，含空值，未去重，非 top-k 抽样）："))
+    else:
+        text = F.concat(where, F.lit(f" 多字段{label}（{', '.join(wanted)}）共 "), "n",
+                        F.lit(" 行（按行级对应，非 top-k 抽样）："))
+    return about.select(*SHEET_KEYS, text.alias("headline"))
+
+
 def lookup_in_column(
     rows: DataFrame, names: DataFrame, requests: DataFrame, column: str
 ) -> DataFrame:

@@ -53,6 +53,34 @@ def a04(spark, sf):
     return _shown(ac.rows_between(_placed(spark, sf)[0], 530, 480))
 
 
+_CLEANED_SQL = "coalesce(" + fx.sql_trim(r"regexp_replace(cells[n.col_index], '[\r\n\t]+', ' ', 'g')") + ", '')"
+
+
+@query("a01_enumeration_lines", f"""{POSITION_CTE}
+SELECT document_id, row_index, '第' || row_index || '行: ' || string_agg(n.technical_name || '=' || {_CLEANED_SQL}, ' | ' ORDER BY n.col_index) AS line
+FROM placed JOIN names n USING (doc) WHERE n.technical_name IN ('Priority', 'Order Amount') GROUP BY document_id, row_index""")
+def a01_lines(spark, sf):
+    rows, names = _placed(spark, sf)
+    return ac.enumeration_lines(rows, names, ["Priority", "Order Amount"]).drop("sheet_idx")
+
+
+@query("a02_enumeration_headers", f"""{POSITION_CTE}
+SELECT document_id, '工作表「Orders」表 Orders#0 字段「Priority」的前25条共 ' || count(*) || ' 个值（按行顺序，含空值，未去重，非 top-k 抽样）：' AS headline
+FROM placed WHERE position <= 25 GROUP BY document_id""")
+def a02_headers(spark, sf):
+    grid = fx.orders_grid(spark, sf)
+    tables = table_summary(grid)
+    rows = ac.first_rows(ac.positioned(grid, tables), 25)
+    return ac.enumeration_headers(rows, tables, ["Priority"], "前25条").drop("sheet_idx")
+
+
+@query("a02_whole_row_lines", f"""{POSITION_CTE}
+SELECT document_id, row_index, row_index || ' | ' || array_to_string([coalesce({fx.sql_trim('x')}, '') FOR x IN cells], ' | ') AS line
+FROM placed""")
+def a02_lines(spark, sf):
+    return ac.enumeration_lines(*_placed(spark, sf), []).drop("sheet_idx")
+
+
 # Lookup requests: every customer asks for the sheet rows with its number.
 _REQUESTS_SQL = "requests AS (SELECT c_custkey AS request_id, ' ' || c_custkey || ' ' AS value FROM customer)"
 

@@ -97,7 +97,7 @@ def k06(spark, sf):
 SELECT turn, role, text, (SELECT count(*) FROM own) AS total FROM own ORDER BY turn LIMIT 4 OFFSET 2""")
 def k07(spark, sf):
     page, total = cv.history_page(table(spark, sf, "conversations"), 6, 2, 4)
-    return page.select("turn", "role", "text", F.lit(total.first()["total"]).alias("total"))
+    return page.select("turn", "role", "text", F.lit(total.first()["total"]).cast("bigint").alias("total"))
 
 
 @query("k08_last_messages", """SELECT conv_id, turn, role FROM conversations

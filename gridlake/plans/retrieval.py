@@ -222,7 +222,7 @@ def e15(spark, sf):
         (F.col("doc_id") % 14).cast("string").alias("user_id"))
     left, gone = ct.without_documents(line_chunks(spark, sf), doomed)
     return left.groupBy("collection").agg(F.count("*").alias("n_left")).withColumn(
-        "deleted", F.lit(gone.first()["deleted"]))
+        "deleted", F.lit(gone.first()["deleted"]).cast("bigint"))
 
 
 def _with_ids(chunks):
@@ -314,6 +314,29 @@ def e21(spark, sf):
         "query_id", "n", "document_id", "range", "filename", "row_index", "row_end", "column", "match_mode")
 
 
+@query("e21_structured_citations", f"""{fx.UP_TO_FACTS}, reads AS (SELECT o_custkey AS query_id, o_orderkey // 500 AS doc,
+  min(o_orderkey % 500 + 3) AS row_start, max(o_orderkey % 500 + 3) AS row_end FROM orders GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 'doc_' || doc) AS n FROM reads)
+SELECT query_id, n, 'doc_' || doc AS document_id, 'A' || row_start || ':H' || row_end AS range, row_start, row_end, 'A:H' AS column,
+  'structured' AS match_mode FROM placed WHERE n <= 5""")
+def e21_structured(spark, sf):
+    """Sheet rows that each customer's lookups read, cited through their tables."""
+    from gridlake.operators.grid import table_summary
+
+    tables = table_summary(fx.orders_grid(spark, sf))
+    place = F.col("o_orderkey") % 500 + 3
+    reads = table(spark, sf, "orders").groupBy(
+        F.col("o_custkey").alias("query_id"),
+        F.concat(F.lit("doc_"), F.floor(F.col("o_orderkey") / 500).cast("string")).alias("document_id"),
+    ).agg(F.min(place).alias("row_start"), F.max(place).alias("row_end"))
+    accesses = reads.select(
+        "*", F.lit("Orders").alias("sheet_name"), F.lit("Orders#0").alias("table_id"),
+        F.lit("table_structured_access").alias("chunk_type"), F.col("document_id").alias("rank"),
+        F.lit("f.csv").alias("filename"), F.lit(None).cast("string").alias("source"))
+    return ct.citations(ct.structured_citation(accesses, tables)).select(
+        "query_id", "n", "document_id", "range", "row_start", "row_end", "column", "match_mode")
+
+
 @query("e22_row_coverage", f"""{GROUP_ROWS_CTE}
 SELECT 'doc_' || doc AS document_id, sum(row_end - row_start + 1)::BIGINT AS covered_rows, count(*) AS n_groups
 FROM groups GROUP BY doc""")

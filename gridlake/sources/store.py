@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.operators.typed import SheetModel
+from gridlake.operators.vectors import dimension_check
 
 _LOG = "batch string, kind string, at bigint"
 
@@ -60,6 +61,27 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/data").parquet(*paths).drop("batch")
 
 
+def add_chunks(chunks: DataFrame, root: str, vec_col: str = "embedding") -> str:
+    """Append chunks with vectors, all or nothing.
+
+    The written batch is checked before it is published: every chunk has a vector, and the
+    vectors fit the dimension their collection already has.
+    """
+    spark = chunks.sparkSession
+    stored = read_store(spark, root) if published_batches(spark, root) else None
+
+    def check(written: DataFrame) -> None:
+        missing = written.where(F.col(vec_col).isNull() | (F.size(vec_col) <= 0))
+        if not missing.isEmpty():
+            raise ValueError("chunks without a vector")
+        known = written.limit(0) if stored is None else stored
+        unfit = dimension_check(known, written, vec_col).where("NOT compatible").take(5)
+        if unfit:
+            raise ValueError(f"vector dimension differs: {[r.asDict() for r in unfit]}")
+
+    return write_batch(chunks, root, ["collection"], check=check)
+
+
 def save_model(model: SheetModel, root: str) -> None:
     """Sheet model as three tables partitioned by user; loading prunes to one user."""
     owners = model.tables.select("document_id", "sheet_idx", "user_id")

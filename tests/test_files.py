@@ -173,6 +173,27 @@ def test_store_publishes_whole_batches(spark, tmp_path):
     assert store.read_store(spark, root).count() == 1
 
 
+def test_add_chunks_guards_vectors(spark, tmp_path):
+    root = str(tmp_path / "vectors")
+    schema = "id string, collection string, embedding array<double>"
+    store.add_chunks(spark.createDataFrame([("a", "c1", [1.0, 2.0])], schema), root)
+    store.add_chunks(spark.createDataFrame([("b", "c2", [1.0])], schema), root)
+    for bad in ([("x", "c1", [1.0])], [("x", "c1", None)], [("x", "c3", [1.0]), ("y", "c3", [1.0, 2.0])]):
+        with pytest.raises(ValueError):
+            store.add_chunks(spark.createDataFrame(bad, schema), root)
+    assert sorted(r["id"] for r in store.read_store(spark, root).collect()) == ["a", "b"]
+
+
+def test_json_safe_values(spark):
+    from gridlake.functions.values import as_json_value
+
+    df = spark.sql(
+        "SELECT CAST(1.50 AS DECIMAL(9,2)) d, DATE '2026-01-02' a, TIMESTAMP_NTZ '2026-01-02 03:04:05' t, "
+        "TIMESTAMP_NTZ '2026-01-02 03:04:05.25' u, X'61FF6263' b, 7 i")
+    row = df.select(*[as_json_value(F.col(n), t).alias(n) for n, t in df.dtypes]).first()
+    assert tuple(row) == (1.5, "2026-01-02", "2026-01-02T03:04:05", "2026-01-02T03:04:05.250000", "abc", 7)
+
+
 def test_reindex_refusals(spark):
     chunks = spark.createDataFrame(
         [("c1", "d1", "u1", f"d1_{i}", f"text {i}") for i in range(5)],
