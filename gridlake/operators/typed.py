@@ -190,7 +190,8 @@ def typed_frames(model: SheetModel, max_layouts: int = 1000, percent: str = "nul
     """One wide typed DataFrame per distinct layout, all sheets of that layout united.
 
     Only the distinct layouts come to the driver. Building a wide table is a projection of
-    the cells array: no pivot and no shuffle of the data.
+    the cells array: no pivot. With several layouts the rows are written once, partitioned
+    by layout, so that each frame reads its own rows only.
     """
     sheets = layouts(model)
     found = sheets.groupBy("layout_id").agg(F.any_value("layout").alias("layout")).limit(
@@ -199,7 +200,12 @@ def typed_frames(model: SheetModel, max_layouts: int = 1000, percent: str = "nul
         raise ValueError(
             f"more than {max_layouts} table layouts; narrow the grid or use typed_cells")
     rows = kept_rows(model.grid, model.tables, "col_count").join(
-        sheets.select(*SHEET_KEYS, "layout_id"), SHEET_KEYS)
+        sheets.select(*SHEET_KEYS, "layout_id"), SHEET_KEYS
+    ).drop("n_header_rows", "sheet_idx", "file_type")
+    if len(found) > 1:
+        path = shared_dir(rows.sparkSession, "layouts")
+        rows.write.partitionBy("layout_id").parquet(path)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     return {
         r["layout_id"]: typed_frame(
             rows.where(F.col("layout_id") == r["layout_id"]),

@@ -30,6 +30,43 @@ def nearest(
     return pool.withColumn("score", distance).orderBy("score", id_col).limit(k)
 
 
+def _meet(
+    vectors: DataFrame, queries: DataFrame, work, out: str, id_col: str, query_col: str,
+    max_broadcast: int, shard_rows: int, block_queries: int,
+) -> DataFrame:
+    """work(vector batch, queries) over all vectors and queries, in bounded pieces.
+
+    Few queries (counted first) are sent to all tasks and the vectors are not shuffled.
+    Otherwise vectors are cut into shards and queries into blocks, and each (shard, block)
+    is one bounded task.
+    """
+    if queries.limit(max_broadcast + 1).count() <= max_broadcast:
+        shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield work(pdf, shared.value)
+
+        return vectors.mapInPandas(run, out)
+    n_shards = max(1, -(-vectors.count() // shard_rows))
+    n_blocks = max(1, -(-queries.count() // block_queries))
+    left = vectors.withColumn(
+        "__shard", F.pmod(F.xxhash64(id_col), F.lit(n_shards))
+    ).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    right = queries.withColumn(
+        "__block", F.pmod(F.xxhash64(query_col), F.lit(n_blocks)).cast("int")
+    ).withColumn(
+        "__shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")))
+    return left.groupBy("__shard", "__block").cogroup(
+        right.groupBy("__shard", "__block")).applyInPandas(work, out)
+
+
+def _pair_schema(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str) -> str:
+    kind_v = vectors.schema[id_col].dataType.simpleString()
+    kind_q = queries.schema[query_col].dataType.simpleString()
+    return f"{query_col} {kind_q}, {id_col} {kind_v}, score double"
+
+
 def nearest_for_each(
     vectors: DataFrame, queries: DataFrame, k: int = 5, on: list[str] | None = None,
     id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id",
@@ -39,46 +76,48 @@ def nearest_for_each(
     """k nearest vectors for every query; `on` lists metadata columns that must agree.
 
     Distances are matrix products over Arrow batches, and a batch passes on only its own
-    k best per query, so no pair table exists. Few queries (counted first) are sent to all
-    tasks and the vectors are not shuffled. Otherwise vectors are cut into shards and
-    queries into blocks, and each (shard, block) is one bounded task.
+    k best per query, so no pair table exists.
     """
     on = on or []
-    kind_v = vectors.schema[id_col].dataType.simpleString()
-    kind_q = queries.schema[query_col].dataType.simpleString()
-    out = f"{query_col} {kind_q}, {id_col} {kind_v}, score double"
-    pool = vectors.select(id_col, vec_col, *on)
-    asked = queries.select(query_col, query_vec_col, *on)
-    n_queries = asked.limit(max_broadcast + 1).count()
 
     def best_of(pdf: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return _batch_best(
             pdf, q, k, on, id_col, vec_col, query_col, query_vec_col, exclude_self)
 
-    if n_queries <= max_broadcast:
-        shared = queries.sparkSession.sparkContext.broadcast(asked.toPandas())
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield best_of(pdf, shared.value)
-
-        partial = pool.mapInPandas(run, out)
-    else:
-        n_shards = max(1, -(-pool.count() // shard_rows))
-        n_blocks = max(1, -(-asked.count() // block_queries))
-        left = pool.withColumn(
-            "__shard", F.pmod(F.xxhash64(id_col), F.lit(n_shards))
-        ).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        right = asked.withColumn(
-            "__block", F.pmod(F.xxhash64(query_col), F.lit(n_blocks)).cast("int")
-        ).withColumn(
-            "__shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")))
-        partial = left.groupBy("__shard", "__block").cogroup(
-            right.groupBy("__shard", "__block")).applyInPandas(best_of, out)
+    partial = _meet(
+        vectors.select(id_col, vec_col, *on), queries.select(query_col, query_vec_col, *on),
+        best_of, _pair_schema(vectors, queries, id_col, query_col), id_col, query_col,
+        max_broadcast, shard_rows, block_queries)
     order = Window.partitionBy(query_col).orderBy("score", id_col)
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def cosine_for_each(
+    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+    query_col: str = "query_id", query_vec_col: str = "query_vec",
+    max_broadcast: int = 1_000, shard_rows: int = 10_000, block_queries: int = 500,
+) -> DataFrame:
+    """Cosine similarity of every query with every vector, 0.0 where a vector is all zeros."""
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        m = np.stack(rows.to_numpy()).astype(np.float64)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(length > 0, length, 1.0)
+
+    def work(pdf: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or q.empty:
+            return pd.DataFrame({query_col: [], id_col: [], "score": []})
+        scores = unit(q[query_vec_col]) @ unit(pdf[vec_col]).T
+        return pd.DataFrame({
+            query_col: np.repeat(q[query_col].to_numpy(), len(pdf)),
+            id_col: np.tile(pdf[id_col].to_numpy(), len(q)), "score": scores.ravel()})
+
+    return _meet(
+        vectors.select(id_col, vec_col), queries.select(query_col, query_vec_col), work,
+        _pair_schema(vectors, queries, id_col, query_col), id_col, query_col,
+        max_broadcast, shard_rows, block_queries)
+
+
 def _batch_best(
     pdf: pd.DataFrame, queries: pd.DataFrame, k: int, on: list[str], id_col: str, vec_col: str,
     query_col: str, query_vec_col: str, exclude_self: bool,

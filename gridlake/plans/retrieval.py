@@ -71,15 +71,11 @@ def e02(spark, sf):
 SELECT m.label::BIGINT AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 6) AS similarity
 FROM embeddings, means m""")
 def e03(spark, sf):
-    """One similarity per label mean and vector; the few means sit in an array on each row."""
-    means = _means(spark, sf)
-    listed = means.agg(F.collect_list(F.struct("label", "mean_vec")).alias("q")).first()["q"]
-    targets = F.array(*[
-        F.struct(F.lit(int(r["label"])).cast("bigint").alias("query_id"),
-                 F.array(*[F.lit(x) for x in r["mean_vec"]]).alias("v")) for r in listed])
-    return spread(table(spark, sf, "embeddings")).select(
-        "vec_id", "embedding", F.explode(targets).alias("q")).select(
-        "q.query_id", "vec_id", F.round(vf.cosine(F.col("embedding"), F.col("q.v")), 6).alias("similarity"))
+    """One similarity per label mean and vector."""
+    queries = _means(spark, sf).select(
+        F.col("label").cast("bigint").alias("query_id"), F.col("mean_vec").alias("query_vec"))
+    return vc.cosine_for_each(spread(table(spark, sf, "embeddings")), queries).select(
+        "query_id", "vec_id", F.round("score", 6).alias("similarity"))
 
 
 @query("e04_similar_texts")

@@ -54,12 +54,13 @@ def s01_lines(spark, sf):
     return _joined(read_large_delimited(spark, [root]), _doc_of_folder())
 
 
-@query("s02_tsv_scan", """SELECT 'u' || user_id AS document_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row_index,
-  event_id || '|' || event_type || '|' || props AS line FROM events""")
+@query("s02_tsv_scan", """SELECT 'u' || user_id || '_' || event_id // 5000 AS document_id,
+  row_number() OVER (PARTITION BY user_id, event_id // 5000 ORDER BY event_id) AS row_index, event_id || '|' || event_type || '|' || props AS line FROM events""")
 def s02(spark, sf):
     root = shared_dir(spark, "tsv")
     grid = table(spark, sf, "events").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("document_id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_"),
+                 F.floor(F.col("event_id") / 5000).cast("string")).alias("document_id"),
         F.col("event_id").alias("row_index"),
         F.array(F.col("event_id").cast("string"), "event_type", "props").alias("cells"))
     ff.write_csv_files(grid, 3, root, "\t")

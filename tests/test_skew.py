@@ -105,6 +105,22 @@ def test_knn_both_paths(spark, limit, on):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [100, 2])
+def test_cosine_both_paths(spark, limit):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(99, [0.0] * 4)]
+    queries = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(7)]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in vc.cosine_for_each(
+        spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"),
+        spark.createDataFrame(queries, "query_id bigint, query_vec array<double>"),
+        max_broadcast=limit, shard_rows=9, block_queries=3).collect()}
+    assert len(got) == len(vectors) * len(queries)
+    for qi, q in queries:
+        for vi, v in vectors:
+            scale = np.linalg.norm(q) * np.linalg.norm(v)
+            assert got[(qi, vi)] == pytest.approx(np.dot(q, v) / scale if scale else 0.0)
+
+
 def test_single_query_pushes_top_k(spark):
     v = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"))
     near = vc.nearest(v, [10.2], 3, F.col("vec_id") != 10)
