@@ -130,6 +130,12 @@ def strip_quantities(question: Column) -> Column:
     return F.regexp_replace(text, fv.RANGE_PATTERN, "")
 
 
+def column_text(operation: Column, question: Column) -> Column:
+    """The part of a question that may name columns: row counts of slices are left out."""
+    return F.when(operation.isin("first_n", "last_n", "range"), strip_quantities(question)).otherwise(
+        question)
+
+
 def mentioned_columns(questions: DataFrame, names: DataFrame, text: str) -> DataFrame:
     """Columns of the question's own table that the question names, in column order.
 

@@ -23,8 +23,10 @@ def pair_turns(messages: DataFrame) -> DataFrame:
     return asked.join(answered, ["conv_id", "turn"])
 
 
-def conversation_stats(pairs: DataFrame, keys: list[str], as_of: Column, time: str = "ts") -> DataFrame:
-    """Total, those of the as_of day, mean words per side, first and last time."""
+def conversation_stats(
+    pairs: DataFrame, keys: list[str], as_of: Column, time: str = "ts", order: str = "turn"
+) -> DataFrame:
+    """Total, those of the as_of day, mean words per side, times of the first and last record."""
     def mean_words(side: str) -> Column:
         return F.round(F.sum(word_count(F.col(side))) / F.count("*"), 2)
 
@@ -33,7 +35,8 @@ def conversation_stats(pairs: DataFrame, keys: list[str], as_of: Column, time: s
         F.count_if(F.to_date(time) == F.to_date(as_of)).alias("today_conversation"),
         mean_words("user").alias("avg_user_words"),
         mean_words("assistant").alias("avg_assistant_words"),
-        F.min(time).alias("first_conversation"), F.max(time).alias("last_conversation"))
+        F.min_by(time, order).alias("first_conversation"),
+        F.max_by(time, order).alias("last_conversation"))
 
 
 def with_keyword(pairs: DataFrame, keyword: str) -> DataFrame:

@@ -146,19 +146,22 @@ def a07(spark, sf):
 
 _BARE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(question, '前\s*\d+\s*(?:条|行|个)', '', 'g'),
   '(?:最后|后)\s*\d+\s*(?:条|行|个)', '', 'g'), '第\s*\d+\s*(?:[到~至\-—]|~)\s*\d+\s*(?:条|行|个)?', '', 'g')"""
-MENTIONED_CTE = f"""{fx.UP_TO_FACTS}, {fx.NAMES_CTE}, {fx.QUESTIONS_CTE},
+_TEXT_SQL = f"(CASE WHEN operation IN ('first_n', 'last_n', 'range') THEN {_BARE_SQL} ELSE question END)"
+MENTIONED_CTE = f"""{fx.UP_TO_FACTS}, {fx.NAMES_CTE}, {fx.QUESTIONS_CTE}, {INTENT_CTE},
 shown AS (SELECT *, CASE WHEN length(description) BETWEEN 1 AND 40
     AND NOT regexp_matches(description, '[.。;；:]\\s*$') THEN description ELSE technical_name END AS display_name
   FROM names),
-mentioned AS (SELECT request_id, doc, question, col_index, technical_name FROM questions JOIN shown USING (doc)
-  WHERE contains({_BARE_SQL}, technical_name) OR contains({_BARE_SQL}, display_name)
-     OR (length(description) > 0 AND contains({_BARE_SQL}, description)))"""
+mentioned AS (SELECT request_id, i.doc, question, col_index, technical_name
+  FROM (SELECT *, {_TEXT_SQL} AS said FROM intents) i JOIN shown ON shown.doc = i.doc
+  WHERE contains(said, technical_name) OR contains(said, display_name)
+     OR (length(description) > 0 AND contains(said, description)))"""
 
 
 def _mentioned(spark, sf):
-    questions = fx.question_log(spark, sf).withColumn("bare", ac.strip_quantities(F.col("question")))
+    questions = qs.access_intent(fx.question_log(spark, sf), "question").withColumn(
+        "said", ac.column_text(F.col("operation"), F.col("question")))
     names = column_names(table_summary(fx.orders_grid(spark, sf)))
-    return ac.mentioned_columns(questions, names, "bare")
+    return ac.mentioned_columns(questions, names, "said")
 
 
 @query("a08_mentioned_columns", f"{MENTIONED_CTE} SELECT request_id, col_index, technical_name FROM mentioned")
@@ -188,7 +191,7 @@ def a10(spark, sf):
         "lookup_value IS NOT NULL").select("request_id", "lookup_value")
 
 
-@query("a11_lookup_answers", f"""{TARGETS_CTE}, {INTENT_CTE},
+@query("a11_lookup_answers", f"""{TARGETS_CTE},
 placed AS (SELECT g.doc, g.row_index, g.cells, f.last_row - f.n_header_rows AS row_count
   FROM grid g JOIN facts f USING (doc) WHERE g.row_index > f.n_header_rows),
 asked AS (SELECT i.request_id, i.doc, i.lookup_value AS value, f.last_row - f.n_header_rows AS row_count
@@ -221,8 +224,7 @@ def a11(spark, sf):
     tables = table_summary(grid)
     names = column_names(tables)
     questions = qs.access_intent(fx.question_log(spark, sf), "question").where("lookup_value IS NOT NULL")
-    bare = questions.withColumn("bare", ac.strip_quantities(F.col("question")))
-    targets = ac.lookup_targets(ac.mentioned_columns(bare, names, "bare"), "question")
+    targets = ac.lookup_targets(ac.mentioned_columns(questions, names, "question"), "question")
     requests = questions.select(
         "request_id", "document_id", "sheet_idx", F.col("lookup_value").alias("value")
     ).join(targets, "request_id", "left")

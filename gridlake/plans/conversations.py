@@ -31,7 +31,7 @@ _FMT = "yyyy-MM-dd HH:mm:ss"
 @query("k01_conversation_stats", f"""WITH {PAIRS_CTE}
 SELECT conv_id, count(*) AS total_conversation, count(*) FILTER (ts::DATE = DATE '2024-01-03') AS today_conversation,
   round(sum({_words('"user"')}) / count(*), 2) AS avg_user_words, round(sum({_words('assistant')}) / count(*), 2) AS avg_assistant_words,
-  strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_conversation, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_conversation
+  strftime(arg_min(ts, turn), '%Y-%m-%d %H:%M:%S') AS first_conversation, strftime(arg_max(ts, turn), '%Y-%m-%d %H:%M:%S') AS last_conversation
 FROM pairs GROUP BY conv_id""")
 def k01(spark, sf):
     stats = cv.conversation_stats(_pairs(spark, sf), ["conv_id"], F.lit("2024-01-03"))
