@@ -15,6 +15,7 @@ from gridlake.functions import fixed_values as fv
 from gridlake.functions.a1 import cell_range
 from gridlake.functions.text import is_blank, word_count
 from gridlake.functions.values import is_date_like, is_long_id, is_numeric
+from gridlake.operators.ordered import exact_quantiles, running_count
 
 SHEET_KEYS = ["document_id", "sheet_idx"]
 SHEET_META = ["user_id", "filename", "file_type", "sheet_name"]
@@ -193,8 +194,6 @@ def sheet_extract(grid: DataFrame, tables: DataFrame, edge: int = 10, whole: int
 
 def describe_numbers(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean, std, min, interpolated quartiles and max of a numeric column per key."""
-    from gridlake.operators.ordered import exact_quantiles
-
     v = F.col(value)
     moments = cells.groupBy(*keys).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
@@ -211,8 +210,6 @@ def text_tables(lines: DataFrame, keys: list[str], span: int = 1000) -> DataFram
     `span` lines so that one huge text is spread over many tasks, and span totals carry the
     count across. Returns keys, run, first_line, last_line, n_lines.
     """
-    from gridlake.operators.ordered import running_count
-
     marked = F.col("line").contains("，") | F.col("line").contains("|")
     like = marked & (word_count(F.col("line")) >= 3)
     candidates = lines.where(like).select(*keys, "line_no", "line")
