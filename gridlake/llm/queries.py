@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridlake.sources.scratch import shared_dir
 
@@ -43,3 +44,53 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return count_tokens(table(spark, sf_dir, "documents"),
                         public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def _op10_sql() -> str:
+    from gridlake.llm.mixing import PLAN_SQL
+
+    return PLAN_SQL + "SELECT doc_id, size, source_size, target, copies * size AS taken FROM c"
+
+
+@query("op10_mix_sources", _op10_sql())
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.mixing import plan_copies
+
+    planned = plan_copies(table(spark, sf_dir, "documents"))
+    return planned.selectExpr(
+        "doc_id", "mix_size AS size", "mix_source_size AS source_size", "mix_target AS target",
+        "mix_copies * mix_size AS taken")
+
+
+@query("op1_decontaminate", r"""
+WITH it AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT item_id, w[i:i + 12] AS p, len(w[i:i + 12]) AS n
+  FROM it, range(1, greatest(2, len(w) - 11)) r(i) WHERE len(w) > 0),
+d AS (
+  SELECT rowid AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT r, i, n, w[i:i + n - 1] AS p FROM d, sizes, range(1, len(w) - n + 2) t(i) WHERE len(w) >= n),
+hit AS (SELECT dw.r, dw.i, dw.n, win.item_id FROM dw JOIN win ON dw.p = win.p),
+words AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM hit, range(0, n) t(k) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS names FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN its USING (r)
+""")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.decontamination import contaminated, find_spans, n_hit
+
+    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col("hit_words").alias("n_words"), n_hit().alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "hit_items").cast("binary"), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"))
