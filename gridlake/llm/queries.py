@@ -105,3 +105,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select(
         "doc_id", in_fold(F.col("doc_id"), 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
