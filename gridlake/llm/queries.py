@@ -112,3 +112,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.main_text import extract
 
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
