@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.sources.scratch import shared_dir
+
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for every id in links (a, b).
@@ -13,6 +15,9 @@ def components(links: DataFrame) -> DataFrame:
     smallest neighbour, then its smaller neighbours do. Minima are combined before the
     shuffle and the links are joined to them, so a hub's links may be split over tasks.
     """
+    spark = links.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
     edges = (links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
              .distinct().checkpoint())
     state = None

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -77,6 +77,16 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[first], np.concatenate(([0], np.cumsum(np.bincount(of[first], minlength=n))))
 
 
+def set_keys(hashes: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+    return [xxhash.xxh3_128_digest(hashes[lo:hi].tobytes()) if hi > lo else None
+            for lo, hi in zip(starts.tolist(), starts[1:].tolist())]
+
+
+def node_of(key: bytes) -> int:
+    """A number for a set in the candidate graph; should two sets share one, both are candidates."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 class SizeClasses:
     """Intervals of set sizes such that linked sets lie in one or in two next to each other."""
 
@@ -114,28 +124,21 @@ class SizeClasses:
         return [np.concatenate(f).view(np.int64) for f in found]
 
 
-def combine(nodes: list[int], signatures: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per set: the signatures for which it stands, and the sets on which it hangs.
+def combine(nodes: np.ndarray, signatures: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, positions of the sets that stand for them, links as rows of two nodes).
 
-    Of the sets of a batch that share a signature the smallest stands for it, so however
-    many like sets there are, a signature leaves a batch once.
+    Of the sets of a batch that share a signature the smallest stands for it and the others
+    hang on it, so however many like sets there are, a signature leaves a batch once.
     """
-    sizes = np.array([len(s) for s in signatures], np.int64)
-    if not sizes.sum():
-        return signatures, signatures
-    flat, row = np.concatenate(signatures), np.repeat(np.arange(len(nodes)), sizes)
-    node = np.array(nodes, np.int64)[row]
-    order = np.lexsort((node, flat))
+    flat = np.concatenate([np.zeros(0, np.int64), *signatures])
+    row = np.repeat(np.arange(len(nodes)), [len(s) for s in signatures])
+    order = np.lexsort((nodes[row], flat))
+    flat, row = flat[order], row[order]
     first = np.ones(len(order), bool)
-    first[1:] = flat[order][1:] != flat[order][:-1]
+    first[1:] = flat[1:] != flat[:-1]
     lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    below = node[order][lead]
-    keep = np.sort(order[first])
-    cuts = np.searchsorted(row[keep], np.arange(len(nodes) + 1))
-    stands = [flat[keep[lo:hi]] for lo, hi in zip(cuts, cuts[1:])]
-    hung = np.unique(np.stack([row[order][~first], below[~first]], 1), axis=0)
-    cuts = np.searchsorted(hung[:, 0], np.arange(len(nodes) + 1))
-    return stands, [hung[lo:hi, 1] for lo, hi in zip(cuts, cuts[1:])]
+    hung = np.stack([nodes[row[~first]], nodes[row[lead[~first]]]], 1)
+    return flat[first], row[first], np.unique(hung, axis=0)
 
 
 class Node:
@@ -249,41 +252,61 @@ def near_duplicates(
     spark = docs.sparkSession
     classes = SizeClasses(percent)
 
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def describe(batches):
-        seen = set()
         for batch in by_bytes(batches):
             hashes, starts = shingle_sets(batch.column(1), words)
-            keys = [xxhash.xxh3_128_digest(hashes[lo:hi].tobytes()) if hi > lo else None
-                    for lo, hi in zip(starts.tolist(), starts[1:].tolist())]
-            fresh = []
+            keys = set_keys(hashes, starts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array([None if k is None else node_of(k) for k in keys], pa.int64())],
+                ["doc_id", "n_shingles", "key", "node"])
+
+    def sign(batches):
+        seen: set[bytes] = set()
+        for batch in by_bytes(batches):
+            hashes, starts = shingle_sets(batch.column(1), words)
+            keys, fresh = set_keys(hashes, starts), []
             for i, key in enumerate(keys):
                 if key is not None and key not in seen:
                     seen.add(key)
                     fresh.append(i)
-            nodes = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
-            own, hangs = combine([nodes[i] for i in fresh], classes.signatures(hashes, starts, np.array(fresh, np.int64)))
-            signed, hung = dict(zip(fresh, own)), dict(zip(fresh, hangs))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(keys, pa.binary()),
-                pa.array(nodes, pa.int64()),
-                pa.array([signed.get(i) for i in range(batch.num_rows)], pa.list_(pa.int64())),
-                pa.array([hung.get(i) for i in range(batch.num_rows)], pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "key", "node", "signatures", "hangs"])
+            nodes = np.array([node_of(keys[i]) for i in fresh], np.int64)
+            signatures, at, hung = combine(nodes, classes.signatures(hashes, starts, np.array(fresh, np.int64)))
+            dealt = (signatures.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(dealt, kind="stable")
+            cuts = np.searchsorted(dealt[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            rows = [order[cuts[b]:cuts[b + 1]] for b in used]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int64()), pa.array([signatures[r].tobytes() for r in rows], pa.binary()),
+                 pa.array([nodes[at[r]].tobytes() for r in rows], pa.binary()),
+                 pa.array([hung.tobytes() if i == 0 else b"" for i in range(len(rows))], pa.binary())],
+                ["bucket", "signatures", "nodes", "hung"])
+
+    def hang(table: pa.Table) -> pa.Table:
+        """Sets that share a signature hang on the smallest of them."""
+        signatures, nodes, hung = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("signatures", "nodes", "hung"))
+        order = np.lexsort((nodes, signatures))
+        signatures, nodes = signatures[order], nodes[order]
+        first = np.ones(len(order), bool)
+        first[1:] = signatures[1:] != signatures[:-1]
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        pairs = np.unique(np.concatenate([np.stack([nodes[~first], nodes[lead[~first]]], 1), hung.reshape(-1, 2)]), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     folder = shared_dir(spark, "ngram-sets")
     texts_of = docs.select(F.col(id_col).cast(LongType()).alias("doc_id"), F.col(text_col).alias("text"))
-    texts_of.mapInArrow(
-        describe, "doc_id long, n_shingles long, key binary, node long, signatures array<long>, hangs array<long>").write.parquet(folder)
+    texts_of.mapInArrow(describe, "doc_id long, n_shingles long, key binary, node long").write.parquet(folder)
     sets = spark.read.parquet(folder)
-    linkable = sets.where("key is not null and doc_id is not null")
-    by_class = linkable.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node"),
-                                           F.min("n_shingles").alias("n_shingles"))
-
-    # sets that share a signature hang on the smallest of them
-    signed = linkable.select(F.explode("signatures").alias("signature"), "node")
-    smallest = F.min("node").over(Window.partitionBy("signature"))
-    hung = signed.select(F.col("node").alias("a"), smallest.alias("b")).where("a <> b").union(
-        linkable.select(F.col("node").alias("a"), F.explode("hangs").alias("b")))
+    by_class = sets.where("key is not null and doc_id is not null").groupBy("key").agg(
+        F.min("doc_id").alias("class_id"), F.min("node").alias("node"), F.min("n_shingles").alias("n_shingles"))
+    signed = texts_of.where("doc_id is not null").mapInArrow(
+        sign, "bucket long, signatures binary, nodes binary, hung binary")
+    hung = signed.groupBy("bucket").applyInArrow(hang, "a long, b long")
     clusters = components(hung)
 
     member = by_class.join(clusters, by_class["node"] == clusters["id"]).select(
@@ -299,8 +322,8 @@ def near_duplicates(
         for batch in by_bytes(batches):
             hashes, starts = shingle_sets(batch.column(1), words)
             data = [hashes[lo:hi].tobytes() for lo, hi in zip(starts.tolist(), starts[1:].tolist())]
-            own = [xxhash.xxh3_128_digest(d) for d in data]
-            keep = pa.array([a == b for a, b in zip(own, batch.column(2).to_pylist())], pa.bool_())
+            same = [a == b for a, b in zip(set_keys(hashes, starts), batch.column(2).to_pylist())]
+            keep = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(3), pa.array(data, pa.binary())], ["class_id", "meets", "grams"]).filter(keep)
 
