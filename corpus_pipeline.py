@@ -1,15 +1,77 @@
-"""Raw documents to packed token ids, in stages."""
+"""Raw documents to packed token ids, in stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
+the last return the columns of documents. Rows with null texts or ids pass every stage by
+its operator's rules; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridlake.llm import decontamination, mixing, ngram_join, quality, token_files
+from gridlake.sources.scratch import shared_dir
+
+#: Documents below this probability of label 1 go.
+QUALITY_LEAST = 0.3
+#: Near duplicates share at least so many percent of their 5-word shingles.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; labels of fold 0 are not learned from."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold=0)
+    return quality.score(docs, model, "__quality").where(F.col("__quality") >= QUALITY_LEAST).drop("__quality")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one of the smallest id. Rows without id stay."""
+    found = ngram_join.near_duplicates(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
+    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(heads, "doc_id", "left_semi")
+    # of rows that repeat an id one stays; minima are combined before the shuffle
+    one = kept.groupBy("doc_id").agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("row"))
+    return one.select("row.*").union(docs.where("doc_id is null"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in benchmark passages."""
+    found = decontamination.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~decontamination.contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated or left out so that sources come near their target weights."""
+    return mixing.mix(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    folder = shared_dir(spark, "pipeline-tokens")
+    token_files.write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257, end_id=2)
+    return token_files.read_token_files(spark, folder)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources", mix_sources),
+    ("token-ID output", token_output),
+]
 
-STAGES: list = []
+#: The classifier, the prefix-tree join and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's rows are written as Parquet and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        folder = shared_dir(spark, f"pipeline-stage-{number}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
