@@ -27,6 +27,8 @@ UNSAFE = (r"[\x00-\x08\x0e-\x1f\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}
           r"\x{202f}\x{205f}\x{3000}\x{feff}]|<\|")
 PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 BREAK = "\x01"
+SPACES = " \t\n\r\f\v"
+MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][,.;:!?]$")
 
 
 def load(path: str):
@@ -111,26 +113,36 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        # white space alone ends a text, and a piece without white space before it starts
+        # one; next to another piece they would join it
+        found: list = [None] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if p[:1] in SPACES and p.strip(SPACES)]
+        for i in set(range(len(pieces))).difference(joined):
+            found[i] = self._whole(pieces[i]).tobytes()
+        ids, counts = encode_joined(self.tokenizer, [pieces[i] for i in joined])
+        raw, ends = ids.tobytes(), np.cumsum(counts) * 4
+        for i, hi, n in zip(joined, ends.tolist(), (counts * 4).tolist()):
+            found[i] = raw[hi - n:hi]
+        return found
+
     def _known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, counts) of distinct pieces."""
         found = [self.kept.get(p) for p in pieces]
         missing = [i for i, f in enumerate(found) if f is None]
         if missing:
-            # white space alone ends a text; next to another piece it would join it
-            alone = [i for i in missing if not pieces[i].strip(" \t\n\r\f\v")]
-            rest = [i for i in missing if pieces[i].strip(" \t\n\r\f\v")]
-            if len(self.kept) + len(missing) > KEPT_PIECES:
-                self.kept = {}
-            # a piece that does not start with white space must not follow another one
-            apart = [i for i in rest if pieces[i][0] not in " \t\n\r\f\v"]
-            joined = [i for i in rest if pieces[i][0] in " \t\n\r\f\v"]
-            for i in alone + apart:
-                found[i] = self._whole(pieces[i]).tobytes()
-            ids, counts = encode_joined(self.tokenizer, [pieces[i] for i in joined])
-            raw, ends = ids.tobytes(), np.cumsum(counts) * 4
-            for i, hi, n in zip(joined, ends.tolist(), (counts * 4).tolist()):
-                found[i] = raw[hi - n:hi]
-            self.kept.update((pieces[i], found[i]) for i in missing[:KEPT_PIECES] if len(pieces[i]) <= KEPT_BYTES)
+            # a mark after a letter is a token run of its own, so words share their encoding
+            cut = {i: pieces[i][:-1] for i in missing if MARKED.search(pieces[i])}
+            new = list(dict.fromkeys([cut.get(i, pieces[i]) for i in missing] + [pieces[i][-1] for i in cut]))
+            new = [p for p in new if p not in self.kept]
+            if len(self.kept) + len(new) > KEPT_PIECES:
+                self.kept, new = {}, list(dict.fromkeys(new + [q for i in cut for q in (cut[i], pieces[i][-1])]))
+            fresh = dict(zip(new, self._encode(new)))
+            for i in missing:
+                stem, mark = cut.get(i, pieces[i]), pieces[i][-1:] if i in cut else ""
+                got = fresh[stem] if stem in fresh else self.kept[stem]
+                found[i] = got + (fresh[mark] if mark in fresh else self.kept[mark]) if mark else got
+            self.kept.update((p, fresh[p]) for p in new[:KEPT_PIECES] if len(p) <= KEPT_BYTES)
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), dtype=np.uint32), np.cumsum(counts) - counts, counts
 

@@ -141,15 +141,15 @@ def shard_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shard_starts(spark: SparkSession, folder: str) -> DataFrame:
-    """path, first: how many ids all shards before hold. One row per shard."""
+    """ordinal, first: how many ids all shards before hold. One row per shard."""
     def number(field: str):
         at = HEAD.fields[field][1]
         digits = [F.hex(F.substring("content", at + i + 1, 1)) for i in reversed(range(8))]
         return F.conv(F.concat(*digits), 16, 10).cast("long")
 
-    heads = shard_files(spark, folder).select("path", number("ordinal").alias("ordinal"), number("ids").alias("ids"))
+    heads = shard_files(spark, folder).select(number("ordinal").alias("ordinal"), number("ids").alias("ids"))
     before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return heads.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    return heads.select("ordinal", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +157,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            for first, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for content in batch.column(0):
                 shard = Shard(content.as_py())
                 crcs = []
                 for lo in range(0, len(shard.doc_ids), 512):
@@ -166,12 +166,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     cuts = (shard.starts[lo:hi + 1] - shard.starts[lo]).tolist()
                     crcs += [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(crcs), shard.head["ordinal"]), pa.int64()),
                     pa.array(shard.doc_ids, pa.int64(), mask=shard.nulls),
-                    pa.array(shard.starts[:-1] + first, pa.int64()),
+                    pa.array(shard.starts[:-1], pa.int64()),
                     pa.array(np.diff(shard.starts), pa.int64()),
-                    pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    pa.array(crcs, pa.int64())], ["ordinal", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    files = shard_files(spark, folder).select("path", "content")
-    return (
-        files.join(shard_starts(spark, folder), "path").select("first", "content")
-        .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    rows = shard_files(spark, folder).select("content").mapInArrow(
+        read, "ordinal long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(shard_starts(spark, folder), "ordinal").select(
+        "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
