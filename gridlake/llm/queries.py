@@ -119,3 +119,23 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_vector_pairs", """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+       WHERE e IS NOT NULL AND len(e) > 0 AND NOT list_contains(list_transform(e, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)
+         AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+      ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS seen FROM v UNION
+      SELECT r.id, p.b FROM r JOIN p ON p.a = r.seen),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+c AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id JOIN c ON c.id = v.vec_id
+""")
+def op5_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.vector_pairs import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
