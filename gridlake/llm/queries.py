@@ -139,3 +139,10 @@ def op5_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.vector_pairs import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_katz_scores")
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.katz import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
