@@ -146,3 +146,11 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.katz import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op8_remove_repeats")
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
