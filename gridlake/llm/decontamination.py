@@ -11,6 +11,7 @@ step for all of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,7 @@ class Searcher:
         self.classes = [LengthClass([patterns[i] for i in c], c) for c in classes.values()]
 
     def search(self, data: np.ndarray):
-        found = [c.search(data) for c in self.classes]
+        found = [c.search(data) for c in self.classes] or [(np.zeros(0, np.int64),) * 3]
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
@@ -194,42 +195,23 @@ def find_spans(
     schema, place = df.schema, own.index(text_col)
     sc = docs.sparkSession.sparkContext
 
-    def pass_over(shared):
+    def pass_over(shared, name):
         def run(batches):
             for batch in by_bytes(batches, text_col):
-                if shared.id not in _searchers:
+                if name not in _searchers:  # one block's tables per worker
                     _searchers.clear()
                     patterns, owners = shared.value
-                    _searchers[shared.id] = Searcher(patterns), owners
-                searcher, owners = _searchers[shared.id]
+                    _searchers[name] = Searcher(patterns), owners
+                searcher, owners = _searchers[name]
                 yield hit_columns(batch, place, searcher, owners)
         return run
 
-    blocks = list(_broadcasts(sc, items, item_id_col, item_text_col))
-    for block in blocks or [_Shared(sc.broadcast(([], [])))]:
-        df = df.mapInArrow(pass_over(block), schema)
+    shared = [sc.broadcast(block) for block in pattern_blocks(items, item_id_col, item_text_col)]
+    for block in shared or [sc.broadcast(([], []))]:
+        df = df.mapInArrow(pass_over(block, uuid4().hex), schema)
     return df
 
 
-class _Shared:
-    """A broadcast whose value workers do not keep beside the tables made from it."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id() if broadcast._jbroadcast else 0
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
-
-def _broadcasts(sc, items, id_col, text_col):
-    for block in pattern_blocks(items, id_col, text_col):
-        yield _Shared(sc.broadcast(block))
-
-
 def hit_columns(batch: pa.RecordBatch, place: int, searcher: Searcher, owners: list[list[str]]) -> pa.RecordBatch:
     """The batch with its three hit columns brought up to date."""
     n = batch.num_rows
