@@ -54,7 +54,6 @@ COLUMN_ALIASES = {
 VALUE_ALIASES = {"金眼": "golden eye", "金眼物流": "golden eye"}
 
 # --- fixed values: limits ---
-TYPE_SAMPLE_ROWS = 50
 MAX_HEADER_ROWS = 4
 ROW_GROUP_SIZE = 8
 SUMMARY_DESCRIBED_COLUMNS = 12

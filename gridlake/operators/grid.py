@@ -104,8 +104,19 @@ def to_cells(rows: DataFrame, *keep: str) -> DataFrame:
     return cells.withColumn("col_index", F.col("pos") + 1).drop("pos")
 
 
-def column_evidence(grid: DataFrame, heads: DataFrame) -> DataFrame:
-    """Logical type and last row of each column of data rows, in one aggregate.
+def column_evidence(cells: DataFrame, *more: Column) -> DataFrame:
+    """Logical type and last row of each column, and further aggregates, in one pass."""
+    given = F.col("value").isNotNull()
+    found = cells.groupBy(*SHEET_KEYS, "col_index").agg(
+        F.bool_and(F.when(given, is_numeric(F.col("value")))).alias("all_numeric"),
+        F.bool_and(F.when(given, is_date_like(F.col("value")))).alias("all_dates"),
+        F.max("row_index").alias("last_row"), *more)
+    kind = F.when(F.col("all_numeric"), "numeric").when(F.col("all_dates"), "date").otherwise("text")
+    return found.withColumn("data_type", kind).drop("all_numeric", "all_dates")
+
+
+def column_types(grid: DataFrame, heads: DataFrame) -> DataFrame:
+    """numeric, date or text per column; one deviating value makes a column text.
 
     Rows past the deepest possible head are data in every sheet, so only the few rows on
     top are joined with the heads; the rest goes straight into the map-side aggregate.
@@ -113,25 +124,7 @@ def column_evidence(grid: DataFrame, heads: DataFrame) -> DataFrame:
     deep = grid.where(F.col("row_index") > fv.MAX_HEADER_ROWS)
     shallow = data_rows(grid.where(F.col("row_index") <= fv.MAX_HEADER_ROWS), heads)
     cells = to_cells(deep).unionByName(to_cells(shallow))
-    given = F.col("value").isNotNull()
-    return (
-        cells.groupBy(*SHEET_KEYS, "col_index")
-        .agg(
-            F.bool_and(F.when(given, is_numeric(F.col("value")))).alias("all_numeric"),
-            F.bool_and(F.when(given, is_date_like(F.col("value")))).alias("all_dates"),
-            F.max("row_index").alias("last_row"),
-        )
-        .select(
-            *SHEET_KEYS, "col_index", "last_row",
-            F.when(F.col("all_numeric"), "numeric").when(F.col("all_dates"), "date")
-            .otherwise("text").alias("data_type"),
-        )
-    )
-
-
-def column_types(grid: DataFrame, heads: DataFrame) -> DataFrame:
-    """numeric, date or text per column; one deviating value makes a column text."""
-    return column_evidence(grid, heads).drop("last_row")
+    return column_evidence(cells).drop("last_row")
 
 
 def name_at(at: Column) -> Column:
@@ -157,14 +150,6 @@ def column_names(tables: DataFrame, *keep: str) -> DataFrame:
         F.when(shown, note).otherwise(name_at(at)).alias("display_name"), *keep)
 
 
-def describe_columns(grid: DataFrame, tables: DataFrame) -> DataFrame:
-    """Column descriptors: names, description and logical type."""
-    types = column_types(grid, tables)
-    return column_names(tables).join(
-        types, [*SHEET_KEYS, "col_index"], "left"
-    ).withColumn("data_type", F.coalesce("data_type", F.lit("text")))
-
-
 def lost_columns(raw: DataFrame, tables: DataFrame) -> DataFrame:
     """Documents whose inferred width is under half of the raw width.
 

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlake.functions import fixed_values as fv
 from gridlake.functions.a1 import cell_range
 from gridlake.functions.digest import combine_digests, row_digest
 from gridlake.functions.text import is_blank, trim_ws
 from gridlake.functions.values import (
-    exceeds_exact_double, has_leading_zero, is_identifier_name, to_number, to_timestamp,
+    exceeds_exact_double, has_leading_zero, is_date_like, is_identifier_name, to_number,
+    to_timestamp,
 )
 from gridlake.operators.grid import (
     SHEET_KEYS, column_evidence, column_names, data_rows, name_at, note_at, sheet_heads,
@@ -31,27 +31,26 @@ class SheetModel:
     columns: DataFrame
 
 
-def infer(
-    grid: DataFrame, sample_rows: int = fv.TYPE_SAMPLE_ROWS, settle: bool = True
-) -> SheetModel:
-    """Summary, descriptors and physical types of all sheets.
+def infer(grid: DataFrame, settle: bool = True) -> SheetModel:
+    """Summary, descriptors and physical types of all sheets, from all their rows.
 
-    Three reads of the grid: its top rows, then all data rows for logical types and shape,
-    then the first kept rows of each sheet. The per-sheet rows are written and read back,
-    so neither these steps nor the users of a model repeat each other; settle=False stays
-    lazy.
+    Two reads of the grid: its top rows, then all data rows in one aggregate. The per-sheet
+    rows are written and read back, so users of a model do not repeat these steps;
+    settle=False stays lazy.
     """
-    keep = _written if settle else (lambda df: df)
-    heads = keep(sheet_heads(grid).withColumns({
-        "first_name": name_at(F.lit(0)), "first_note": note_at(F.lit(0))}))
-    columns = F.array_sort(F.collect_list(F.struct("col_index", "data_type")))
-    shape = column_evidence(grid, heads).groupBy(*SHEET_KEYS).agg(
-        F.transform(columns, lambda c: c["data_type"]).alias("types"),
-        F.max("last_row").alias("last_row"), F.max("col_index").alias("width"))
-    evidence = F.array_sort(F.collect_list(F.struct("col_index", "parses", "too_long", "zero_led")))
-    seen = _sample_evidence(grid, heads, sample_rows).groupBy(*SHEET_KEYS).agg(
-        evidence.alias("seen"))
-    tables = keep(summarize(heads, shape).join(seen, SHEET_KEYS, "left"))
+    heads = sheet_heads(grid).withColumns({
+        "first_name": name_at(F.lit(0)), "first_note": note_at(F.lit(0))})
+    columns = F.array_sort(F.collect_list(F.struct(
+        "col_index", "data_type", "parses", "too_long", "zero_led")))
+    shape = _column_facts(grid, heads).groupBy(*SHEET_KEYS).agg(
+        columns.alias("seen"), F.max("last_row").alias("last_row"),
+        F.max("col_index").alias("width"),
+    ).withColumn("types", F.transform("seen", lambda c: c["data_type"]))
+    tables = summarize(heads, shape)
+    return _model(grid, _written(tables) if settle else tables)
+
+
+def _model(grid: DataFrame, tables: DataFrame) -> SheetModel:
     return SheetModel(grid, tables, _typed_columns(tables))
 
 
@@ -88,32 +87,17 @@ def junk_rows(grid: DataFrame, tables: DataFrame) -> DataFrame:
     return data_rows(grid, tables, "first_name", "first_note").where(_is_junk())
 
 
-def _sample(grid: DataFrame, heads: DataFrame, n: int) -> DataFrame:
-    """First n kept rows of each sheet.
-
-    They lie within the head and n rows, unless junk sits among those. Only sheets where it
-    does are read further, so the rest of a sheet is neither joined nor shuffled.
-    """
-    within = F.col("row_index") <= fv.MAX_HEADER_ROWS + n
-    marked = data_rows(grid.where(within), heads, "first_name", "first_note").select(
-        *SHEET_KEYS, "row_index", "cells", _is_junk().alias("junk"))
-    short = marked.where("junk").select(*SHEET_KEYS).distinct()
-    later = kept_rows(grid.where(~within).join(short, SHEET_KEYS, "left_semi"), heads)
-    kept = marked.where("NOT junk").drop("junk").unionByName(
-        later.select(*SHEET_KEYS, "row_index", "cells"))
-    first = Window.partitionBy(*SHEET_KEYS).orderBy("row_index")
-    return kept.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
-
-
-def _sample_evidence(grid: DataFrame, heads: DataFrame, sample_rows: int) -> DataFrame:
-    """What the first kept rows of each sheet show per column."""
+def _column_facts(grid: DataFrame, heads: DataFrame) -> DataFrame:
+    """Logical type and last row of each column over its data rows, and what its kept rows
+    show about the physical type, in one aggregate that combines on the map side."""
+    rows = data_rows(grid, heads, "first_name", "first_note").withColumn("kept", ~_is_junk())
     value = F.col("value")
-    given = ~is_blank(value)
-    return to_cells(_sample(grid, heads, sample_rows)).groupBy(*SHEET_KEYS, "col_index").agg(
-        F.bool_and(F.when(given, to_timestamp(value).isNotNull())).alias("parses"),
-        F.bool_or(given & exceeds_exact_double(value)).alias("too_long"),
-        F.bool_or(given & has_leading_zero(value)).alias("zero_led"),
-    )
+    told = F.col("kept") & ~is_blank(value)
+    return column_evidence(
+        to_cells(rows, "kept"),
+        F.bool_and(F.when(told & is_date_like(value), to_timestamp(value).isNotNull())).alias("parses"),
+        F.bool_or(told & exceeds_exact_double(value)).alias("too_long"),
+        F.bool_or(told & has_leading_zero(value)).alias("zero_led"))
 
 
 def _typed_columns(tables: DataFrame) -> DataFrame:
@@ -187,31 +171,28 @@ def layouts(model: SheetModel) -> DataFrame:
     return listed.withColumn("layout_id", F.left(F.sha2(F.to_json("layout"), 256), F.lit(16)))
 
 
-def typed_frames(model: SheetModel, max_layouts: int = 1000, percent: str = "null") -> dict[str, DataFrame]:
+def typed_frames(model: SheetModel, percent: str = "null") -> dict[str, DataFrame]:
     """One wide typed DataFrame per distinct layout, all sheets of that layout united.
 
-    Only the distinct layouts come to the driver. Building a wide table is a projection of
-    the cells array: no pivot. With several layouts the rows are written once, partitioned
-    by layout, so that each frame reads its own rows only.
+    Only the distinct layouts come to the driver, as a schema must be known there. A frame
+    is a projection of the cells array behind a semi-join with its own sheets: no pivot, no
+    copy of the rows. Keys are in order, so callers that pick a layout pick the same one.
     """
     sheets = layouts(model)
-    found = sheets.groupBy("layout_id").agg(F.any_value("layout").alias("layout")).limit(
-        max_layouts + 1).collect()
-    if len(found) > max_layouts:
-        raise ValueError(
-            f"more than {max_layouts} table layouts; narrow the grid or use typed_cells")
-    rows = kept_rows(model.grid, model.tables, "col_count").join(
-        sheets.select(*SHEET_KEYS, "layout_id"), SHEET_KEYS
-    ).drop("n_header_rows", "sheet_idx", "file_type")
-    if len(found) > 1:
-        path = shared_dir(rows.sparkSession, "layouts")
-        rows.write.partitionBy("layout_id").parquet(path)
-        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    found = sorted(
+        sheets.groupBy("layout_id").agg(F.any_value("layout").alias("layout")).toLocalIterator(),
+        key=lambda r: r["layout_id"])
+    rows = kept_rows(model.grid, model.tables, "col_count").drop("n_header_rows", "file_type")
+
+    def own(layout_id: str) -> DataFrame:
+        if len(found) == 1:
+            return rows
+        return rows.join(sheets.where(F.col("layout_id") == layout_id), SHEET_KEYS, "left_semi")
+
     return {
         r["layout_id"]: typed_frame(
-            rows.where(F.col("layout_id") == r["layout_id"]),
-            [(c["col_index"], c["column_name"], c["physical_type"]) for c in r["layout"]],
-            percent)
+            own(r["layout_id"]),
+            [(c["col_index"], c["column_name"], c["physical_type"]) for c in r["layout"]], percent)
         for r in found
     }
 
@@ -245,25 +226,21 @@ def table_name(document_id: Column, sheet_idx: Column) -> Column:
 
 def publish_views(
     spark: SparkSession, model: SheetModel, user_id: str, document_id: str | None = None,
-    max_tables: int = 1000,
 ) -> list[str]:
     """Temp views of one user's tables, one per sheet; the scope filter reaches the scan."""
-    grid = tenant_scope(model.grid, user_id, document_id)
-    scoped = infer(grid)
-    sheets = (
-        layouts(scoped)
-        .withColumn("view", table_name(F.col("document_id"), F.col("sheet_idx")))
-        .limit(max_tables + 1).collect())
-    if len(sheets) > max_tables:
-        raise ValueError(f"more than {max_tables} tables in scope; pass document_id")
-    rows = kept_rows(grid, scoped.tables, "col_count")
-    for sheet in sheets:
+    grid, tables = (tenant_scope(df, user_id, document_id) for df in (model.grid, model.tables))
+    scoped = _model(grid, tables)
+    rows = kept_rows(grid, tables, "col_count")
+    names = []
+    for sheet in layouts(scoped).withColumn(
+            "view", table_name(F.col("document_id"), F.col("sheet_idx"))).orderBy("view").toLocalIterator():
         own = rows.where(
             (F.col("document_id") == sheet["document_id"])
             & (F.col("sheet_idx") == sheet["sheet_idx"]))
         layout = [(c["col_index"], c["column_name"], c["physical_type"]) for c in sheet["layout"]]
         typed_frame(own, layout).createOrReplaceTempView(sheet["view"])
-    return [sheet["view"] for sheet in sheets]
+        names.append(sheet["view"])
+    return names
 
 
 def fingerprints(grid: DataFrame) -> DataFrame:

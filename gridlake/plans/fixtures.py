@@ -150,10 +150,14 @@ def sql_is_date(x: str) -> str:
 
 
 def sql_letter(n: str) -> str:
-    return (f"CASE WHEN {n} <= 26 THEN chr((64 + {n})::INT) "
-            f"WHEN {n} <= 702 THEN chr((65 + ({n} - 27) // 26)::INT) || chr((65 + ({n} - 27) % 26)::INT) "
-            f"ELSE chr((65 + ({n} - 703) // 676)::INT) || chr((65 + ({n} - 703) // 26 % 26)::INT) "
-            f"|| chr((65 + ({n} - 703) % 26)::INT) END")
+    """One branch per number of letters; the first number of k letters is 1 + 26 + ... + 26^(k-1)."""
+    def branch(k: int) -> str:
+        first = sum(26 ** i for i in range(k))
+        return " || ".join(
+            f"chr((65 + ({n} - {first}) // {26 ** i} % 26)::INT)" for i in reversed(range(k)))
+
+    cases = " ".join(f"WHEN {n} < {sum(26 ** i for i in range(k + 1))} THEN {branch(k)}" for k in range(1, 9))
+    return f"CASE {cases} END"
 
 
 def sql_parse_date(x: str) -> str:
@@ -208,16 +212,13 @@ KEPT_CTE = f"""first_cells AS (
   JOIN types t ON t.doc = g.doc AND t.col_index = 1 WHERE g.row_index > f.n_header_rows),
 kept AS (SELECT doc, user_id, document_id, filename, row_index, cells FROM first_cells WHERE NOT {JUNK_SQL})"""
 
-PHYS_CTE = f"""sample AS (
-  SELECT doc, row_index, cells FROM kept
-  QUALIFY row_number() OVER (PARTITION BY doc ORDER BY row_index) <= 50),
-sampled AS (SELECT doc, c AS col_index, cells[c] AS value FROM sample, range(1, 9) AS r(c)),
+PHYS_CTE = f"""told AS (SELECT doc, c AS col_index, cells[c] AS value FROM kept, range(1, 9) AS r(c)),
 seen AS (
   SELECT doc, col_index,
     bool_and({sql_parse_date('value')} IS NOT NULL) FILTER ({sql_trim('value')} <> '') AS parses,
     bool_or(abs(try_cast(regexp_replace(value, '[,%]', '', 'g') AS DOUBLE)) > 9007199254740992) AS too_long,
     bool_or(regexp_matches({sql_trim('value')}, '^0[0-9]+$')) AS zero_led
-  FROM sampled GROUP BY doc, col_index),
+  FROM told GROUP BY doc, col_index),
 reasons AS (
   SELECT n.doc, n.col_index, n.technical_name, n.description, t.data_type,
     CASE WHEN t.data_type = 'date' AND coalesce(s.parses, true) THEN 'representation:date'

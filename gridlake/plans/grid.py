@@ -1,5 +1,6 @@
 """Queries on sheet structure and typed tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.a1 import cell_range, col_letter
@@ -46,7 +47,7 @@ def g04(spark, sf):
 
 
 @query("g05_a1_notation", f"""
-SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {fx.sql_letter('(l_partkey % 18278 + 1)')} AS letters,
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {fx.sql_letter('(l_partkey * l_suppkey * l_linenumber + 1)')} AS letters,
        'A' || l_orderkey || ':' || {fx.sql_letter('(l_suppkey % 18278 + 1)')} || l_orderkey AS row_range
 FROM lineitem""")
 def g05(spark, sf):
@@ -55,7 +56,7 @@ def g05(spark, sf):
     row = F.col("l_orderkey")
     return items.select(
         "l_orderkey", F.col("l_linenumber").cast("bigint"),
-        col_letter(F.col("l_partkey") % 18278 + 1).alias("letters"),
+        col_letter(F.col("l_partkey") * F.col("l_suppkey") * F.col("l_linenumber") + 1).alias("letters"),
         cell_range(F.lit(1), row, width, row).alias("row_range"))
 
 
@@ -92,6 +93,46 @@ FAILED_SQL = f"""value IS NOT NULL AND ((physical_type = 'DOUBLE' AND
    OR (physical_type = 'TIMESTAMP' AND {fx.sql_parse_date('value')} IS NULL))"""
 
 
+# A sheet of supplier numbers per 2000 line items: short numbers at first, then leading
+# zeros, numbers past exact doubles, or dates that do not parse, all far below the head.
+_LATE = 150
+LATE_CTE = f"""late_cells AS (SELECT l_orderkey // 2000 AS doc, row_number() OVER (
+    PARTITION BY l_orderkey // 2000 ORDER BY l_orderkey, l_linenumber) AS place, l_suppkey FROM lineitem),
+late AS (SELECT *, doc % 2 = 0 AND place > {_LATE} AS odd FROM late_cells)"""
+
+
+def _late_grid(spark, sf):
+    doc = F.floor(F.col("l_orderkey") / 2000)
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("l_orderkey", "l_linenumber"))
+    number = F.col("l_suppkey").cast("string")
+    odd = (F.col("doc") % 2 == 0) & (F.col("place") > _LATE)
+    items = table(spark, sf, "lineitem").withColumn("doc", doc).withColumn("place", place)
+    data = items.select("doc", (F.col("place") + 1).cast("bigint").alias("row_index"), F.array(
+        number, F.when(odd, F.concat(F.lit("0"), number)).otherwise(number),
+        F.when(odd, F.concat(F.lit("9876543210123"), F.lpad(number, 6, "0"))).otherwise(number),
+        F.when(odd, F.lit("2020-13-45")).otherwise(F.lit("2020-12-05"))).alias("cells"))
+    head = items.select("doc").distinct().select(
+        "doc", F.lit(1).cast("bigint").alias("row_index"),
+        F.array(*[F.lit(c) for c in ("Amount", "Zero", "Long", "Day")]).alias("cells"))
+    return data.unionByName(head).select(
+        F.lit("1").alias("user_id"), F.concat(F.lit("late_"), F.col("doc").cast("string")).alias("document_id"),
+        F.lit("late.csv").alias("filename"), F.lit("csv").alias("file_type"), F.lit(0).alias("sheet_idx"),
+        F.lit("Late").alias("sheet_name"), "row_index", "cells")
+
+
+@query("g08_late_evidence", f"""WITH {LATE_CTE}, late_docs AS (SELECT doc, bool_or(odd) AS o FROM late GROUP BY doc)
+SELECT 'late_' || doc AS document_id, c.name AS technical_name,
+  CASE c.name WHEN 'Amount' THEN 'DOUBLE' WHEN 'Day' THEN CASE WHEN o THEN 'VARCHAR' ELSE 'TIMESTAMP' END
+    ELSE CASE WHEN o THEN 'VARCHAR' ELSE 'DOUBLE' END END AS physical_type,
+  CASE WHEN NOT o OR c.name = 'Amount' THEN CASE c.name WHEN 'Day' THEN 'representation:date' ELSE 'numeric-measure' END
+    ELSE c.reason END AS reason
+FROM late_docs, (VALUES ('Amount', ''), ('Zero', 'leading-zero'), ('Long', 'long-number-precision'), ('Day', 'date-unparseable')) AS c(name, reason)""")
+def g08_late(spark, sf):
+    """What decides a type may come after any number of plain rows."""
+    return ty.infer(_late_grid(spark, sf)).columns.select(
+        "document_id", "technical_name", "physical_type", "reason")
+
+
 @query("g09_conversion_failures", f"""{fx.UP_TO_PHYS},
 kept_cells AS (SELECT doc, row_index, c AS col_index, cells[c] AS value FROM kept, range(1, 9) AS r(c))
 SELECT 'doc_' || doc AS document_id, technical_name, row_index, physical_type, value
@@ -171,6 +212,18 @@ def g12(spark, sf):
         F.array_join(F.transform("layout", lambda c: c["column_name"]), ",").alias("column_list"))
 
 
+@query("g12_published_views", f"""{fx.UP_TO_PHYS},
+counted AS (SELECT doc, count(*) AS n_rows, round(sum(try_cast(replace(cells[4], ',', '') AS DOUBLE)), 2) AS amount,
+  max(cells[1]) AS last_order FROM kept WHERE user_id = '3' GROUP BY doc)
+SELECT 't_doc_' || doc || '_0' AS table_name, n_rows, amount, last_order FROM counted""")
+def g12_views(spark, sf):
+    """Every view of one user, asked in SQL."""
+    views = ty.publish_views(spark, ty.infer(fx.stored_grid(spark, sf)), "3")
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{v}' AS table_name, count(*) AS n_rows, round(sum(`Order Amount`), 2) AS amount, "
+        f"max(`Order ID`) AS last_order FROM {v}" for v in views))
+
+
 def _sql_digest(parts):
     sealed = " || ".join(
         f"coalesce(length({p})::VARCHAR || ':' || {p}, '-')" for p in parts)
@@ -228,19 +281,22 @@ def g15(spark, sf):
     return stats.select("doc", "n", *[F.round(c, 4).alias(c) for c in names])
 
 
-@query("g15_whole_table_profile", """
-WITH v AS (SELECT unnest(['l_quantity', 'l_extendedprice']) AS column_name,
-                  unnest([l_quantity, l_extendedprice]) AS v FROM lineitem)
-SELECT column_name, count(v) AS n, round(avg(v), 4) AS mean, round(min(v), 4) AS min,
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("g15_whole_table_profile", f"""
+WITH v AS (SELECT unnest({_NUMERIC}) AS column_name,
+                  unnest([{', '.join(c + '::DOUBLE' for c in _NUMERIC)}]) AS v FROM lineitem)
+SELECT column_name, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
   round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50,
   round(quantile_cont(v, 0.75), 4) AS q75, round(max(v), 4) AS max FROM v GROUP BY column_name""")
 def g15_whole(spark, sf):
     values = table(spark, sf, "lineitem").select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v"))
-        for c in ("l_quantity", "l_extendedprice")])).alias("p")).select("p.*")
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"))
+        for c in _NUMERIC])).alias("p")).select("p.*")
     stats = g.describe_numbers(values, ["column_name"], "v")
     return stats.select("column_name", "n", *[
-        F.round(c, 4).alias(c) for c in ["mean", "min", "q25", "q50", "q75", "max"]])
+        F.round(c, 4).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
 @query("g15_sheet_extract", f"""{fx.UP_TO_FACTS}
