@@ -50,7 +50,13 @@ def recursive_chunks(text: str, size: int, overlap: int, separators: list[str])
 
 
 def sentence_chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, chunk) cut at the last sentence end in reach, else at white space."""
+    """(start, end, chunk) cut at the last sentence end in reach, else at white space.
+
+    A text within the size is one chunk as it is; pieces of longer ones are stripped.
+    """
+    if len(text) <= size:
+        yield 0, len(text), text
+        return
     start = 0
     while start < len(text):
         stop = min(start + size, len(text))

@@ -215,14 +215,13 @@ def table_chunks(grid: DataFrame, tables: DataFrame, columns: DataFrame) -> Data
     )
 
 
-def build_context(hits: DataFrame, query: str, rank: str, k: int = 20) -> DataFrame:
-    """Context text per query from its first k hits, in rank order."""
+def build_context(hits: DataFrame, query: str, rank: str) -> DataFrame:
+    """Context text per query from all the hits it is given, in rank order."""
     block = F.concat(
         F.lit("[来源："), F.coalesce("filename", "source", F.lit("未知来源")), F.lit("]:\n"),
         "content", F.lit("\n"))
     return (
-        hits.where(F.col(rank) <= k)
-        .groupBy(query)
+        hits.groupBy(query)
         .agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct(F.col(rank), block.alias("b")))),
             lambda x: x["b"]), "\n---\n").alias("context")))
@@ -268,7 +267,3 @@ def chat_messages(system: Column, history: Column, question: Column) -> Column:
 def answer_line(columns: list[str]) -> Column:
     """One result row as text, NULL as blank."""
     return F.array_join(F.array(*[one_line(F.col(c).cast("string")) for c in columns]), " | ")
-
-
-def answer_header(columns: list[str]) -> str:
-    return " | ".join(columns)

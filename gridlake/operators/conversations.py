@@ -10,17 +10,23 @@ from gridlake.functions.text import word_count
 from gridlake.operators.ordered import running_sum
 
 
-def pair_turns(messages: DataFrame) -> DataFrame:
+def pair_turns(messages: DataFrame, span: int = 10000) -> DataFrame:
     """A user message and the assistant message right after it as one record.
 
-    Turns are numbered without gaps, so the next message is an equi-join on turn + 1 and
-    a very long conversation spreads over all tasks.
+    Turns may have gaps. The next message is found inside spans of the turn; a span's last
+    message takes the first one of the next span in use, so a very long conversation spreads
+    over all tasks.
     """
-    asked = messages.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("user"))
-    answered = messages.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant"))
-    return asked.join(answered, ["conv_id", "turn"])
+    spanned = messages.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / span).alias("__span"))
+    inside = Window.partitionBy("conv_id", "__span").orderBy("turn")
+    message = F.struct("role", "text")
+    heads = spanned.groupBy("conv_id", "__span").agg(F.min(F.struct("turn", "role", "text")).alias("head"))
+    spans = Window.partitionBy("conv_id").orderBy("__span")
+    after = heads.select("conv_id", "__span", F.lead(F.struct("head.role", "head.text")).over(spans).alias("after"))
+    followed = spanned.withColumn("next", F.lead(message).over(inside)).join(after, ["conv_id", "__span"])
+    return followed.withColumn("next", F.coalesce("next", "after")).where(
+        (F.col("role") == "user") & (F.col("next.role") == "assistant")
+    ).select("conv_id", "turn", F.col("text").alias("user"), F.col("next.text").alias("assistant"))
 
 
 def conversation_stats(

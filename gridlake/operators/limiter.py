@@ -37,7 +37,8 @@ def failure_counts(
     """Failures of the key within the window up to and with each event, and whether blocked.
 
     A failure exactly one window old no longer counts. With `success`, a success clears the
-    key's failures before it.
+    key's failures before it. Events of the same time follow the column `tie`; without one
+    they all count for each other.
     """
     slotted = time_slots(events, time, window_seconds, slot_seconds).withColumn(
         "__fail", failure.cast("int"))
@@ -48,9 +49,16 @@ def failure_counts(
             Window.unboundedPreceding, Window.currentRow)
         slotted = slotted.withColumn("__epoch", F.sum(success.cast("int")).over(upto))
         group = [*group, "__epoch"]
+    reach = -(window_seconds * MICROS - 1)
     recent = Window.partitionBy(*group).orderBy("__micros").rangeBetween(
-        -(window_seconds * MICROS - 1), Window.currentRow)
-    counted = slotted.withColumn("failures", F.sum("__fail").over(recent).cast("bigint"))
+        reach, -1 if tie else Window.currentRow)
+    failures = F.sum("__fail").over(recent)
+    if tie:
+        # events of the same time count up to this one, in their order
+        same = Window.partitionBy(*group, "__micros").orderBy(tie).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        failures = F.coalesce(failures, F.lit(0)) + F.sum("__fail").over(same)
+    counted = slotted.withColumn("failures", failures.cast("bigint"))
     return (
         counted.where("__own")
         .withColumn("blocked", F.col("failures") >= max_failures)

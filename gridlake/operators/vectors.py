@@ -22,25 +22,53 @@ def nearest(
 ) -> DataFrame:
     """k nearest vectors to one query among those that pass the metadata filter.
 
-    The filter runs first; order and limit become a per-task top-k with a small merge.
+    Missing vectors and those of another length never rank; search_guard tells beforehand
+    whether a collection has any. The filter runs first; order and limit become a per-task
+    top-k with a small merge.
     """
     pool = vectors if where is None else vectors.where(where)
     target = F.array(*[F.lit(float(x)) for x in query])
     distance = F.round(squared_distance(F.col(vec_col), target), DISTANCE_DIGITS)
-    return pool.withColumn("score", distance).orderBy("score", id_col).limit(k)
+    return pool.where(F.size(vec_col) == len(query)).withColumn("score", distance).orderBy(
+        F.asc_nulls_last("score"), id_col).limit(k)
+
+
+def search_guard(stored: DataFrame, queries: DataFrame, vec_col: str = "embedding",
+                 query_vec_col: str = "query_vec") -> DataFrame:
+    """Per collection that queries ask: its dimension, theirs, and whether search may run.
+
+    An empty collection may be searched and gives nothing; missing vectors do not count.
+    """
+    asked = queries.select("collection", F.col(query_vec_col).alias(vec_col))
+    held = stored.where(F.size(vec_col) > 0)
+    return dimension_check(held, asked, vec_col).withColumnsRenamed(
+        {"new_dim": "query_dim", "compatible": "searchable"})
+
+
+def checked(stored: DataFrame, queries: DataFrame, vec_col: str = "embedding",
+            query_vec_col: str = "query_vec") -> DataFrame:
+    """The queries; running them fails if a collection they ask has another dimension."""
+    guard = search_guard(stored, queries, vec_col, query_vec_col)
+    text = F.concat(
+        F.lit("collection "), "collection", F.lit(" holds vectors of "), F.col("existing_dim").cast("string"),
+        F.lit(" numbers, the query has "), F.col("query_dim").cast("string"))
+    ok = guard.select("collection", F.when(F.col("searchable"), F.lit(True)).otherwise(
+        F.raise_error(text).cast("boolean")).alias("__ok"))
+    return queries.join(ok, "collection").where("__ok").drop("__ok")
 
 
 def _meet(
-    vectors: DataFrame, queries: DataFrame, work, out: str, id_col: str, query_col: str,
-    max_broadcast: int, shard_rows: int, block_queries: int,
+    vectors: DataFrame, queries: DataFrame, work, out: str, on: list[str], id_col: str,
+    query_col: str, query_vec_col: str, max_broadcast_bytes: int, shard_rows: int, block_queries: int,
 ) -> DataFrame:
     """work(vector batch, queries) over all vectors and queries, in bounded pieces.
 
-    Few queries (counted first) are sent to all tasks and the vectors are not shuffled.
-    Otherwise vectors are cut into shards and queries into blocks, and each (shard, block)
-    is one bounded task.
+    Queries of few bytes (counted first) are sent to all tasks and the vectors are not
+    shuffled. Otherwise vectors are cut into shards and queries into blocks, and each
+    (shard, block) is one bounded task; rows meet only where the columns in `on` agree.
     """
-    if queries.limit(max_broadcast + 1).count() <= max_broadcast:
+    n, numbers = queries.agg(F.count("*"), F.sum(F.size(query_vec_col))).first()
+    if 8 * ((numbers or 0) + n * (2 + len(on))) <= max_broadcast_bytes:
         shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +77,7 @@ def _meet(
 
         return vectors.mapInPandas(run, out)
     n_shards = max(1, -(-vectors.count() // shard_rows))
-    n_blocks = max(1, -(-queries.count() // block_queries))
+    n_blocks = max(1, -(-n // block_queries))
     left = vectors.withColumn(
         "__shard", F.pmod(F.xxhash64(id_col), F.lit(n_shards))
     ).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -57,8 +85,8 @@ def _meet(
         "__block", F.pmod(F.xxhash64(query_col), F.lit(n_blocks)).cast("int")
     ).withColumn(
         "__shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")))
-    return left.groupBy("__shard", "__block").cogroup(
-        right.groupBy("__shard", "__block")).applyInPandas(work, out)
+    keys = [*on, "__shard", "__block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, out)
 
 
 def _pair_schema(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str) -> str:
@@ -71,11 +99,11 @@ def nearest_for_each(
     vectors: DataFrame, queries: DataFrame, k: int = 5, on: list[str] | None = None,
     id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id",
     query_vec_col: str = "query_vec", exclude_self: bool = False,
-    max_broadcast: int = 10_000, shard_rows: int = 50_000, block_queries: int = 5_000,
+    max_broadcast_bytes: int = 64 << 20, shard_rows: int = 50_000, block_queries: int = 5_000,
 ) -> DataFrame:
     """k nearest vectors for every query; `on` lists metadata columns that must agree.
 
-    Distances are matrix products over Arrow batches, and a batch passes on only its own
+    Missing vectors and those of another length than the query never rank. Distances are matrix products over Arrow batches, and a batch passes on only its own
     k best per query, so no pair table exists.
     """
     on = on or []
@@ -86,18 +114,23 @@ def nearest_for_each(
 
     partial = _meet(
         vectors.select(id_col, vec_col, *on), queries.select(query_col, query_vec_col, *on),
-        best_of, _pair_schema(vectors, queries, id_col, query_col), id_col, query_col,
-        max_broadcast, shard_rows, block_queries)
+        best_of, _pair_schema(vectors, queries, id_col, query_col), on, id_col, query_col,
+        query_vec_col, max_broadcast_bytes, shard_rows, block_queries)
     order = Window.partitionBy(query_col).orderBy("score", id_col)
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def cosine_for_each(
-    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-    query_col: str = "query_id", query_vec_col: str = "query_vec",
-    max_broadcast: int = 1_000, shard_rows: int = 10_000, block_queries: int = 500,
+    vectors: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None,
+    id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id",
+    query_vec_col: str = "query_vec", max_broadcast_bytes: int = 8 << 20, shard_rows: int = 10_000,
+    block_queries: int = 500,
 ) -> DataFrame:
-    """Cosine similarity of every query with every vector, 0.0 where a vector is all zeros."""
+    """Cosine similarity of every query with its k most similar vectors, with those of at
+    least `least`, or both; 0.0 where a vector is all zeros. Missing vectors and those of
+    another length are left out. One bound must be given: all pairs are never listed."""
+    if k is None and least is None:
+        raise ValueError("give k or least")
 
     def unit(rows: pd.Series) -> np.ndarray:
         m = np.stack(rows.to_numpy()).astype(np.float64)
@@ -105,17 +138,38 @@ def cosine_for_each(
         return m / np.where(length > 0, length, 1.0)
 
     def work(pdf: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or q.empty:
-            return pd.DataFrame({query_col: [], id_col: [], "score": []})
-        scores = unit(q[query_vec_col]) @ unit(pdf[vec_col]).T
-        return pd.DataFrame({
-            query_col: np.repeat(q[query_col].to_numpy(), len(pdf)),
-            id_col: np.tile(pdf[id_col].to_numpy(), len(q)), "score": scores.ravel()})
-
-    return _meet(
+        found = []
+        for rows, asked in _by_length(pdf, q, vec_col, query_vec_col):
+            scores = np.round(unit(asked[query_vec_col]) @ unit(rows[vec_col]).T, 12)
+            ids, names = rows[id_col].to_numpy(), asked[query_col].to_numpy()
+            for i, row in enumerate(scores):
+                near = np.arange(len(ids)) if least is None else np.flatnonzero(row >= least)
+                if k is not None:
+                    near = near[np.lexsort((ids[near], -row[near]))][:k]
+                if len(near):
+                    found.append(pd.DataFrame({query_col: names[i], id_col: ids[near], "score": row[near]}))
+        columns = [query_col, id_col, "score"]
+        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+
+    scored = _meet(
         vectors.select(id_col, vec_col), queries.select(query_col, query_vec_col), work,
-        _pair_schema(vectors, queries, id_col, query_col), id_col, query_col,
-        max_broadcast, shard_rows, block_queries)
+        _pair_schema(vectors, queries, id_col, query_col), [], id_col, query_col,
+        query_vec_col, max_broadcast_bytes, shard_rows, block_queries)
+    if k is None:
+        return scored
+    order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
+    return scored.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")
+
+
+def _by_length(pdf: pd.DataFrame, queries: pd.DataFrame, vec_col: str, query_vec_col: str):
+    """(vectors, queries) of one length each, both present."""
+    if pdf.empty or queries.empty:
+        return
+    held = pdf[vec_col].map(lambda v: 0 if v is None else len(v)).to_numpy()
+    asked = queries[query_vec_col].map(lambda v: 0 if v is None else len(v)).to_numpy()
+    for n in np.intersect1d(held, asked):
+        if n:
+            yield pdf[held == n], queries[asked == n]
 
 
 def _batch_best(
@@ -129,40 +183,50 @@ def _batch_best(
         asked = queries
         for name, value in zip(on, key if isinstance(key, tuple) else (key,)):
             asked = asked[asked[name] == value]
-        if asked.empty or rows.empty:
-            continue
-        v = np.stack(rows[vec_col].to_numpy()).astype(np.float64)
-        ids = rows[id_col].to_numpy()
-        v_sq = (v * v).sum(axis=1)
-        step = max(1, 4_000_000 // len(ids))
-        for at in range(0, len(asked), step):
-            part = asked.iloc[at:at + step]
-            q = np.stack(part[query_vec_col].to_numpy()).astype(np.float64)
-            d = np.maximum((q * q).sum(axis=1)[:, None] + v_sq[None, :] - 2.0 * (q @ v.T), 0.0)
-            d = np.round(d, DISTANCE_DIGITS)
-            names = part[query_col].to_numpy()
-            if exclude_self:
-                d[names[:, None] == ids[None, :]] = np.inf
-            take = min(k, len(ids))
-            for i, row in enumerate(d):
-                # All rows up to the k-th distance, so that ties break by id.
-                edge = np.partition(row, take - 1)[take - 1]
-                near = np.flatnonzero(row <= edge)
-                near = near[np.lexsort((ids[near], row[near]))][:take]
-                near = near[np.isfinite(row[near])]
-                found.append(pd.DataFrame({
-                    query_col: names[i], id_col: ids[near], "score": row[near]}))
+        for rows, asked in _by_length(rows, asked, vec_col, query_vec_col):
+            found += _best_of_length(rows, asked, k, id_col, vec_col, query_col, query_vec_col, exclude_self)
     columns = [query_col, id_col, "score"]
     return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
 
 
+def _best_of_length(
+    rows: pd.DataFrame, asked: pd.DataFrame, k: int, id_col: str, vec_col: str, query_col: str,
+    query_vec_col: str, exclude_self: bool,
+) -> list[pd.DataFrame]:
+    found = []
+    v = np.stack(rows[vec_col].to_numpy()).astype(np.float64)
+    ids = rows[id_col].to_numpy()
+    v_sq = (v * v).sum(axis=1)
+    step = max(1, 4_000_000 // len(ids))
+    for at in range(0, len(asked), step):
+        part = asked.iloc[at:at + step]
+        q = np.stack(part[query_vec_col].to_numpy()).astype(np.float64)
+        d = np.maximum((q * q).sum(axis=1)[:, None] + v_sq[None, :] - 2.0 * (q @ v.T), 0.0)
+        d = np.round(d, DISTANCE_DIGITS)
+        names = part[query_col].to_numpy()
+        if exclude_self:
+            d[names[:, None] == ids[None, :]] = np.inf
+        take = min(k, len(ids))
+        for i, row in enumerate(d):
+            # All rows up to the k-th distance, so that ties break by id.
+            edge = np.partition(row, take - 1)[take - 1]
+            near = np.flatnonzero(row <= edge)
+            near = near[np.lexsort((ids[near], row[near]))][:take]
+            near = near[np.isfinite(row[near])]
+            found.append(pd.DataFrame({
+                query_col: names[i], id_col: ids[near], "score": row[near]}))
+    return found
+
+
 def similar_texts(
     docs: DataFrame, query: list[float], k: int = 5, text: str = "content",
     id_col: str = "id", vec_col: str = "embedding",
 ) -> DataFrame:
-    """k texts most similar by cosine, with a preview of at most 200 characters."""
+    """k texts most similar by cosine, with a preview of at most 200 characters. A missing
+    vector, or one of another length, has similarity 0.0."""
     target = F.array(*[F.lit(float(x)) for x in query])
-    score = F.round(cosine(F.col(vec_col), target), DISTANCE_DIGITS)
+    same = F.coalesce(F.size(vec_col) == len(query), F.lit(False))
+    score = F.when(same, F.round(cosine(F.col(vec_col), target), DISTANCE_DIGITS)).otherwise(F.lit(0.0))
     return docs.withColumn("similarity", score).orderBy(F.desc("similarity"), id_col).limit(
         k).select(id_col, preview(F.col(text)).alias("document"), "similarity")
 
@@ -215,16 +279,16 @@ def collection_name(model: Column, default_model: str) -> Column:
         fv.LEGACY_COLLECTION).otherwise(own)
 
 
-def split_by_cache(
+def look_up_cache(
     texts: DataFrame, cache: DataFrame, model: str, now: Column, ttl: int = fv.CACHE_TTL_SECONDS
-) -> tuple[DataFrame, DataFrame]:
-    """Texts found in the cache (with their vector) and texts still to embed.
+) -> DataFrame:
+    """Texts with key, embedding where the cache holds one, and hit.
 
     cache: key, embedding, stored_at (seconds). Only entries younger than ttl count.
     """
-    fresh = cache.where(now - F.col("stored_at") < ttl).select("key", "embedding")
+    fresh = cache.where(now - F.col("stored_at") < ttl).select("key", "embedding", F.lit(True).alias("hit"))
     keyed = texts.withColumn("key", cache_key(F.lit(model), F.col("text")))
-    return keyed.join(fresh, "key"), keyed.join(fresh, "key", "left_anti")
+    return keyed.join(fresh, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def trim_cache(

@@ -59,7 +59,40 @@ def c03(spark, sf):
     return ch.split_texts(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
-@query("c04_sentence_split")
+@query("c03_split_invariants", """SELECT doc_id, true AS within_size, true AS inside_text,
+  len(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS n_words FROM documents
+WHERE regexp_matches(text, '\\S')""")
+def c03_invariants(spark, sf):
+    """Chunks keep the size, are cut from the text, and together hold all its words."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    chunks = ch.split_texts(docs, "doc_id", "text").join(docs, "doc_id")
+    words = F.filter(F.split("content", r"\s+"), lambda w: w != "")
+    return chunks.groupBy("doc_id").agg(
+        F.bool_and(F.length("content") <= fv.CHUNK_SIZE).alias("within_size"),
+        F.bool_and(F.contains("text", "content")).alias("inside_text"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(words)))).cast("bigint").alias("n_words"))
+
+
+def _sql_stop(start: str) -> str:
+    """End of the sentence chunk that begins behind a character number of text."""
+    reach = f"text[{start} + 1:{start} + 1000]"
+    ends = ", ".join(
+        f"CASE WHEN contains({reach}, '{m}') THEN length({reach}) - strpos(reverse({reach}), '{m}') + 1 ELSE 0 END"
+        for m in fv.SENTENCE_ENDS)
+    space = f"length(regexp_extract({reach}, '(?s)^(.*{fx.WS_SQL})', 1))"
+    return (f"CASE WHEN {start} + 1000 >= length(text) THEN length(text) WHEN greatest({ends}) > 0 "
+            f"THEN {start} + greatest({ends}) WHEN {space} > 0 THEN {start} + {space} ELSE {start} + 1000 END")
+
+
+@query("c04_sentence_split", f"""WITH RECURSIVE spans AS (
+  SELECT doc_id, text, 0::BIGINT AS start, ({_sql_stop('0')})::BIGINT AS stop FROM documents WHERE length(text) > 1000
+  UNION ALL
+  SELECT doc_id, text, start, ({_sql_stop('start')})::BIGINT FROM (
+    SELECT doc_id, text, CASE WHEN stop - 200 > start THEN stop - 200 ELSE stop END AS start FROM spans WHERE stop < length(text))),
+chunks AS (SELECT doc_id, start, stop, {fx.sql_trim('text[start + 1:stop]')} AS content FROM spans)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, start AS start_pos, stop AS end_pos,
+  count(*) OVER (PARTITION BY doc_id) AS total_chunks, content FROM chunks WHERE content <> ''
+UNION ALL SELECT doc_id, 0, 0, length(text), 1, text FROM documents WHERE length(text) BETWEEN 1 AND 1000""")
 def c04(spark, sf):
     return ch.split_sentences(spread(table(spark, sf, "documents")), "doc_id", "text")
 
@@ -179,7 +212,7 @@ def c09_ids(spark, sf):
 @query("c10_context", """WITH ranked AS (SELECT source, doc_id, text, lang,
   row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
 SELECT source AS query_id, string_agg('[来源：' || coalesce(CASE WHEN doc_id % 4 <> 0 THEN 'file_' || doc_id END, lang, '未知来源') || ']:'
-  || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ranked WHERE rank <= 5 GROUP BY source""")
+  || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ranked GROUP BY source""")
 def c10(spark, sf):
     from pyspark.sql import Window
 
@@ -188,15 +221,25 @@ def c10(spark, sf):
         F.col("source").alias("query_id"), F.col("lang").alias("source"), "doc_id", "n_chars",
         F.col("text").alias("content"),
         F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("file_"), F.col("doc_id").cast("string"))).alias("filename"),
-    ).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    return ch.build_context(hits, "query_id", "rank", 5)
-
-
-@query("c11_context_pages")
+    ).withColumn("rank", F.row_number().over(order))
+    return ch.build_context(hits, "query_id", "rank")
+
+
+@query("c11_context_pages", """WITH RECURSIVE lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+walk AS (
+  SELECT doc_id, n, 0 AS page, length(line) + 1 AS used FROM lines WHERE n = 1
+  UNION ALL
+  SELECT w.doc_id, l.n, CASE WHEN w.used + length(l.line) + 1 > 2000 THEN w.page + 1 ELSE w.page END,
+    CASE WHEN w.used + length(l.line) + 1 > 2000 THEN 0 ELSE w.used END + length(l.line) + 1
+  FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.n = w.n + 1)
+SELECT doc_id, page::BIGINT AS page, string_agg(line, chr(10) ORDER BY n) AS content
+FROM walk JOIN lines USING (doc_id, n) JOIN documents USING (doc_id) WHERE length(text) > 2000 GROUP BY doc_id, page
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 2000""")
 def c11(spark, sf):
     pages = ch.context_pages(F.col("text"), 2000)
     return spread(table(spark, sf, "documents")).select(
-        "doc_id", F.posexplode(pages).alias("page", "content"))
+        "doc_id", F.posexplode(pages).alias("page", "content")).withColumn("page", F.col("page").cast("bigint"))
 
 
 @query("c11_page_totals", """SELECT doc_id, text, length(text) <= 2000 AS single FROM documents""")

@@ -140,3 +140,14 @@ def k09_clear(spark, sf):
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
 def k10(spark, sf):
     return cv.pair_turns(table(spark, sf, "conversations"))
+
+
+@query("k10_gapped_pairs", """WITH m AS (SELECT conv_id, turn * 7 + turn * turn AS turn, role, text,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS assistant
+  FROM conversations WHERE turn % 5 <> 3)
+SELECT conv_id, turn, text AS "user", assistant FROM m WHERE role = 'user' AND next_role = 'assistant'""")
+def k10_gapped(spark, sf):
+    """Message numbers of a whole table: gaps are normal; spans of a few turns."""
+    turn = F.col("turn")
+    messages = table(spark, sf, "conversations").where(turn % 5 != 3).withColumn("turn", turn * 7 + turn * turn)
+    return cv.pair_turns(messages, span=16)

@@ -50,6 +50,22 @@ def t02(spark, sf):
     return counted.select("event_id", "user_id", "failures", "blocked")
 
 
+@query("t02_equal_times", f"""WITH hours AS (SELECT event_id, user_id, event_type, date_trunc('day', ts) AS t FROM events),
+epochs AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM hours)
+SELECT event_id, user_id, failures::BIGINT AS failures, failures >= 5 AS blocked FROM (SELECT event_id, user_id,
+    count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, epoch ORDER BY t
+      RANGE BETWEEN INTERVAL '{2 * 86400 * 1_000_000 - 1} microseconds' PRECEDING AND INTERVAL '1 microsecond' PRECEDING)
+    + count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, epoch, t ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS failures
+  FROM epochs)""")
+def t02_equal(spark, sf):
+    """Events of one day share one time; their order is the event's number."""
+    events = table(spark, sf, "events").withColumn("t", F.date_trunc("day", "ts"))
+    counted = failure_counts(
+        events, "user_id", "t", F.col("event_type") == "error", F.col("event_type") == "signup",
+        window_seconds=2 * 86400, slot_seconds=4 * 86400, tie="event_id")
+    return counted.select("event_id", "user_id", "failures", "blocked")
+
+
 @query("t03_streaming_limiter", T02_SQL)
 def t03(spark, sf):
     """The events arrive in four portions in time order; the stream resumes for each."""

@@ -255,7 +255,9 @@ def g13(spark, sf):
     return _order_versions(spark, sf)
 
 
-@query("g13_grid_fingerprints")
+@query("g13_grid_fingerprints", f"""WITH {fx.GRID_CTE},
+grid_digests AS (SELECT document_id, {_sql_digest(["'Orders'", 'row_index::VARCHAR', 'to_json(cells)::VARCHAR'])} AS digest FROM grid)
+SELECT document_id, {_sql_combine('digest')} AS fingerprint FROM grid_digests GROUP BY document_id""")
 def g13_grid(spark, sf):
     return ty.fingerprints(fx.orders_grid(spark, sf)).select("document_id", "fingerprint")
 

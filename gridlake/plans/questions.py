@@ -48,7 +48,7 @@ def q01(spark, sf):
         "document_id", "sheet_idx", "question")
 
 
-@query("q02_route", f"""WITH {fx.QUESTIONS_CTE}, {INTENT_CTE}, stripped AS (SELECT *, trim(question) AS q FROM intents)
+ROUTED_SQL = f"""{INTENT_CTE}, stripped AS (SELECT *, trim(question) AS q FROM intents)
 SELECT request_id, operation, string_split(v, '/')[1] AS route, string_split(v, '/')[2] AS confidence FROM (
 SELECT request_id, operation, CASE WHEN q = '' THEN 'AMBIGUOUS/LOW'
   WHEN {_m('q', fv.CROSS_DOCUMENT_PATTERN)} AND {_m('q', fv.COUNT_PATTERN)} THEN 'UNSUPPORTED/MEDIUM'
@@ -59,21 +59,21 @@ SELECT request_id, operation, CASE WHEN q = '' THEN 'AMBIGUOUS/LOW'
   WHEN operation IS NOT NULL AND NOT {_COUNT_SQL} THEN 'STRUCTURED_ACCESS/HIGH'
   WHEN {_m('q', fv.DEFAULT_COUNT_PATTERN)} AND NOT {_m('q', fv.EXPLICIT_MEASURE_PATTERN)} THEN 'PRECISE_QUERY/MEDIUM'
   WHEN {_COUNT_SQL} OR {_m('q', fv.DEFAULT_COUNT_PATTERN)} THEN 'PRECISE_QUERY/HIGH'
-  WHEN {_m('q', fv.LOCATE_PATTERN)} THEN 'SEMANTIC_RETRIEVAL/MEDIUM' ELSE 'AMBIGUOUS/LOW' END AS v FROM stripped)""")
+  WHEN {_m('q', fv.LOCATE_PATTERN)} THEN 'SEMANTIC_RETRIEVAL/MEDIUM' ELSE 'AMBIGUOUS/LOW' END AS v FROM stripped)"""
+
+
+@query("q02_route", f"WITH {fx.QUESTIONS_CTE}, {ROUTED_SQL}")
 def q02(spark, sf):
     return qs.route(fx.question_log(spark, sf), "question").select(
         "request_id", "operation", "route", "confidence")
 
 
-@query("q02_route_conversations", f"""WITH questions AS (
-  SELECT conv_id * 1000 + turn AS request_id, text AS question FROM conversations WHERE role = 'user'),
-{INTENT_CTE}
-SELECT coalesce(operation, 'none') AS operation, count(*) AS n FROM intents GROUP BY 1""")
+@query("q02_route_conversations", f"""SELECT route, confidence, count(*) AS n FROM (WITH questions AS (
+  SELECT conv_id * 1000000 + turn AS request_id, text AS question FROM conversations WHERE role = 'user'),
+{ROUTED_SQL}) GROUP BY ALL""")
 def q02_conversations(spark, sf):
     asked = table(spark, sf, "conversations").where("role = 'user'")
-    routed = qs.access_intent(asked, "text")
-    return routed.groupBy(F.coalesce("operation", F.lit("none")).alias("operation")).agg(
-        F.count("*").alias("n"))
+    return qs.route(asked, "text").groupBy("route", "confidence").agg(F.count("*").alias("n"))
 
 
 # Provider log: one entry per event; status and wording follow the event.

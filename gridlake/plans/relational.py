@@ -71,12 +71,18 @@ def r07(spark, sf):
 @query("r07_not_in_with_nulls", """SELECT count(*) AS n FROM customer
 WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 1000 = 999 THEN NULL ELSE o_custkey END FROM orders)""")
 def r07_nulls(spark, sf):
-    table(spark, sf, "orders").select(
-        F.when(F.col("o_orderkey") % 1000 != 999, F.col("o_custkey")).alias("k")
-    ).createOrReplaceTempView("r07_buyers")
-    table(spark, sf, "customer").createOrReplaceTempView("r07_customers")
-    return spark.sql(
-        "SELECT count(*) AS n FROM r07_customers WHERE c_custkey NOT IN (SELECT k FROM r07_buyers)")
+    buyers = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 1000 != 999, F.col("o_custkey")).alias("c_custkey"))
+    return rel.not_in(table(spark, sf, "customer"), buyers, "c_custkey").agg(F.count("*").alias("n"))
+
+
+@query("r07_not_in", """SELECT c_custkey FROM (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS c_custkey FROM customer)
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
+def r07_not_in(spark, sf):
+    buyers = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    customers = table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey")).alias("c_custkey"))
+    return rel.not_in(customers, buyers, "c_custkey")
 
 
 @query("r08_inner_join", """SELECT o_orderkey, o_orderpriority, l_partkey, l_quantity

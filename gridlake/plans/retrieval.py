@@ -55,6 +55,42 @@ def e01_all(spark, sf):
     return vc.nearest_for_each(vectors, queries, 3, exclude_self=True).select("query_id", "vec_id", "score")
 
 
+def _mixed(spark, sf):
+    """Vectors of which some are missing and some are cut to half their length."""
+    vec, n = F.col("embedding"), F.col("vec_id")
+    return table(spark, sf, "embeddings").withColumn("embedding", F.when(n % 5 == 2, F.lit(None)).when(
+        n % 7 == 1, F.slice(vec, 1, F.floor(F.size(vec) / 2).cast("int"))).otherwise(vec))
+
+
+@query("e01_mixed_dimensions", f"""WITH {MEANS_CTE},
+scored AS (SELECT m.label AS query_id, vec_id, round(list_distance(embedding::DOUBLE[], mean_vec) ^ 2, 6) AS score
+  FROM means m JOIN embeddings e ON e.label = m.label WHERE vec_id % 5 <> 2 AND vec_id % 7 <> 1)
+SELECT query_id::BIGINT AS query_id, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored) WHERE rank <= 5""")
+def e01_mixed(spark, sf):
+    """Missing vectors and those of another length never rank."""
+    queries = _means(spark, sf).select(
+        F.col("label").alias("query_id"), F.col("mean_vec").alias("query_vec"), "label")
+    return vc.nearest_for_each(_mixed(spark, sf), queries, 5, on=["label"]).select(
+        F.col("query_id").cast("bigint"), "vec_id", "score")
+
+
+@query("e08_search_guard", """WITH stored AS (SELECT 'c' || label % 4 AS collection, min(len(embedding) // 2) AS lo, max(len(embedding)) AS hi,
+    bool_or(vec_id % 7 = 1) AND bool_or(vec_id % 7 <> 1) AS two FROM embeddings WHERE vec_id % 5 <> 2 AND label % 4 IN (1, 2)
+    AND (label % 4 = 2 OR vec_id % 7 <> 1) GROUP BY ALL),
+asked AS (SELECT 'c' || label % 4 AS collection, max(len(embedding)) AS dim FROM embeddings GROUP BY ALL)
+SELECT collection, CASE WHEN two THEN lo ELSE hi END::BIGINT AS existing_dim, dim::BIGINT AS query_dim,
+  hi IS NULL OR NOT two AS searchable FROM asked LEFT JOIN stored USING (collection)""")
+def e08_search(spark, sf):
+    """Collections that hold one dimension, two of them, or nothing, before a search."""
+    name = F.concat(F.lit("c"), (F.col("label") % 4).cast("string"))
+    stored = _mixed(spark, sf).withColumn("collection", name).where(
+        (F.col("label") % 4 == 2) | ((F.col("label") % 4 == 1) & (F.col("vec_id") % 7 != 1)))
+    queries = table(spark, sf, "embeddings").select(name.alias("collection"), F.col("embedding").alias("query_vec"))
+    return vc.search_guard(stored, queries).select(
+        "collection", F.col("existing_dim").cast("bigint"), F.col("query_dim").cast("bigint"), "searchable")
+
+
 @query("e02_cosine", f"""WITH {MEANS_CTE}
 SELECT vec_id, CASE WHEN vec_id % 50 = 7 THEN 0.0 ELSE round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 6) END AS similarity
 FROM embeddings JOIN means USING (label)""")
@@ -67,22 +103,47 @@ def e02(spark, sf):
         "vec_id", F.round(vf.cosine(F.col("embedding"), F.col("mean_vec")), 6).alias("similarity"))
 
 
-@query("e03_batch_cosine", f"""WITH {MEANS_CTE}
-SELECT m.label::BIGINT AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 6) AS similarity
-FROM embeddings, means m""")
+@query("e03_batch_cosine", f"""WITH {MEANS_CTE},
+scored AS (SELECT m.label::BIGINT AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 6) AS similarity,
+  row_number() OVER (PARTITION BY m.label ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 12) DESC, vec_id) AS rank
+  FROM embeddings, means m)
+SELECT query_id, vec_id, similarity FROM scored WHERE rank <= 25""")
 def e03(spark, sf):
-    """One similarity per label mean and vector."""
+    """The 25 vectors most similar to each label mean."""
     queries = _means(spark, sf).select(
         F.col("label").cast("bigint").alias("query_id"), F.col("mean_vec").alias("query_vec"))
-    return vc.cosine_for_each(spread(table(spark, sf, "embeddings")), queries).select(
+    return vc.cosine_for_each(spread(table(spark, sf, "embeddings")), queries, k=25).select(
         "query_id", "vec_id", F.round("score", 6).alias("similarity"))
 
 
-@query("e04_similar_texts")
+@query("e03_cosine_threshold", f"""WITH {MEANS_CTE}
+SELECT m.label::BIGINT AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 6) AS similarity
+FROM embeddings, means m WHERE round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 12) >= 0.25""")
+def e03_least(spark, sf):
+    queries = _means(spark, sf).select(
+        F.col("label").cast("bigint").alias("query_id"), F.col("mean_vec").alias("query_vec"))
+    return vc.cosine_for_each(spread(table(spark, sf, "embeddings")), queries, least=0.25).select(
+        "query_id", "vec_id", F.round("score", 6).alias("similarity"))
+
+
+WORD_VECTORS_CTE = """words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents),
+places AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, 1.0 - 2.0 * (('0x' || substr(md5(w), 9, 2))::BIGINT % 2) AS s FROM words),
+sums AS (SELECT doc_id, pos, sum(s)::DOUBLE AS x FROM places GROUP BY ALL),
+lengths AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM sums GROUP BY doc_id),
+vectors AS (SELECT doc_id, list(CASE WHEN coalesce(n, 0) > 0 THEN coalesce(x, 0) / n ELSE 0.0 END ORDER BY r.pos) AS v
+  FROM documents CROSS JOIN range(64) AS r(pos) LEFT JOIN sums USING (doc_id, pos) LEFT JOIN lengths USING (doc_id) GROUP BY doc_id)"""
+
+
+@query("e04_similar_texts", f"""WITH {WORD_VECTORS_CTE},
+target AS (SELECT list(m ORDER BY pos) AS t FROM (SELECT pos, avg(x) AS m FROM (
+  SELECT generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM vectors) GROUP BY pos)),
+scored AS (SELECT doc_id AS id, round(list_cosine_similarity(v, t), 6) AS similarity FROM vectors, target)
+SELECT id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS document, similarity
+FROM scored JOIN documents ON doc_id = id ORDER BY similarity DESC, id LIMIT 5""")
 def e04(spark, sf):
     """Documents most similar to the mean of all document vectors, with previews."""
     docs = embed_texts(spread(table(spark, sf, "documents")).select(
-        F.col("doc_id").alias("id"), F.col("text").alias("content")), "content")
+        F.col("doc_id").alias("id"), F.col("text").alias("content")), "content").checkpoint()
     target = vc.mean_vectors(docs, []).first()["mean_vec"]
     return vc.similar_texts(docs, target, 5)
 
@@ -362,9 +423,7 @@ SELECT doc_id, c.key IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT key FRO
 ON c.key = md5('m1: ' || text)""")
 def e23(spark, sf):
     texts = table(spark, sf, "documents").select("doc_id", "text")
-    hits, misses = vc.split_by_cache(texts, _cache(spark, sf), "m1", F.lit(_NOW))
-    return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(
-        misses.select("doc_id", F.lit(False).alias("hit")))
+    return vc.look_up_cache(texts, _cache(spark, sf), "m1", F.lit(_NOW)).select("doc_id", "hit")
 
 
 @query("e24_cache_trim", f"""WITH {CACHE_CTE}
@@ -381,10 +440,12 @@ def e24_stats(spark, sf):
     return stats.withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query("u01_embed_texts")
+@query("u01_embed_texts", f"""WITH {WORD_VECTORS_CTE}
+SELECT doc_id, generate_subscripts(v, 1)::BIGINT - 1 AS pos, round(unnest(v), 6) AS x FROM vectors""")
 def u01(spark, sf):
     chunks = spread(table(spark, sf, "documents")).select("doc_id", "text")
-    return embed_texts(chunks, "text").select("doc_id", "embedding")
+    return embed_texts(chunks, "text").select("doc_id", F.posexplode("embedding").alias("pos", "x")).select(
+        "doc_id", F.col("pos").cast("bigint"), F.round("x", 6).alias("x"))
 
 
 @query("u01_vector_checks", """SELECT count(*) AS n_vectors, 64::BIGINT AS dim, count(*) FILTER (trim(text) <> '') AS n_unit FROM documents""")

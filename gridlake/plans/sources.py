@@ -222,16 +222,14 @@ def s11_metrics(spark, sf):
     return back.select("total", *[c for c in back.columns if c != "total"])
 
 
-@query("s12_conversation_export", f"""WITH {PAIRS_CTE}, parts AS (SELECT *, turn // 4 AS part FROM pairs)
-SELECT conv_id, part, count(*) AS records, (SELECT count(*) FROM pairs p WHERE p.conv_id = parts.conv_id) AS total_conversations,
-  md5(to_json({{'conv_id': conv_id, 'part': part, 'total_conversations': (SELECT count(*) FROM pairs p WHERE p.conv_id = parts.conv_id),
+@query("s12_conversation_export", f"""WITH {PAIRS_CTE}
+SELECT conv_id, count(*) AS total_conversations,
+  md5(to_json({{'conv_id': conv_id, 'total_conversations': count(*),
     'conversations': list({{'turn': turn, 'user': "user", 'assistant': assistant}} ORDER BY turn)}})::VARCHAR) AS digest
-FROM parts GROUP BY conv_id, part""")
+FROM pairs GROUP BY conv_id""")
 def s12(spark, sf):
-    parts = exports.export_conversations(_pairs(spark, sf).drop("ts"), ["conv_id"], "turn", block=4)
-    return parts.select(
-        "conv_id", "part", F.col("records").cast("bigint"), "total_conversations",
-        F.md5("json").alias("digest"))
+    exported = exports.export_conversations(_pairs(spark, sf).drop("ts"), ["conv_id"], "turn")
+    return exported.select("conv_id", "total_conversations", F.md5("json").alias("digest"))
 
 
 @query("s13_answer_frames", """WITH lines AS (SELECT o_custkey AS request_id, o_orderkey AS seq, o_orderpriority || ' ' || o_orderstatus AS content FROM orders)

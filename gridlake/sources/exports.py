@@ -25,22 +25,17 @@ def write_report(runs: DataFrame, root: str) -> None:
     runs.unpersist()
 
 
-def export_conversations(
-    pairs: DataFrame, keys: list[str], order: str, block: int = 500
-) -> DataFrame:
-    """JSON documents of conversation records, at most `block` order steps in each.
+def export_conversations(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One JSON document per conversation, its records in order.
 
-    A long conversation becomes several numbered parts, so no document and no task grows
-    with it.
+    The document is one value, so a conversation must fit a row; its records do come
+    together in one task.
     """
-    parts = pairs.withColumn("part", F.floor(F.col(order) / block))
-    totals = pairs.groupBy(*keys).agg(F.count("*").alias("total_conversations"))
-    grouped = parts.groupBy(*keys, "part").agg(
+    grouped = pairs.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(order, "user", "assistant"))).alias("conversations"))
-    body = F.to_json(F.struct(*keys, "part", "total_conversations", "conversations"))
-    return grouped.join(totals, keys).select(
-        *keys, "part", F.size("conversations").alias("records"), "total_conversations",
-        body.alias("json"))
+    counted = grouped.withColumn("total_conversations", F.size("conversations").cast("bigint"))
+    body = F.to_json(F.struct(*keys, "total_conversations", "conversations"))
+    return counted.select(*keys, "total_conversations", body.alias("json"))
 
 
 def chunk_frame(content: Column) -> Column:
