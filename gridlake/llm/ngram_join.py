@@ -2,16 +2,16 @@
 
 1. Every text becomes a set of word n-grams, held as sorted 64-bit hashes. Equal sets are
    one class from there on, whatever the number of copies.
-2. Two sets with Jaccard >= t differ in at most a/9 (t = 0.9) elements, a the smaller size.
-   Dealt by hash into one part more than that, some part is equal in both. A hash of a part
-   is a signature; sets that share one are candidates. Signatures of a size class serve
-   sets of this class and the next. This is exact: no link is missed, none is capped.
+2. N-grams get one global order, rare ones first; their numbers of sets come from counts by
+   bucket. Two sets of Jaccard >= t share an n-gram among the first |x| - ceil(t |x|) + 1 of
+   each. N-grams of one set only cannot be shared and are not sent, so common passages make
+   no candidates unless they make up most of a text. No link is missed, none is capped.
 3. Candidates that hang together form a cluster; its sets meet in one task. Large clusters
    are cut into blocks, and pairs of blocks meet.
-4. In a task the sets, their n-grams in one global order, are stored in a prefix tree. A new
-   set walks down the tree. Sets with a common beginning share the overlap counted so far,
-   and a subtree is left as soon as the elements still to come cannot reach the threshold,
-   or all its sets already belong to the new set's component.
+4. In a task the sets, their n-grams in one order, are stored in a prefix tree. A new set
+   walks down the tree. Sets with a common beginning share the overlap counted so far, and a
+   subtree is left as soon as the elements still to come cannot reach the threshold, or all
+   its sets already belong to the new set's component.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from pyspark.sql.types import LongType
 
 from gridlake.llm.arrow import by_bytes, texts
 from gridlake.llm.components import components
+from gridlake.llm.katz import HISTORY, rows_of, runs, split_rows, squeeze, unsqueeze
 from gridlake.llm.quality import split_words
+from gridlake.llm.repeats import make_blocks, unpack_bytes
 from gridlake.sources.scratch import shared_dir
 
 #: Sets and set elements of a block of a cluster; a task holds two blocks.
@@ -87,41 +89,107 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-class SizeClasses:
-    """Intervals of set sizes such that linked sets lie in one or in two next to each other."""
+class SetBlock:
+    """The sets of a block of texts; `fresh` are the texts whose set is new in the block."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.low, self.parts = [1], []
-        while self.low[-1] < 1 << 31:
-            high = self.low[-1] * 100 // percent
-            # |x ^ y| <= (1 - t) / t * smaller size
-            self.parts.append(high * (100 - percent) // percent + 1)
-            self.low.append(high + 1)
-        self.low, self.parts = np.array(self.low), np.array([*self.parts, self.parts[-1]])
-
-    def signatures(self, hashes: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-        """Signatures of the chosen sets. Sets too small to differ and link have none."""
-        sizes = np.diff(starts)[rows]
-        where = np.searchsorted(self.low, sizes, side="right") - 1
-        found = [[] for _ in rows]
-        at = np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        elements = hashes[at]
-        dealt, weight = _mix(elements ^ _ODD[3]), _mix(elements + _ODD[4])
-        for back in (0, 1):
-            instance = where - back
-            parts = np.where((instance >= 0) & (sizes > 0), self.parts[np.maximum(instance, 0)], 0)
-            parts[parts == 1] = 0
-            base = np.cumsum(parts) - parts
-            use = np.repeat(parts > 0, sizes)
-            sums = np.zeros(int(parts.sum()), np.uint64)
-            place = np.repeat(base, sizes)[use] + (dealt[use] % np.repeat(parts, sizes)[use].astype(np.uint64)).astype(np.int64)
-            np.add.at(sums, place, weight[use])
-            number = np.arange(len(sums)) - np.repeat(base, parts)
-            signed = _mix(sums ^ _mix(number.astype(np.uint64) * _ODD[5] + np.repeat(instance, parts).astype(np.uint64) * _ODD[6]))
-            for i, (lo, k) in enumerate(zip(base.tolist(), parts.tolist())):
-                found[i].append(signed[lo:lo + k])
-        return [np.concatenate(f).view(np.int64) for f in found]
+    def __init__(self, parts: list[bytes], words: int):
+        ids, nulls, offsets, data = parts
+        self.doc_ids, self.nulls = np.frombuffer(ids, np.int64), np.frombuffer(nulls, bool)
+        text = pa.LargeStringArray.from_buffers(
+            len(self.doc_ids), pa.py_buffer(offsets), pa.py_buffer(unpack_bytes(data)))
+        self.hashes, self.starts = shingle_sets(text, words)
+        self.keys = set_keys(self.hashes, self.starts)
+        seen: set[bytes] = set()
+        self.fresh = []
+        for i, key in enumerate(self.keys):
+            if key is not None and key not in seen and not self.nulls[i]:
+                seen.add(key)
+                self.fresh.append(i)
+        rows = np.array(self.fresh, np.int64)
+        self.nodes = np.array([node_of(self.keys[i]) for i in self.fresh], np.int64)
+        self.sizes = np.diff(self.starts)[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(self.sizes) - self.sizes), self.sizes)
+        self.grams, self.place, self.times = np.unique(
+            self.hashes[at + np.arange(len(at))], return_inverse=True, return_counts=True)
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the distinct n-grams by bucket, buckets, the 32 bits that are counted)."""
+        bucket, bits = self.grams % np.uint64(buckets), (self.grams // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((bits, bucket))
+        return order, bucket[order].astype(np.int64), bits[order].astype(np.int64)
+
+    def prefixes(self, often: np.ndarray, percent: int) -> list[np.ndarray]:
+        """Per fresh set the n-grams of its prefix that other sets hold as well."""
+        row, often = np.repeat(np.arange(len(self.sizes)), self.sizes), often[self.place]
+        grams = self.grams[self.place]
+        order = np.lexsort((grams, often, row))
+        position = np.arange(len(order)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        length = self.sizes + (-percent * self.sizes) // 100 + 1
+        use = (position < length[row]) & (often[order] > 1)
+        picked = grams[order[use]].view(np.int64)
+        return np.split(picked, np.searchsorted(row[use], np.arange(1, len(self.sizes)))) if len(self.sizes) else []
+
+
+def send_grams(buckets: int, words: int):
+    """Distinct n-grams by bucket: 32 bits of each, as steps of the sorted numbers."""
+    def run(batches):
+        for batch in batches:
+            for number, _, parts in split_rows(pa.Table.from_batches([batch])):
+                block = SetBlock(parts, words)
+                order, bucket, bits = block.dealt(buckets)
+                begin, sizes = runs(bucket)
+                yield rows_of([(number, int(bucket[lo]), [
+                    squeeze(np.diff(bits[lo:lo + n], prepend=0).astype(np.uint32)),
+                    squeeze(np.minimum(block.times[order[lo:lo + n]], 255).astype(np.uint8))])
+                    for lo, n in zip(begin, sizes)])
+    return run
+
+
+def count_grams(table: pa.Table) -> pa.Table:
+    """How many sets hold each n-gram, up to 255. Two n-grams that share the counted bits
+    share a count, which moves them in the order for all sets alike."""
+    rows = split_rows(table)
+    bits = [np.cumsum(unsqueeze(p[0], np.uint32).astype(np.int64)) for _, _, p in rows]
+    _, place = np.unique(np.concatenate(bits), return_inverse=True)
+    times = np.concatenate([unsqueeze(p[1], np.uint8) for _, _, p in rows])
+    often = np.minimum(np.bincount(place, weights=times), 255).astype(np.uint8)[place]
+    ends = np.cumsum([len(b) for b in bits])
+    return pa.Table.from_batches([rows_of([
+        (block, bucket, [squeeze(often[hi - len(b):hi])]) for (block, bucket, _), b, hi in zip(rows, bits, ends)])])
+
+
+def send_prefixes(buckets: int, words: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = split_rows(table)
+        block = SetBlock(next(p for _, b, p in rows if b < 0), words)
+        order, _, _ = block.dealt(buckets)
+        often = np.zeros(len(order), np.int64)
+        told = [unsqueeze(p[0], np.uint8) for _, b, p in sorted((r for r in rows if r[1] >= 0), key=lambda r: r[1])]
+        often[order] = np.concatenate([np.zeros(0, np.uint8), *told])
+        grams, at, hung = combine(block.nodes, block.prefixes(often, percent))
+        bucket = (grams.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        begin, sizes = runs(bucket[by])
+        out = [(rows[0][0], int(bucket[by[lo]]), [grams[by[lo:lo + n]].tobytes(), block.nodes[at[by[lo:lo + n]]].tobytes(), b""])
+               for lo, n in zip(begin, sizes)]
+        if len(hung):
+            out.append((rows[0][0], rows[0][0] % buckets, [b"", b"", hung.tobytes()]))
+        return pa.Table.from_batches([rows_of(out)])
+    return run
+
+
+def hang(table: pa.Table) -> pa.Table:
+    """Sets that share an n-gram of their prefixes hang on the smallest of them."""
+    rows = split_rows(table)
+    grams, nodes, hung = (np.frombuffer(b"".join(p[i] for _, _, p in rows), np.int64) for i in range(3))
+    order = np.lexsort((nodes, grams))
+    grams, nodes = grams[order], nodes[order]
+    first = np.ones(len(order), bool)
+    first[1:] = grams[1:] != grams[:-1]
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    pairs = np.concatenate([np.stack([nodes[~first], nodes[lead[~first]]], 1), hung.reshape(-1, 2)])
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def combine(nodes: np.ndarray, signatures: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,63 +318,32 @@ def near_duplicates(
     the graph. Other columns are not read.
     """
     spark = docs.sparkSession
-    classes = SizeClasses(percent)
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def describe(batches):
-        for batch in by_bytes(batches):
-            hashes, starts = shingle_sets(batch.column(1), words)
-            keys = set_keys(hashes, starts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array([None if k is None else node_of(k) for k in keys], pa.int64())],
-                ["doc_id", "n_shingles", "key", "node"])
+        for batch in batches:
+            for _, _, parts in split_rows(pa.Table.from_batches([batch])):
+                block = SetBlock(parts, words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.doc_ids, pa.int64(), mask=block.nulls), pa.array(np.diff(block.starts), pa.int64()),
+                     pa.array(block.keys, pa.binary()),
+                     pa.array([None if k is None else node_of(k) for k in block.keys], pa.int64())],
+                    ["doc_id", "n_shingles", "key", "node"])
+
+    def stored(df: DataFrame, purpose: str) -> DataFrame:
+        folder = shared_dir(spark, purpose)
+        df.write.option("compression", "none").parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
 
-    def sign(batches):
-        seen: set[bytes] = set()
-        for batch in by_bytes(batches):
-            hashes, starts = shingle_sets(batch.column(1), words)
-            keys, fresh = set_keys(hashes, starts), []
-            for i, key in enumerate(keys):
-                if key is not None and key not in seen:
-                    seen.add(key)
-                    fresh.append(i)
-            nodes = np.array([node_of(keys[i]) for i in fresh], np.int64)
-            signatures, at, hung = combine(nodes, classes.signatures(hashes, starts, np.array(fresh, np.int64)))
-            dealt = (signatures.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(dealt, kind="stable")
-            cuts = np.searchsorted(dealt[order], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cuts))
-            rows = [order[cuts[b]:cuts[b + 1]] for b in used]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int64()), pa.array([signatures[r].tobytes() for r in rows], pa.binary()),
-                 pa.array([nodes[at[r]].tobytes() for r in rows], pa.binary()),
-                 pa.array([hung.tobytes() if i == 0 else b"" for i in range(len(rows))], pa.binary())],
-                ["bucket", "signatures", "nodes", "hung"])
-
-    def hang(table: pa.Table) -> pa.Table:
-        """Sets that share a signature hang on the smallest of them."""
-        signatures, nodes, hung = (
-            np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("signatures", "nodes", "hung"))
-        order = np.lexsort((nodes, signatures))
-        signatures, nodes = signatures[order], nodes[order]
-        first = np.ones(len(order), bool)
-        first[1:] = signatures[1:] != signatures[:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        pairs = np.unique(np.concatenate([np.stack([nodes[~first], nodes[lead[~first]]], 1), hung.reshape(-1, 2)]), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    folder = shared_dir(spark, "ngram-sets")
     texts_of = docs.select(F.col(id_col).cast(LongType()).alias("doc_id"), F.col(text_col).alias("text"))
-    texts_of.mapInArrow(describe, "doc_id long, n_shingles long, key binary, node long").write.parquet(folder)
-    sets = spark.read.parquet(folder)
+    blocks = stored(texts_of.mapInArrow(make_blocks, HISTORY), "ngram-blocks")
+    sets = stored(blocks.mapInArrow(describe, "doc_id long, n_shingles long, key binary, node long"), "ngram-sets")
     by_class = sets.where("key is not null and doc_id is not null").groupBy("key").agg(
         F.min("doc_id").alias("class_id"), F.min("node").alias("node"), F.min("n_shingles").alias("n_shingles"))
-    signed = texts_of.where("doc_id is not null").mapInArrow(
-        sign, "bucket long, signatures binary, nodes binary, hung binary")
-    hung = signed.groupBy("bucket").applyInArrow(hang, "a long, b long")
+    counted = blocks.mapInArrow(send_grams(buckets, words), HISTORY).groupBy("bucket").applyInArrow(count_grams, HISTORY)
+    hung = (blocks.union(counted).groupBy("block").applyInArrow(send_prefixes(buckets, words, percent), HISTORY)
+            .groupBy("bucket").applyInArrow(hang, "a long, b long"))
     clusters = components(hung)
 
     member = by_class.join(clusters, by_class["node"] == clusters["id"]).select(
