@@ -10,7 +10,7 @@ from gridlake.plans.chunking import _CLEAN_SQL, LINE_CHUNKS_CTE, line_chunks, ra
 from gridlake.plans.conversations import PAIRS_CTE, _pairs
 from gridlake.plans.registry import query, spread, table
 from gridlake.sources import exports, manifest, plaintext, readers, store
-from gridlake.sources.delimited import parse_delimited, read_delimited, read_large_delimited
+from gridlake.sources.delimited import parse_delimited, read_delimited
 from gridlake.sources.scratch import shared_dir
 from gridlake.sources.workbook import parse_workbooks
 from gridlake.streaming.ingest import ingest_tables
@@ -46,12 +46,23 @@ def s01(spark, sf):
     return _joined(read_delimited(spark, root), _doc_of_folder())
 
 
-@query("s01_csv_scan_by_lines", f"WITH {fx.GRID_CTE} SELECT document_id, row_index, {_JOINED} AS line FROM grid")
-def s01_lines(spark, sf):
-    """The path for files of any size: split by lines, numbered by block counts."""
-    root = shared_dir(spark, "csv")
-    ff.write_csv_files(fx.orders_grid(spark, sf), 8, root)
-    return _joined(read_large_delimited(spark, [root]), _doc_of_folder())
+@query("s01_quoted_breaks_split", f"""WITH {fx.GRID_CTE}
+SELECT document_id, row_index, array_to_string([coalesce(x, '<null>') FOR x IN cells[1:7]], '|') || '|'
+  || coalesce(cells[8] || '",' || chr(10) || cells[3], '<null>') AS line FROM grid""")
+def s01_split(spark, sf):
+    """The same files cut into blocks of a few lines, whose borders fall into quotes."""
+    root, out = shared_dir(spark, "csv"), shared_dir(spark, "csv-rows")
+    ff.write_csv_files(_noted(fx.orders_grid(spark, sf)), 8, root)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "3001")
+        spark.conf.set(names[1], "100")
+        _joined(read_delimited(spark, root), _doc_of_folder()).write.parquet(out)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    return spark.read.parquet(out)
 
 
 @query("s02_tsv_scan", """SELECT 'u' || user_id || '_' || event_id // 5000 AS document_id,

@@ -7,10 +7,10 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.functions import fixed_values as fv
+from gridlake.sources.scratch import shared_dir
 
 ROWS_SCHEMA = "path string, sheet_idx int, sheet_name string, row_index bigint, cells array<string>"
 
@@ -25,7 +25,8 @@ def _rows(path: str, content: bytes, sep: str) -> pd.DataFrame:
 
 
 def parse_delimited(contents: DataFrame, sep: str) -> DataFrame:
-    """Rows of files given as (path, content); each file is one bounded upload."""
+    """Rows of files given as (path, content); each file is one bounded upload. The same rows
+    as from read_delimited."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -35,56 +36,165 @@ def parse_delimited(contents: DataFrame, sep: str) -> DataFrame:
     return contents.select("path", "content").mapInPandas(run, ROWS_SCHEMA)
 
 
-def read_delimited(
-    spark: SparkSession, path: str, sep: str = ",", glob: str = "*.csv",
-    max_bytes: int = fv.MAX_UPLOAD_BYTES,
-) -> DataFrame:
-    """All matching files. Files up to the upload limit are parsed whole, one task each;
-    larger ones are split by lines. The size test is pushed to the listing, so content is
-    read only for the files that pass it."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true").load(path))
-    small = parse_delimited(files.where(F.col("length") <= max_bytes), sep)
-    large = [r["path"] for r in files.where(F.col("length") > max_bytes).select("path").collect()]
-    return small.unionByName(read_large_delimited(spark, large, sep)) if large else small
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", glob: str = "*.csv") -> DataFrame:
+    """All matching files, of any size, split over tasks; a record may span lines.
 
-
-def read_large_delimited(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """Rows of files of any size, split over tasks. A record must not span lines.
-
-    Line numbers come from line counts per file block: the counts are one small row per
-    block, so neither a sort nor a shuffle of the lines is needed.
+    A line break ends a record unless it stands in quotes, which depends on all that comes
+    before it. Every block of a file is therefore read twice. First it says, for both cases
+    of its beginning, how it ends and how many records end in it: one small row per block.
+    These rows give each block its true beginning and first record number. Then the blocks
+    are cut into records; a record over a block's border is put together from its pieces.
     """
-    lines = spark.read.text(paths, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"), "value")
-    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = lines.join(offsets, ["path", "block"]).select(
-        "path", (F.col("mid") - F.col("first") + F.col("offset") + 1).alias("row_index"),
-        F.regexp_replace("value", "^\\x{FEFF}|\r\\z", "").alias("value"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cells = [
-                [v or None for v in next(csv.reader([line], delimiter=sep), [])]
-                for line in batch["value"]]
-            yield pd.DataFrame({
-                "path": batch["path"], "sheet_idx": 0, "sheet_name": "Sheet1",
-                "row_index": batch["row_index"], "cells": cells})
-
-    parsed = numbered.mapInPandas(run, ROWS_SCHEMA)
-    width = parsed.groupBy("path").agg(F.max(F.size("cells")).alias("w"))
-    return parsed.join(width, "path").select(
-        "path", "sheet_idx", "sheet_name", "row_index",
+    lines = (
+        spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+        .text(path, lineSep="\n").select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("mid"), F.col("value").cast("binary").alias("line")))
+    blocks = lines.mapInPandas(lambda batches: _survey(batches, sep), _SURVEY).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("block", "outside", "inside"))).alias("blocks"))
+    starts = blocks.select("path", F.explode(F.aggregate(
+        "blocks", F.expr(f"named_struct('open', false, 'ends', 0L, 'done', cast(array() as {_STARTS}))"),
+        _follow, lambda s: s["done"])).alias("s")).select("path", "s.*")
+    starts = _written(starts, "csv-blocks")
+    known = starts.select("path", "block", "open", "ends")
+    cut = lines.groupBy("path", "block").cogroup(known.groupBy("path", "block")).applyInPandas(
+        lambda own, start: _records(own, start, sep),
+        "path string, record bigint, block bigint, piece string, cells array<string>")
+    cut = _written(cut, "csv-records")
+    pieces = cut.where("piece IS NOT NULL").groupBy("path", "record").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    joined = pieces.mapInPandas(lambda batches: _joined(batches, sep), "path string, record bigint, cells array<string>")
+    width = starts.groupBy("path").agg(F.max("width").alias("w")).join(
+        joined.groupBy("path").agg(F.max(F.size("cells")).alias("v")), "path", "left").select(
+        "path", F.greatest("w", "v").alias("w"))
+    rows = cut.where("piece IS NULL").select("path", "record", "cells").unionByName(joined)
+    return rows.join(width, "path").select(
+        "path", F.lit(0).alias("sheet_idx"), F.lit("Sheet1").alias("sheet_name"), F.col("record").alias("row_index"),
         F.concat("cells", F.array_repeat(
             F.lit(None).cast("string"), F.col("w") - F.size("cells"))).alias("cells"))
 
 
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """Written once for its several readers, so no file is parsed again."""
+    folder = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+_SIDE = "struct<open:boolean,ends:bigint,width:int>"
+_SURVEY = f"path string, block bigint, outside {_SIDE}, inside {_SIDE}"
+_STARTS = "array<struct<block:bigint,open:boolean,ends:bigint,width:int>>"
+
+
+def _follow(state, block):
+    """Fold step: the next block begins where this one ends."""
+    side = F.when(state["open"], block["inside"]).otherwise(block["outside"])
+    here = F.struct(block["block"].alias("block"), state["open"].alias("open"), state["ends"].alias("ends"),
+                    side["width"].alias("width"))
+    return F.struct(side["open"].alias("open"), (state["ends"] + side["ends"]).alias("ends"),
+                    F.array_append(state["done"], here).alias("done"))
+
+
+def _pieces(line: bytes, first: bool) -> list[str]:
+    """A line of the file with its break, cut at breaks of the other kind."""
+    text = line.decode("utf-8")
+    if first:
+        text = text.removeprefix("\ufeff")
+    if "\r" not in text:
+        return [text + "\n"]
+    return list(io.StringIO(text + "\n", newline=""))
+
+
+def _stays_open(piece: str, is_open: bool, sep: str) -> bool:
+    """Whether the break at the end of a piece stands in quotes, given its beginning."""
+    if '"' not in piece:
+        return is_open
+    after = csv.reader(['"' + piece if is_open else piece, "end"], delimiter=sep)
+    return sum(1 for _ in after) < 2
+
+
+def _parse(text: str, sep: str) -> list[str | None]:
+    return [v or None for v in next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])]
+
+
+class _Cutter:
+    """Follows lines from one beginning. A record that began before is passed over."""
+
+    def __init__(self, is_open: bool, sep: str):
+        self.open, self.head, self.sep = is_open, is_open, sep
+        self.ends, self.width, self.held = 0, 0, []
+
+    def take(self, piece: str) -> str | None:
+        """The record that ends with this piece, if one does and it began here."""
+        self.open = _stays_open(piece, self.open, self.sep)
+        if not self.head:
+            self.held.append(piece)
+        if self.open:
+            return None
+        self.ends += 1
+        text, self.held = "".join(self.held), []
+        if self.head:
+            self.head = False
+            return None
+        return text
+
+    def measure(self, piece: str) -> None:
+        text = self.take(piece)
+        if text is not None:
+            n = len(_parse(text, self.sep)) if '"' in text else 0 if not text.strip("\r\n") else text.count(self.sep) + 1
+            self.width = max(self.width, n)
+
+    def result(self) -> dict:
+        return {"open": self.open, "ends": self.ends, "width": self.width}
+
+
+def _survey(batches: Iterator[pd.DataFrame], sep: str) -> Iterator[pd.DataFrame]:
+    found: dict[tuple[str, int], tuple[_Cutter, _Cutter]] = {}
+    for batch in batches:
+        for path, block, line in zip(batch["path"], batch["block"], batch["line"]):
+            key = (path, block)
+            new = key not in found
+            if new:
+                found[key] = _Cutter(False, sep), _Cutter(True, sep)
+            for piece in _pieces(line, new and block == 0):
+                for cutter in found[key]:
+                    cutter.measure(piece)
+    yield pd.DataFrame(
+        [(*key, outside.result(), inside.result()) for key, (outside, inside) in found.items()],
+        columns=["path", "block", "outside", "inside"])
+
+
+def _records(lines: pd.DataFrame, start: pd.DataFrame, sep: str) -> pd.DataFrame:
+    """Records of one block, and the pieces of those that cross its borders."""
+    path, block = start["path"].iloc[0], start["block"].iloc[0]
+    record = int(start["ends"].iloc[0]) + 1
+    cutter, head, out = _Cutter(bool(start["open"].iloc[0]), sep), [], []
+    for i, line in enumerate(lines.sort_values("mid")["line"]):
+        for piece in _pieces(line, i == 0 and block == 0):
+            crossing = cutter.head
+            if crossing:
+                head.append(piece)
+            before = cutter.ends
+            text = cutter.take(piece)
+            if text is not None:
+                out.append((path, record, block, None, _parse(text, sep)))
+            elif crossing and not cutter.head:
+                out.append((path, record, block, "".join(head), None))
+            record += cutter.ends - before
+    rest = head if cutter.head else cutter.held
+    if rest:
+        out.append((path, record, block, "".join(rest), None))
+    return pd.DataFrame(out, columns=["path", "record", "block", "piece", "cells"])
+
+
+def _joined(batches: Iterator[pd.DataFrame], sep: str) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({
+            "path": batch["path"], "record": batch["record"],
+            "cells": [_parse(t, sep) for t in batch["text"]]})
+
+
 def as_grid(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Grid of parsed rows; manifest has path, document_id, user_id, filename, file_type."""
     return rows.join(manifest, "path").select(

@@ -13,7 +13,7 @@ from gridlake.operators import chunks as ch
 from gridlake.operators.embedder import embed_texts
 from gridlake.plans.file_fixtures import xlsx_bytes
 from gridlake.sources import plaintext, readers, store
-from gridlake.sources.delimited import read_delimited, read_large_delimited
+from gridlake.sources.delimited import parse_delimited, read_delimited
 from gridlake.sources.workbook import read_workbooks, workbook_rows
 from gridlake.streaming.jobs import new_files, run_each_batch
 
@@ -30,23 +30,27 @@ def test_csv_quotes_bom_ragged_blank(spark, tmp_path):
         ("f.csv", 3): [None, None, None], ("f.csv", 4): ["1", None, "3"]}
 
 
-def test_large_path_equals_whole_files(spark, tmp_path):
+def test_split_files_equal_whole_files(spark, tmp_path):
     rng = random.Random(1)
-    for name, n in (("a.csv", 4000), ("b.csv", 3), ("c.csv", 700)):
+    for name, n in (("a.csv", 900), ("b.csv", 3), ("c.csv", 200)):
         out = io.StringIO()
-        csv.writer(out).writerows([[f"{name}{i}", 'q"' * (i % 3), "x" * rng.randint(1, 60)] for i in range(n)])
-        (tmp_path / name).write_text("﻿" + out.getvalue(), encoding="utf-8", newline="")
-    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-        large = grid_rows(read_large_delimited(spark, [str(tmp_path)]))
-        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
-        by_size = grid_rows(read_delimited(spark, str(tmp_path), max_bytes=10_000))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
-    whole = grid_rows(read_delimited(spark, str(tmp_path)))
-    assert large == whole
-    assert by_size == whole
+        csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"])).writerows(
+            [[f"{name}{i}", 'q"' * (i % 3) + "\n,é" * (i % 4), "x" * rng.randint(1, 60)][:1 + i % 3] for i in range(n)])
+        (tmp_path / name).write_text("\ufeff" + out.getvalue(), encoding="utf-8", newline="")
+    (tmp_path / "d.csv").write_bytes(b'a,b\n"x\ny",2\n3,4')
+    (tmp_path / "e.csv").write_bytes(b'5" pipe,"6"" pipe"\rlone,cr\n' + b'"long\n' + b"l\n" * 3000 + b'end",1\nz,9\n')
+    contents = spark.read.format("binaryFile").load(str(tmp_path))
+    whole = grid_rows(parse_delimited(contents, ","))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for size in ("1000", "7000", "134217728"):
+        try:
+            spark.conf.set(names[0], size)
+            spark.conf.set(names[1], "100")
+            assert grid_rows(read_delimited(spark, str(tmp_path))) == whole
+        finally:
+            for n, v in zip(names, before):
+                spark.conf.set(n, v)
 
 
 def test_workbook_sheets_gaps_and_dates(spark, tmp_path):
