@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from gridlake.llm.arrow import texts
 
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 300_000
 KEPT_BYTES = 64
 JOINED_PIECES = 4096
 JOINED_CHARS = 1 << 18
