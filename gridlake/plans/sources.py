@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridlake.operators.embedder import embed_texts, hashed_words
 from gridlake.operators.typed import infer
 from gridlake.plans import evaluation as ep
 from gridlake.plans import file_fixtures as ff
@@ -186,25 +187,44 @@ def s09_json(spark, sf):
         F.get_json_object("json", "$.columns[3].technical_name").alias("fourth_column"))
 
 
-@query("s10_chunk_sink", f"""WITH {LINE_CHUNKS_CTE} SELECT collection, user_id, count(*) AS n, sum(length(content))::BIGINT AS chars
-FROM line_chunks GROUP BY ALL""")
+@query("s10_chunk_sink", f"""WITH {LINE_CHUNKS_CTE} SELECT collection, user_id, count(*) AS n, sum(length(content))::BIGINT AS chars,
+  sum(8)::BIGINT AS numbers FROM line_chunks GROUP BY ALL""")
 def s10(spark, sf):
-    """Two batches are published, a refused third one leaves no trace."""
+    """Two portions with vectors are added; a third of another dimension is refused."""
     root = shared_dir(spark, "chunks")
-    chunks = line_chunks(spark, sf)
-
-    def refuse(written):
-        raise ValueError(f"refused {written.limit(1).count()}")
-
-    store.write_batch(chunks.where("user_id < '3'"), root, ["collection"])
-    store.write_batch(chunks.where("user_id >= '3'"), root, ["collection"])
+    chunks = embed_texts(_chunks_with_id(spark, sf), "content", hashed_words(8))
+    store.add_chunks(chunks.where("user_id < '3'"), root)
+    store.add_chunks(chunks.where("user_id >= '3'"), root)
     try:
-        store.write_batch(chunks, root, ["collection"], check=refuse)
+        store.add_chunks(chunks.withColumn("embedding", F.slice("embedding", 1, 4)), root)
+        raise AssertionError("the third portion must be refused")
     except ValueError:
         pass
-    return store.read_store(spark, root).groupBy(
-        F.col("collection").cast("string"), "user_id"
-    ).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+    return store.read_chunks(spark, root).groupBy("collection", "user_id").agg(
+        F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"),
+        F.sum(F.size("embedding")).cast("bigint").alias("numbers"))
+
+
+def _chunks_with_id(spark, sf):
+    return line_chunks(spark, sf).withColumn("id", F.concat_ws("_", "document_id", F.col("chunk_index").cast("string")))
+
+
+@query("e17_store_changes", f"""WITH {LINE_CHUNKS_CTE}, n AS (SELECT *, substr(document_id, 2)::BIGINT AS doc FROM line_chunks)
+SELECT collection, user_id, document_id, count(*) AS n_chunks, max(CASE WHEN doc % 5 = 1 THEN 'v2 ' || content ELSE content END) AS last_content
+FROM n WHERE doc % 5 <> 3 AND user_id <> '6' AND (doc % 5 <> 1 OR chunk_index < 3) GROUP BY ALL""")
+def e17_store(spark, sf):
+    """A stored version is replaced for some documents, others and one whole user go."""
+    root = shared_dir(spark, "versions")
+    chunks = _chunks_with_id(spark, sf)
+    number = F.substring("document_id", 2, 18).cast("bigint")
+    store.replace_documents(chunks, root)
+    fresh = chunks.where((number % 5 == 1) & (F.col("chunk_index") < 3)).withColumn(
+        "content", F.concat(F.lit("v2 "), "content"))
+    store.replace_documents(fresh, root)
+    doomed = chunks.where((number % 5 == 3) | (F.col("user_id") == "6"))
+    store.delete_documents(doomed.select("collection", "user_id", "document_id").distinct(), root)
+    return store.read_chunks(spark, root).groupBy("collection", "user_id", "document_id").agg(
+        F.count("*").alias("n_chunks"), F.max("content").alias("last_content"))
 
 
 @query("s11_report_sink", f"""WITH {ep.CHECKED_CTE}

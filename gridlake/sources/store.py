@@ -1,14 +1,11 @@
 """Parquet stores for chunks, vectors and sheet models.
 
-A store is a folder of batches. A batch counts only once its id is listed in the folder
-`published`, which is written last; an aborted or refused batch is never read.
+A store is a partitioned Parquet table. A write replaces the partitions it holds rows of, in
+one job commit; a failed or repeated write leaves or gives the same table.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,70 +13,97 @@ from pyspark.sql import functions as F
 from gridlake.operators.typed import SheetModel
 from gridlake.operators.vectors import dimension_check
 
-_LOG = "batch string, kind string, at bigint"
+#: Documents of a collection and user share this many partitions.
+BUCKETS = 64
+CHUNK_KEYS = ["collection", "user_id", "bucket"]
+DOCUMENT_KEYS = ["collection", "user_id", "document_id"]
 
 
-def _publish(spark: SparkSession, root: str, batch: str, kind: str) -> None:
-    row = [(batch, kind, time.time_ns())]
-    spark.createDataFrame(row, _LOG).coalesce(1).write.mode("append").json(f"{root}/published")
+def write_partitions(df: DataFrame, root: str, partition_by: list[str]) -> None:
+    """Replace the partitions that df has rows of."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(root))
 
 
-def write_batch(
-    df: DataFrame, root: str, partition_by: list[str] | None = None, replace: bool = False,
-    check=None, batch: str | None = None,
-) -> str:
-    """Write df as one batch and publish it; replace=True makes it the whole store.
+def read_store(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root)
 
-    check(written) may raise to refuse the batch. The default name is new per call; a
-    caller that may repeat a batch after a failure passes its own name.
-    """
-    spark = df.sparkSession
-    batch = batch or uuid.uuid4().hex
-    target = f"{root}/data/batch={batch}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    if check is not None:
-        check(spark.read.parquet(target))
-    _publish(spark, root, batch, "replace" if replace else "append")
-    return batch
-
-
-def published_batches(spark: SparkSession, root: str) -> list[str]:
-    """Batches that make up the store, from the last replacement on."""
+
+def _exists(spark: SparkSession, root: str) -> bool:
     try:
-        log = spark.read.schema(_LOG).json(f"{root}/published").orderBy("at").collect()
+        spark.read.parquet(root)
     except AnalysisException:
-        return []
-    start = max((i for i, r in enumerate(log) if r["kind"] == "replace"), default=0)
-    return list(dict.fromkeys(r["batch"] for r in log[start:]))
+        return False
+    return True
 
 
-def read_store(spark: SparkSession, root: str) -> DataFrame:
-    paths = [f"{root}/data/batch={b}" for b in published_batches(spark, root)]
-    if not paths:
-        raise FileNotFoundError(f"no published batch in {root}")
-    return spark.read.option("basePath", f"{root}/data").parquet(*paths).drop("batch")
+def read_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """All chunks; an emptied partition keeps one row without id, which is left out."""
+    rows = read_store(spark, f"{root}/chunks").where("id IS NOT NULL").drop("bucket")
+    return rows.withColumn("user_id", F.col("user_id").cast("string")).withColumn(
+        "collection", F.col("collection").cast("string"))
 
 
-def add_chunks(chunks: DataFrame, root: str, vec_col: str = "embedding") -> str:
-    """Append chunks with vectors, all or nothing.
+def _bucket():
+    return F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS))
 
-    The written batch is checked before it is published: every chunk has a vector, and the
-    vectors fit the dimension their collection already has.
-    """
-    spark = chunks.sparkSession
-    stored = read_store(spark, root) if published_batches(spark, root) else None
 
-    def check(written: DataFrame) -> None:
-        missing = written.where(F.col(vec_col).isNull() | (F.size(vec_col) <= 0))
-        if not missing.isEmpty():
-            raise ValueError("chunks without a vector")
-        known = written.limit(0) if stored is None else stored
-        unfit = dimension_check(known, written, vec_col).where("NOT compatible").take(5)
-        if unfit:
-            raise ValueError(f"vector dimension differs: {[r.asDict() for r in unfit]}")
+def add_chunks(chunks: DataFrame, root: str, vec_col: str = "embedding") -> None:
+    """Add chunks with vectors, all or nothing; documents that are there are replaced whole.
 
-    return write_batch(chunks, root, ["collection"], check=check)
+    One aggregate over the new chunks checks that each has a vector and that the vectors fit
+    the dimension kept for their collection; stored vectors are not read for it.
+    """
+    spark = chunks.sparkSession
+    known = f"{root}/dimensions"
+    found = chunks.groupBy("collection").agg(
+        F.count_if(F.col(vec_col).isNull() | (F.size(vec_col) <= 0)).alias("missing"),
+        F.min(F.size(vec_col)).alias("low"), F.max(F.size(vec_col)).alias("high"))
+    if _exists(spark, known):
+        kept = read_store(spark, known).select(F.col("collection").cast("string"), "dim")
+        found = found.join(kept, "collection", "left")
+    else:
+        found = found.withColumn("dim", F.lit(None).cast("int"))
+    unfit = found.where(
+        "missing > 0 OR low <> high OR low <> coalesce(dim, low)").take(5)
+    if unfit:
+        raise ValueError(f"chunks without a vector, or of another dimension: {[r.asDict() for r in unfit]}")
+    new = found.where("dim IS NULL").select("collection", F.col("low").alias("dim")).collect()
+    replace_documents(chunks, root)
+    if new:
+        write_partitions(spark.createDataFrame(new, "collection string, dim int"), known, ["collection"])
+
+
+def replace_documents(fresh: DataFrame, root: str, gone: DataFrame | None = None) -> None:
+    """Store in which the documents of `fresh` exist in this version only, and those of
+    `gone` (collection, user_id, document_id) not at all.
+
+    Only the partitions of these documents are read and written; a failed write leaves the
+    old version.
+    """
+    spark = fresh.sparkSession
+    fresh = fresh.withColumn("bucket", _bucket())
+    touched = fresh.select(*DOCUMENT_KEYS, "bucket")
+    if gone is not None:
+        touched = touched.unionByName(gone.select(*DOCUMENT_KEYS).withColumn("bucket", _bucket()))
+    touched = touched.distinct()
+    parts = touched.select(*CHUNK_KEYS).distinct()
+    rows = fresh
+    if _exists(spark, f"{root}/chunks"):
+        old = read_store(spark, f"{root}/chunks").withColumns({
+            "collection": F.col("collection").cast("string"), "user_id": F.col("user_id").cast("string")})
+        kept = old.where("id IS NOT NULL").join(parts, CHUNK_KEYS, "left_semi").join(
+            touched.select(*DOCUMENT_KEYS), DOCUMENT_KEYS, "left_anti")
+        rows = kept.withColumn("bucket", F.col("bucket").cast("bigint")).unionByName(fresh, allowMissingColumns=True)
+    rows = rows.unionByName(parts, allowMissingColumns=True)
+    write_partitions(rows, f"{root}/chunks", CHUNK_KEYS)
+
+
+def delete_documents(doomed: DataFrame, root: str) -> None:
+    """Take documents (collection, user_id, document_id) out of the store."""
+    spark = doomed.sparkSession
+    none = read_chunks(spark, root).limit(0)
+    replace_documents(none, root, doomed)
 
 
 def save_model(model: SheetModel, root: str) -> None:
@@ -87,7 +111,7 @@ def save_model(model: SheetModel, root: str) -> None:
     owners = model.tables.select("document_id", "sheet_idx", "user_id")
     columns = model.columns.join(owners, ["document_id", "sheet_idx"])
     for name, df in (("grid", model.grid), ("tables", model.tables), ("columns", columns)):
-        write_batch(df, f"{root}/{name}", ["user_id"], replace=True)
+        write_partitions(df, f"{root}/{name}", ["user_id"])
 
 
 def load_model(spark: SparkSession, root: str, user_id: str | None = None) -> SheetModel:

@@ -11,7 +11,7 @@ from gridlake.operators.chunks import guard_size, table_chunks
 from gridlake.operators.typed import infer
 from gridlake.sources.delimited import as_grid
 from gridlake.sources.readers import read_contents
-from gridlake.sources.store import read_store, write_batch
+from gridlake.sources.store import read_store, write_partitions
 from gridlake.streaming.jobs import new_files, run_each_batch
 
 
@@ -23,22 +23,24 @@ def ingest_tables(
 
     identify maps the path column to document_id, user_id, filename and file_type. The
     parsed grid is written first, so later steps read a table and not the files again. The
-    batch number names the batch, so a repeated batch overwrites itself.
+    batch number is a partition of all three tables, so a repeated batch replaces itself.
     """
 
     def handle(files: DataFrame, number: int) -> None:
         session = files.sparkSession
         manifest = files.select("path", *[c.alias(n) for n, c in identify(F.col("path")).items()])
         grid = as_grid(read_contents(files, extensions=[extension]), manifest)
-        name = f"{number:012d}"
-        write_batch(grid, f"{root}/grid", ["user_id"], batch=name)
-        stored = session.read.parquet(f"{root}/grid/data/batch={name}").withColumn(
-            "user_id", F.col("user_id").cast("string"))
+        def put(df: DataFrame, name: str, *keys: str) -> None:
+            write_partitions(df.withColumn("batch", F.lit(number)), f"{root}/{name}", ["batch", *keys])
+
+        put(grid, "grid", "user_id")
+        stored = read_store(session, f"{root}/grid").where(F.col("batch") == number).drop(
+            "batch").withColumn("user_id", F.col("user_id").cast("string"))
         model = infer(stored)
         chunks, rejected = guard_size(table_chunks(stored, model.tables, model.columns))
-        write_batch(rejected, f"{root}/rejected", batch=name)
-        write_batch(chunks, f"{root}/chunks", ["user_id"], batch=name)
+        put(rejected, "rejected")
+        put(chunks, "chunks", "user_id")
 
     files = new_files(spark, inbox, f"*.{extension}", per_batch)
     run_each_batch(files, f"{root}/progress", handle)
-    return read_store(spark, f"{root}/chunks")
+    return read_store(spark, f"{root}/chunks").drop("batch")

@@ -144,7 +144,7 @@ def test_sentence_split_covers_text():
         cut = list(sentence_chunks(text, 90, 15))
         covered = set()
         for start, stop, chunk in cut:
-            assert stop - start <= 90 and chunk == text[start:stop].strip()
+            assert stop - start <= 90 and chunk == (text[start:stop].strip() if len(text) > 90 else text)
             covered.update(range(start, stop))
         assert all(i in covered or text[i].isspace() for i in range(len(text)))
 
@@ -158,34 +158,45 @@ def test_context_pages(spark):
         assert all(len(p) < 100 or "\n" not in p for p in r["p"]) or len(r["t"]) <= 100
 
 
-def test_store_publishes_whole_batches(spark, tmp_path):
-    root = str(tmp_path / "store")
-    first = spark.createDataFrame([("d1", "a"), ("d2", "b")], "document_id string, collection string")
-    with pytest.raises(FileNotFoundError):
-        store.read_store(spark, root)
-    store.write_batch(first, root, ["collection"])
+_CHUNK = "id string, collection string, user_id string, document_id string, content string"
 
-    def refuse(written):
-        raise ValueError("no")
 
-    with pytest.raises(ValueError):
-        store.write_batch(first, root, ["collection"], check=refuse)
-    assert store.read_store(spark, root).count() == 2
-    store.write_batch(first.limit(1), root, ["collection"])
-    assert store.read_store(spark, root).count() == 3
-    store.write_batch(first.limit(1), root, ["collection"], replace=True)
-    assert store.read_store(spark, root).count() == 1
+def test_store_replaces_documents_and_keeps_the_old_version(spark, tmp_path):
+    root = str(tmp_path / "store")
+    first = spark.createDataFrame([(f"d{d}_{i}", "c", "u", f"d{d}", "old") for d in (1, 2, 3) for i in (0, 1)], _CHUNK)
+    store.replace_documents(first, root)
+    store.replace_documents(first, root)
+    fresh = spark.createDataFrame([("d1_0", "c", "u", "d1", "new")], _CHUNK)
+
+    def held():
+        return sorted((r["id"], r["content"]) for r in store.read_chunks(spark, root).collect())
+
+    before = held()
+    assert len(before) == 6
+    with pytest.raises(Exception):  # noqa: B017
+        store.replace_documents(fresh.withColumn("content", F.raise_error(F.lit("lost")).cast("string")), root)
+    assert held() == before
+    store.replace_documents(fresh, root)
+    assert held() == [("d1_0", "new")] + [r for r in before if not r[0].startswith("d1")]
+    store.delete_documents(first.select("collection", "user_id", "document_id").distinct(), root)
+    assert held() == []
+    store.replace_documents(fresh, root)
+    assert held() == [("d1_0", "new")]
 
 
 def test_add_chunks_guards_vectors(spark, tmp_path):
     root = str(tmp_path / "vectors")
-    schema = "id string, collection string, embedding array<double>"
-    store.add_chunks(spark.createDataFrame([("a", "c1", [1.0, 2.0])], schema), root)
-    store.add_chunks(spark.createDataFrame([("b", "c2", [1.0])], schema), root)
+    schema = "id string, document_id string, user_id string, collection string, embedding array<double>"
+
+    def add(*rows):
+        store.add_chunks(spark.createDataFrame([(i, i, "u", c, v) for i, c, v in rows], schema), root)
+
+    add(("a", "c1", [1.0, 2.0]))
+    add(("b", "c2", [1.0]))
     for bad in ([("x", "c1", [1.0])], [("x", "c1", None)], [("x", "c3", [1.0]), ("y", "c3", [1.0, 2.0])]):
         with pytest.raises(ValueError):
-            store.add_chunks(spark.createDataFrame(bad, schema), root)
-    assert sorted(r["id"] for r in store.read_store(spark, root).collect()) == ["a", "b"]
+            add(*bad)
+    assert sorted(r["id"] for r in store.read_chunks(spark, root).collect()) == ["a", "b"]
 
 
 def test_json_safe_values(spark):
