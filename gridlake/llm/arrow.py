@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def texts(column: pa.Array) -> pa.Array:
@@ -15,10 +16,6 @@ def texts(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def byte_lengths(column: pa.Array) -> np.ndarray:
-    return np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1])
-
-
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a column of large strings, without a copy."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
@@ -34,8 +31,10 @@ def by_bytes(
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = byte_lengths(texts(batch.column(batch.schema.get_field_index(column))))
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)
+        sizes = lengths.to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(sizes + 64) - 1) // limit
         cuts = np.flatnonzero(np.diff(part)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()

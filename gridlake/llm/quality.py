@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from gridlake.llm.arrow import by_bytes, raw_bytes, texts
 
 #: At most so many labelled rows are used to fit, chosen by a hash of the id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 NGRAMS = (3, 4, 5)
 DIMENSIONS = 8
 EPOCHS = 8
 RATE = 1.0
+#: Bytes of text that are scored together.
+SCORE_BYTES = 2 << 20
 AGAIN = zlib.crc32(b"\0again") % BUCKETS
 
 
@@ -124,7 +126,7 @@ def train(labelled: pa.Table, seed: int = 7) -> Model:
             ids = np.concatenate((bucket[at], [AGAIN]))
             used, place = np.unique(ids, return_inverse=True)
             share = np.bincount(place, weights=np.concatenate((np.repeat(times, size), [again[i]])))
-            rows.append((used, (share / max(1.0, share.sum())).astype(np.float32)))
+            rows.append((used.astype(np.int32), (share / max(1.0, share.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = np.zeros((DIMENSIONS, 2), np.float32)
@@ -180,7 +182,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "t
     place, shared = own.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in by_bytes(batches, text_col):
+        for batch in by_bytes(batches, text_col, SCORE_BYTES):
             columns = batch.columns
             columns[-1] = pa.array(shared.value.score(batch.column(place)), pa.float64())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

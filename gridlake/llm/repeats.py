@@ -34,7 +34,7 @@ from gridlake.sources.scratch import shared_dir
 LENGTH = 200
 GRAM = 100
 HOT = 2000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SEGMENT = 2 << 20
 #: What becomes of an entry.
 ALONE, REPEATED, COMPARED, HASHED, REPEATED_COMPARED, REPEATED_HASHED = range(6)
