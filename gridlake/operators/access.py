@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import fixed_values as fv
+from gridlake.functions.a1 import col_letter
 from gridlake.functions.text import compact, one_line
 from gridlake.operators.grid import SHEET_KEYS, data_rows, to_cells
 
@@ -87,6 +88,17 @@ def lookup_in_column(
     return keyed.join(asked, "__key").drop("__key")
 
 
+def _matching_rows(rows: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with an asked key in a cell, once per request. Only (sheet, row, key) meets the
+    requests; whole rows are fetched for what was found."""
+    cells = to_cells(rows).select(
+        *SHEET_KEYS, "row_index", "col_index", compact(F.col("value")).alias("__key"))
+    found = cells.where(F.col("__key").isNotNull()).join(asked, [*on, "__key"])
+    if "__column" in asked.columns:
+        found = found.where(F.col("__column").isNull() | (F.col("__column") == F.col("col_index")))
+    return rows.join(found.select("request_id", *SHEET_KEYS, "row_index").distinct(), [*SHEET_KEYS, "row_index"])
+
+
 def lookup_anywhere(rows: DataFrame, requests: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Rows with a requested value in any column; a row matches a request once.
 
@@ -94,9 +106,20 @@ def lookup_anywhere(rows: DataFrame, requests: DataFrame, on: list[str] | None =
     """
     on = on or []
     asked = requests.withColumn("__key", compact(F.col("value"))).select("request_id", *on, "__key")
-    keys = F.array_distinct(F.transform("cells", compact))
-    keyed = rows.withColumn("__key", F.explode(keys)).where(F.col("__key").isNotNull())
-    return keyed.join(asked, [*on, "__key"]).drop("__key")
+    return _matching_rows(rows, asked, on)
+
+
+def lookup(rows: DataFrame, names: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows of the request's own table with its value in the named column, or in any column
+    if none is named.
+
+    requests: request_id, value, lookup_column (or NULL) and the table keys.
+    """
+    columns = names.select(*SHEET_KEYS, F.col("technical_name").alias("lookup_column"), "col_index")
+    places = columns.groupBy(*SHEET_KEYS, "lookup_column").agg(F.min("col_index").alias("__column"))
+    asked = requests.withColumn("__key", compact(F.col("value"))).join(
+        places, [*SHEET_KEYS, "lookup_column"], "left").select("request_id", *SHEET_KEYS, "__key", "__column")
+    return _matching_rows(rows, asked, SHEET_KEYS)
 
 
 def first_document_with_hit(
@@ -169,32 +192,20 @@ def lookup_targets(mentioned: DataFrame, text: str, request: str = "request_id")
         F.array_join(F.transform(rest, lambda c: c["technical_name"]), ",").alias("return_columns"))
 
 
-def lookup_answers(
-    requests: DataFrame, matches: DataFrame, row_totals: DataFrame, max_listed: int | None = None
-) -> DataFrame:
-    """Answer text per request: none, one value, one record, or a list of records.
+def lookup_answers(requests: DataFrame, matches: DataFrame, row_totals: DataFrame) -> DataFrame:
+    """One answer text per request: none, one value, one record, or a list of records.
 
     requests: request_id, value, lookup_column, sheet_name, table_id and the table keys;
-    matches: request_id, row_index, names, values (arrays of equal length). A request that
-    matches very many rows gets one text per block of records instead of one huge text, so
-    no group grows with the data: block 0 carries the headline.
+    matches: request_id, row_index, names, values (arrays of equal length). An answer is one
+    text, so its records come together in one row.
     """
-    block_size = max_listed or 1000
     lines = F.transform(
         F.arrays_zip(F.col("names").alias("n"), F.col("values").alias("v")),
         lambda p: F.concat(p["n"], F.lit("："), one_line(p["v"])))
-    rows = matches.withColumn("lines", lines)
-    counts = rows.groupBy("request_id").agg(F.count("*").alias("n_matches"))
-    # Blocks follow the row index, so a block holds at most block_size rows of a table.
-    blocks = rows.withColumn("block", F.floor(F.col("row_index") / block_size)).groupBy(
-        "request_id", "block").agg(F.array_sort(F.collect_list(F.struct(
-            "row_index", "lines", "names", "values"))).alias("records"))
-    first = blocks.groupBy("request_id").agg(F.min("block").alias("first_block"))
-    facts = (
-        requests.join(row_totals, SHEET_KEYS)
-        .join(counts, "request_id", "left").join(blocks, "request_id", "left")
-        .join(first, "request_id", "left"))
-    n = F.coalesce("n_matches", F.lit(0))
+    found = matches.withColumn("lines", lines).groupBy("request_id").agg(F.array_sort(F.collect_list(
+        F.struct("row_index", "lines", "names", "values"))).alias("records"))
+    facts = requests.join(row_totals, SHEET_KEYS).join(found, "request_id", "left")
+    n = F.coalesce(F.size("records"), F.lit(0)).cast("bigint")
     subject = F.coalesce(
         F.concat("lookup_column", F.lit(" 为 "), "value"),
         F.concat(F.lit("值「"), "value", F.lit("」")))
@@ -211,19 +222,84 @@ def lookup_answers(
     whole = F.concat(
         F.lit("已为您查到 "), subject, F.lit(" 的信息（行"), where, F.lit("）：\n\n"),
         F.array_join(record["lines"], "\n"))
-    headline = F.when(F.col("block") == F.col("first_block"), F.concat(
+    listed = F.concat(
         F.lit("共找到 "), n.cast("string"), F.lit(" 条与「"), "value", F.lit("」匹配的记录（已完整扫描 "),
-        F.col("row_count").cast("string"), F.lit(" 行）：\n\n"))).otherwise(F.lit(""))
-    listed = F.array_join(
-        F.transform("records", lambda r: F.concat(
-            F.lit("行"), r["row_index"].cast("string"), F.lit("：\n  "),
-            F.array_join(r["lines"], "\n  "), F.lit("\n"))), "\n")
+        F.col("row_count").cast("string"), F.lit(" 行）：\n\n"),
+        F.array_join(F.transform("records", lambda r, i: F.concat(
+            F.lit("记录 "), (i + 1).cast("string"), F.lit("（行"), r["row_index"].cast("string"), F.lit("）：\n  "),
+            F.array_join(r["lines"], "\n  "), F.lit("\n"))), "\n"))
     return facts.select(
-        "request_id", F.coalesce("block", F.lit(0)).alias("block"), n.alias("n_matches"),
+        "request_id", n.alias("n_matches"),
         F.when(n == 0, none)
         .when((n == 1) & (F.size(record["names"]) == 1), single)
         .when(n == 1, whole)
-        .otherwise(F.concat(headline, listed)).alias("answer"))
+        .otherwise(listed).alias("answer"))
+
+
+ENUMERATIONS = ["full_column", "first_n", "last_n", "range"]
+
+
+def question_slices(questions: DataFrame, tables: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """Enumeration questions with the positions low..high they ask for, and their columns.
+
+    questions: request_id, the table keys and the parameters of access_intent; mentioned:
+    request_id, col_index, technical_name. No column means whole rows.
+    """
+    named = mentioned.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("col_index", "technical_name"))).alias("cols"))
+    n, limit = F.col("row_count"), F.greatest(F.col("row_limit"), F.lit(0))
+    first, last = F.least("range_start", "range_end"), F.greatest("range_start", "range_end")
+
+    def by(full, first_n, last_n, ranged):
+        op = F.col("operation")
+        return F.when(op == "first_n", first_n).when(op == "last_n", last_n).when(
+            op == "range", ranged).otherwise(full)
+
+    asked = questions.where(F.col("operation").isin(ENUMERATIONS)).join(
+        tables.select(*SHEET_KEYS, "row_count", "col_count", "sheet_name", "table_id"), SHEET_KEYS)
+    return asked.join(named, "request_id", "left").withColumns({
+        "low": F.greatest(F.lit(1), by(F.lit(1), F.lit(1), n - limit + 1, first)),
+        "high": F.least(n, by(n, limit, n, last)),
+        "label": by(F.lit("全量"), F.concat(F.lit("前"), "row_limit", F.lit("条")),
+                    F.concat(F.lit("最后"), "row_limit", F.lit("条")),
+                    F.concat(F.lit("第"), "range_start", F.lit("到"), "range_end", F.lit("条")))})
+
+
+def question_rows(slices: DataFrame, rows: DataFrame, slot: int = 200) -> DataFrame:
+    """One text line per question and row it asks for, in the form of enumeration_lines.
+
+    Positions meet by slots, so a question for few rows does not meet its whole table.
+    """
+    asked = slices.where("low <= high").select(
+        "request_id", *SHEET_KEYS, "low", "high", "cols", F.explode(F.sequence(
+            F.floor(F.col("low") / slot), F.floor(F.col("high") / slot))).alias("__slot"))
+    placed = rows.select(
+        *SHEET_KEYS, "row_index", "position", "cells", F.floor(F.col("position") / slot).alias("__slot"))
+    met = placed.join(asked, [*SHEET_KEYS, "__slot"]).where(F.col("position").between(F.col("low"), F.col("high")))
+    number = F.col("row_index").cast("string")
+
+    def shown(c: Column) -> Column:
+        value = one_line(F.get("cells", c["col_index"] - 1))
+        return F.when(F.size("cols") == 1, value).otherwise(F.concat(c["technical_name"], F.lit("="), value))
+
+    some = F.concat(F.lit("第"), number, F.lit("行: "), F.array_join(F.transform("cols", shown), " | "))
+    whole = F.concat_ws(" | ", number, F.array_join(F.transform("cells", one_line), " | "))
+    return met.select("request_id", "row_index", F.when(F.col("cols").isNull(), whole).otherwise(some).alias("line"))
+
+
+def question_headlines(slices: DataFrame) -> DataFrame:
+    """What stands above the lines of a question; for whole rows with the line of letters."""
+    n = F.greatest(F.lit(0), F.col("high") - F.col("low") + 1).cast("string")
+    where = F.concat(F.lit("工作表「"), "sheet_name", F.lit("」表 "), "table_id")
+    names = F.transform("cols", lambda c: c["technical_name"])
+    letters = F.array_join(F.transform(F.sequence(F.lit(1), F.col("col_count").cast("int")), col_letter), " | ")
+    whole = F.concat(where, F.lit(" 整表 "), n, F.lit(" 条数据行（已按原始顺序完整读取，非 top-k 抽样）：\n行号 | "), letters)
+    one = F.concat(where, F.lit(" 字段「"), F.get(names, F.lit(0)), F.lit("」的"), "label", F.lit("共 "), n,
+                   F.lit(" 个值（按行顺序，含空值，未去重，非 top-k 抽样）："))
+    several = F.concat(where, F.lit(" 多字段"), "label", F.lit("（"), F.array_join(names, ", "), F.lit("）共 "), n,
+                       F.lit(" 行（按行级对应，非 top-k 抽样）："))
+    return slices.select("request_id", F.when(F.col("cols").isNull(), whole).when(
+        F.size("cols") == 1, one).otherwise(several).alias("headline"))
 
 
 def format_rows(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridlake.functions import fixed_values as fv
 from gridlake.operators import access as ac
 from gridlake.operators import questions as qs
 from gridlake.operators.grid import column_names, table_summary
@@ -196,9 +197,11 @@ placed AS (SELECT g.doc, g.row_index, g.cells, f.last_row - f.n_header_rows AS r
   FROM grid g JOIN facts f USING (doc) WHERE g.row_index > f.n_header_rows),
 asked AS (SELECT i.request_id, i.doc, i.lookup_value AS value, f.last_row - f.n_header_rows AS row_count
   FROM intents i JOIN facts f ON f.doc = i.doc WHERE i.lookup_value IS NOT NULL),
-hits AS (SELECT DISTINCT a.request_id, p.row_index, p.cells FROM asked a JOIN (
-    SELECT doc, row_index, cells, lower(regexp_replace(unnest(cells), '\\s+', '', 'g')) AS key FROM placed) p
-  ON p.doc = a.doc AND p.key = lower(regexp_replace(a.value, '\\s+', '', 'g'))),
+hits AS (SELECT DISTINCT a.request_id, p.row_index, p.cells FROM (SELECT * FROM asked LEFT JOIN targets USING (request_id)) a JOIN (
+    SELECT doc, row_index, cells, c AS col_index, lower(regexp_replace(cells[c], '\\s+', '', 'g')) AS key FROM placed, range(1, 9) AS r(c)) p
+  ON p.doc = a.doc AND p.key = lower(regexp_replace(a.value, '\\s+', '', 'g'))
+  JOIN names n ON n.doc = p.doc AND n.col_index = p.col_index
+  WHERE a.lookup_column IS NULL OR n.technical_name = a.lookup_column),
 wanted AS (SELECT request_id, lookup_column, CASE WHEN coalesce(return_columns, '') = ''
     THEN 'Order ID,Buyer,Status,Order Amount,Created Time,Discount,Priority,Batch' ELSE return_columns END AS cols
   FROM asked LEFT JOIN targets USING (request_id)),
@@ -228,8 +231,12 @@ def a11(spark, sf):
     requests = questions.select(
         "request_id", "document_id", "sheet_idx", F.col("lookup_value").alias("value")
     ).join(targets, "request_id", "left")
+    return _answers(grid, tables, names, requests)
+
+
+def _answers(grid, tables, names, requests):
     keys = ["document_id", "sheet_idx"]
-    hits = ac.lookup_anywhere(ac.positioned(grid, tables), requests, keys).join(
+    hits = ac.lookup(ac.positioned(grid, tables), names, requests).join(
         requests.select("request_id", "return_columns"), "request_id")
     listed = names.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct("col_index", "technical_name"))).alias("cols"))
@@ -239,5 +246,82 @@ def a11(spark, sf):
     matches = hits.join(listed, keys).select(
         "request_id", "row_index", F.transform(chosen, lambda c: c["technical_name"]).alias("names"),
         F.transform(chosen, lambda c: F.get("cells", c["col_index"] - 1)).alias("values"))
-    totals = tables.select(*keys, "row_count", "sheet_name", "table_id")
-    return ac.lookup_answers(requests, matches, totals).select("request_id", "n_matches", "answer")
+    return ac.lookup_answers(requests, matches, tables.select(*keys, "row_count", "sheet_name", "table_id"))
+
+
+@query("a11_lookup_lists", f"""{POSITION_CTE},
+buyers AS (SELECT DISTINCT o_orderkey // 500 AS doc, o_custkey AS k FROM orders),
+asked AS (SELECT doc * 10000000 + k AS request_id, doc, CASE WHEN k % 3 = 0 THEN lpad(k::VARCHAR, 6, '0') ELSE k::VARCHAR END AS value,
+  CASE WHEN k % 2 = 0 THEN 'Buyer' END AS lookup_column FROM buyers),
+hits AS (SELECT DISTINCT a.request_id, a.value, a.lookup_column, p.row_index, p.cells, p.row_count FROM asked a JOIN placed p USING (doc), range(1, 9) AS r(c)
+  WHERE lower(regexp_replace(p.cells[c], '\\s+', '', 'g')) = a.value AND (lookup_column IS NULL OR c = 2)),
+totals AS (SELECT DISTINCT doc, row_count FROM placed),
+texts AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY row_index) AS i,
+  'Order ID：' || cells[1] || chr(10) || '  Status：' || cells[3] AS two, 'Order ID：' || cells[1] || chr(10) || 'Status：' || cells[3] AS flat FROM hits),
+found AS (SELECT request_id, count(*) AS n, string_agg('记录 ' || i || '（行' || row_index || '）：' || chr(10) || '  ' || two || chr(10), chr(10) ORDER BY i) AS listed,
+  min(row_index) AS row_index, min(flat) AS flat FROM texts GROUP BY request_id)
+SELECT request_id, coalesce(n, 0) AS n_matches, CASE WHEN n IS NULL THEN '已在工作表「Orders」表 Orders#0 中精确扫描全部 ' || row_count
+    || ' 条数据行，未找到值「' || value || '」。（已完整覆盖，非 top-k 抽样）'
+  WHEN n = 1 THEN '已为您查到 ' || coalesce(lookup_column || ' 为 ' || value, '值「' || value || '」') || ' 的信息（行' || row_index || '）：' || chr(10) || chr(10) || flat
+  ELSE '共找到 ' || n || ' 条与「' || value || '」匹配的记录（已完整扫描 ' || row_count || ' 行）：' || chr(10) || chr(10) || listed END AS answer
+FROM asked JOIN totals USING (doc) LEFT JOIN found USING (request_id)""")
+def a11_lists(spark, sf):
+    """Buyers asked for in their own column or anywhere: none, one or many records. The
+    batch column holds the same number with leading zeros."""
+    grid = fx.orders_grid(spark, sf)
+    tables = table_summary(grid)
+    k, doc = F.col("o_custkey"), F.floor(F.col("o_orderkey") / fx.ROWS_PER_DOCUMENT)
+    number = k.cast("string")
+    requests = table(spark, sf, "orders").select(doc.alias("doc"), "o_custkey").distinct().select(
+        (F.col("doc") * 10000000 + k).alias("request_id"),
+        F.concat(F.lit("doc_"), F.col("doc").cast("string")).alias("document_id"), F.lit(0).alias("sheet_idx"),
+        F.when(k % 3 == 0, F.lpad(number, 6, "0")).otherwise(number).alias("value"),
+        F.when(k % 2 == 0, "Buyer").alias("lookup_column"), F.lit("Order ID,Status").alias("return_columns"))
+    return _answers(grid, tables, column_names(tables), requests)
+
+
+def _sql_cell(x):
+    return "coalesce(" + fx.sql_trim(f"regexp_replace({x}, '[\\r\\n\\t]+', ' ', 'g')") + ", '')"
+
+
+SLICES_CTE = f"""{MENTIONED_CTE},
+named AS (SELECT request_id, list(col_index ORDER BY col_index) AS cs, list(technical_name ORDER BY col_index) AS ts
+  FROM mentioned GROUP BY request_id),
+parameters AS (SELECT *, try_cast(regexp_extract(question, '{fv.RANGE_PATTERN}', 1) AS BIGINT) AS s,
+  try_cast(regexp_extract(question, '{fv.RANGE_PATTERN}', 2) AS BIGINT) AS e,
+  try_cast(regexp_extract(question, CASE operation WHEN 'first_n' THEN '{fv.FIRST_N_PATTERN}' ELSE '{fv.LAST_N_PATTERN}' END, 1) AS BIGINT) AS k
+  FROM intents WHERE operation IN ('full_column', 'first_n', 'last_n', 'range')),
+slices AS (SELECT request_id, p.doc, operation, s, e, k, last_row - n_header_rows AS n, n_header_rows, cs, ts,
+  greatest(1, CASE operation WHEN 'last_n' THEN last_row - n_header_rows - k + 1 WHEN 'range' THEN least(s, e) ELSE 1 END) AS low,
+  least(last_row - n_header_rows, CASE operation WHEN 'first_n' THEN k WHEN 'range' THEN greatest(s, e) ELSE last_row - n_header_rows END) AS high
+  FROM parameters p JOIN facts f ON f.doc = p.doc LEFT JOIN named USING (request_id))"""
+
+
+@query("a01_question_rows", f"""{SLICES_CTE}
+SELECT request_id, row_index, CASE WHEN cs IS NULL THEN row_index || ' | ' || array_to_string([{_sql_cell('x')} FOR x IN cells], ' | ')
+  WHEN len(cs) = 1 THEN '第' || row_index || '行: ' || {_sql_cell('cells[cs[1]]')}
+  ELSE '第' || row_index || '行: ' || array_to_string([ts[i] || '=' || {_sql_cell('cells[cs[i]]')} FOR i IN range(1, len(cs) + 1)], ' | ') END AS line
+FROM slices s JOIN grid g ON g.doc = s.doc WHERE row_index - n_header_rows BETWEEN low AND high""")
+def a01_question_rows(spark, sf):
+    """The rows that each enumeration question of the log asks for."""
+    slices, rows = _slices(spark, sf)
+    return ac.question_rows(slices, rows)
+
+
+@query("a01_question_headers", f"""{SLICES_CTE}, labelled AS (SELECT *, greatest(0, high - low + 1) AS c, '工作表「Orders」表 Orders#0' AS t,
+  CASE operation WHEN 'full_column' THEN '全量' WHEN 'first_n' THEN '前' || k || '条' WHEN 'last_n' THEN '最后' || k || '条'
+    ELSE '第' || s || '到' || e || '条' END AS label FROM slices)
+SELECT request_id, CASE WHEN cs IS NULL THEN t || ' 整表 ' || c || ' 条数据行（已按原始顺序完整读取，非 top-k 抽样）：' || chr(10) || '行号 | A | B | C | D | E | F | G | H'
+  WHEN len(cs) = 1 THEN t || ' 字段「' || ts[1] || '」的' || label || '共 ' || c || ' 个值（按行顺序，含空值，未去重，非 top-k 抽样）：'
+  ELSE t || ' 多字段' || label || '（' || array_to_string(ts, ', ') || '）共 ' || c || ' 行（按行级对应，非 top-k 抽样）：' END AS headline FROM labelled""")
+def a01_question_headers(spark, sf):
+    return ac.question_headlines(_slices(spark, sf)[0])
+
+
+def _slices(spark, sf):
+    grid = fx.orders_grid(spark, sf)
+    tables = table_summary(grid)
+    questions = qs.access_intent(fx.question_log(spark, sf), "question")
+    said = questions.withColumn("said", ac.column_text(F.col("operation"), F.col("question")))
+    mentioned = ac.mentioned_columns(said, column_names(tables), "said")
+    return ac.question_slices(questions, tables, mentioned), ac.positioned(grid, tables)
