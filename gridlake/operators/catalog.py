@@ -118,8 +118,10 @@ def expand_best_table(hits: DataFrame, store: DataFrame, query: str = "query_id"
     place = F.struct("score", "document_id", "sheet_name", "table_id")
     best = hits.where(F.col("chunk_type").isin(TABLE_CHUNKS)).groupBy(query).agg(
         F.min(place).alias("b")).select(query, "b.document_id", "b.sheet_name", "b.table_id")
-    members = store.where(F.col("chunk_type").isin(TABLE_CHUNKS)).dropDuplicates(["id"])
-    return best.join(members, ["document_id", "sheet_name", "table_id"])
+    place = ["document_id", "sheet_name", "table_id"]
+    members = store.where(F.col("chunk_type").isin(TABLE_CHUNKS)).join(
+        best.select(*place).distinct(), place, "left_semi").dropDuplicates(["id"])
+    return best.join(members, place)
 
 
 def row_coverage(chunks: DataFrame, keys: list[str]) -> DataFrame:

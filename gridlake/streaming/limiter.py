@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,36 +23,66 @@ def limit_failures(
 ) -> DataFrame:
     """Failures in the window up to each event since the last success, and whether blocked.
 
-    State is kept per (key, time slot) as the recent failure times and is dropped once the
-    watermark passes the slot, so neither a hot key nor a long run makes a state grow.
-    Micro-batches must arrive in time order; inside one, order is restored per slot.
+    Micro-batches may come in any order: an event waits in the state of its (key, time slot)
+    until the watermark has passed it, then events are judged in order of time and id. Events
+    behind the watermark are dropped. The state holds what waits and the recent failure times;
+    it is dropped once the watermark passes the slot, so neither a hot key nor a long run makes
+    a state grow.
     """
     window = window_seconds * MICROS
     marked = events.withWatermark(time, delay).select(
         F.col(key).cast("string").alias(key), F.col(event_id).alias("event_id"), time,
         failure.alias("is_failure"), success.alias("is_success"))
-    slotted = time_slots(marked, time, window_seconds, slot_seconds).withColumn(
-        "slot_end", ((F.col("__slot") + 1) * slot_seconds * 1000).cast("bigint"))
+    slotted = time_slots(marked, time, window_seconds, slot_seconds)
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        recent, at, ids, flags = (
+            [np.array(x, np.int64) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 4)
+        passed = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for rows in batches:
+                new = rows["__micros"].to_numpy(np.int64) >= passed
+                at = np.concatenate((at, rows["__micros"].to_numpy(np.int64)[new]))
+                ids = np.concatenate((ids, rows["event_id"].to_numpy(np.int64)[new]))
+                bits = rows["is_failure"].to_numpy(bool) + 2 * rows["is_success"].to_numpy(bool) + 4 * rows["__own"].to_numpy(bool)
+                flags = np.concatenate((flags, bits.astype(np.int64)[new]))
+        order = np.lexsort((ids, at))
+        at, ids, flags = at[order], ids[order], flags[order]
+        n = int(np.searchsorted(at, passed))
+        failures, recent = sliding_failures(recent, at[:n], flags[:n] & 1 > 0, flags[:n] & 2 > 0, window)
+        own = flags[:n] & 4 > 0
+        found = pd.DataFrame({
+            key: group[0], "event_id": ids[:n][own], "failures": failures[own], "blocked": failures[own] >= max_failures})
+        slot_end = (int(group[1]) + 1) * slot_seconds * 1000
+        if n == len(at) and passed > slot_end * 1000:
             state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["__micros", "event_id"])
-        found = []
-        for r in rows.itertuples(index=False):
-            at = r[rows.columns.get_loc("__micros")]
-            recent = [] if r.is_success else [t for t in recent if t > at - window]
-            if r.is_failure:
-                recent.append(at)
-            if r[rows.columns.get_loc("__own")]:
-                found.append((group[0], r.event_id, len(recent), len(recent) >= max_failures))
-        state.update((recent,))
-        ends = int(rows["slot_end"].iloc[0])
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=[key, "event_id", "failures", "blocked"])
+        else:
+            state.update((recent.tolist(), at[n:].tolist(), ids[n:].tolist(), flags[n:].tolist()))
+            wake = int(at[n] // 1000) if n < len(at) else slot_end
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        yield found
 
     return slotted.groupBy(key, "__slot").applyInPandasWithState(
-        step, _OUT.format(key=key), "recent array<bigint>", "append",
+        step, _OUT.format(key=key),
+        "recent array<bigint>, at array<bigint>, ids array<bigint>, flags array<bigint>", "append",
         GroupStateTimeout.EventTimeTimeout)
+
+
+def sliding_failures(
+    recent: np.ndarray, at: np.ndarray, failed: np.ndarray, cleared: np.ndarray, window: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Failures within the window up to each event, in order of time, and the failure times
+    that later events may still count. recent: failure times before the events."""
+    times = np.concatenate((recent, at))
+    fails = np.concatenate((np.ones(len(recent), bool), failed))
+    clears = np.concatenate((np.zeros(len(recent), bool), cleared))
+    upto = np.concatenate(([0], np.cumsum(fails)))
+    place = np.arange(len(times))
+    # counting starts behind the last success and within the window
+    start = np.maximum.accumulate(np.where(clears, place + 1, 0)) if len(times) else place
+    start = np.maximum(start, np.searchsorted(times, times - window, side="right"))
+    counts = upto[1:] - upto[np.minimum(start, len(times))]
+    if not len(times):
+        return counts, recent
+    last = int(start[-1])
+    return counts[len(recent):], times[last:][fails[last:]]
