@@ -178,7 +178,7 @@ def typed_frames(model: SheetModel, percent: str = "null") -> dict[str, DataFram
     is a projection of the cells array behind a semi-join with its own sheets: no pivot, no
     copy of the rows. Keys are in order, so callers that pick a layout pick the same one.
     """
-    sheets = layouts(model)
+    sheets = _written(layouts(model))
     found = sorted(
         sheets.groupBy("layout_id").agg(F.any_value("layout").alias("layout")).toLocalIterator(),
         key=lambda r: r["layout_id"])
