@@ -214,11 +214,11 @@ def g12(spark, sf):
 
 @query("g12_published_views", f"""{fx.UP_TO_PHYS},
 counted AS (SELECT doc, count(*) AS n_rows, round(sum(try_cast(replace(cells[4], ',', '') AS DOUBLE)), 2) AS amount,
-  max(cells[1]) AS last_order FROM kept WHERE user_id = '3' GROUP BY doc)
+  max(cells[1]) AS last_order FROM kept WHERE user_id = '1' GROUP BY doc)
 SELECT 't_doc_' || doc || '_0' AS table_name, n_rows, amount, last_order FROM counted""")
 def g12_views(spark, sf):
     """Every view of one user, asked in SQL."""
-    views = ty.publish_views(spark, ty.infer(fx.stored_grid(spark, sf)), "3")
+    views = ty.publish_views(spark, ty.infer(fx.stored_grid(spark, sf)), "1")
     return spark.sql(" UNION ALL ".join(
         f"SELECT '{v}' AS table_name, count(*) AS n_rows, round(sum(`Order Amount`), 2) AS amount, "
         f"max(`Order ID`) AS last_order FROM {v}" for v in views))
