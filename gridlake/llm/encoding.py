@@ -27,8 +27,11 @@ UNSAFE = (r"[\x00-\x08\x0e-\x1f\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}
           r"\x{202f}\x{205f}\x{3000}\x{feff}]|<\|")
 PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 BREAK = "\x01"
+#: How a byte-level vocabulary writes space, tab, line feed, VT, FF and CR.
+OPENING = "\u0120\u0109\u010a\u010b\u010c\u010d"
 SPACES = " \t\n\r\f\v"
-MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][,.;:!?]$")
+MARKS = ",.;:!?"
+LETTERS = {c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0")}
 
 
 def load(path: str):
@@ -50,13 +53,25 @@ def joined_groups(pieces: list[str]):
         yield lo, len(pieces)
 
 
-def encode_joined(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all pieces, number of ids by piece); every cut between pieces must be safe."""
+def encode_joined(tokenizer, pieces: list[str], opens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces, number of ids by piece); every cut between pieces must be safe.
+
+    opens tells which ids open a piece, where pieces begin with white space and hold no
+    other; offsets tell it otherwise.
+    """
     ids, counts = [], []
     for lo, hi in joined_groups(pieces):
         group = pieces[lo:hi]
+        text = "".join(group)
+        if opens is not None and sum(map(text.count, SPACES)) == hi - lo:
+            own = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            first = np.flatnonzero(opens[own])
+            if len(first) == hi - lo:
+                ids.append(own)
+                counts.append(np.diff([*first, len(own)]))
+                continue
         lengths = np.fromiter(map(len, group), np.int64, hi - lo)
-        got = tokenizer.encode("".join(group), add_special_tokens=False)
+        got = tokenizer.encode(text, add_special_tokens=False)
         at = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
         starts = np.cumsum(lengths) - lengths
         filled = np.flatnonzero(lengths)
@@ -109,6 +124,10 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.kept: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] in OPENING]] = True
+        self.marks = {m: self._whole(m).tobytes() for m in MARKS}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -120,7 +139,7 @@ class Encoder:
         joined = [i for i, p in enumerate(pieces) if p[:1] in SPACES and p.strip(SPACES)]
         for i in set(range(len(pieces))).difference(joined):
             found[i] = self._whole(pieces[i]).tobytes()
-        ids, counts = encode_joined(self.tokenizer, [pieces[i] for i in joined])
+        ids, counts = encode_joined(self.tokenizer, [pieces[i] for i in joined], self.opens)
         raw, ends = ids.tobytes(), np.cumsum(counts) * 4
         for i, hi, n in zip(joined, ends.tolist(), (counts * 4).tolist()):
             found[i] = raw[hi - n:hi]
@@ -128,21 +147,29 @@ class Encoder:
 
     def _known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, counts) of distinct pieces."""
-        found = [self.kept.get(p) for p in pieces]
+        kept, aged, marks = self.kept, self.aged, self.marks
+        found = list(map(kept.get, pieces))
         missing = [i for i, f in enumerate(found) if f is None]
+        if missing and aged:
+            for i in missing:
+                found[i] = aged.get(pieces[i])
+                if found[i] is not None:
+                    kept[pieces[i]] = found[i]
+            missing = [i for i in missing if found[i] is None]
         if missing:
             # a mark after a letter is a token run of its own, so words share their encoding
-            cut = {i: pieces[i][:-1] for i in missing if MARKED.search(pieces[i])}
-            new = list(dict.fromkeys([cut.get(i, pieces[i]) for i in missing] + [pieces[i][-1] for i in cut]))
-            new = [p for p in new if p not in self.kept]
-            if len(self.kept) + len(new) > KEPT_PIECES:
-                self.kept, new = {}, list(dict.fromkeys(new + [q for i in cut for q in (cut[i], pieces[i][-1])]))
-            fresh = dict(zip(new, self._encode(new)))
-            for i in missing:
-                stem, mark = cut.get(i, pieces[i]), pieces[i][-1:] if i in cut else ""
-                got = fresh[stem] if stem in fresh else self.kept[stem]
-                found[i] = got + (fresh[mark] if mark in fresh else self.kept[mark]) if mark else got
-            self.kept.update((p, fresh[p]) for p in new[:KEPT_PIECES] if len(p) <= KEPT_BYTES)
+            stems = [pieces[i][:-1] if pieces[i][-1:] in marks and pieces[i][-2:-1] in LETTERS else pieces[i] for i in missing]
+            fresh = dict.fromkeys(stems)
+            for p in fresh:
+                fresh[p] = kept.get(p) or aged.get(p)
+            new = [p for p, v in fresh.items() if v is None]
+            fresh.update(zip(new, self._encode(new)))
+            for i, stem in zip(missing, stems):
+                found[i] = fresh[stem] if len(stem) == len(pieces[i]) else fresh[stem] + marks[pieces[i][-1]]
+            # of the pieces from before the last change, only used ones go on
+            if len(kept) + len(new) > KEPT_PIECES:
+                self.aged, self.kept = kept, {}
+            self.kept.update((p, fresh[p]) for p in new if len(p) <= KEPT_BYTES)
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), dtype=np.uint32), np.cumsum(counts) - counts, counts
 
@@ -161,7 +188,6 @@ class Encoder:
             sizes = np.diff(words.offsets.to_numpy())
             coded = words.flatten().dictionary_encode()
             index = coded.indices.to_numpy().astype(np.int64)
-            names = coded.dictionary.to_pylist()
             # the first word of a text has no space before it; it gets a code of its own
             firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             heads = index[firsts]
@@ -169,10 +195,12 @@ class Encoder:
             used = np.ones(len(index), bool)
             used[firsts] = False
             inner = np.unique(index[used])
-            pieces = ["\n" + names[i][1:] if names[i][:1] == BREAK else " " + names[i] for i in inner]
-            pieces += [names[i] for i in head_codes]
+            spaced = pc.binary_join_element_wise(pa.scalar(" ", coded.dictionary.type), coded.dictionary.take(pa.array(inner)),
+                                                 pa.scalar("", coded.dictionary.type))
+            pieces = pc.replace_substring(spaced, " " + BREAK, "\n").to_pylist()
+            pieces += coded.dictionary.take(pa.array(head_codes)).to_pylist()
             ids, starts, counts = self._known(pieces)
-            place = np.zeros(len(names), np.int64)
+            place = np.zeros(len(coded.dictionary), np.int64)
             place[inner] = np.arange(len(inner))
             at = place[index]
             at[firsts] = len(inner) + head_at
