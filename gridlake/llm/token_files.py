@@ -31,7 +31,7 @@ from gridlake.llm.encoding import Encoder, worker_copy
 
 MAGIC = b"GLTOKENS"
 BLOCK = 4096
-SHARD_IDS = 4 << 20
+SHARD_IDS = 1 << 20
 HEAD = np.dtype([("magic", "S8"), ("version", "<u4"), ("bits", "<u4"), ("block", "<u4"), ("zero", "<u4"),
                  ("ordinal", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
 
