@@ -40,11 +40,17 @@ ENDED_BY = {
 TEXTUAL = re.compile(r"(h[1-6]|p|ul|ol|li|dl|dt|dd|blockquote|pre|table|caption|thead|tbody|tfoot|tr|td|th|figure|figcaption|section)$")
 HEADING = re.compile(r"h[1-6]$")
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu\w*|nav\w*|breadcrumbs?|pagination|"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|menu\w*|nav\w*|breadcrumbs?|pagination|"
     r"pager|comments?|commentlist|disqus|replies|respond|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|"
     r"newsletter|subscri\w+|signup|login|search\w*|share|sharing|social|related|recommend\w*|widget\w*|toolbar|"
-    r"footer|foot|masthead|copyright|legal|disclaimer|skip|hidden|sr-only|visually-hidden|tags?|byline-links)(?=$|[\s_-])",
-    re.I)
+    r"footer|foot|masthead|copyright|legal|disclaimer|skip|hidden|tags?", re.I)
+NOISE_TOKENS = {"side-bar", "sr-only", "byline-links"}
+#: Class names with these parts tell how a page is laid out or filed, not what the element is.
+STATES, STATE_ENDS, FILED = {"has", "no", "with", "without"}, {"open", "closed"}, {"tag", "category"}
+LISTINGS = {"list", "cloud", "links"}
+#: Words of sections that never wrap an article, however long they are.
+FOREIGN = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|comments?|commentlist|disqus|replies|respond|cookie\w*|consent|gdpr|"
+                     r"newsletter|subscri\w+|signup|login|share|sharing|related|recommend\w*|breadcrumbs?|pagination|pager", re.I)
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 TAG = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[^>"'=]|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -59,12 +65,14 @@ class Element:
     inline: bool
     in_article: bool
     heading_only: bool
+    suspects: tuple[int, ...]
 
 
 @dataclass
 class Block:
     path: tuple[str, ...]
     in_article: bool
+    suspects: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
@@ -83,16 +91,33 @@ def _is_noise(tag: str, names: dict[str, str]) -> bool:
     if names.get("role", "").lower() in NOISE_ROLES:
         return True
     style = names.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    # whole pages carry such words on their outer elements as well
-    return tag not in ("html", "body", "main") and any(NOISE.search(names.get(n, "")) for n in ("class", "id"))
+    return "display:none" in style or "visibility:hidden" in style
+
+
+def _noise_parts(names: dict[str, str]) -> list[str]:
+    """Words of the class names and the id that tell of something else than the article."""
+    found = []
+    for token in (names.get("class", "") + " " + names.get("id", "")).lower().split():
+        parts = re.split("[_-]+", token.strip("_-"))
+        if STATES & set(parts) or parts[-1] in STATE_ENDS:
+            continue
+        if len(parts) > 1 and parts[0] in FILED and parts[1] not in LISTINGS:
+            continue
+        if any(t in token for t in NOISE_TOKENS):
+            found.append(token)
+        found += [p for p in parts if NOISE.fullmatch(p)]
+    return found
 
 
 class Reader:
-    """Blocks of one page, in order, without those of skipped elements."""
+    """Blocks of one page, in order, without those of skipped elements.
+
+    An element of a noise class or id is a suspect; its blocks name it, for a wrapper of the
+    article may carry such a class as well. The value tells if the class is a FOREIGN one.
+    """
 
     def __init__(self) -> None:
+        self.suspects: list[bool] = []
         self.stack: list[Element] = []
         self.blocks: list[Block] = []
         self.open: Block | None = None
@@ -154,13 +179,23 @@ class Reader:
             self._pop_inline("a")
         names = _attributes(raw) if raw.strip() else {}
         above = self.stack[-1] if self.stack else None
-        in_article = bool(above and above.in_article) or tag in ("article", "main") or names.get("itemprop") == "articleBody"
+        article_body = names.get("itemprop") == "articleBody"
+        # an article in another one is often a comment
+        own = (tag in ("html", "body", "main") or article_body
+               or tag == "article" and not any(e.tag == "article" for e in self.stack))
+        suspects = above.suspects if above else ()
+        noise = [] if own or not names else _noise_parts(names)
+        if noise:
+            suspects = (*suspects, len(self.suspects))
+            self.suspects.append(any(FOREIGN.fullmatch(p) for p in noise))
+        in_article = (bool(above and above.in_article) or tag in ("article", "main") or article_body) and not any(
+            self.suspects[s] for s in suspects)
         skipped = bool(above and above.skipped) or _is_noise(tag, names)
         heading_only = bool(above and above.heading_only)
         if tag == "header":
             heading_only, skipped = in_article, skipped or not in_article
         first = names.get("class", "").split()[:1]
-        self.stack.append(Element(tag, ".".join([tag, *first]), skipped, inline, in_article, heading_only))
+        self.stack.append(Element(tag, ".".join([tag, *first]), skipped, inline, in_article, heading_only, suspects))
 
     def _end_implied(self, tag: str) -> None:
         ended, borders = ENDED_BY.get(tag, (set(), set()))
@@ -203,7 +238,7 @@ class Reader:
             path = tuple(e.label for e in self.stack if not e.inline)
             if top and top.heading_only and not any(HEADING.match(e.tag) for e in self.stack):
                 return
-            self.open = Block(path, bool(top and top.in_article))
+            self.open = Block(path, bool(top and top.in_article), top.suspects if top else ())
         value = html.unescape(raw) if "&" in raw else raw
         self.open.parts.append(value)
         if any(e.tag == "a" for e in self.stack):
@@ -241,8 +276,30 @@ def path_ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: prior[p] * text[p] * (1 + dots[p]) for p in number}
 
 
+def without_noise(blocks: list[Block], foreign: list[bool]) -> list[Block]:
+    """Blocks that lie in no suspect but such as wrap the article.
+
+    A suspect around blocks of the best path wraps the article if it holds half of the text
+    that is not linked. FOREIGN ones take part only where the page has no other text.
+    """
+    def size(some: list[Block]) -> int:
+        return sum(max(0, len(b.text) - b.link_chars) for b in some)
+
+    rest = [b for b in blocks if not any(foreign[s] for s in b.suspects)]
+    if size(rest):
+        blocks = rest
+    if not any(b.suspects for b in blocks):
+        return blocks
+    ratios = path_ratios(blocks)
+    most, total = max(ratios.values()), size(blocks)
+    around = {s for b in blocks if ratios[b.path] == most > 0 for s in b.suspects}
+    wrap = {s for s in around if 2 * size([b for b in blocks if s in b.suspects]) >= total}
+    return [b for b in blocks if wrap.issuperset(b.suspects)]
+
+
 def main_text(page: str | None) -> str:
-    blocks = Reader().read(page) if page else []
+    reader = Reader()
+    blocks = without_noise(reader.read(page), reader.suspects) if page else []
     if not blocks:
         return ""
     ratios = path_ratios(blocks)

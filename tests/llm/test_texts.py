@@ -111,6 +111,26 @@ def test_main_text(wrap):
     assert main_text.main_text(PAGE % (wrap % ARTICLE)) == MAIN
 
 
+@pytest.mark.parametrize("wrap", [
+    "<article class='post type-post tag-python'>%s</article>", "<div class='entry-content has-sidebar'>%s</div>",
+    "<div class='content no-sidebar'>%s</div>", "<div class='main-content with-sidebar'>%s</div>",
+    "<article class='comments-open post'>%s</article>", "<div class='content-sidebar-wrap'><div class='content'>%s</div></div>",
+    "<article class='post sidebar'>%s</article>", "<div class='promo' itemprop='articleBody'>%s</div>",
+    "<div id='search-page'><article>%s</article></div>", "<div class='category-legal post'>%s</div>"])
+def test_main_text_class_names(wrap):
+    assert main_text.main_text(PAGE % (wrap % ARTICLE)) == MAIN
+
+
+def test_main_text_long_noise():
+    """Noise longer than the article's paragraphs stays out."""
+    long = "Words of others, long and with commas, again and again, more of them, and more. " * 4
+    for noise in ("<div class='cookie-notice'><p>%s</p></div>", "<div class='sidebar'><p>%s</p></div>",
+                  "<section id='comments'><article class='comment'><p>%s</p></article></section>",
+                  "<article><p>One of ours, in full.</p><article class='comment-body'><p>%s</p></article></article>"):
+        got = main_text.main_text(PAGE % ("<div class='content'>" + ARTICLE * 3 + "</div>" + noise % long))
+        assert "Words of others" not in got and got
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("<html><body></body></html>", ""), ("just, some text", "just, some text"), ("<p>a < b, c", "a < b, c"),
     ("<p>open <b>bold<p>next", "open bold\nnext"), ("<article><p>one<!-- two", "one"), ("<script>x", ""), ("<p>a</p><", "a\n<"),
