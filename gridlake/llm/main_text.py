@@ -39,6 +39,8 @@ ENDED_BY = {
 }
 TEXTUAL = re.compile(r"(h[1-6]|p|ul|ol|li|dl|dt|dd|blockquote|pre|table|caption|thead|tbody|tfoot|tr|td|th|figure|figcaption|section)$")
 HEADING = re.compile(r"h[1-6]$")
+#: Lists and tables of links are menus, unless they stand in an article or amid its text.
+LISTED = set("ul ol dl li dt dd table caption thead tbody tfoot tr td th".split())
 NOISE = re.compile(
     r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|menu\w*|nav\w*|breadcrumbs?|pagination|"
     r"pager|comments?|commentlist|disqus|replies|respond|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|"
@@ -66,6 +68,7 @@ class Element:
     in_article: bool
     heading_only: bool
     suspects: tuple[int, ...]
+    host: tuple[str, int] | None
 
 
 @dataclass
@@ -73,6 +76,8 @@ class Block:
     path: tuple[str, ...]
     in_article: bool
     suspects: tuple[int, ...] = ()
+    #: Tag and number of the article, or else the main element, around the block.
+    host: tuple[str, int] | None = None
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
@@ -118,6 +123,7 @@ class Reader:
 
     def __init__(self) -> None:
         self.suspects: list[bool] = []
+        self.hosts = 0
         self.stack: list[Element] = []
         self.blocks: list[Block] = []
         self.open: Block | None = None
@@ -190,12 +196,16 @@ class Reader:
             self.suspects.append(any(FOREIGN.fullmatch(p) for p in noise))
         in_article = (bool(above and above.in_article) or tag in ("article", "main") or article_body) and not any(
             self.suspects[s] for s in suspects)
+        host = above.host if above else None
+        if in_article and (tag == "article" or host is None):
+            self.hosts += 1
+            host = (tag, self.hosts)
         skipped = bool(above and above.skipped) or _is_noise(tag, names)
         heading_only = bool(above and above.heading_only)
         if tag == "header":
             heading_only, skipped = in_article, skipped or not in_article
         first = names.get("class", "").split()[:1]
-        self.stack.append(Element(tag, ".".join([tag, *first]), skipped, inline, in_article, heading_only, suspects))
+        self.stack.append(Element(tag, ".".join([tag, *first]), skipped, inline, in_article, heading_only, suspects, host))
 
     def _end_implied(self, tag: str) -> None:
         ended, borders = ENDED_BY.get(tag, (set(), set()))
@@ -238,7 +248,7 @@ class Reader:
             path = tuple(e.label for e in self.stack if not e.inline)
             if top and top.heading_only and not any(HEADING.match(e.tag) for e in self.stack):
                 return
-            self.open = Block(path, bool(top and top.in_article), top.suspects if top else ())
+            self.open = Block(path, bool(top and top.in_article), top.suspects if top else (), top.host if top else None)
         value = html.unescape(raw) if "&" in raw else raw
         self.open.parts.append(value)
         if any(e.tag == "a" for e in self.stack):
@@ -313,8 +323,22 @@ def main_text(page: str | None) -> str:
         return any(path[:i] in containers and all(TEXTUAL.match(e.split(".")[0]) for e in path[i:])
                    for i in range(len(path)))
 
-    kept = [b for b in blocks if b.path in chosen or beside(b.path) and 2 * b.link_chars < len(b.text)]
-    return "\n".join(b.text for b in kept)
+    places = [i for i, b in enumerate(blocks) if b.path in chosen]
+    hosts = {blocks[i].host for i in places} - {None}
+
+    def keeps(i: int, b: Block) -> bool:
+        near = beside(b.path)
+        if b.path in chosen:
+            return True
+        if not near and not (b.host in hosts and TEXTUAL.match(b.path[-1].split(".")[0])):
+            return False
+        listed = any(e.split(".")[0] in LISTED for e in b.path[-2:])
+        if not listed or 2 * b.link_chars < len(b.text) or places[0] < i < places[-1]:
+            return True
+        # the border of main may hold menus, that of an article only its sources
+        return b.host in hosts and (near or b.host[0] != "main")
+
+    return "\n".join(b.text for i, b in enumerate(blocks) if keeps(i, b))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

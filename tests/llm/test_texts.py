@@ -131,6 +131,31 @@ def test_main_text_long_noise():
         assert "Words of others" not in got and got
 
 
+LONG = "<p>A paragraph of the article, long enough, with marks, and a <a href=x>link</a> as well.</p>"
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<article><header>%s</div></article>"])
+def test_main_text_linked_blocks(wrap):
+    head, parts = "<h1><a href=t>The title</a></h1>", LONG + "<h2><a href=s>A part</a></h2>" + LONG
+    sources = "<h2>Sources</h2><ol><li><a href=1>The first source</a></li><li><a href=2>The second</a></li></ol>"
+    if "header" in wrap:
+        head, wrap = head + "</header><div class='body'>", "<article><header>%s</div></article>"
+    text = "A paragraph of the article, long enough, with marks, and a link as well."
+    assert main_text.main_text(PAGE % (wrap % (head + parts + sources))).split("\n") == [
+        "The title", text, "A part", text, "Sources", "The first source", "The second"]
+
+
+def test_main_text_lists_outside():
+    """Lists of links go at the border of a container and stay amid its text."""
+    links = "<ul><li><a href=1>%s one</a></li><li><a href=2>%s two</a></li></ul>"
+    page = PAGE % ("<div class='content'>" + links % ("top", "top") + "<h2><a href=x>Title</a></h2>" + LONG
+                   + links % ("mid", "mid") + LONG + links % ("end", "end") + "</div>" + links % ("out", "out"))
+    got = main_text.main_text(page).split("\n")
+    assert [t for t in got if not t.startswith("A paragraph")] == ["Title", "mid one", "mid two"]
+    cells = "<table><tr><td class='left'><a href=1>Home page</a></td><td class='text'>A cell, with text, that is the article, of some length.</td></tr></table>"
+    assert main_text.main_text(cells) == "A cell, with text, that is the article, of some length."
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("<html><body></body></html>", ""), ("just, some text", "just, some text"), ("<p>a < b, c", "a < b, c"),
     ("<p>open <b>bold<p>next", "open bold\nnext"), ("<article><p>one<!-- two", "one"), ("<script>x", ""), ("<p>a</p><", "a\n<"),
