@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import vector as vf
 from gridlake.operators import catalog as ct
 from gridlake.operators import vectors as vc
-from gridlake.operators.chunks import table_chunks
+from gridlake.operators.chunks import build_context, table_chunks
 from gridlake.operators.embedder import embed_texts, hashed_words
 from gridlake.operators.typed import infer
 from gridlake.plans import fixtures as fx
@@ -148,6 +148,29 @@ def e04(spark, sf):
     return vc.similar_texts(docs, target, 5)
 
 
+@query("c10_question_context", f"""WITH asked AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS back
+  FROM conversations WHERE role = 'user'),
+texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - conv_id, text FROM asked WHERE back = 1),
+{WORD_VECTORS_CTE.replace("FROM documents", "FROM texts")},
+scored AS (SELECT -1 - q.doc_id AS query_id, d.doc_id, round(list_distance(d.v, q.v) ^ 2, 6) AS score
+  FROM vectors q JOIN vectors d ON q.doc_id < 0 AND d.doc_id >= 0),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM scored)
+SELECT query_id, string_agg('[来源：' || coalesce(CASE WHEN doc_id % 4 <> 0 THEN 'file_' || doc_id END, lang, '未知来源') || ']:'
+  || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context
+FROM hits JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id""")
+def c10_question(spark, sf):
+    """Contexts of the five nearest documents to the last question of every conversation."""
+    docs = table(spark, sf, "documents")
+    asked = table(spark, sf, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.max(F.struct("turn", "text"))["text"].alias("question"))
+    questions = embed_texts(asked, "question", vec_col="query_vec").select("query_id", "query_vec")
+    vectors = embed_texts(spread(docs).select("doc_id", "text"), "text").select("doc_id", "embedding")
+    hits = vc.nearest_for_each(vectors, questions, 5, id_col="doc_id").select("query_id", "doc_id", "rank")
+    found = docs.select("doc_id", F.col("lang").alias("source"), F.col("text").alias("content"), F.when(
+        F.col("doc_id") % 4 != 0, F.concat(F.lit("file_"), F.col("doc_id").cast("string"))).alias("filename"))
+    return build_context(hits.join(found, "doc_id"), "query_id", "rank")
+
+
 @query("e04_previews", """SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS document
 FROM documents""")
 def e04_previews(spark, sf):

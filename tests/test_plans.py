@@ -58,3 +58,10 @@ def test_limiter_partitions_by_key_and_slot(spark):
 
 def test_last_messages_limit_before_the_shuffle(spark):
     assert plan_of(QUERIES["k08_last_messages"](spark, SF_DIR)).count("WindowGroupLimit") == 2
+
+
+def test_contexts_grow_with_the_questions(spark):
+    """A context holds the few hits of one question, however many documents there are."""
+    got = QUERIES["c10_question_context"](spark, SF_DIR).collect()
+    asked = table(spark, SF_DIR, "conversations").where("role = 'user'").select("conv_id").distinct()
+    assert len(got) == asked.count() and all(r.context.count("[来源：") == 5 for r in got)
