@@ -27,12 +27,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of the smallest id. Rows without id stay."""
+    """One document of each group: the one of the smallest id. Rows without id stay.
+
+    Rows that repeat an id are judged by their own texts; of equal texts, or sets, one stays.
+    """
     found = ngram_join.near_duplicates(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    # of rows that repeat an id one stays; minima are combined before the shuffle
-    one = kept.groupBy("doc_id").agg(
+    heads = found.where("doc_id = component_id and key <=> component_key").select(
+        "doc_id", F.coalesce("key", F.lit(b"")).alias("__set")).distinct()
+    named = ngram_join.with_sets(docs.where("doc_id is not null"), SHINGLE_WORDS, "__set")
+    kept = named.join(heads, ["doc_id", "__set"], "left_semi")
+    # texts without n-grams have no set and are told apart by themselves; minima are combined before the shuffle
+    text = F.when(F.col("__set") == F.lit(b""), F.sha2("text", 256))
+    one = kept.groupBy("doc_id", "__set", text.alias("__text")).agg(
         F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("row"))
     return one.select("row.*").union(docs.where("doc_id is null"))
 

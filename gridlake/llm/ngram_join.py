@@ -306,16 +306,31 @@ def tree_join(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return found
 
 
+def with_sets(docs: DataFrame, words: int, name: str, text_col: str = "text") -> DataFrame:
+    """docs and the key of each row's set, empty for rows without n-grams."""
+    df = docs.withColumn(name, F.lit(b""))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in by_bytes(batches):
+            keys = set_keys(*shingle_sets(batch.column(at), words))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array([k or b"" for k in keys], pa.binary())], batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for every row.
+    """doc_id, n_shingles, key, class_id, component_id, component_key for every row.
 
     class_id is the smallest id with an equal set, component_id the smallest id reachable by
     links. Texts that are null or have no words have no n-grams and link with nothing; a
     text of fewer words than an n-gram is one n-gram. Rows with a null id are returned with
-    their size and null ids, and link with nothing. Rows that repeat an id are one node of
-    the graph. Other columns are not read.
+    their size and null ids, and link with nothing. The sets are the nodes of the graph, so
+    rows that repeat an id link each by its own text; component_key is the key of the set that
+    has the smallest id, and of such sets the smallest. Other columns are not read.
     """
     spark = docs.sparkSession
 
@@ -362,26 +377,37 @@ def near_duplicates(
             same = [a == b for a, b in zip(set_keys(hashes, starts), batch.column(2).to_pylist())]
             keep = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array(data, pa.binary())], ["class_id", "meets", "grams"]).filter(keep)
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())],
+                ["class_id", "key", "meets", "grams"]).filter(keep)
 
     wanted = pairs.groupBy("doc_id", "key").agg(F.collect_set(F.struct("cluster", "low", "high")).alias("meets"))
     found = texts_of.join(wanted, "doc_id").select("doc_id", "text", "key", "meets").mapInArrow(
-        set_of, "class_id long, meets array<struct<cluster:long,low:long,high:long>>, grams binary")
-    placed = found.select("class_id", "grams", F.explode("meets").alias("meet")).select("class_id", "grams", "meet.*")
+        set_of, "class_id long, key binary, meets array<struct<cluster:long,low:long,high:long>>, grams binary")
+    placed = found.select("class_id", "key", "grams", F.explode("meets").alias("meet")).select(
+        "class_id", "key", "grams", "meet.*")
 
     def join_task(table: pa.Table) -> pa.Table:
-        ids = table.column("class_id").to_pylist()
-        once = list({i: n for n, i in enumerate(ids)}.values())
+        ids, keys = table.column("class_id").to_pylist(), table.column("key").to_pylist()
+        once = list({k: n for n, k in enumerate(keys)}.values())
         own = [np.frombuffer(table.column("grams")[n].as_py(), np.uint64) for n in once]
         linked = tree_join(own, percent)
-        return pa.table({"a": pa.array([ids[once[i]] for i, _ in linked], pa.int64()),
-                         "b": pa.array([ids[once[j]] for _, j in linked], pa.int64())})
 
-    links = placed.groupBy("cluster", "low", "high").applyInArrow(join_task, "a long, b long")
+        def nodes(side: int) -> pa.Array:
+            rows = [once[pair[side]] for pair in linked]
+            return pa.StructArray.from_arrays(
+                [pa.array([ids[n] for n in rows], pa.int64()), pa.array([keys[n] for n in rows], pa.binary())],
+                ["class_id", "key"])
+
+        return pa.table({"a": nodes(0), "b": nodes(1)})
+
+    node = "struct<class_id:long,key:binary>"
+    links = placed.groupBy("cluster", "low", "high").applyInArrow(join_task, f"a {node}, b {node}")
     joined = components(links)
-    named = by_class.join(joined, by_class["class_id"] == joined["id"], "left").select(
-        F.col("key").alias("k"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    named = by_class.join(joined, F.struct(by_class["class_id"], by_class["key"]) == joined["id"], "left").select(
+        F.col("key").alias("k"), "class_id", F.coalesce("component.class_id", "class_id").alias("component_id"),
+        F.coalesce("component.key", "key").alias("component_key"))
     return sets.join(named, sets["key"] == named["k"], "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", "n_shingles", "key",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.col("component_key")).alias("component_key"))

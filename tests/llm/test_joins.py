@@ -46,6 +46,40 @@ def test_near_duplicates_edges(edge_docs, edge_rows, no_docs):
     assert nj.near_duplicates(no_docs).count() == 0
 
 
+def repeated_ids(edge_rows):
+    """Rows with ids that repeat over different texts, some of them near copies of others."""
+    rng = random.Random(8)
+    a, b, c = ([f"{n}{rng.randrange(50)}" for _ in range(60)] for n in "abc")
+    near = [*a[:-1], "other"]
+    rows = [r for r in edge_rows if r[0] is not None] + [
+        (300, " ".join(a)), (300, " ".join(b)), (301, " ".join(c)), (301, " ".join(a)), (299, " ".join(near)),
+        (302, " ".join(b)), (303, " ".join(c)), (304, " ".join(c)), (304, " ".join([*c[:-1], "x"])), (304, None), (304, "")]
+    return rows + [(305, " ".join(a[:30] + b[:30])), (305, " ".join(b[30:] + c[30:]))]
+
+
+def test_near_duplicates_repeated_ids(spark, edge_rows):
+    rows = repeated_ids(edge_rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # by row numbers in the order of ids, which are then read as the ids
+    order = sorted(range(len(rows)), key=lambda k: rows[k][0])
+    found = brute.near_duplicates([(n, rows[k][1]) for n, k in enumerate(order)])
+    want = sorted((rows[k][0], found[n][0], rows[order[found[n][1]]][0]) for n, k in enumerate(order))
+    got = nj.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_stage_keeps_texts_of_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{n}{rng.randrange(90)}" for _ in range(80)) for n in "abc")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, c), (3, b + " y"), (3, c + " z"), (4, None), (4, ""), (4, ""), (5, a), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()), key=str)
+    of_c = [(3, t) for i, t in left if t in (c, c + " z")]
+    assert len(of_c) == 1 and left == sorted([(1, a), (2, b), *of_c, (4, None), (4, "")], key=str)
+
+
 @pytest.mark.parametrize("block", [4096, 40])
 def test_near_vectors(spark, block, monkeypatch):
     monkeypatch.setattr(vp, "BLOCK", block)
