@@ -5,14 +5,16 @@ A byte goes if a string of LENGTH bytes over it also begins anywhere else in any
 1. Every such string has an anchor, the place of its least gram hash, and equal strings have
    it at the same offset. A run of strings with one anchor is an entry: the gram's hash and
    a hash of the run's bytes. Blocks of texts send their distinct entries to buckets.
-2. Entries with equal bytes repeat as a whole. Entries that share the gram only are compared
+2. Entries of equal hashes (64 bits of the gram, 64 of the run) repeat as a whole, which no
+   comparison of bytes verifies. Entries that share the gram only are compared
    by content: their bytes meet in the gram's bucket, and the suffixes that begin their
    strings are sorted. The sort is a mergesort whose comparisons find the common extension
    of two suffixes by binary search over prefix polynomial hashes. Neighbours with an
    extension of LENGTH are the repeats; their bytes are compared to rule out collisions.
 3. Grams with more than HOT different runs are not sorted in one place. Their strings are
    compared one by one under two hashes of 64 and 16 bits, dealt by the first, each string
-   once per block. This is the way for very common passages, exact at any number.
+   once per block. This is the way for very common passages, at any number exact but
+   for collisions of these hashes.
 4. The answers return to the blocks, which mark and cut the bytes.
 """
 
