@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridlake.llm.arrow import by_bytes, raw_bytes, texts
 
 #: At most so many labelled rows are used to fit, chosen by a hash of the id.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 6000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 NGRAMS = (3, 4, 5)

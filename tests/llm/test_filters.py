@@ -38,6 +38,14 @@ def test_spans(spark, edge_docs, edge_rows, no_docs, monkeypatch):
     assert {r.hit_items == [] for r in dc.find_spans(edge_docs, bench.limit(0)).collect()} == {True}
 
 
+def test_quality_learns_from_6000_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows.num_rows))
+    docs = spark.range(9000).selectExpr("id AS doc_id", "'w' || id AS text")
+    quality.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"), fold=0)
+    assert seen == [6000]
+
+
 def test_quality(spark, edge_docs, no_docs):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels, fold=0)
