@@ -12,7 +12,12 @@ BATCH_BYTES = 4 << 20
 
 
 def texts(column: pa.Array) -> pa.Array:
-    """The column as large strings, null as the empty text."""
+    """The column as large strings that begin at 0, null as the empty text.
+
+    A slice is copied: string kernels of Arrow read a cast slice from the wrong place.
+    """
+    if column.offset:
+        column = pa.concat_arrays([column])
     return column.cast(pa.large_string()).fill_null("")
 
 

@@ -374,8 +374,8 @@ def near_duplicates(
         for batch in by_bytes(batches):
             hashes, starts = shingle_sets(batch.column(1), words)
             data = [hashes[lo:hi].tobytes() for lo, hi in zip(starts.tolist(), starts[1:].tolist())]
-            same = [a == b for a, b in zip(set_keys(hashes, starts), batch.column(2).to_pylist())]
-            keep = pa.array(same, pa.bool_())
+            # rows that share an id but not the set meet each other's key here
+            keep = pa.array([a == b for a, b in zip(set_keys(hashes, starts), batch.column(2).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())],
                 ["class_id", "key", "meets", "grams"]).filter(keep)
