@@ -154,3 +154,10 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_robust_outliers")
+def op13_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.outliers import STATS, judge
+
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept")
