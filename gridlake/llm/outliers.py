@@ -36,6 +36,8 @@ ALPHA, LEAST_ROWS = 0.75, 50
 STEPS = 4
 #: Bins of the squared distance for each doubling.
 BINS = 8
+#: Tasks over which the rows of one group meet its estimate.
+SALTS = 32
 #: Quantiles of the reweighting step and of the verdict.
 NEAR, CUT = 0.975, 0.9999999
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -110,7 +112,13 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     many = 100 * F.col("n_repeat_words") > BASE_REPEAT_PERCENT * F.col("n_words")
     return (docs.select(F.col(id_col).alias("doc_id"), "lang", "source", text_stats(text).alias("stats"))
             .select("doc_id", "lang", "source", *[F.col(f"stats.{c}").alias(c) for c in STATS])
-            .withColumn("base_failed", few | many))
+            .withColumns({"base_failed": few | many, "salt": F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int")}))
+
+
+def met(rows: DataFrame, by_group: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with one row per group, salted, so no group's rows meet in one task."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.join(by_group.select("*", salts), [key, "salt"], how)
 
 
 def chi2_cdf(x: float, p: int) -> float:
@@ -201,7 +209,7 @@ def first_estimates(rows: DataFrame) -> DataFrame:
 
 def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """One concentration step for every group and start."""
-    placed = with_distance(rows.join(estimates, "g"))
+    placed = with_distance(met(rows, estimates, "g"))
     binned = placed.groupBy("g", "start", F.floor(F.log2(F.col("d2") + 1e-9) * BINS).alias("bin")).agg(*moments())
     group = Window.partitionBy("g", "start")
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -217,7 +225,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     for step in range(STEPS):
         found = stored(concentrate(rows, found), f"outlier-step-{step}")
     best = found.groupBy("g").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "start")).alias("best")).select("g", "best.*")
-    near = with_distance(rows.join(best, "g")).where(F.col("d2") <= chi2_quantile(NEAR, P))
+    near = with_distance(met(rows, best, "g")).where(F.col("d2") <= chi2_quantile(NEAR, P))
     return stored(factored(near.groupBy("g").agg(*moments()), consistency(NEAR, P)).select("g", *SHAPE), "outlier-shape")
 
 
@@ -231,18 +239,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     stats = stored(with_stats(docs, id_col, text_col), "outlier-stats")
     usable = stats.where(~F.col("base_failed")).select(
-        F.to_json(F.struct("lang", "source")).alias("own"), *[F.expr(x).alias(name) for name, x, _ in FEATURES])
+        "salt", F.to_json(F.struct("lang", "source")).alias("own"), *[F.expr(x).alias(name) for name, x, _ in FEATURES])
     large = stored(usable.groupBy("own").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS)
                    .select("own", F.col("own").alias("g")), "outlier-groups")
-    rows = stored(usable.join(large, "own", "left").select(
-        F.coalesce("g", F.lit("")).alias("g"), *[name for name, _, _ in FEATURES]), "outlier-rows")
+    rows = stored(met(usable, large, "own", "left").select(
+        "salt", F.coalesce("g", F.lit("")).alias("g"), *[name for name, _, _ in FEATURES]), "outlier-rows")
     shapes = estimate(rows)
     enough = rows.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS).select("g")
     shapes = shapes.join(enough, "g", "left_semi")
     vectors = stats.withColumn("own", F.to_json(F.struct("lang", "source"))).withColumns(
         {name: F.when(~F.col("base_failed"), F.expr(x)) for name, x, _ in FEATURES})
-    named = vectors.join(large, "own", "left").withColumn("g", F.coalesce("g", F.lit("")))
-    placed = with_distance(named.join(shapes, "g", "left"))
+    named = met(vectors, large, "own", "left").withColumn("g", F.coalesce("g", F.lit("")))
+    placed = with_distance(met(named, shapes, "g", "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return placed.select(
         "doc_id", "lang", "source", *STATS, "base_failed", distance.alias("distance"),

@@ -161,3 +161,18 @@ def op13_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.outliers import STATS, judge
 
     return judge(table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.conversation_repair import damage, digests, repair
+
+    told = table(spark, sf_dir, "conversations")
+    return digests(repair(damage(told), told.select("conv_id")))
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlake.llm.prefix_trie import build, with_ends
+
+    return with_ends(build(table(spark, sf_dir, "conversations")))

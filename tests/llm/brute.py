@@ -160,3 +160,92 @@ def mix_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
         if not over:
             return {**fixed, **{s: level * w[s] for s in free}}
         fixed.update({s: cap * sizes[s] for s in over})
+
+
+def damaged(rows):
+    """(conv, turn, role, text) rows after damage."""
+    out = []
+    for conv, turn, role, text in rows:
+        code = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if code:
+            text = "" if code == 1 else re.sub("[.!?]", "", text) if code == 2 else text
+            out += [(conv, turn, "user" if code == 4 else role, text)] * (2 if code == 3 else 1)
+    return out
+
+
+def repair(turns):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired lines) of one conversation's (turn, role, text)."""
+    turns = sorted(turns, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest()))
+    seen, faults = set(), []
+    for _, role, text in turns:
+        kept = text.strip(" \t\n\v\f\r")
+        faults.append("blank" if not kept else "duplicate" if (role, text) in seen else "truncated" if kept[-1] not in ".!?" else "")
+        seen.add((role, text))
+    after = {"": "u", "s": "u", "u": "a", "a": "u"}
+    best = {"": (0, "", ())}  # state -> least (cost, audit, lines)
+
+    def put(table, state, entry):
+        if state not in table or entry[:2] < table[state][:2]:
+            table[state] = entry
+
+    def inserted(table):
+        for _ in range(3):
+            for state, (cost, audit, lines) in list(table.items()):
+                role = {"u": "user", "a": "assistant"}[after[state]]
+                put(table, after[state], (cost + 3, audit + "I", (*lines, role + ":")))
+        return table
+
+    for (_, role, text), fault in zip(turns, faults):
+        table = {}
+        for state, (cost, audit, lines) in inserted(best).items():
+            put(table, state, (cost + 4, audit + "D", lines))
+            if fault in ("blank", "duplicate"):
+                continue
+            extra, first = 3 * (fault == "truncated"), role[:1]
+            new = {"u": "user", "a": "assistant"}[after[state]]
+            put(table, after[state], (cost + 3 + extra, audit + "R", (*lines, new + ":" + text)))
+            if first == after[state] or first == "s" and state == "":
+                put(table, first, (cost + extra, audit + "K", (*lines, role + ":" + text)))
+        best = table
+    best = inserted(best)
+    cost, audit, lines = min((best[s] for s in ("", "a") if s in best), key=lambda e: e[:2])
+    numbers = [t for t, _, _ in turns if t is not None]
+    gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, list(lines))
+
+
+def repaired(rows):
+    """conv -> the columns of the query, from undamaged rows."""
+    out = {conv: [] for conv, _, _, _ in rows}
+    for conv, *turn in damaged(rows):
+        out[conv].append(tuple(turn))
+    found = {conv: repair(turns) for conv, turns in out.items()}
+    return {c: (*f[:-1], hashlib.sha256("\n".join(f[-1]).encode()).hexdigest()) for c, f in found.items()}
+
+
+def trie(rows):
+    """Sorted node rows of rebuilt conversations from (conv, turn, role, text)."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", hashlib.sha256((text or "").encode()).digest(), text or ""))
+    own = {c: [(r[2], r[4]) for r in sorted(v)] for c, v in own.items()}
+    members, ended = defaultdict(list), defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % 9
+        turns = own.get(c - int(math.fmod(c, 5)), [])[:h] + own[c][h:]
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+        ended[tuple(turns)].append(c)
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for node, ids in members.items():
+        if node:
+            children[node[:-1]] += 1
+    for node, ids in members.items():
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += (len(ids) - 1) * len(node[-1][1].encode()) if node else 0
+    return sorted(((ids[0], len(node), members[node[:-1]][0] if node else -1, len(ids), children[node], leaves[node], saved[node],
+                    hashlib.sha256(",".join(map(str, ended[node])).encode()).hexdigest()) for node, ids in members.items()))
