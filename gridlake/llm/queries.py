@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlake.llm import oracles
 from gridlake.sources.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,14 +157,14 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op13_robust_outliers")
+@query("op13_robust_outliers", oracles.robust_outliers())
 def op13_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.outliers import STATS, judge
 
     return judge(table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept")
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", oracles.CONVERSATION_REPAIR)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.conversation_repair import damage, digests, repair
 
@@ -171,7 +172,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repair(damage(told), told.select("conv_id")))
 
 
-@query("op11_prefix_trie")
+@query("op11_prefix_trie", oracles.PREFIX_TRIE)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlake.llm.prefix_trie import build, with_ends
 

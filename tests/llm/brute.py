@@ -249,3 +249,34 @@ def trie(rows):
             saved[node[:d]] += (len(ids) - 1) * len(node[-1][1].encode()) if node else 0
     return sorted(((ids[0], len(node), members[node[:-1]][0] if node else -1, len(ids), children[node], leaves[node], saved[node],
                     hashlib.sha256(",".join(map(str, ended[node])).encode()).hexdigest()) for node, ids in members.items()))
+
+
+def text_stats(text):
+    """(words, their characters, symbols, repeated lines, words in repeated 3-word windows)."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    hit = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+def robust_shape(x, floors, alpha, steps, near, consistency, quantile):
+    """(centre, covariance) by concentration steps over whole sorted distances, from the starts
+    of the operator but its medians, and the reweighting step."""
+    def shape(rows, factor):
+        return rows.mean(0), factor * np.cov(rows.T, bias=True) + np.diag(floors ** 2)
+
+    def distances(centre, cov):
+        d = x - centre
+        return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
+
+    p, h, best = x.shape[1], math.ceil(alpha * len(x)), None
+    for rows in (x, x[::2], x[1::2]):
+        found = shape(rows, 1.0)
+        for _ in range(steps):
+            found = shape(x[np.argsort(distances(*found), kind="stable")[:h]], consistency(alpha, p))
+        if best is None or np.linalg.det(found[1]) < np.linalg.det(best[1]):
+            best = found
+    return shape(x[distances(*best) <= quantile(near, p)], consistency(near, p))
