@@ -15,9 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from gridlake.llm.arrow import texts
+from gridlake.llm.arrow import raw_bytes, texts
 
-KEPT_PIECES = 300_000
+#: Words that a counter keeps, and pieces and ids that an encoder keeps.
+KEPT_WORDS = 300_000
+KEPT_PIECES = 400_000
+KEPT_IDS = 8_000_000
 KEPT_BYTES = 64
 JOINED_PIECES = 4096
 JOINED_CHARS = 1 << 18
@@ -31,7 +34,8 @@ BREAK = "\x01"
 OPENING = "\u0120\u0109\u010a\u010b\u010c\u010d"
 SPACES = " \t\n\r\f\v"
 MARKS = ",.;:!?"
-LETTERS = {c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0")}
+#: A letter (of the Latin blocks) and a mark that end a piece.
+MARKED = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][,.;:!?]$"
 
 
 def load(path: str):
@@ -110,68 +114,102 @@ class Counter:
         missing = np.flatnonzero(counts < 0)
         if len(missing):
             _, counts[missing] = encode_joined(self.tokenizer, [pieces[i] + " " for i in missing])
-            if len(self.kept) + len(missing) > KEPT_PIECES:
+            if len(self.kept) + len(missing) > KEPT_WORDS:
                 self.kept = {}
-            self.kept.update((pieces[i], int(counts[i])) for i in missing[:KEPT_PIECES] if len(pieces[i]) <= KEPT_BYTES)
+            self.kept.update((pieces[i], int(counts[i])) for i in missing[:KEPT_WORDS] if len(pieces[i]) <= KEPT_BYTES)
         total = np.concatenate(([0], np.cumsum(counts[coded.indices.to_numpy()])))
         ends = np.cumsum(n_words)
         return total[ends] - total[ends - n_words]
 
 
 class Encoder:
-    """Token ids for a byte-level tokenizer, where a space belongs to the word after it."""
+    """Token ids for a byte-level tokenizer, where a space belongs to the word after it.
+
+    A worker's known pieces are one array of texts and one of ids. When they are too many,
+    those that met one batch only go.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.kept: dict[str, bytes] = {}
-        self.aged: dict[str, bytes] = {}
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] in OPENING]] = True
-        self.marks = {m: self._whole(m).tobytes() for m in MARKS}
+        self.marks = np.full(256, -1, np.int64)
+        for mark in MARKS:
+            ids = self._whole(mark)
+            if len(ids) == 1:
+                self.marks[ord(mark)] = ids[0]
+        self._forget(np.zeros(0, np.int64))
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _forget(self, kept: np.ndarray) -> None:
+        """Keep these rows of the known pieces only."""
+        if not len(kept):
+            self.names, self.ids = pa.array([], pa.large_binary()), np.zeros(0, np.uint32)
+            self.starts, self.counts, self.met = (np.zeros(0, np.int64) for _ in range(3))
+            return
+        self.names = self.names.take(pa.array(kept))
+        self.ids = ragged(self.ids, self.starts[kept], self.counts[kept])
+        self.counts = self.counts[kept]
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.met = np.zeros(len(kept), np.int64)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids by piece)."""
         # white space alone ends a text, and a piece without white space before it starts
         # one; next to another piece they would join it
-        found: list = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if p[:1] in SPACES and p.strip(SPACES)]
-        for i in set(range(len(pieces))).difference(joined):
-            found[i] = self._whole(pieces[i]).tobytes()
-        ids, counts = encode_joined(self.tokenizer, [pieces[i] for i in joined], self.opens)
-        raw, ends = ids.tobytes(), np.cumsum(counts) * 4
-        for i, hi, n in zip(joined, ends.tolist(), (counts * 4).tolist()):
-            found[i] = raw[hi - n:hi]
-        return found
-
-    def _known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, counts) of distinct pieces."""
-        kept, aged, marks = self.kept, self.aged, self.marks
-        found = list(map(kept.get, pieces))
-        missing = [i for i, f in enumerate(found) if f is None]
-        if missing and aged:
-            for i in missing:
-                found[i] = aged.get(pieces[i])
-                if found[i] is not None:
-                    kept[pieces[i]] = found[i]
-            missing = [i for i in missing if found[i] is None]
-        if missing:
-            # a mark after a letter is a token run of its own, so words share their encoding
-            stems = [pieces[i][:-1] if pieces[i][-1:] in marks and pieces[i][-2:-1] in LETTERS else pieces[i] for i in missing]
-            fresh = dict.fromkeys(stems)
-            for p in fresh:
-                fresh[p] = kept.get(p) or aged.get(p)
-            new = [p for p, v in fresh.items() if v is None]
-            fresh.update(zip(new, self._encode(new)))
-            for i, stem in zip(missing, stems):
-                found[i] = fresh[stem] if len(stem) == len(pieces[i]) else fresh[stem] + marks[pieces[i][-1]]
-            # of the pieces from before the last change, only used ones go on
-            if len(kept) + len(new) > KEPT_PIECES:
-                self.aged, self.kept = kept, {}
-            self.kept.update((p, fresh[p]) for p in new if len(p) <= KEPT_BYTES)
-        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), dtype=np.uint32), np.cumsum(counts) - counts, counts
+        joined = np.array([p[:1] in SPACES and not p.isspace() for p in pieces], bool)
+        joined[[i for i, p in enumerate(pieces) if not p]] = False
+        ids, some = encode_joined(self.tokenizer, [p for p, j in zip(pieces, joined) if j], self.opens)
+        if joined.all():
+            return ids, some
+        alone = [self._whole(p) for p, j in zip(pieces, joined) if not j]
+        counts = np.zeros(len(pieces), np.int64)
+        counts[joined], counts[~joined] = some, [len(a) for a in alone]
+        out = np.zeros(int(counts.sum()), np.uint32)
+        of_joined = np.repeat(joined, counts)
+        out[of_joined], out[~of_joined] = ids, np.concatenate(alone)
+        return out, counts
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand among the known ones; new ones are encoded."""
+        if len(self.names) > KEPT_PIECES or len(self.ids) > KEPT_IDS:
+            kept = np.flatnonzero(self.met > 1)
+            self._forget(kept if 2 * len(kept) < KEPT_PIECES and 2 * self.counts[kept].sum() < KEPT_IDS else kept[:0])
+        rows = pc.index_in(pieces, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = pieces.take(pa.array(missing))
+            ids, counts = self._encode(new.cast(pa.large_string()).to_pylist())
+            rows[missing] = len(self.names) + np.arange(len(missing))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.names, self.ids = pa.concat_arrays([self.names, new]), np.concatenate([self.ids, ids])
+            self.counts = np.concatenate([self.counts, counts])
+            self.met = np.concatenate([self.met, np.zeros(len(missing), np.int64)])
+        self.met[rows] += 1
+        return rows
+
+    def _known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, counts) of distinct pieces, given as large strings."""
+        data, offsets = raw_bytes(pieces)
+        filled = np.diff(offsets) > 0
+        last = np.zeros(len(pieces), np.uint8)
+        last[filled] = data[offsets[1:][filled] - 1]
+        # a mark after a letter is a token run of its own, so words share their encoding
+        marked = (self.marks[last] >= 0) & pc.match_substring_regex(pieces, MARKED).to_numpy(zero_copy_only=False)
+        named = pieces.cast(pa.large_binary())
+        stems = pc.if_else(pa.array(marked), pc.binary_slice(named, 0, -1), named).dictionary_encode()
+        rows = self._rows(stems.dictionary)[stems.indices.to_numpy()]
+        own = self.counts[rows]
+        counts = own + marked
+        ends = np.cumsum(counts)
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        is_mark = np.zeros(len(ids), bool)
+        is_mark[ends[marked] - 1] = True
+        ids[is_mark] = self.marks[last[marked]]
+        ids[~is_mark] = ragged(self.ids, self.starts[rows], own)
+        return ids, ends - counts, counts
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids by text)."""
@@ -179,47 +217,56 @@ class Encoder:
         n = len(column)
         whole = pc.match_substring_regex(column, UNSAFE).to_numpy(zero_copy_only=False)
         odd = pc.match_substring_regex(column, r"[ \t\n\r\f\v]{2}|^[ \t\n\r\f\v]|[ \t\n\r\f\v]$").to_numpy(zero_copy_only=False)
-        plain = np.flatnonzero(~whole & ~odd)
-        runs = np.flatnonzero(~whole & odd)
-        parts: list = [None] * n
-        if len(plain):
-            some = column.take(pa.array(plain))
-            words = pc.split_pattern(pc.replace_substring(some, "\n", " " + BREAK), " ")
-            sizes = np.diff(words.offsets.to_numpy())
-            coded = words.flatten().dictionary_encode()
-            index = coded.indices.to_numpy().astype(np.int64)
-            # the first word of a text has no space before it; it gets a code of its own
-            firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            heads = index[firsts]
-            head_codes, head_at = np.unique(heads, return_inverse=True)
-            used = np.ones(len(index), bool)
-            used[firsts] = False
-            inner = np.unique(index[used])
-            spaced = pc.binary_join_element_wise(pa.scalar(" ", coded.dictionary.type), coded.dictionary.take(pa.array(inner)),
-                                                 pa.scalar("", coded.dictionary.type))
-            pieces = pc.replace_substring(spaced, " " + BREAK, "\n").to_pylist()
-            pieces += coded.dictionary.take(pa.array(head_codes)).to_pylist()
-            ids, starts, counts = self._known(pieces)
-            place = np.zeros(len(coded.dictionary), np.int64)
-            place[inner] = np.arange(len(inner))
-            at = place[index]
-            at[firsts] = len(inner) + head_at
-            flat = ragged(ids, starts[at], counts[at])
-            upto = np.concatenate(([0], np.cumsum(counts[at])))
-            ends = np.cumsum(sizes)
-            for row, lo, hi in zip(plain, upto[ends - sizes], upto[ends]):
-                parts[row] = flat[lo:hi]
-        for row in runs:
-            pieces = PIECE.findall(column[int(row)].as_py())
-            names = list(dict.fromkeys(pieces))
-            ids, starts, counts = self._known(names)
-            place = {p: i for i, p in enumerate(names)}
-            at = np.fromiter((place[p] for p in pieces), np.int64, len(pieces))
-            parts[row] = ragged(ids, starts[at], counts[at])
-        for row in np.flatnonzero(whole):
-            parts[row] = self._whole(column[int(row)].as_py())
-        sizes = np.fromiter(map(len, parts), np.int64, n)
-        return (np.concatenate(parts) if n else np.zeros(0, np.uint32)), sizes
+        plain = ~whole & ~odd
+        if plain.all() and n:
+            return self._plain(column)
+        sizes, parts = np.zeros(n, np.int64), {}
+        flat = np.zeros(0, np.uint32)
+        if plain.any():
+            flat, sizes[plain] = self._plain(column.take(pa.array(np.flatnonzero(plain))))
+        for row in np.flatnonzero(~plain).tolist():
+            text = column[row].as_py()
+            if whole[row]:
+                parts[row] = self._whole(text)
+            else:
+                pieces = pa.array(PIECE.findall(text), pa.large_string()).dictionary_encode()
+                ids, starts, counts = self._known(pieces.dictionary)
+                at = pieces.indices.to_numpy()
+                parts[row] = ragged(ids, starts[at], counts[at])
+            sizes[row] = len(parts[row])
+        out = np.empty(int(sizes.sum()), np.uint32)
+        of_plain = np.repeat(plain, sizes)
+        out[of_plain] = flat
+        if parts:
+            out[~of_plain] = np.concatenate([parts[row] for row in sorted(parts)])
+        return out, sizes
+
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with single white space between words and none around them."""
+        words = pc.split_pattern(pc.replace_substring(column, "\n", " " + BREAK), " ")
+        sizes = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        # the first word of a text has no space before it; it gets a code of its own
+        firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        head_codes, head_at = np.unique(index[firsts], return_inverse=True)
+        is_inner = np.zeros(len(coded.dictionary), bool)
+        used = np.ones(len(index), bool)
+        used[firsts] = False
+        is_inner[index[used]] = True
+        inner = np.flatnonzero(is_inner)
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", coded.dictionary.type), coded.dictionary.take(pa.array(inner)),
+                                             pa.scalar("", coded.dictionary.type))
+        ids, starts, counts = self._known(pa.concat_arrays([
+            pc.replace_substring(spaced, " " + BREAK, "\n"), coded.dictionary.take(pa.array(head_codes))]))
+        place = np.zeros(len(coded.dictionary), np.int64)
+        place[inner] = np.arange(len(inner))
+        at = place[index]
+        at[firsts] = len(inner) + head_at
+        lengths = counts[at]
+        upto = np.cumsum(lengths)
+        ends = upto[np.cumsum(sizes) - 1]
+        return ragged(ids, starts[at], lengths), np.diff(ends, prepend=0)
 
 
 _loaded: dict = {}

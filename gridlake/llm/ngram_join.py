@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gridlake.llm.arrow import by_bytes, texts
+from gridlake.llm.arrow import texts
 from gridlake.llm.components import components
 from gridlake.llm.katz import HISTORY, rows_of, runs, split_rows, squeeze, unsqueeze
 from gridlake.llm.quality import split_words
@@ -36,6 +36,7 @@ from gridlake.sources.scratch import shared_dir
 #: Sets and set elements of a block of a cluster; a task holds two blocks.
 BLOCK_SETS = 2000
 BLOCK_ELEMENTS = 1 << 20
+MEETS = pa.list_(pa.struct([("cluster", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -306,20 +307,6 @@ def tree_join(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def with_sets(docs: DataFrame, words: int, name: str, text_col: str = "text") -> DataFrame:
-    """docs and the key of each row's set, empty for rows without n-grams."""
-    df = docs.withColumn(name, F.lit(b""))
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in by_bytes(batches):
-            keys = set_keys(*shingle_sets(batch.column(at), words))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([k or b"" for k in keys], pa.binary())], batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
-
-
 def near_duplicates(
     docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -338,13 +325,15 @@ def near_duplicates(
 
     def describe(batches):
         for batch in batches:
-            for _, _, parts in split_rows(pa.Table.from_batches([batch])):
+            for number, _, parts in split_rows(pa.Table.from_batches([batch])):
                 block = SetBlock(parts, words)
+                n = len(block.doc_ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.doc_ids, pa.int64(), mask=block.nulls), pa.array(np.diff(block.starts), pa.int64()),
                      pa.array(block.keys, pa.binary()),
-                     pa.array([None if k is None else node_of(k) for k in block.keys], pa.int64())],
-                    ["doc_id", "n_shingles", "key", "node"])
+                     pa.array([None if k is None else node_of(k) for k in block.keys], pa.int64()),
+                     pa.array(np.full(n, number), pa.int64()), pa.array(np.arange(n), pa.int64())],
+                    ["doc_id", "n_shingles", "key", "node", "block", "row"])
 
     def stored(df: DataFrame, purpose: str) -> DataFrame:
         folder = shared_dir(spark, purpose)
@@ -353,47 +342,50 @@ def near_duplicates(
 
     texts_of = docs.select(F.col(id_col).cast(LongType()).alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(texts_of.mapInArrow(make_blocks, HISTORY), "ngram-blocks")
-    sets = stored(blocks.mapInArrow(describe, "doc_id long, n_shingles long, key binary, node long"), "ngram-sets")
+    sets = stored(blocks.mapInArrow(describe, "doc_id long, n_shingles long, key binary, node long, block long, row long"), "ngram-sets")
     by_class = sets.where("key is not null and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("class_id"), F.min("node").alias("node"), F.min("n_shingles").alias("n_shingles"))
+        F.min(F.struct("doc_id", "block", "row")).alias("at"), F.min("node").alias("node"), F.min("n_shingles").alias("n_shingles")).select(
+        "key", "node", "n_shingles", F.col("at.doc_id").alias("class_id"), F.col("at.block").alias("block"), F.col("at.row").alias("row"))
     counted = blocks.mapInArrow(send_grams(buckets, words), HISTORY).groupBy("bucket").applyInArrow(count_grams, HISTORY)
     hung = (blocks.union(counted).groupBy("block").applyInArrow(send_prefixes(buckets, words, percent), HISTORY)
             .groupBy("bucket").applyInArrow(hang, "a long, b long"))
     clusters = components(hung)
 
     member = by_class.join(clusters, by_class["node"] == clusters["id"]).select(
-        "class_id", "key", "n_shingles", F.col("component").alias("cluster"))
+        "class_id", "key", "n_shingles", "block", "row", F.col("component").alias("cluster"))
     extent = member.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_ELEMENTS)).alias("blocks"))
-    dealt = member.join(extent, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        F.col("class_id").alias("doc_id"), "key", "cluster",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def set_of(batches):
-        for batch in by_bytes(batches):
-            hashes, starts = shingle_sets(batch.column(1), words)
-            data = [hashes[lo:hi].tobytes() for lo, hi in zip(starts.tolist(), starts[1:].tolist())]
-            # rows that share an id but not the set meet each other's key here
-            keep = pa.array([a == b for a, b in zip(set_keys(hashes, starts), batch.column(2).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(data, pa.binary())],
-                ["class_id", "key", "meets", "grams"]).filter(keep)
-
-    wanted = pairs.groupBy("doc_id", "key").agg(F.collect_set(F.struct("cluster", "low", "high")).alias("meets"))
-    found = texts_of.join(wanted, "doc_id").select("doc_id", "text", "key", "meets").mapInArrow(
-        set_of, "class_id long, key binary, meets array<struct<cluster:long,low:long,high:long>>, grams binary")
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_ELEMENTS)).alias("parts"))
+    dealt = member.join(extent, "cluster").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+        "class_id", "key", "block", "row", "cluster",
+        F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+    def sets_of(held: pa.Table, asked: pa.Table) -> pa.Table:
+        grams = []
+        if asked.num_rows:
+            (_, _, (_, _, offsets, data)), = split_rows(held)
+            text = pa.LargeStringArray.from_buffers(
+                len(offsets) // 8 - 1, pa.py_buffer(offsets), pa.py_buffer(unpack_bytes(data)))
+            hashes, starts = shingle_sets(text.take(asked.column("row").combine_chunks()), words)
+            if set_keys(hashes, starts) != asked.column("key").to_pylist():
+                raise ValueError("a set differs from the one that was read before")
+            grams = [hashes[lo:hi].tobytes() for lo, hi in zip(starts.tolist(), starts[1:].tolist())]
+        return pa.table({"class_id": asked.column("class_id"), "key": asked.column("key"),
+                         "meets": pa.array(asked.column("meets").to_pylist(), MEETS), "grams": pa.array(grams, pa.binary())})
+
+    wanted = pairs.groupBy("block", "row", "class_id", "key").agg(F.collect_set(F.struct("cluster", "low", "high")).alias("meets"))
+    found = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(
+        sets_of, "class_id long, key binary, meets array<struct<cluster:long,low:long,high:long>>, grams binary")
     placed = found.select("class_id", "key", "grams", F.explode("meets").alias("meet")).select(
         "class_id", "key", "grams", "meet.*")
 
     def join_task(table: pa.Table) -> pa.Table:
         ids, keys = table.column("class_id").to_pylist(), table.column("key").to_pylist()
-        once = list({k: n for n, k in enumerate(keys)}.values())
-        own = [np.frombuffer(table.column("grams")[n].as_py(), np.uint64) for n in once]
+        own = [np.frombuffer(g.as_py(), np.uint64) for g in table.column("grams")]
         linked = tree_join(own, percent)
 
         def nodes(side: int) -> pa.Array:
-            rows = [once[pair[side]] for pair in linked]
+            rows = [pair[side] for pair in linked]
             return pa.StructArray.from_arrays(
                 [pa.array([ids[n] for n in rows], pa.int64()), pa.array([keys[n] for n in rows], pa.binary())],
                 ["class_id", "key"])

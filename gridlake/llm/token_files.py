@@ -32,6 +32,8 @@ from gridlake.llm.encoding import Encoder, worker_copy
 MAGIC = b"GLTOKENS"
 BLOCK = 4096
 SHARD_IDS = 1 << 20
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 8 << 20
 HEAD = np.dtype([("magic", "S8"), ("version", "<u4"), ("bits", "<u4"), ("block", "<u4"), ("zero", "<u4"),
                  ("ordinal", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
 
@@ -115,7 +117,7 @@ def write_token_files(
             data = shard_bytes(part << 32 | number, names, np.concatenate(held), np.concatenate(counts), bits)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=ENCODE_BYTES):
             ids, sizes = encoder(batch.column(1))
             ends = np.cumsum(sizes)
             names += batch.column(0).to_pylist()
