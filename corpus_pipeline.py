@@ -29,18 +29,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id. Rows without id stay.
 
-    Rows that repeat an id are judged by their own texts; of equal texts, or sets, one stays.
+    Rows get numbers that go with them through the join, so a row is kept or dropped by its
+    own links. Texts without shingles link with nothing; of equal rows of them one stays.
     """
-    found = ngram_join.near_duplicates(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
-    heads = found.where("doc_id = component_id and key <=> component_key").select(
-        "doc_id", F.coalesce("key", F.lit(b"")).alias("__set")).distinct()
-    named = ngram_join.with_sets(docs.where("doc_id is not null"), SHINGLE_WORDS, "__set")
-    kept = named.join(heads, ["doc_id", "__set"], "left_semi")
-    # texts without n-grams have no set and are told apart by themselves; minima are combined before the shuffle
-    text = F.when(F.col("__set") == F.lit(b""), F.sha2("text", 256))
-    one = kept.groupBy("doc_id", "__set", text.alias("__text")).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("row"))
-    return one.select("row.*").union(docs.where("doc_id is null"))
+    folder = shared_dir(spark, "pipeline-numbered")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    own = F.when(F.col("doc_id").isNotNull(), F.col("__row"))
+    found = ngram_join.near_duplicates(rows.select(own.alias("__row"), "text"), SHINGLE_WORDS, SHINGLE_PERCENT, id_col="__row").select(
+        F.col("doc_id").alias("__row"), "component_id", "n_shingles")
+    # a row that the join does not return is an error
+    size = F.when(F.col("doc_id").isNull() | F.col("n_shingles").isNotNull(), F.col("n_shingles")).otherwise(
+        F.raise_error(F.lit("the join lost a row")).cast("long"))
+    bare = F.when(F.col("n_shingles") == 0, F.struct("doc_id", F.sha2("text", 256).alias("text")))
+    placed = rows.join(found, "__row", "left").withColumn("n_shingles", size).select(
+        "doc_id", "__row", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"), bare.alias("bare"))
+    heads = placed.where("doc_id IS NOT NULL").groupBy("group", "bare").agg(F.min(F.struct("doc_id", "__row")).alias("head")).select("head.__row")
+    kept = heads.union(placed.where("doc_id IS NULL").select("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
