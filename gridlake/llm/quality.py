@@ -157,8 +157,8 @@ def in_fold(id_col: Column, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, max_rows: int = TRAIN_ROWS) -> Model:
-    """Train on labelled documents outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, fold: int | None = 0, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(text, label) of labelled documents outside the held-out fold, in a fixed order.
 
     At most max_rows rows, those with the smallest hash of the id, so every label has the
     same chance at any size. Null ids and labels are left out; an id with several labels
@@ -170,10 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, max_rows: int
     order = F.xxhash64(F.col("doc_id"))
     ids = (usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
            .orderBy(order, "doc_id").limit(max_rows))
-    chosen = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-              .orderBy(order, "doc_id", "text").limit(max_rows).select("text", "label"))
-    # one task trains on the bounded rows; the driver gets one number per bucket
-    found = chosen.coalesce(1).mapInArrow(_train_rows, "weight binary, bias double").collect()
+    return (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+            .orderBy(order, "doc_id", "text").limit(max_rows).select("text", "label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 0, max_rows: int = TRAIN_ROWS) -> Model:
+    """Train on training_rows in one task; the driver gets one number per bucket."""
+    found = training_rows(docs, labels, fold, max_rows).coalesce(1).mapInArrow(_train_rows, "weight binary, bias double").collect()
     if not found:
         return train(NO_ROWS)
     return Model(np.frombuffer(bytes(found[0]["weight"]), np.float64), found[0]["bias"])

@@ -1,5 +1,7 @@
 """Decontamination, quality, mixing."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -38,12 +40,11 @@ def test_spans(spark, edge_docs, edge_rows, no_docs, monkeypatch):
     assert {r.hit_items == [] for r in dc.find_spans(edge_docs, bench.limit(0)).collect()} == {True}
 
 
-def test_quality_learns_from_6000_rows(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows.num_rows))
+def test_quality_learns_from_6000_rows(spark):
     docs = spark.range(9000).selectExpr("id AS doc_id", "'w' || id AS text")
-    quality.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"), fold=0)
-    assert seen == [6000]
+    rows = quality.training_rows(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"), fold=0).collect()
+    assert len({r.text for r in rows}) == len(rows) == 6000
+    assert not any(zlib.crc32(r.text[1:].encode()) % 5 == 0 for r in rows)
 
 
 def test_quality(spark, edge_docs, no_docs):
