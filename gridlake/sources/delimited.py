@@ -5,14 +5,22 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlake.sources.scratch import shared_dir
 
 ROWS_SCHEMA = "path string, sheet_idx int, sheet_name string, row_index bigint, cells array<string>"
+#: Blocks whose beginnings are broadcast: one row per input split, of which the driver holds a
+#: task each. Beyond it the optimizer chooses the join.
+BROADCAST_BLOCKS = 1_000_000
+#: Longest field, beyond the csv module's own limit.
+csv.field_size_limit((1 << 31) - 1)
 
 
 def _rows(path: str, content: bytes, sep: str) -> pd.DataFrame:
@@ -40,36 +48,34 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", glob: str = "
     """All matching files, of any size, split over tasks; a record may span lines.
 
     A line break ends a record unless it stands in quotes, which depends on all that comes
-    before it. Every block of a file is therefore read twice. First it says, for both cases
-    of its beginning, how it ends and how many records end in it: one small row per block.
-    These rows give each block its true beginning and first record number. Then the blocks
-    are cut into records; a record over a block's border is put together from its pieces.
+    before it. The task that reads a block cuts it into records at once, for both cases of its
+    beginning until they agree, mostly after one quoted field; from there on records count for
+    both. A block is then a map from how it begins to how it ends. These maps, one small row
+    per block, are composed by running windows over a file's blocks, which gives each block its
+    true beginning and first record number. Only pieces of records that cross a border move.
     """
     lines = (
         spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
         .text(path, lineSep="\n").select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("mid"), F.col("value").cast("binary").alias("line")))
-    blocks = lines.mapInPandas(lambda batches: _survey(batches, sep), _SURVEY).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("block", "outside", "inside"))).alias("blocks"))
-    starts = blocks.select("path", F.explode(F.aggregate(
-        "blocks", F.expr(f"named_struct('open', false, 'ends', 0L, 'done', cast(array() as {_STARTS}))"),
-        _follow, lambda s: s["done"])).alias("s")).select("path", "s.*")
-    starts = _written(starts, "csv-blocks")
-    known = starts.select("path", "block", "open", "ends")
-    cut = lines.groupBy("path", "block").cogroup(known.groupBy("path", "block")).applyInPandas(
-        lambda own, start: _records(own, start, sep),
-        "path string, record bigint, block bigint, piece string, cells array<string>")
-    cut = _written(cut, "csv-records")
-    pieces = cut.where("piece IS NOT NULL").groupBy("path", "record").agg(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"))
+    cut = _written(lines.mapInArrow(lambda batches: _cut_blocks(batches, sep), CUT), "csv-cut")
+    starts = _written(block_starts(cut.where("kind = 2").select("path", "block", "told.*")), "csv-starts")
+    few = starts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+
+    def placed(rows: DataFrame, beginnings: DataFrame) -> DataFrame:
+        """Rows of the true beginnings, with their record numbers in the file."""
+        side = F.broadcast(beginnings) if few else beginnings
+        return rows.join(side, ["path", "block"]).where("side = 2 OR side = cast(open AS int)").withColumn(
+            "record", F.col("record") + F.col("ends") + F.when(F.col("side") == 2, F.col("base")).otherwise(0))
+
+    pieces = placed(cut.where("kind = 1").select("path", "block", "side", "record", "piece"), starts).groupBy("path", "record").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    joined = pieces.mapInPandas(lambda batches: _joined(batches, sep), "path string, record bigint, cells array<string>")
-    width = starts.groupBy("path").agg(F.max("width").alias("w")).join(
-        joined.groupBy("path").agg(F.max(F.size("cells")).alias("v")), "path", "left").select(
-        "path", F.greatest("w", "v").alias("w"))
-    rows = cut.where("piece IS NULL").select("path", "record", "cells").unionByName(joined)
-    return rows.join(width, "path").select(
+    joined = _written(pieces.mapInPandas(lambda batches: _joined(batches, sep), "path string, record bigint, cells array<string>"), "csv-joined")
+    widths = starts.groupBy("path").agg(F.max("width").alias("w")).join(
+        joined.groupBy("path").agg(F.max(F.size("cells")).alias("v")), "path", "left").select("path", F.greatest("w", "v").alias("w"))
+    whole = placed(cut.where("kind = 0").select("path", "block", "side", "record", "cells"), starts.join(widths, "path"))
+    rows = whole.select("path", "record", "cells", "w").unionByName(joined.join(widths, "path"))
+    return rows.select(
         "path", F.lit(0).alias("sheet_idx"), F.lit("Sheet1").alias("sheet_name"), F.col("record").alias("row_index"),
         F.concat("cells", F.array_repeat(
             F.lit(None).cast("string"), F.col("w") - F.size("cells"))).alias("cells"))
@@ -82,117 +88,218 @@ def _written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-_SIDE = "struct<open:boolean,ends:bigint,width:int>"
-_SURVEY = f"path string, block bigint, outside {_SIDE}, inside {_SIDE}"
-_STARTS = "array<struct<block:bigint,open:boolean,ends:bigint,width:int>>"
+_SIDE = "struct<open:boolean,ends:bigint,base:bigint,width:int>"
+#: kind 0 is a record, 1 a piece of one that crosses a border, 2 tells of the block; side is the
+#: beginning for which the row holds (0 outside quotes, 1 inside, 2 both); record counts from
+#: the block's beginning, or from where the sides agree.
+CUT = ("path string, block bigint, kind int, side int, record bigint, cells array<string>, piece string, "
+       f"told struct<outside:{_SIDE},inside:{_SIDE}>")
 
 
-def _follow(state, block):
-    """Fold step: the next block begins where this one ends."""
-    side = F.when(state["open"], block["inside"]).otherwise(block["outside"])
-    here = F.struct(block["block"].alias("block"), state["open"].alias("open"), state["ends"].alias("ends"),
-                    side["width"].alias("width"))
-    return F.struct(side["open"].alias("open"), (state["ends"] + side["ends"]).alias("ends"),
-                    F.array_append(state["done"], here).alias("done"))
+def block_starts(told: DataFrame) -> DataFrame:
+    """path, block, open, ends, base, width: how blocks truly begin.
 
-
-def _pieces(line: bytes, first: bool) -> list[str]:
+    A block that ends alike for both beginnings settles what follows; others keep or swap the
+    state. So the state before a block is that behind the last settling one, changed by the
+    number of swaps since: a last value and a running sum, linear in the file's blocks.
+    """
+    ordered = Window.partitionBy("path").orderBy("block")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    settles = F.col("inside").isNull() | (F.col("outside.open") == F.col("inside.open"))
+    swaps = F.coalesce((~settles & F.col("outside.open")).cast("int"), F.lit(0))
+    state = told.withColumn("swaps", swaps).withColumn(
+        "settled", F.when(settles, F.pmod(F.col("outside.open").cast("int") + F.sum("swaps").over(upto), F.lit(2))))
+    is_open = F.pmod(F.coalesce(F.last("settled", True).over(before), F.lit(0))
+                     + F.coalesce(F.sum("swaps").over(before), F.lit(0)), F.lit(2)) == 1
+    state = state.withColumn("open", is_open)
+    state = state.withColumn("own", F.when(F.col("open"), F.col("inside")).otherwise(F.col("outside")))
+    return state.select(
+        "path", "block", "open", F.coalesce(F.sum("own.ends").over(before), F.lit(0)).alias("ends"),
+        F.col("own.base").alias("base"), F.col("own.width").alias("width"))
+
+
+def _pieces(text: str) -> list[str]:
     """A line of the file with its break, cut at breaks of the other kind."""
-    text = line.decode("utf-8")
-    if first:
-        text = text.removeprefix("\ufeff")
     if "\r" not in text:
         return [text + "\n"]
     return list(io.StringIO(text + "\n", newline=""))
 
 
-def _stays_open(piece: str, is_open: bool, sep: str) -> bool:
-    """Whether the break at the end of a piece stands in quotes, given its beginning."""
-    if '"' not in piece:
-        return is_open
-    after = csv.reader(['"' + piece if is_open else piece, "end"], delimiter=sep)
-    return sum(1 for _ in after) < 2
+def _parse(text: str, sep: str) -> list[str]:
+    return next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
 
 
-def _parse(text: str, sep: str) -> list[str | None]:
-    return [v or None for v in next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])]
+#: A line that shows whether a record was still open before it.
+_END = "\x1eend\x1e"
 
 
-class _Cutter:
-    """Follows lines from one beginning. A record that began before is passed over."""
+class _Side:
+    """Follows lines from one beginning."""
 
     def __init__(self, is_open: bool, sep: str):
         self.open, self.head, self.sep = is_open, is_open, sep
         self.ends, self.width, self.held = 0, 0, []
 
-    def take(self, piece: str) -> str | None:
-        """The record that ends with this piece, if one does and it began here."""
-        self.open = _stays_open(piece, self.open, self.sep)
-        if not self.head:
-            self.held.append(piece)
-        if self.open:
-            return None
-        self.ends += 1
-        text, self.held = "".join(self.held), []
-        if self.head:
-            self.head = False
-            return None
-        return text
-
-    def measure(self, piece: str) -> None:
-        text = self.take(piece)
-        if text is not None:
-            n = len(_parse(text, self.sep)) if '"' in text else 0 if not text.strip("\r\n") else text.count(self.sep) + 1
-            self.width = max(self.width, n)
-
-    def result(self) -> dict:
-        return {"open": self.open, "ends": self.ends, "width": self.width}
-
-
-def _survey(batches: Iterator[pd.DataFrame], sep: str) -> Iterator[pd.DataFrame]:
-    found: dict[tuple[str, int], tuple[_Cutter, _Cutter]] = {}
+    def take(self, lines: list[str]) -> tuple[list, list[int]]:
+        """Records that end in these lines, and after how many lines each does. The rest of a
+        record that began before the block is a text instead of a list."""
+        found, after, start = [], [], 0
+        if self.open and lines:
+            reader = csv.reader(chain(['"' + lines[0]], lines[1:], [_END]), delimiter=self.sep)
+            next(reader)
+            start = reader.line_num
+            if start > len(lines):
+                self.held += lines
+                return found, after
+            text = "".join([*self.held, *lines[:start]])
+            found.append(text if self.head else _parse(text, self.sep))
+            after.append(start)
+            self.open, self.head, self.held = False, False, []
+        rest = lines[start:] if start else lines
+        reader, n, last = csv.reader(chain(rest, [_END]), delimiter=self.sep), len(rest), 0
+        for record in reader:
+            if reader.line_num > n:
+                if record != [_END]:
+                    self.open, self.held = True, rest[last:]
+                break
+            last = reader.line_num
+            found.append(record)
+            after.append(start + last)
+        self.ends += len(found)
+        self.width = max(self.width, max((len(r) for r in found if not isinstance(r, str)), default=0))
+        return found, after
+
+
+class _Block:
+    """Cuts one block's lines; `rows` are (kind, side, record, cells, piece)."""
+
+    def __init__(self, path: str, block: int, sep: str):
+        self.path, self.block, self.sep = path, block, sep
+        self.sides = [_Side(False, sep), _Side(True, sep)]
+        self.base, self.common = (0, 0), None
+        if block == 0:
+            self.common = self.sides[0]
+        self.first = block == 0
+
+    def lines(self, values: pa.Array) -> list[str]:
+        texts = values.to_pylist()
+        if self.first:
+            texts[0] = texts[0].removeprefix("\ufeff")
+            self.first = False
+        if pc.any(pc.match_substring(values, "\r")).as_py():
+            return [p for t in texts for p in _pieces(t)]
+        return [t + "\n" for t in texts]
+
+    def take(self, values: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.first and not values[0].as_py().startswith("\ufeff"):
+            self.first = False
+        plain = (self.common is not None and not self.common.open and not self.first
+                 and not pc.any(pc.match_substring_regex(values, '["\r]')).as_py())
+        if plain:
+            yield self.plain(values)
+            return
+        lines = self.lines(values)
+        if self.common is not None:
+            begun = self.common.ends
+            found, _ = self.common.take(lines)
+            yield from self.told(2, begun - self.base[0], found)
+            return
+        begun = [side.ends for side in self.sides]
+        (outside, out_after), (inside, in_after) = (side.take(lines) for side in self.sides)
+        meets = min(set(out_after) & set(in_after), default=None)
+        cuts = [len(outside), len(inside)]
+        if meets is not None:
+            cuts = [out_after.index(meets) + 1, in_after.index(meets) + 1]
+            self.base, self.common = (begun[0] + cuts[0], begun[1] + cuts[1]), self.sides[0]
+        yield from self.told(0, begun[0], outside[:cuts[0]])
+        yield from self.told(1, begun[1], inside[:cuts[1]])
+        if meets is not None:
+            yield from self.told(2, 0, outside[cuts[0]:])
+
+    def plain(self, values: pa.Array) -> pa.RecordBatch:
+        """Lines without quotes are records."""
+        cells = pc.split_pattern(values, self.sep)
+        begun = self.common.ends - self.base[0]
+        n = len(values)
+        self.common.ends += n
+        filled = pc.not_equal(values, "")
+        sizes = pc.if_else(filled, pc.list_value_length(cells), 0)
+        self.common.width = max(self.common.width, pc.max(sizes).as_py())
+        flat = cells.flatten()
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+        if not pc.all(filled).as_py():
+            flat = flat.filter(filled.take(pa.array(cells.value_parent_indices())))
+        return self.frame(n, 0, 2, pa.array(range(begun + 1, begun + n + 1), pa.int64()),
+                          pa.ListArray.from_arrays(offsets, pc.if_else(pc.equal(flat, ""), None, flat)), pa.nulls(n, pa.string()))
+
+    def told(self, side: int, begun: int, found: list) -> Iterator[pa.RecordBatch]:
+        if found and isinstance(found[0], str):
+            yield self.frame(1, 1, side, pa.array([begun + 1], pa.int64()), None, pa.array([found[0]], pa.string()))
+            found, begun = found[1:], begun + 1
+        if found:
+            n = len(found)
+            flat = pa.array(list(chain.from_iterable(found)), pa.string())
+            sizes = pa.array([0, *map(len, found)], pa.int32())
+            cells = pa.ListArray.from_arrays(pc.cumulative_sum(sizes), pc.if_else(pc.equal(flat, ""), None, flat))
+            yield self.frame(n, 0, side, pa.array(range(begun + 1, begun + n + 1), pa.int64()), cells, pa.nulls(n, pa.string()))
+
+    def frame(self, n: int, kind: int, side: int | None, record, cells, piece, told=None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([self.path] * n, pa.string()), pa.array([self.block] * n, pa.int64()), pa.array([kind] * n, pa.int32()),
+            pa.array([side] * n, pa.int32()), record, pa.nulls(n, pa.list_(pa.string())) if cells is None else cells, piece,
+            pa.nulls(n, _TOLD) if told is None else told], _CUT_NAMES)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """Pieces that are left, and how the block ends for each beginning."""
+        rest = [(2, self.common, self.base[0])] if self.common is not None else [(k, s, 0) for k, s in enumerate(self.sides)]
+        for side, state, base in rest:
+            if state.held:
+                yield self.frame(1, 1, side, pa.array([state.ends - base + 1], pa.int64()), None, pa.array(["".join(state.held)], pa.string()))
+        ends = []
+        for k, (state, base) in enumerate(zip(self.sides, self.base)):
+            own = {"open": state.open, "ends": state.ends, "base": base, "width": state.width}
+            if self.common is not None:
+                own = {"open": self.common.open, "ends": self.common.ends - self.base[0] + base, "base": base,
+                       "width": max(state.width, self.common.width)}
+            ends.append(own if k == 0 or self.block else None)
+        yield self.frame(1, 2, None, pa.nulls(1, pa.int64()), None, pa.nulls(1, pa.string()),
+                         pa.array([{"outside": ends[0], "inside": ends[1]}], _TOLD))
+
+
+_END_TYPE = pa.struct([("open", pa.bool_()), ("ends", pa.int64()), ("base", pa.int64()), ("width", pa.int32())])
+_TOLD = pa.struct([("outside", _END_TYPE), ("inside", _END_TYPE)])
+_CUT_NAMES = ["path", "block", "kind", "side", "record", "cells", "piece", "told"]
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch], sep: str) -> Iterator[pa.RecordBatch]:
+    """Lines (path, block, value), block after block, to rows of CUT."""
+    now = None
     for batch in batches:
-        for path, block, line in zip(batch["path"], batch["block"], batch["line"]):
-            key = (path, block)
-            new = key not in found
-            if new:
-                found[key] = _Cutter(False, sep), _Cutter(True, sep)
-            for piece in _pieces(line, new and block == 0):
-                for cutter in found[key]:
-                    cutter.measure(piece)
-    yield pd.DataFrame(
-        [(*key, outside.result(), inside.result()) for key, (outside, inside) in found.items()],
-        columns=["path", "block", "outside", "inside"])
-
-
-def _records(lines: pd.DataFrame, start: pd.DataFrame, sep: str) -> pd.DataFrame:
-    """Records of one block, and the pieces of those that cross its borders."""
-    path, block = start["path"].iloc[0], start["block"].iloc[0]
-    record = int(start["ends"].iloc[0]) + 1
-    cutter, head, out = _Cutter(bool(start["open"].iloc[0]), sep), [], []
-    for i, line in enumerate(lines.sort_values("mid")["line"]):
-        for piece in _pieces(line, i == 0 and block == 0):
-            crossing = cutter.head
-            if crossing:
-                head.append(piece)
-            before = cutter.ends
-            text = cutter.take(piece)
-            if text is not None:
-                out.append((path, record, block, None, _parse(text, sep)))
-            elif crossing and not cutter.head:
-                out.append((path, record, block, "".join(head), None))
-            record += cutter.ends - before
-    rest = head if cutter.head else cutter.held
-    if rest:
-        out.append((path, record, block, "".join(rest), None))
-    return pd.DataFrame(out, columns=["path", "record", "block", "piece", "cells"])
+        paths, blocks, values = batch.columns
+        n = batch.num_rows
+        changes = [] if n < 2 else pc.indices_nonzero(pc.or_(
+            pc.not_equal(paths.slice(1), paths.slice(0, n - 1)), pc.not_equal(blocks.slice(1), blocks.slice(0, n - 1)))).to_pylist()
+        edges = [0, *[c + 1 for c in changes], n]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            path, block = paths[lo].as_py(), blocks[lo].as_py()
+            if now is None or (now.path, now.block) != (path, block):
+                if now is not None:
+                    yield from now.end()
+                now = _Block(path, block, sep)
+            # the kernels read strings that begin at 0
+            yield from now.take(pa.concat_arrays([values.slice(lo, hi - lo)]))
+    if now is not None:
+        yield from now.end()
 
 
 def _joined(batches: Iterator[pd.DataFrame], sep: str) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({
             "path": batch["path"], "record": batch["record"],
-            "cells": [_parse(t, sep) for t in batch["text"]]})
+            "cells": [[v or None for v in _parse(t, sep)] for t in batch["text"]]})
 
 
 def as_grid(rows: DataFrame, manifest: DataFrame) -> DataFrame:
