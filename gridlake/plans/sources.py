@@ -13,7 +13,7 @@ from gridlake.plans.registry import query, spread, table
 from gridlake.sources import exports, manifest, plaintext, readers, store
 from gridlake.sources.delimited import parse_delimited, read_delimited
 from gridlake.sources.scratch import shared_dir
-from gridlake.sources.workbook import parse_workbooks
+from gridlake.sources.workbook import parse_workbooks, refused_workbooks
 from gridlake.streaming.ingest import ingest_tables
 
 _JOINED = "array_to_string([coalesce(x, '<null>') FOR x IN cells], '|')"
@@ -89,6 +89,16 @@ def s03(spark, sf):
         "sheet_name", line.alias("line"))
 
 
+@query("s03_refused_workbooks", f"""WITH {fx.GRID_CTE},
+sizes AS (SELECT document_id, split_part(document_id, '_', 2)::BIGINT AS n, count(*) AS row_count FROM grid GROUP BY document_id)
+SELECT document_id, CASE n % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Orders' END AS sheet_name,
+  CASE n % 3 WHEN 0 THEN 'not a workbook: BadZipFile' ELSE 'broken sheet: ExpatError' END AS reason FROM sizes WHERE n % 3 <> 2""")
+def s03_refused(spark, sf):
+    """Every third file is cut off, every third has a sheet that ends early; both are told."""
+    files = ff.contents_of(fx.orders_grid(spark, sf), ["xlsx"]).mapInPandas(ff.spoiled, "path string, content binary")
+    return refused_workbooks(files).select(_doc_of_file().alias("document_id"), "sheet_name", "reason")
+
+
 @query("s04_mixed_directory", f"""WITH {fx.GRID_CTE}
 SELECT document_id, row_index, {_JOINED} AS line FROM grid""")
 def s04(spark, sf):
@@ -227,6 +237,37 @@ def e17_store(spark, sf):
         F.count("*").alias("n_chunks"), F.max("content").alias("last_content"))
 
 
+_CHANGED_CTE = f"""{LINE_CHUNKS_CTE}, n AS (SELECT *, substr(document_id, 2)::BIGINT AS doc FROM line_chunks),
+changed AS (SELECT * FROM n WHERE doc % 5 <> 3 AND user_id <> '6' AND (doc % 5 <> 1 OR chunk_index < 3))"""
+
+
+def _changed_store(spark, sf):
+    """A store after adds, replaced documents and deletions, compacted in between."""
+    root = shared_dir(spark, "catalog")
+    chunks = _chunks_with_id(spark, sf)
+    number = F.substring("document_id", 2, 18).cast("bigint")
+    store.replace_documents(chunks.where("user_id < '3'"), root)
+    store.replace_documents(chunks.where("user_id >= '3'"), root)
+    store.replace_documents(chunks.where((number % 5 == 1) & (F.col("chunk_index") < 3)), root)
+    store.compact(spark, root)
+    store.delete_documents(chunks.where((number % 5 == 3) | (F.col("user_id") == "6")).select(*store.DOCUMENT_KEYS).distinct(), root)
+    return root
+
+
+@query("e10_stored_collections", f"""WITH {_CHANGED_CTE} SELECT collection, count(*) AS n_vectors FROM changed GROUP BY collection""")
+def e10_stored(spark, sf):
+    return store.stored_collections(spark, _changed_store(spark, sf))
+
+
+@query("e11_stored_documents", f"""WITH {_CHANGED_CTE}
+SELECT user_id, document_id, min(coalesce(filename, source, '未知文件')) AS filename, max(coalesce(file_size, 0))::BIGINT AS size,
+  count(*) AS chunks, min(processed_at)::VARCHAR AS created_at FROM changed GROUP BY user_id, document_id""")
+def e11_stored(spark, sf):
+    """The catalog that the store keeps, against a recount of its chunks."""
+    found = store.stored_documents(spark, _changed_store(spark, sf))
+    return found.select("user_id", "document_id", "filename", "size", "chunks", "created_at")
+
+
 @query("s11_report_sink", f"""WITH {ep.CHECKED_CTE}
 SELECT case_id, 'q' || case_id AS question, route_match, result_match, answer_match, failure_category FROM judged""")
 def s11(spark, sf):

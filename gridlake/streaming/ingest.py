@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridlake.operators.chunks import guard_size, table_chunks
 from gridlake.operators.typed import infer
 from gridlake.sources.delimited import as_grid
 from gridlake.sources.readers import read_contents
-from gridlake.sources.store import read_store, write_partitions
+from gridlake.sources.versions import Versions
 from gridlake.streaming.jobs import new_files, run_each_batch
 
 
@@ -22,25 +23,32 @@ def ingest_tables(
     """Parse, infer and chunk files that are new since the last run; returns the chunk store.
 
     identify maps the path column to document_id, user_id, filename and file_type. The
-    parsed grid is written first, so later steps read a table and not the files again. The
-    batch number is a partition of all three tables, so a repeated batch replaces itself.
+    parsed grid is written first, so later steps read a table and not the files again. Grid,
+    chunks and rejected chunks of a micro-batch become visible together, by one version; a
+    repeated batch finds its number published and changes nothing.
     """
+    versions = Versions(spark, root)
 
     def handle(files: DataFrame, number: int) -> None:
-        session = files.sparkSession
-        manifest = files.select("path", *[c.alias(n) for n, c in identify(F.col("path")).items()])
-        grid = as_grid(read_contents(files, extensions=[extension]), manifest)
+        state = versions.state()
+        if versions.done(state, ("ingest", number)):
+            return
+        folder, changed = versions.new_folder(), {}
+
         def put(df: DataFrame, name: str, *keys: str) -> None:
-            write_partitions(df.withColumn("batch", F.lit(number)), f"{root}/{name}", ["batch", *keys])
+            schema = versions.put(df, name, folder, *keys)
+            changed[name] = versions.append(state, name, folder, schema)
 
-        put(grid, "grid", "user_id")
-        stored = read_store(session, f"{root}/grid").where(F.col("batch") == number).drop(
-            "batch").withColumn("user_id", F.col("user_id").cast("string"))
+        manifest = files.select("path", *[c.alias(n) for n, c in identify(F.col("path")).items()])
+        grid = as_grid(read_contents(files, extensions=[extension]), manifest)
+        put(grid.withColumn("user_id", F.col("user_id").cast("string")), "grid", "user_id")
+        stored = versions.get("grid", [folder], StructType.fromJson(changed["grid"]["schema"]))
         model = infer(stored)
         chunks, rejected = guard_size(table_chunks(stored, model.tables, model.columns))
         put(rejected, "rejected")
         put(chunks, "chunks", "user_id")
+        versions.publish(state, changed, ("ingest", number))
 
     files = new_files(spark, inbox, f"*.{extension}", per_batch)
     run_each_batch(files, f"{root}/progress", handle)
-    return read_store(spark, f"{root}/chunks").drop("batch")
+    return versions.read("chunks")

@@ -13,8 +13,9 @@ from gridlake.operators import chunks as ch
 from gridlake.operators.embedder import embed_texts
 from gridlake.plans.file_fixtures import xlsx_bytes
 from gridlake.sources import plaintext, readers, store
+from gridlake.sources import workbook as wb
 from gridlake.sources.delimited import parse_delimited, read_delimited
-from gridlake.sources.workbook import read_workbooks, workbook_rows
+from gridlake.sources.workbook import read_workbooks
 from gridlake.streaming.jobs import new_files, run_each_batch
 
 
@@ -78,10 +79,61 @@ def test_workbook_styles():
                         '<c r="D1" t="inlineStr"><is><t>in</t></is></c><c r="AA1"><v>3</v></c></row></sheetData></worksheet>')
             dst.writestr(name, body)
         dst.writestr("xl/styles.xml", f'<styleSheet {ns}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-    cells, = [df["cells"].iloc[0] for df in workbook_rows("p", out.getvalue())]
+    (_, _, _, part, method, _, _, dates, reason), = wb.sheet_parts("p", out.getvalue())
+    (number, cells), = wb.sheet_rows((part, method), None, set(dates))
+    assert (number, reason) == (1, None)
     assert cells[:4] == ["2023-03-15", "2023-03-15 12:00:00", "TRUE", "in"] and cells[26] == "3"
 
 
+def rewritten(book, part, body, kind=None):
+    """The workbook with another body for one part."""
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as src, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if kind is None else kind) as dst:
+        for name in src.namelist():
+            dst.writestr(name, body if name == part else src.read(name))
+    return out.getvalue()
+
+
+def test_unreadable_workbooks_are_rows_with_reasons(spark, tmp_path, monkeypatch):
+    good = xlsx_bytes({"One": [["a"], ["b"]], "Two": [["c"]]})
+    files = {"good": good, "text": b"no zip", "cut": good[:len(good) // 2],
+             "broken": rewritten(good, "xl/worksheets/sheet2.xml", "<worksheet><sheetData><row>"),
+             "lost": rewritten(good, "xl/sharedStrings.xml", "<sst/>"), "large": xlsx_bytes({"L": [[str(i) + "x"] for i in range(4000)]}),
+             "stored": rewritten(good, "", "", 0)}
+    for name, data in files.items():
+        (tmp_path / f"{name}.xlsx").write_bytes(data)
+    limit = len(files["large"]) - 1
+    refused = sorted((r.path.rsplit("/", 1)[-1], r.sheet_name, r.reason) for r in wb.refused_files(spark, str(tmp_path), max_bytes=limit).collect())
+    assert refused == [("broken.xlsx", "Two", "broken sheet: ExpatError"), ("cut.xlsx", None, "not a workbook: BadZipFile"),
+                       ("large.xlsx", None, wb.TOO_LARGE),
+                       ("lost.xlsx", "One", "broken sheet: ValueError"), ("lost.xlsx", "Two", "broken sheet: ValueError"),
+                       ("text.xlsx", None, "not a workbook: BadZipFile")]
+    rows = read_workbooks(spark, str(tmp_path), max_bytes=limit).collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.sheet_name, r.row_index, *r.cells) for r in rows) == sorted(
+        [(f"{n}.xlsx", "One", i, c) for n in ("good", "stored", "broken") for i, c in ((1, "a"), (2, "b"))]
+        + [(f"{n}.xlsx", "Two", 1, "c") for n in ("good", "stored")])
+
+
+def test_long_sheet_streams_and_rows_out_of_order():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    body = "".join(f'<row r="{r}"><c r="B{r}"><v>{r}</v></c></row>' for r in range(1, 30001))
+    book = rewritten(xlsx_bytes({"S": [["x"]]}), "xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    (_, _, _, part, method, *_), = wb.sheet_parts("p", book)
+    import tracemalloc
+
+    tracemalloc.start()
+    n = sum(1 for number, cells in wb.sheet_rows((part, method), None, set()) if cells == [None, str(number)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 30000 and peak < 4_000_000
+    body = '<row r="3"><c r="A3"><v>3</v></c></row><row r="1"><c r="C1"><v>1</v></c></row>'
+    book = rewritten(xlsx_bytes({"S": [["x"]]}), "xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    (_, _, _, part, method, *_), = wb.sheet_parts("p", book)
+    assert list(wb.sheet_rows((part, method), None, set())) == [(1, [None, None, "1"]), (2, [None] * 3), (3, ["3", None, None])]
+
+
 def test_mixed_directory_and_new_reader(spark, tmp_path):
     (tmp_path / "a.CSV").write_text("x,y\n1,2\n")
     (tmp_path / "b.tsv").write_text("x\ty\n")
@@ -184,6 +236,78 @@ def test_store_replaces_documents_and_keeps_the_old_version(spark, tmp_path):
     assert held() == [("d1_0", "new")]
 
 
+@pytest.mark.parametrize("step", ["put chunks", "put documents", "publish"])
+def test_a_failure_at_any_step_leaves_the_old_version_whole(spark, tmp_path, monkeypatch, step):
+    root = str(tmp_path / "store")
+    schema = _CHUNK + ", embedding array<double>, filename string"
+
+    def rows(text, *documents, dim=2):
+        return spark.createDataFrame([(f"{d}_{i}", "c", "u", d, text, [1.0] * dim, "f") for d in documents for i in (0, 1)], schema)
+
+    def held():
+        return sorted((r["id"], r["content"]) for r in store.read_chunks(spark, root).collect())
+
+    store.add_chunks(rows("old", "a", "b"), root)
+    before, listed = held(), sorted(store.stored_documents(spark, root).collect())
+    with monkeypatch.context() as m:
+        def fail(self, *args, **kwargs):
+            if step == "publish" or args[1] == step.split()[1]:
+                raise OSError("lost")
+            return put(self, *args, **kwargs)
+
+        put = store.Versions.put
+        m.setattr(store.Versions, step.split()[0], fail)
+        with pytest.raises(OSError):
+            store.add_chunks(rows("new", "b", "c"), root)
+    assert held() == before and sorted(store.stored_documents(spark, root).collect()) == listed
+    store.add_chunks(rows("new", "b", "c"), root)
+    assert held() == [(f"{d}_{i}", t) for d, t in (("a", "old"), ("b", "new"), ("c", "new")) for i in (0, 1)]
+    store.vacuum(spark, root)
+    assert len(held()) == 6
+
+
+def test_repeated_writes_conflicts_and_versions(spark, tmp_path):
+    root = str(tmp_path / "store")
+
+    def rows(text, *documents):
+        return spark.createDataFrame([(f"{d}_0", "c", "007", d, text) for d in documents], _CHUNK)
+
+    def held(number=None):
+        return sorted((r["id"], r["user_id"], r["content"]) for r in store.read_chunks(spark, root, number=number).collect())
+
+    store.replace_documents(rows("one", "a", "b", "c"), root, write=("stream", 0))
+    store.replace_documents(rows("two", "b"), root, write=("stream", 1))
+    want = [("a_0", "007", "one"), ("b_0", "007", "two"), ("c_0", "007", "one")]
+    assert held() == want
+    for number in (0, 1):
+        store.replace_documents(rows("again", "a", "b", "c"), root, write=("stream", number))
+    assert held() == want and store.Versions(spark, root).numbers() == [1, 2]
+    # a writer that began before the last version was published
+    versions = store.Versions(spark, root)
+    with pytest.raises(store.VersionConflict):
+        versions.publish(versions.state(1), {})
+    assert held() == want and held(1) == [(f"{d}_0", "007", "one") for d in "abc"]
+    store.delete_documents(rows("x", "a", "zz"), root)
+    store.compact(spark, root)
+    assert held() == want[1:] and versions.state()["tables"]["chunks"]["stale"] == []
+    assert [(r["document_id"], r["chunks"]) for r in store.stored_documents(spark, root).orderBy("document_id").collect()] == [("b", 1), ("c", 1)]
+    assert store.read_chunks(spark, root, user_id="8").count() == 0 and store.read_chunks(spark, root, "c", "007").count() == 2
+    store.vacuum(spark, root)
+    assert held() == want[1:]
+    nulls = spark.createDataFrame([("n_0", "c", None, None, "x")], _CHUNK)
+    store.replace_documents(nulls, root)
+    store.replace_documents(nulls, root)
+    assert len(held()) == 3 and store.stored_collections(spark, root).first()["n_vectors"] == 3
+
+
+def test_pruned_reads(spark, tmp_path):
+    root = str(tmp_path / "store")
+    df = spark.createDataFrame([(f"{u}{d}", c, u, f"{d}", "x") for c in ("c1", "c2") for u in ("u1", "u2") for d in range(3)], _CHUNK)
+    store.replace_documents(df, root)
+    plan = store.read_chunks(spark, root, "c1", "u2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "= c1" in plan and "= u2" in plan and "Join" not in plan
+
+
 def test_add_chunks_guards_vectors(spark, tmp_path):
     root = str(tmp_path / "vectors")
     schema = "id string, document_id string, user_id string, collection string, embedding array<double>"
