@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own links. Texts without shingles link with nothing; of equal rows of them one stays.
     """
     folder = shared_dir(spark, "pipeline-numbered")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
     rows = spark.read.parquet(folder)
     own = F.when(F.col("doc_id").isNotNull(), F.col("__row"))
     found = ngram_join.near_duplicates(rows.select(own.alias("__row"), "text"), SHINGLE_WORDS, SHINGLE_PERCENT, id_col="__row").select(
