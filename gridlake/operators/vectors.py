@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import fixed_values as fv
 from gridlake.functions.digest import cache_key
 from gridlake.functions.vector import cosine, squared_distance
+from gridlake.operators.vector_index import build_index, search
 
 DISTANCE_DIGITS = 6
 
@@ -57,36 +58,21 @@ def checked(stored: DataFrame, queries: DataFrame, vec_col: str = "embedding",
     return queries.join(ok, "collection").where("__ok").drop("__ok")
 
 
-def _meet(
-    vectors: DataFrame, queries: DataFrame, work, out: str, on: list[str], id_col: str,
-    query_col: str, query_vec_col: str, max_broadcast_bytes: int, shard_rows: int, block_queries: int,
-) -> DataFrame:
-    """work(vector batch, queries) over all vectors and queries, in bounded pieces.
-
-    Queries of few bytes (counted first) are sent to all tasks and the vectors are not
-    shuffled. Otherwise vectors are cut into shards and queries into blocks, and each
-    (shard, block) is one bounded task; rows meet only where the columns in `on` agree.
-    """
+def _few(queries: DataFrame, query_vec_col: str, width: int, max_broadcast_bytes: int) -> bool:
+    """Whether the queries, counted first, are few enough bytes to go to every task."""
     n, numbers = queries.agg(F.count("*"), F.sum(F.size(query_vec_col))).first()
-    if 8 * ((numbers or 0) + n * (2 + len(on))) <= max_broadcast_bytes:
-        shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield work(pdf, shared.value)
-
-        return vectors.mapInPandas(run, out)
-    n_shards = max(1, -(-vectors.count() // shard_rows))
-    n_blocks = max(1, -(-n // block_queries))
-    left = vectors.withColumn(
-        "__shard", F.pmod(F.xxhash64(id_col), F.lit(n_shards))
-    ).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = queries.withColumn(
-        "__block", F.pmod(F.xxhash64(query_col), F.lit(n_blocks)).cast("int")
-    ).withColumn(
-        "__shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")))
-    keys = [*on, "__shard", "__block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, out)
+    return 8 * ((numbers or 0) + n * width) <= max_broadcast_bytes
+
+
+def _meet(vectors: DataFrame, queries: DataFrame, work, out: str) -> DataFrame:
+    """work(vector batch, queries) over all vectors; the queries go to every task."""
+    shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield work(pdf, shared.value)
+
+    return vectors.mapInPandas(run, out)
 
 
 def _pair_schema(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str) -> str:
@@ -99,14 +85,20 @@ def nearest_for_each(
     vectors: DataFrame, queries: DataFrame, k: int = 5, on: list[str] | None = None,
     id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id",
     query_vec_col: str = "query_vec", exclude_self: bool = False,
-    max_broadcast_bytes: int = 64 << 20, shard_rows: int = 50_000, block_queries: int = 5_000,
+    max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """k nearest vectors for every query; `on` lists metadata columns that must agree.
 
-    Missing vectors and those of another length than the query never rank. Distances are matrix products over Arrow batches, and a batch passes on only its own
-    k best per query, so no pair table exists.
+    Missing vectors and those of another length than the query never rank. Distances are
+    matrix products over Arrow batches, and a batch passes on only its own k best per query,
+    so no pair table exists. Queries of many bytes meet the cells of an index instead.
     """
     on = on or []
+    order = Window.partitionBy(query_col).orderBy("score", id_col)
+    if not _few(queries, query_vec_col, 2 + len(on), max_broadcast_bytes):
+        index = build_index(vectors, None, "l2", on, id_col, vec_col)
+        partial, _ = search(index, queries, k, None, query_col, query_vec_col, exclude_self)
+        return partial.withColumn("rank", F.row_number().over(order))
 
     def best_of(pdf: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return _batch_best(
@@ -114,23 +106,23 @@ def nearest_for_each(
 
     partial = _meet(
         vectors.select(id_col, vec_col, *on), queries.select(query_col, query_vec_col, *on),
-        best_of, _pair_schema(vectors, queries, id_col, query_col), on, id_col, query_col,
-        query_vec_col, max_broadcast_bytes, shard_rows, block_queries)
-    order = Window.partitionBy(query_col).orderBy("score", id_col)
+        best_of, _pair_schema(vectors, queries, id_col, query_col))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def cosine_for_each(
     vectors: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None,
     id_col: str = "vec_id", vec_col: str = "embedding", query_col: str = "query_id",
-    query_vec_col: str = "query_vec", max_broadcast_bytes: int = 8 << 20, shard_rows: int = 10_000,
-    block_queries: int = 500,
+    query_vec_col: str = "query_vec", max_broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Cosine similarity of every query with its k most similar vectors, with those of at
     least `least`, or both; 0.0 where a vector is all zeros. Missing vectors and those of
     another length are left out. One bound must be given: all pairs are never listed."""
     if k is None and least is None:
         raise ValueError("give k or least")
+    if not _few(queries, query_vec_col, 2, max_broadcast_bytes):
+        index = build_index(vectors, None, "cosine", None, id_col, vec_col)
+        return search(index, queries, k, least, query_col, query_vec_col)[0]
 
     def unit(rows: pd.Series) -> np.ndarray:
         m = np.stack(rows.to_numpy()).astype(np.float64)
@@ -153,8 +145,7 @@ def cosine_for_each(
 
     scored = _meet(
         vectors.select(id_col, vec_col), queries.select(query_col, query_vec_col), work,
-        _pair_schema(vectors, queries, id_col, query_col), [], id_col, query_col,
-        query_vec_col, max_broadcast_bytes, shard_rows, block_queries)
+        _pair_schema(vectors, queries, id_col, query_col))
     if k is None:
         return scored
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)

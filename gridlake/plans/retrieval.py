@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridlake.functions import vector as vf
 from gridlake.operators import catalog as ct
+from gridlake.operators import vector_index as vi
 from gridlake.operators import vectors as vc
 from gridlake.operators.chunks import build_context, table_chunks
 from gridlake.operators.embedder import embed_texts, hashed_words
@@ -55,6 +56,19 @@ def e01_all(spark, sf):
     return vc.nearest_for_each(vectors, queries, 3, exclude_self=True).select("query_id", "vec_id", "score")
 
 
+@query("e01_pruned_knn", """WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id,
+  round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ^ 2, 6) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = b.label)
+SELECT query_id, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs) WHERE rank <= 4""")
+def e01_pruned(spark, sf):
+    """Every vector against those of its label, cell by cell of a stored index."""
+    vectors = table(spark, sf, "embeddings")
+    index = vi.build_index(vectors, on=["label"])
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
+    return vi.search(index, queries, 4, exclude_self=True)[0].select("query_id", "vec_id", "score")
+
+
 def _mixed(spark, sf):
     """Vectors of which some are missing and some are cut to half their length."""
     vec, n = F.col("embedding"), F.col("vec_id")
@@ -126,6 +140,18 @@ def e03_least(spark, sf):
         "query_id", "vec_id", F.round("score", 6).alias("similarity"))
 
 
+@query("e03_pruned_cosine", f"""WITH {MEANS_CTE},
+scored AS (SELECT m.label::BIGINT AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 6) AS similarity,
+  row_number() OVER (PARTITION BY m.label ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 12) DESC, vec_id) AS rank
+  FROM embeddings, means m WHERE round(list_cosine_similarity(embedding::DOUBLE[], mean_vec), 12) >= 0.25)
+SELECT query_id, vec_id, similarity FROM scored WHERE rank <= 10""")
+def e03_pruned(spark, sf):
+    """The 10 vectors most similar to each label mean, of at least 0.25, from a stored index."""
+    queries = _means(spark, sf).select(F.col("label").cast("bigint").alias("query_id"), F.col("mean_vec").alias("query_vec"))
+    index = vi.build_index(table(spark, sf, "embeddings"), metric="cosine")
+    return vi.search(index, queries, 10, 0.25)[0].select("query_id", "vec_id", F.round("score", 6).alias("similarity"))
+
+
 WORD_VECTORS_CTE = """words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents),
 places AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, 1.0 - 2.0 * (('0x' || substr(md5(w), 9, 2))::BIGINT % 2) AS s FROM words),
 sums AS (SELECT doc_id, pos, sum(s)::DOUBLE AS x FROM places GROUP BY ALL),

@@ -97,7 +97,7 @@ def test_knn_both_paths(spark, limit, on):
     v = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, label int")
     q = spark.createDataFrame(queries, "query_id bigint, query_vec array<double>, label int")
     found = vc.nearest_for_each(
-        v, q, 4, on=on, max_broadcast_bytes=limit, shard_rows=30, block_queries=3).collect()
+        v, q, 4, on=on, max_broadcast_bytes=limit).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
@@ -113,7 +113,7 @@ def test_cosine_both_paths(spark, limit):
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in vc.cosine_for_each(
         spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"),
         spark.createDataFrame(queries, "query_id bigint, query_vec array<double>"),
-        least=-2.0, max_broadcast_bytes=limit, shard_rows=9, block_queries=3).collect()}
+        least=-2.0, max_broadcast_bytes=limit).collect()}
     assert len(got) == len(vectors) * len(queries)
     for qi, q in queries:
         for vi, v in vectors:
