@@ -88,13 +88,32 @@ def lookup_in_column(
     return keyed.join(asked, "__key").drop("__key")
 
 
+#: Requests that are sent to all tasks, counted first.
+FEW_REQUESTS = 200_000
+
+
 def _matching_rows(rows: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
-    """Rows with an asked key in a cell, once per request. Only (sheet, row, key) meets the
-    requests; whole rows are fetched for what was found."""
+    """Rows with an asked key in a cell, once per request.
+
+    Few requests of one value each go to all tasks: a row meets them by its distinct keys and
+    passes on as it is, without a shuffle. Otherwise only (sheet, row, key) meets the requests
+    and whole rows are fetched for what was found.
+    """
+    asked = asked.distinct()
+    named = "__column" in asked.columns
+    keys = F.transform("cells", compact)
+    if (asked.limit(FEW_REQUESTS + 1).count() <= FEW_REQUESTS
+            and asked.groupBy("request_id").count().where("count > 1").isEmpty()):
+        keyed = rows.withColumn("__keys", keys)
+        met = keyed.withColumn("__key", F.explode(F.array_distinct(F.array_compact("__keys")))).join(
+            F.broadcast(asked), [*on, "__key"])
+        if named:
+            met = met.where(F.col("__column").isNull() | (F.get("__keys", F.col("__column") - 1) == F.col("__key")))
+        return met.drop("__key", "__keys", "__column")
     cells = to_cells(rows).select(
         *SHEET_KEYS, "row_index", "col_index", compact(F.col("value")).alias("__key"))
     found = cells.where(F.col("__key").isNotNull()).join(asked, [*on, "__key"])
-    if "__column" in asked.columns:
+    if named:
         found = found.where(F.col("__column").isNull() | (F.col("__column") == F.col("col_index")))
     return rows.join(found.select("request_id", *SHEET_KEYS, "row_index").distinct(), [*SHEET_KEYS, "row_index"])
 

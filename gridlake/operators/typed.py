@@ -40,6 +40,8 @@ def infer(grid: DataFrame, settle: bool = True) -> SheetModel:
     """
     heads = sheet_heads(grid).withColumns({
         "first_name": name_at(F.lit(0)), "first_note": note_at(F.lit(0))})
+    # written, their size is known to the join with all rows, and the top rows are read once
+    heads = _written(heads) if settle else heads
     columns = F.array_sort(F.collect_list(F.struct(
         "col_index", "data_type", "parses", "too_long", "zero_led")))
     shape = _column_facts(grid, heads).groupBy(*SHEET_KEYS).agg(
