@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import fixed_values as fv
 from gridlake.functions.text import clean_text
 from gridlake.operators import chunks as ch
+from gridlake.operators import paging
 from gridlake.operators import typed as ty
 from gridlake.plans import fixtures as fx
 from gridlake.plans.registry import query, spread, table
@@ -225,6 +226,28 @@ def c10(spark, sf):
     return ch.build_context(hits, "query_id", "rank")
 
 
+@query("c11_source_pages", """WITH RECURSIVE blocks AS (
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank,
+    '[来源：' || coalesce(CASE WHEN doc_id % 4 <> 0 THEN 'file_' || doc_id END, lang, '未知来源') || ']:' || chr(10) || text || chr(10) AS block FROM documents),
+whole AS (SELECT source, string_agg(block, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM blocks GROUP BY source),
+lines AS (SELECT source, generate_subscripts(string_split(context, chr(10)), 1) AS n, unnest(string_split(context, chr(10))) AS line FROM whole),
+walk AS (
+  SELECT source, n, 0 AS page, length(line) + 1 AS used FROM lines WHERE n = 1
+  UNION ALL
+  SELECT w.source, l.n, CASE WHEN w.used + length(l.line) + 1 > 24000 THEN w.page + 1 ELSE w.page END,
+    CASE WHEN w.used + length(l.line) + 1 > 24000 THEN 0 ELSE w.used END + length(l.line) + 1
+  FROM walk w JOIN lines l ON l.source = w.source AND l.n = w.n + 1)
+SELECT source AS query_id, page::BIGINT AS page, string_agg(line, chr(10) ORDER BY n) AS content
+FROM walk JOIN lines USING (source, n) JOIN whole USING (source) WHERE length(context) > 24000 GROUP BY source, page
+UNION ALL SELECT source, 0, context FROM whole WHERE length(context) <= 24000""")
+def c11_source(spark, sf):
+    """Pages of the context of all documents of a source, which is never one value."""
+    hits = table(spark, sf, "documents").select(
+        F.col("source").alias("query_id"), F.col("lang").alias("source"), "doc_id", "n_chars", F.col("text").alias("content"),
+        F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("file_"), F.col("doc_id").cast("string"))).alias("filename"))
+    return paging.context_page_rows(hits, "query_id", ["n_chars", "doc_id"])
+
+
 @query("c11_context_pages", """WITH RECURSIVE lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
 walk AS (
