@@ -208,7 +208,11 @@ def typed_frame(rows: DataFrame, layout: list[tuple[int, str, str]], percent: st
         return to_timestamp(value) if kind == "TIMESTAMP" else value
 
     business = [convert(i, kind).alias(name) for i, name, kind in layout]
-    source = [
+    return rows.select(*business, *_provenance())
+
+
+def _provenance() -> list[Column]:
+    return [
         F.col("document_id").alias("__document_id"),
         F.col("user_id").cast("string").alias("__user_id"),
         F.col("filename").alias("__filename"),
@@ -217,7 +221,58 @@ def typed_frame(rows: DataFrame, layout: list[tuple[int, str, str]], percent: st
         cell_range(F.lit(1), F.col("row_index"), F.col("col_count"), F.col("row_index"))
         .alias("__range"),
     ]
-    return rows.select(*business, *source)
+
+
+def variant_rows(model: SheetModel, percent: str = "null") -> DataFrame:
+    """Kept rows of all sheets in one table, whatever their columns: `data` is a VARIANT object
+    of the converted values by column name, beside table_name and the provenance columns.
+
+    One plan for any number of sheets and layouts; value_of names a column of it.
+    """
+    listed = layouts(model).select(*SHEET_KEYS, "layout")
+    rows = kept_rows(model.grid, model.tables, "col_count").join(listed, SHEET_KEYS)
+
+    def converted(c: Column) -> Column:
+        value, kind = F.get("cells", c["col_index"] - 1), c["physical_type"]
+        return (F.when(kind == "DOUBLE", to_number(value, percent).cast("variant"))
+                .when(kind == "TIMESTAMP", to_timestamp(value).cast("variant")).otherwise(value.cast("variant")))
+
+    named = F.map_from_arrays(F.transform("layout", lambda c: c["column_name"]), F.transform("layout", converted))
+    return rows.select(
+        table_name(F.col("document_id"), F.col("sheet_idx")).alias("table_name"),
+        F.call_function("to_variant_object", named).alias("data"), *_provenance())
+
+
+def value_of(name: str, kind: str = "string") -> Column:
+    """A column of variant_rows by its name; null where a sheet lacks it or holds another type."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"a path cannot hold both kinds of quotes: {name}")
+    quote = '"' if "'" in name else "'"
+    return F.try_variant_get("data", f"$[{quote}{name}{quote}]", kind)
+
+
+def compatible_sheets(model: SheetModel, document_id: str, sheet_idx: int, names: list[str]) -> DataFrame:
+    """Sheets that have these columns in the types that one sheet has them in; none if that
+    sheet lacks one."""
+    wanted = F.filter("layout", lambda c: c["column_name"].isin(names))
+    types = F.array_sort(F.transform(wanted, lambda c: F.struct(c["column_name"].alias("n"), c["physical_type"].alias("t"))))
+    listed = layouts(model).select(*SHEET_KEYS, types.alias("types")).where(F.size("types") == len(set(names)))
+    base = listed.where((F.col("document_id") == document_id) & (F.col("sheet_idx") == sheet_idx)).select("types")
+    return listed.join(base, "types", "left_semi").select(*SHEET_KEYS)
+
+
+def publish_sheets(
+    spark: SparkSession, model: SheetModel, user_id: str, document_id: str | None = None,
+    view: str = "sheets", function: str = "sheet",
+) -> None:
+    """One view of all rows of a user's tables and one table function over it, however many
+    tables there are: SELECT data:['Order Amount']::double FROM sheet('t_doc_1_0')."""
+    grid, tables = (tenant_scope(df, user_id, document_id) for df in (model.grid, model.tables))
+    variant_rows(_model(grid, tables)).createOrReplaceTempView(view)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {function}(name STRING) RETURNS TABLE (
+        data VARIANT, __document_id STRING, __user_id STRING, __filename STRING, __sheet_name STRING, __row_index BIGINT,
+        __range STRING) RETURN SELECT data, __document_id, __user_id, __filename, __sheet_name, __row_index, __range
+        FROM {view} WHERE table_name = name""")
 
 
 def table_name(document_id: Column, sheet_idx: Column) -> Column:

@@ -173,7 +173,7 @@ def g10(spark, sf):
         "document_id", "row_index", F.get("cells", F.lit(0)).alias("first_value"))
 
 
-@query("g11_typed_wide", f"""{fx.UP_TO_PHYS}
+_WIDE_SQL = f"""{fx.UP_TO_PHYS}
 SELECT cells[1] AS order_id, try_cast(cells[2] AS DOUBLE) AS buyer, cells[3] AS status,
   try_cast(replace(cells[4], ',', '') AS DOUBLE) AS order_amount,
   CASE WHEN p.physical_type = 'TIMESTAMP'
@@ -181,7 +181,10 @@ SELECT cells[1] AS order_id, try_cast(cells[2] AS DOUBLE) AS buyer, cells[3] AS
   try_cast(cells[6] AS DOUBLE) AS discount, cells[7] AS priority, cells[8] AS batch,
   document_id AS __document_id, user_id AS __user_id, filename AS __filename,
   'Orders' AS __sheet_name, row_index AS __row_index, 'A' || row_index || ':H' || row_index AS __range
-FROM kept JOIN phys p ON p.doc = kept.doc AND p.col_index = 5""")
+FROM kept JOIN phys p ON p.doc = kept.doc AND p.col_index = 5"""
+
+
+@query("g11_typed_wide", _WIDE_SQL)
 def g11(spark, sf):
     frames = ty.typed_frames(ty.infer(fx.stored_grid(spark, sf)))
     parts = []
@@ -201,6 +204,16 @@ def g11(spark, sf):
     return result
 
 
+@query("g11_variant_rows", _WIDE_SQL)
+def g11_variant(spark, sf):
+    """The same table from one plan of VARIANT rows for all layouts."""
+    rows = ty.variant_rows(ty.infer(fx.stored_grid(spark, sf)))
+    columns = [("Order ID", "string"), ("Buyer", "double"), ("Status", "string"), ("Order Amount", "double"),
+               ("Created Time", "string"), ("Discount", "double"), ("Priority", "string"), ("Batch", "string")]
+    return rows.select(*[ty.value_of(n, t).alias(n.lower().replace(" ", "_")) for n, t in columns],
+                       "__document_id", "__user_id", "__filename", "__sheet_name", "__row_index", "__range")
+
+
 @query("g12_table_names", f"""{fx.UP_TO_FACTS}, {fx.NAMES_CTE}
 SELECT 't_doc_' || doc || '_0' AS table_name, count(*) AS n_columns,
        string_agg(technical_name, ',' ORDER BY col_index) AS column_list FROM names GROUP BY doc""")
@@ -224,6 +237,19 @@ def g12_views(spark, sf):
         f"max(`Order ID`) AS last_order FROM {v}" for v in views))
 
 
+@query("g12_sheet_function", f"""{fx.UP_TO_PHYS}
+SELECT 't_doc_' || doc || '_0' AS table_name, count(*) AS n_rows, round(sum(try_cast(replace(cells[4], ',', '') AS DOUBLE)), 2) AS amount,
+  max(cells[1]) AS last_order FROM kept WHERE user_id = '1' GROUP BY doc""")
+def g12_function(spark, sf):
+    """Every table of one user through one table function, asked laterally."""
+    model = ty.infer(fx.stored_grid(spark, sf))
+    ty.publish_sheets(spark, model, "1", view="g12_sheets", function="g12_sheet")
+    model.tables.where("user_id = '1'").select(
+        ty.table_name(F.col("document_id"), F.col("sheet_idx")).alias("table_name")).createOrReplaceTempView("g12_names")
+    return spark.sql("""SELECT table_name, count(*) AS n_rows, round(sum(data:['Order Amount']::double), 2) AS amount,
+        max(data:['Order ID']::string) AS last_order FROM g12_names, LATERAL g12_sheet(table_name) GROUP BY table_name""")
+
+
 def _sql_digest(parts):
     sealed = " || ".join(
         f"coalesce(length({p})::VARCHAR || ':' || {p}, '-')" for p in parts)

@@ -365,6 +365,21 @@ def r29(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("r29_compatible_sheets", f"""{fx.UP_TO_PHYS},
+alike AS (SELECT doc, max(physical_type) FILTER (technical_name = 'Created Time') AS t FROM phys GROUP BY doc)
+SELECT document_id, count(*) AS n_rows, round(sum(try_cast(replace(cells[4], ',', '') AS DOUBLE)), 2) AS amount
+FROM kept JOIN alike USING (doc) WHERE t = (SELECT t FROM alike WHERE doc = 1) GROUP BY document_id""")
+def r29_sheets(spark, sf):
+    """Rows of all sheets that have the amounts and times of one sheet in its types."""
+    from gridlake.operators import typed as ty
+
+    model = ty.infer(fx.stored_grid(spark, sf))
+    chosen = ty.compatible_sheets(model, "doc_1", 0, ["Created Time", "Order Amount"])
+    rows = ty.variant_rows(model).join(chosen.withColumnRenamed("document_id", "__document_id"), "__document_id", "left_semi")
+    return rows.groupBy(F.col("__document_id").alias("document_id")).agg(
+        F.count("*").alias("n_rows"), F.round(F.sum(ty.value_of("Order Amount", "double")), 2).alias("amount"))
+
+
 @query("r30_tenant_scope", f"""WITH {fx.GRID_CTE}
 SELECT document_id, count(*) AS n_rows FROM grid WHERE user_id = '1' GROUP BY document_id""")
 def r30(spark, sf):

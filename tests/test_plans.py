@@ -65,3 +65,44 @@ def test_contexts_grow_with_the_questions(spark):
     got = QUERIES["c10_question_context"](spark, SF_DIR).collect()
     asked = table(spark, SF_DIR, "conversations").where("role = 'user'").select("conv_id").distinct()
     assert len(got) == asked.count() and all(r.context.count("[来源：") == 5 for r in got)
+
+
+def test_csv_blocks_move_no_lines(spark, tmp_path):
+    from gridlake.sources import delimited as dl
+
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    lines = spark.read.text(str(tmp_path), lineSep="\n").selectExpr("_metadata.file_path AS path", "_metadata.file_block_start AS block", "value")
+    assert "Exchange" not in plan_of(lines.mapInArrow(lambda b: dl._cut_blocks(b, ","), dl.CUT))
+
+
+def test_block_starts_of_very_many_blocks(spark):
+    """The composition over 100,000 blocks equals a walk from block to block."""
+    import random
+
+    from gridlake.sources import delimited as dl
+
+    rng, rows = random.Random(1), []
+    for block in range(100_000):
+        out, inn = rng.choice([(False, True)] * 6 + [(True, False)] * 3 + [(True, True), (False, False)])
+        rows.append(("f", block, (out, rng.randint(0, 3), block % 5, 2), None if block == 0 else (inn, rng.randint(0, 3), block % 7, 3)))
+    schema = f"path string, block bigint, outside {dl._SIDE}, inside {dl._SIDE}"
+    got = {r["block"]: (r["open"], r["ends"], r["base"]) for r in dl.block_starts(spark.createDataFrame(rows, schema)).collect()}
+    is_open, ends = False, 0
+    for _, block, outside, inside in rows:
+        own = inside if is_open else outside
+        assert got[block] == (is_open, ends, own[2])
+        is_open, ends = own[0], ends + own[1]
+
+
+def test_one_view_for_any_number_of_sheets(spark):
+    from gridlake.operators import typed as ty
+
+    rows = [("u1", f"d{d}", f"d{d}.csv", "csv", 0, "S", r, ["k", f"c{d % 7}"] if r == 1 else [str(r), f"{r}.25" if d % 2 else f"{r}.5"])
+            for d in range(200) for r in (1, 2, 3)]
+    grid = spark.createDataFrame(rows, "user_id string, document_id string, filename string, file_type string, sheet_idx int, "
+                                       "sheet_name string, row_index bigint, cells array<string>")
+    ty.publish_sheets(spark, ty.infer(grid), "u1", view="many_sheets", function="many_sheet")
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("many")] == ["many_sheets"]
+    got = spark.sql("SELECT data:k::double AS k, data:c4::double AS c FROM many_sheet('t_d4_0') ORDER BY k").collect()
+    assert [tuple(r) for r in got] == [(2.0, 2.5), (3.0, 3.5)]
+    assert spark.sql("SELECT count(DISTINCT __document_id) AS n FROM many_sheets").first()["n"] == 200
