@@ -9,6 +9,7 @@ from gridlake.functions import fixed_values as fv
 from gridlake.functions.a1 import col_letter
 from gridlake.functions.text import compact, one_line
 from gridlake.operators.grid import SHEET_KEYS, data_rows, to_cells
+from gridlake.operators.terms import with_terms
 
 
 def positioned(grid: DataFrame, tables: DataFrame) -> DataFrame:
@@ -181,18 +182,19 @@ def column_text(operation: Column, question: Column) -> Column:
 def mentioned_columns(questions: DataFrame, names: DataFrame, text: str) -> DataFrame:
     """Columns of the question's own table that the question names, in column order.
 
-    questions carry the keys of their table; a question meets only that table's columns.
+    A column is named by its technical name, display name or description. All names of all
+    tables are one dictionary of which each question passes the automaton once; what it holds
+    meets the columns of its table by equal (table, name).
     """
-    pairs = questions.join(names, SHEET_KEYS)
-    q = F.col(text)
-    said = (
-        _said(q, "technical_name") | _said(q, "display_name") | _said(q, "description"))
-    return pairs.where(said)
-
-
-def _said(question: Column, name: str) -> Column:
-    part = F.col(name)
-    return F.coalesce((F.length(part) > 0) & F.contains(question, part), F.lit(False))
+    given = F.array_distinct(F.filter(F.array("technical_name", "display_name", "description"), lambda n: F.length(n) > 0))
+    labels = names.withColumn("__labels", given)
+    found = with_terms(questions, text, labels.select(F.explode("__labels").alias("term")), "__terms")
+    said = found.withColumn("__label", F.explode("__terms"))
+    called = labels.select("*", F.posexplode("__labels").alias("__place", "__label"))
+    # a column that is named twice counts by the first of its names
+    first = ~F.arrays_overlap("__terms", F.slice("__labels", F.lit(1), F.col("__place")))
+    return said.join(called, [*SHEET_KEYS, "__label"]).where((F.col("__place") == 0) | first).drop(
+        "__terms", "__label", "__labels", "__place")
 
 
 def lookup_targets(mentioned: DataFrame, text: str, request: str = "request_id") -> DataFrame:
