@@ -8,6 +8,7 @@ from gridlake.sources.scratch import shared_dir
 from gridlake.streaming.frames import fold_frames
 from gridlake.streaming.jobs import run_to_table
 from gridlake.streaming.limiter import limit_failures
+from gridlake.streaming.timed_limiter import limit_failures_by_timers
 from gridlake.streaming.windows import windowed_counts
 
 # The users of the event log act hours apart, so the queries watch a longer window.
@@ -86,6 +87,28 @@ def t03(spark, sf):
     return result.select("event_id", F.col("user_id").cast("bigint"), "failures", "blocked")
 
 
+@query("t03_timer_limiter", f"""SELECT * FROM ({T02_SQL}) WHERE event_id IN (SELECT event_id FROM events
+  WHERE ts < time_bucket(INTERVAL 10 MINUTE, (SELECT max(ts) FROM events) - INTERVAL 12 HOUR))""")
+def t03_timers(spark, sf):
+    """As t03_streaming_limiter in two portions, from state that is appended to and evicted."""
+    root = shared_dir(spark, "timed-limiter")
+    events = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    arrives = (F.col("at").cast("bigint") + F.col("event_id") * 7919 % 36000).cast("timestamp")
+    portion = F.least(F.lit(1), F.floor((F.dayofmonth(arrives) - 1) / 16) + 2 * (F.month(arrives) - 1))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for i in range(2):
+            events.where(portion == i).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+            limited = limit_failures_by_timers(
+                spark, stream, "user_id", "at", "event_id", F.col("event_type") == "error", F.col("event_type") == "signup",
+                window_seconds=_WINDOW, slot_seconds=2 * 86400, delay="12 hours", bucket_seconds=600)
+            result = run_to_table(limited, root)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return result.select("event_id", F.col("user_id").cast("bigint"), "failures", "blocked")
+
+
 @query("t04_tumbling_windows", """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n_events
 FROM events GROUP BY ALL""")
 def t04(spark, sf):
