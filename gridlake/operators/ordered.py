@@ -84,10 +84,3 @@ def _edges_upto(edges: Column, value: Column, n: int) -> Column:
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda low, step: low + F.when(F.get(edges, low + step - 1) <= value, step).otherwise(0))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after counting at most max_rows + 1 rows; else left to the optimizer."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -217,6 +217,17 @@ def r19(spark, sf):
         F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
+@query("r19_approx_distinct", """SELECT l_returnflag, TRUE AS parts_close, TRUE AS orders_close FROM lineitem GROUP BY l_returnflag""")
+def r19_approx(spark, sf):
+    """Sketched counts of distinct values lie within a tenth of the exact ones."""
+    def close(name):
+        exact = F.count_distinct(name)
+        return F.abs(F.approx_count_distinct(name, 0.02) - exact) <= exact * 0.1
+
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
+        close("l_partkey").alias("parts_close"), close("l_orderkey").alias("orders_close"))
+
+
 @query("r20_group_by", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
 round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc,
 count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")

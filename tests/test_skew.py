@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridlake.operators import vectors as vc
 from gridlake.operators.embedder import embed_texts
 from gridlake.operators.limiter import failure_counts
-from gridlake.operators.ordered import broadcast_if_small, exact_quantiles, running_sum
+from gridlake.operators.ordered import exact_quantiles, running_sum
 from gridlake.operators.relational import range_join
 
 
@@ -147,10 +147,3 @@ def test_embedder_contract(spark):
     assert max(sizes) <= 20
     again = [r["embedding"] for r in embed_texts(df, "t").collect()]
     assert again == [r["embedding"] for r in embed_texts(df, "t").collect()]
-
-
-def test_broadcast_only_when_small(spark):
-    left = spark.range(10).withColumnRenamed("id", "k")
-    small, large = broadcast_if_small(left, 10), broadcast_if_small(left, 9)
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
