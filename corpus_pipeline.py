@@ -41,12 +41,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # a row that the join does not return is an error
     size = F.when(F.col("doc_id").isNull() | F.col("n_shingles").isNotNull(), F.col("n_shingles")).otherwise(
         F.raise_error(F.lit("the join lost a row")).cast("long"))
-    bare = F.when(F.col("n_shingles") == 0, F.struct("doc_id", F.sha2("text", 256).alias("text")))
-    placed = rows.join(found, "__row", "left").withColumn("n_shingles", size).select(
-        "doc_id", "__row", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"), bare.alias("bare"))
-    heads = placed.where("doc_id IS NOT NULL").groupBy("group", "bare").agg(F.min(F.struct("doc_id", "__row")).alias("head")).select("head.__row")
-    kept = heads.union(placed.where("doc_id IS NULL").select("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # texts without words are told apart by themselves; no other text goes through the joins
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    slim = rows.select("doc_id", "__row", F.when(wordless, F.coalesce(F.sha2("text", 256), F.lit("null"))).alias("bare"))
+    placed = slim.join(found, "__row", "left").withColumn("n_shingles", size).where("doc_id IS NOT NULL").select(
+        "doc_id", "__row", F.when(F.col("n_shingles") > 0, F.struct(F.col("component_id"), F.lit(None).cast("string").alias("bare"))).otherwise(
+            F.struct(F.col("doc_id").alias("component_id"), "bare")).alias("group"))
+    heads = placed.groupBy("group").agg(F.min(F.struct("doc_id", "__row")).alias("head")).select("head.__row")
+    dropped = placed.select("__row").join(heads, "__row", "left_anti")
+    return rows.join(dropped, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
