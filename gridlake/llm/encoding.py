@@ -19,8 +19,8 @@ from gridlake.llm.arrow import raw_bytes, texts
 
 #: Words that a counter keeps, and pieces and ids that an encoder keeps.
 KEPT_WORDS = 300_000
-KEPT_PIECES = 400_000
-KEPT_IDS = 8_000_000
+KEPT_PIECES = 250_000
+KEPT_IDS = 4_000_000
 KEPT_BYTES = 64
 JOINED_PIECES = 4096
 JOINED_CHARS = 1 << 18

@@ -33,7 +33,7 @@ MAGIC = b"GLTOKENS"
 BLOCK = 4096
 SHARD_IDS = 1 << 20
 #: Bytes of text that are encoded together.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 HEAD = np.dtype([("magic", "S8"), ("version", "<u4"), ("bits", "<u4"), ("block", "<u4"), ("zero", "<u4"),
                  ("ordinal", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
 
