@@ -15,6 +15,7 @@ are stored by bucket. Words are identified by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +113,11 @@ class Dealer:
         return ((mixed(h) + salt * np.uint64(0x9E3779B1)) % np.uint64(self.buckets)).astype(np.int64)
 
 
-def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, held_out, text -> one row per block: documents, word hashes, codes."""
+def make_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, held_out, text -> one row per block of about size bytes: documents, word
+    hashes, codes."""
     part, number = TaskContext.get().partitionId(), 0
-    for batch in by_bytes(batches, limit=BLOCK_BYTES):
+    for batch in by_bytes(batches, limit=size):
         owner, codes, words = split_words(pc.ascii_lower(texts(batch.column(2))))
         used, codes = np.unique(codes, return_inverse=True)
         names = words.cast(pa.large_binary()).take(pa.array(used)).to_pylist()
@@ -338,7 +340,8 @@ def score_block(dealer: Dealer, words: Words, d: np.ndarray):
     return run
 
 
-def score_texts(docs: DataFrame, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Texts whose id is not in the fold train the model; a null id is not in it. Null and
@@ -364,7 +367,7 @@ def score_texts(docs: DataFrame, fold: int = 1, id_col: str = "doc_id", text_col
 
     blocks = stored(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), in_fold(F.col(id_col), fold).alias("held_out"),
-        F.col(text_col).alias("text")).mapInArrow(make_blocks, HISTORY), "lm-blocks")
+        F.col(text_col).alias("text")).mapInArrow(partial(make_blocks, size=block_bytes), HISTORY), "lm-blocks")
     told = stored(blocks.mapInArrow(send_words(buckets), HISTORY).groupBy("bucket").applyInArrow(
         count_words(buckets), HISTORY), "lm-words")
     found = counts(told.where("block = -1"), CUT + 4)

@@ -21,6 +21,7 @@ A byte goes if a string of LENGTH bytes over it also begins anywhere else in any
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,9 @@ def unpack_bytes(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[:-8], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
 
 
-def make_blocks(batches):
+def make_blocks(batches, size: int):
     part, number = TaskContext.get().partitionId(), 0
-    for batch in by_bytes(batches, limit=BLOCK_BYTES):
+    for batch in by_bytes(batches, limit=size):
         data, offsets = raw_bytes(texts(batch.column(1)))
         ids = batch.column(0)
         yield rows_of([(part << 32 | number, -1, [
@@ -68,13 +69,13 @@ def make_blocks(batches):
 class Block:
     """The texts of a block and its entries, in the order of (bucket, gram, bytes)."""
 
-    def __init__(self, parts: list[bytes], buckets: int, length: int):
+    def __init__(self, parts: list[bytes], buckets: int, length: int, segment: int):
         self.doc_ids, self.nulls = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], bool)
         self.offsets, self.data = np.frombuffer(parts[2], np.int64), unpack_bytes(parts[3])
-        self.length, found = length, []
+        self.length, self.segment, found = length, segment, []
         gram = GRAM * length // LENGTH
-        for lo in range(0, len(self.data), SEGMENT):
-            data = self.data[lo:lo + SEGMENT + length - 1]
+        for lo in range(0, len(self.data), segment):
+            data = self.data[lo:lo + segment + length - 1]
             at = np.searchsorted(self.offsets, lo, side="right")
             stop = np.searchsorted(self.offsets, lo + len(data), side="left")
             bounds = np.clip(self.offsets[at - 1:stop + 1] - lo, 0, len(data))
@@ -113,10 +114,10 @@ class Block:
         entry = np.repeat(hot, sizes)
         begin = np.repeat(self.begin[hot] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         one, two = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint16)
-        for lo in range(0, len(self.data) if len(begin) else 0, SEGMENT):
-            some = np.flatnonzero((begin >= lo) & (begin < lo + SEGMENT))
+        for lo in range(0, len(self.data) if len(begin) else 0, self.segment):
+            some = np.flatnonzero((begin >= lo) & (begin < lo + self.segment))
             if len(some):
-                data, at = self.data[lo:lo + SEGMENT + self.length], begin[some] - lo
+                data, at = self.data[lo:lo + self.segment + self.length], begin[some] - lo
                 one[some] = PrefixHashes(data).of(at, at + self.length)
                 two[some] = PrefixHashes(data, 1).of(at, at + self.length) >> np.uint64(48)
         bucket = one % np.uint64(buckets)
@@ -129,11 +130,11 @@ class Block:
         return one[head], two[head], bucket[head].astype(np.int64), entry, begin, number
 
 
-def send_entries(buckets: int, length: int):
+def send_entries(buckets: int, length: int, segment: int):
     def run(batches):
         for batch in batches:
             for number, _, parts in split_rows(pa.Table.from_batches([batch])):
-                block = Block(parts, buckets, length)
+                block = Block(parts, buckets, length, segment)
                 yield rows_of([(number, b, [block.grams[s].tobytes(), block.runs[s].tobytes(),
                                             squeeze(block.many[s].astype(np.uint8))]) for b, s in block.by_bucket()])
     return run
@@ -166,10 +167,10 @@ def judge_entries(hot: int):
     return run
 
 
-def send_contents(buckets: int, length: int):
+def send_contents(buckets: int, length: int, segment: int):
     def run(table: pa.Table) -> pa.Table:
         rows = split_rows(table)
-        block = Block(next(p for _, b, p in rows if b < 0), buckets, length)
+        block = Block(next(p for _, b, p in rows if b < 0), buckets, length, segment)
         status = block.statuses([(b, p) for _, b, p in rows if b >= 0])
         out, number = [], rows[0][0]
         shown = (status == COMPARED) | (status == REPEATED_COMPARED)
@@ -241,7 +242,7 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, start: np.ndarray, gro
     return order
 
 
-def compare_contents(length: int):
+def compare_contents(length: int, segment: int):
     def contexts(rows):
         """(block, per entry sent: number of the first and last repeated string, or -1)."""
         grams = np.concatenate([np.frombuffer(p[0], np.uint64) for _, _, p in rows])
@@ -255,7 +256,7 @@ def compare_contents(length: int):
         heads, n = runs(grams[order].view(np.int64))
         # groups are independent; a bounded number of bytes is sorted at a time
         total = np.add.reduceat(sizes[order], heads)
-        cuts = np.flatnonzero(np.diff((np.cumsum(total) - 1) // SEGMENT)) + 1
+        cuts = np.flatnonzero(np.diff((np.cumsum(total) - 1) // segment)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(heads)]):
             own = order[heads[lo]:heads[hi - 1] + n[hi - 1]]
             k = strings[own]
@@ -273,7 +274,7 @@ def compare_contents(length: int):
             equal = group[a] == group[b]
             equal[equal] = extension(hashes, start[a[equal]], start[b[equal]], length) == length
             found = np.flatnonzero(equal)
-            for part in np.array_split(found, 1 + len(found) * length // SEGMENT):
+            for part in np.array_split(found, 1 + len(found) * length // segment):
                 span = np.arange(length)
                 equal[part] = (some[start[a[part]][:, None] + span] == some[start[b[part]][:, None] + span]).all(axis=1)
             again = np.zeros(len(start), bool)
@@ -340,10 +341,10 @@ def removed_bytes(block: Block, rows: list[tuple[int, list[bytes]]], buckets: in
     return np.cumsum(step[:-1]) > 0
 
 
-def cut_texts(buckets: int, length: int):
+def cut_texts(buckets: int, length: int, segment: int):
     def run(table: pa.Table) -> pa.Table:
         rows = split_rows(table)
-        block = Block(next(p for _, b, p in rows if b == -1), buckets, length)
+        block = Block(next(p for _, b, p in rows if b == -1), buckets, length, segment)
         gone = removed_bytes(block, [(b, p) for _, b, p in rows if b != -1], buckets)
         n_removed, n_spans, kept = [], [], []
         for lo, hi in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
@@ -358,7 +359,8 @@ def cut_texts(buckets: int, length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                   hot: int = HOT, block_bytes: int = BLOCK_BYTES, segment: int = SEGMENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row.
 
     Strings are judged on the input. Null and empty texts have no bytes; texts shorter than
@@ -374,10 +376,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return spark.read.schema(HISTORY).parquet(folder)
 
     blocks = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                    .mapInArrow(make_blocks, HISTORY), "repeat-blocks")
-    judged = stored(blocks.mapInArrow(send_entries(buckets, length), HISTORY).groupBy("bucket").applyInArrow(
-        judge_entries(HOT), HISTORY), "repeat-entries")
+                    .mapInArrow(partial(make_blocks, size=block_bytes), HISTORY), "repeat-blocks")
+    judged = stored(blocks.mapInArrow(send_entries(buckets, length, segment), HISTORY).groupBy("bucket").applyInArrow(
+        judge_entries(hot), HISTORY), "repeat-entries")
     known = blocks.union(judged)
-    compared = (known.groupBy("block").applyInArrow(send_contents(buckets, length), HISTORY)
-                .groupBy("bucket").applyInArrow(compare_contents(length), HISTORY))
-    return known.union(compared).groupBy("block").applyInArrow(cut_texts(buckets, length), RESULT)
+    compared = (known.groupBy("block").applyInArrow(send_contents(buckets, length, segment), HISTORY)
+                .groupBy("bucket").applyInArrow(compare_contents(length, segment), HISTORY))
+    return known.union(compared).groupBy("block").applyInArrow(cut_texts(buckets, length, segment), RESULT)

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -280,3 +281,98 @@ def robust_shape(x, floors, alpha, steps, near, consistency, quantile):
         if best is None or np.linalg.det(found[1]) < np.linalg.det(best[1]):
             best = found
     return shape(x[distances(*best) <= quantile(near, p)], consistency(near, p))
+
+
+def quality_score(text, weight, bias, bits=18, sizes=(3, 4, 5)):
+    """Probability of label 1, one occurrence of one feature after the other."""
+    words = WORD.findall(text or "")
+    found = []
+    for i, word in enumerate(words):
+        found.append(zlib.crc32(word.encode()) % 2 ** bits)
+        marked = [1, *word.encode(), 2]
+        for k in sizes:
+            for at in range(len(marked) - k + 1):
+                code = k
+                for byte in marked[at:at + k]:
+                    code = (code * 0x100000001B3 + byte) % 2 ** 64
+                found.append(code * 0x9E3779B97F4A7C15 % 2 ** 64 >> (64 - bits))
+        if i and word == words[i - 1]:
+            found.append(zlib.crc32(b"\0again") % 2 ** bits)
+    mean = sum(weight[b] for b in found) / max(1, len(found))
+    return 1 / (1 + math.exp(-(mean + bias)))
+
+
+class PageTexts(HTMLParser):
+    """[(path of block elements, text, number of the article or 0)] of a page whose links
+    all stand in skipped elements; a p or li without its end ends at the next one."""
+
+    SKIPPED = {"head", "nav", "footer", "aside", "form", "script", "style", "title"}
+    INLINE = {"b", "i", "em", "span", "a"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.text, self.articles = [], [], "", 0
+        self.feed(page)
+        self.close()
+        self.block()
+
+    def block(self):
+        text = " ".join(self.text.split())
+        if text and not any(t in self.SKIPPED or "ad" in c for t, c, _ in self.open):
+            path = tuple(".".join([t, *c[:1]]) for t, c, _ in self.open)
+            self.found.append((path, text, max([n for _, _, n in self.open], default=0)))
+        self.text = ""
+
+    def handle_data(self, data):
+        self.text += data
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text += " "
+        if tag in self.INLINE or tag in ("br", "meta"):
+            return
+        self.block()
+        if self.open and self.open[-1][0] == "p" or tag == "li" and self.open and self.open[-1][0] == "li":
+            self.open.pop()
+        self.articles += tag == "article"
+        self.open.append((tag, (dict(attrs).get("class") or "").split(), self.articles if tag == "article" else 0))
+
+    def handle_endtag(self, tag):
+        if tag in self.INLINE:
+            return
+        self.block()
+        names = [t for t, _, _ in self.open]
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag):]
+
+
+def main_text(page, share=0.25, prior=4.0, textual="h1 h2 h3 p ul ol li blockquote section"):
+    """The page's article by the ratios of its paths, each step on its own."""
+    blocks = PageTexts(page).found if page else []
+    if not blocks:
+        return ""
+    paths = {p for p, _, _ in blocks}
+    marks = [sum(c in ",.;:!?、。，！？；：…" for c in t) for _, t, _ in blocks]
+
+    def ratio(values):
+        of = {p: np.mean([v for v, b in zip(values, blocks) if b[0] == p]) for p in paths}
+        line = [of[b[0]] for b in blocks]
+        near = [0.2 * line[max(0, i - 1)] + 0.6 * line[i] + 0.2 * line[min(len(line) - 1, i + 1)] for i in range(len(line))]
+        return {p: np.mean([v for v, b in zip(near, blocks) if b[0] == p]) for p in paths}
+
+    length, dots = ratio([len(t) for _, t, _ in blocks]), ratio(marks)
+    inside = {p: any(e.split(".")[0] in ("article", "main") for e in p) for p in paths}
+    fused = {p: (prior if inside[p] else 1) * length[p] * (1 + dots[p]) for p in paths}
+    chosen = {p for p in paths if fused[p] >= share * max(fused.values())}
+    if any(inside[p] for p in chosen):
+        chosen = {p for p in chosen if inside[p]}
+    tags = set(textual.split())
+    articles = {n for p, _, n in blocks if p in chosen and n}
+
+    def keeps(path, number):
+        for i in range(len(path)):
+            if any(path[:i] == c[:-1] for c in chosen) and all(e.split(".")[0] in tags for e in path[i:]):
+                return True
+        return path in chosen or number in articles and path[-1].split(".")[0] in tags
+
+    return "\n".join(t for p, t, n in blocks if keeps(p, n))

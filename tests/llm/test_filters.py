@@ -57,7 +57,10 @@ def test_quality(spark, edge_docs, no_docs):
     again = quality.score(docs.select("doc_id", "text").repartition(3).withColumn("doc_id", F.lit(1)), model)
     assert sorted(r.score for r in again.collect()) == sorted(
         r.score for r in quality.score(docs.select("doc_id", "text"), model).collect())
+    # a plain forward pass on the fitted numbers
     edge = quality.score(edge_docs, model).collect()
+    for r in edge + quality.score(docs.where("doc_id < 40"), model).collect():
+        assert abs(r.score - brute.quality_score(r.text, model.weight, model.bias)) < 1e-9
     assert len(edge) == edge_docs.count() and all(0 <= r.score <= 1 for r in edge)
     assert len({r.score for r in edge if not (r.text or "").strip()}) == 1
     assert quality.score(no_docs, model).count() == 0

@@ -22,12 +22,11 @@ def test_discounts():
 
 
 @pytest.mark.parametrize("size", [katz.BLOCK_BYTES, 30000])
-def test_katz(spark, size, monkeypatch):
-    monkeypatch.setattr(katz, "BLOCK_BYTES", size)
+def test_katz(spark, size):
     df = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200").repartition(3)
     want, sums = brute.katz([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], katz.discounts)
     assert sums == pytest.approx([1.0] * len(sums), abs=1e-9)
-    got = katz.score_texts(df).collect()
+    got = katz.score_texts(df, block_bytes=size).collect()
     assert len(got) == len(want)
     for r in got:
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
@@ -62,19 +61,17 @@ def repeated_texts():
     return rows + [(900, None), (901, ""), (902, rows[3][1]), (3, rows[3][1])]
 
 
-def removed(df, length):
-    return sorted((tuple(r) for r in repeats.remove_repeats(df, length).select(
+def removed(df, length, **sizes):
+    return sorted((tuple(r) for r in repeats.remove_repeats(df, length, **sizes).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()), key=str)
 
 
 @pytest.mark.parametrize("length,hot,segment,block", [
     (200, 2000, 2 << 20, 16 << 20), (200, 3, 2 << 20, 16 << 20), (200, 0, 1000, 20000), (64, 2000, 1500, 20000)])
-def test_repeats(spark, length, hot, segment, block, monkeypatch):
-    for name, value in (("HOT", hot), ("SEGMENT", segment), ("BLOCK_BYTES", block)):
-        monkeypatch.setattr(repeats, name, value)
+def test_repeats(spark, length, hot, segment, block):
     rows = repeated_texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert removed(df, length) == brute.remove_repeats(rows, length)
+    assert removed(df, length, hot=hot, segment=segment, block_bytes=block) == brute.remove_repeats(rows, length)
 
 
 def test_repeats_edges(edge_docs, edge_rows, no_docs):
@@ -156,6 +153,39 @@ def test_main_text_lists_outside():
     assert main_text.main_text(cells) == "A cell, with text, that is the article, of some length."
 
 
+def made_page(rng):
+    """A page without links in its text: nested containers, some of them articles."""
+    def text(most):
+        return "".join(rng.choice(["word", "é&amp;x", "<b>bold</b>", "long-ish word", "a<br>b"]) + rng.choice([" ", ", ", ". ", "  "])
+                       for _ in range(rng.randint(1, most)))
+
+    def part(depth):
+        kind = rng.random()
+        if depth < 3 and kind < 0.35:
+            tag, name = rng.choice(["div", "section", "div"]), rng.choice(["", " class=box", " class='body wide'", " class=col"])
+            return f"<{tag}{name}>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+        if kind < 0.45:
+            return "<ul>" + "".join(f"<li>{text(6)}" for _ in range(rng.randint(1, 4))) + "</ul>"
+        if kind < 0.55:
+            return f"<blockquote><p>{text(30)}</p></blockquote>"
+        return f"<h2>{text(4)}</h2>" if kind < 0.65 else f"<p>{text(40)}" + rng.choice(["", "</p>"])
+
+    body = "".join(part(0) for _ in range(rng.randint(1, 6)))
+    if rng.random() < 0.4:
+        body = f"<article>{body}</article>" + "".join(part(1) for _ in range(rng.randint(0, 3)))
+    return f"<html><head><title>{text(3)}</title></head><body><nav><ul><li><a href=x>{text(3)}</a></ul></nav>{body}<footer>{text(20)}</footer></body></html>"
+
+
+def test_main_text_against_plain_version(spark):
+    rng = random.Random(8)
+    for page in [made_page(rng) for _ in range(400)]:
+        assert main_text.main_text(page) == brute.main_text(page), page
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.select("page_id", "html").collect()}
+    got = main_text.extract(pages).collect()
+    assert len(got) == len(html) and all(r.text == brute.main_text(html[r.page_id]) for r in got)
+
+
 @pytest.mark.parametrize("page,want", [
     (None, ""), ("", ""), ("<html><body></body></html>", ""), ("just, some text", "just, some text"), ("<p>a < b, c", "a < b, c"),
     ("<p>open <b>bold<p>next", "open bold\nnext"), ("<article><p>one<!-- two", "one"), ("<script>x", ""), ("<p>a</p><", "a\n<"),
