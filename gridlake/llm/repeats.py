@@ -54,7 +54,7 @@ def unpack_bytes(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[:-8], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
 
 
-def make_blocks(batches, size: int):
+def make_blocks(batches, size: int = BLOCK_BYTES):
     part, number = TaskContext.get().partitionId(), 0
     for batch in by_bytes(batches, limit=size):
         data, offsets = raw_bytes(texts(batch.column(1)))
