@@ -2,9 +2,9 @@
 
 Vectors lie in cells, each around its nearest of a bounded number of pivots, and a small table
 tells every cell's size and the range of distances from its pivot. By the triangle inequality
-that bounds from below how near a vector of the cell can be to a query. A query visits cells
-in the order of that bound, in rounds of growing size, and is done when its k-th distance is
-less than the next bound. Only visited cells are read; what is returned is exact.
+that bounds from below how near a vector of the cell can be to a query. A query visits a few
+cells of least bound, then all others whose bound is not above its k-th distance. Only visited
+cells are read; what is returned is exact.
 
 For cosines the vectors are scaled to length 1, where distance and cosine rank alike; vectors of
 zeros get an axis of their own, so that their cosine with everything is 0.
@@ -27,7 +27,7 @@ from gridlake.sources.scratch import shared_dir
 #: Most pivots of one dimension; their number is about the root of the number of vectors.
 PIVOTS = 1024
 #: Vectors and queries that meet in one task.
-PART_ROWS, BLOCK_QUERIES = 20_000, 2_000
+PART_ROWS, BLOCK_QUERIES = 20_000, 20_000
 #: Most (cell, metadata) rows whose table is broadcast; beyond it there is no index.
 MOST_CELLS = 200_000
 FIRST_CELLS = 4
@@ -138,7 +138,8 @@ def build_index(
 
 def open_index(spark: SparkSession, folder: str, schema: StructType, metric: str, on: list[str], id_col: str) -> VectorIndex:
     """A stored index; only its table of cells and its pivots are loaded."""
-    cells = spark.read.parquet(f"{folder}/cells").limit(MOST_CELLS + 1).toPandas()
+    # nulls agree with nothing
+    cells = spark.read.parquet(f"{folder}/cells").dropna(subset=["cell", *on]).limit(MOST_CELLS + 1).toPandas()
     if len(cells) > MOST_CELLS:
         raise TooManyCells(f"{folder} has more than {MOST_CELLS} cells")
     pivots: dict[int, np.ndarray] = {}
@@ -155,47 +156,151 @@ def _bounds(query: np.ndarray, cells: pd.DataFrame, pivots: np.ndarray) -> np.nd
     return np.maximum(np.maximum(at - high, low - at) - 1e-6, 0.0)
 
 
-def _visits(index: VectorIndex, begin: int, end: int, query_col: str):
-    """Queries with their k-th distance to the cells at places begin to end of their orders that
-    may hold something nearer, and how many more such cells follow."""
-    on, metric = index.on, index.metric
-    spark = index.rows.sparkSession
-    shared = spark.sparkContext.broadcast((index.cells, index.pivots))
-
+class Nearest:
+    """The k rows of least rank for each of n queries, met batch by batch. Ranks are rounded, and
+    ties go to the least id. Without k, all rows up to `most`."""
+
+    #: Found rows beyond which only the best are kept.
+    PENDING = 1_000_000
+
+    def __init__(self, names: np.ndarray, k: int | None, digits: int, exclude_self: bool = False, most: np.ndarray | float = np.inf):
+        self.names, self.k, self.digits, self.exclude_self = names, k, digits, exclude_self
+        self.most = np.broadcast_to(np.asarray(most, np.float64), len(names)).copy()
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending, self.kept = 0, 0
+
+    def take(self, at: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> None:
+        """Ranks of rows `ids` for the queries at places `at`."""
+        first = np.flatnonzero(np.isinf(self.most[at]))
+        if self.k is not None and len(first) and self.k <= len(ids):
+            some = rank[first]
+            if self.exclude_self:
+                some = np.where(self.names[at[first]][:, None] == ids[None, :], np.inf, some)
+            edge = np.round(np.partition(some, self.k - 1, axis=1)[:, self.k - 1], self.digits)
+            self.most[at[first]] = np.where(np.isnan(edge), np.inf, edge)
+        most = self.most[at]
+        q, v = np.nonzero(rank <= (most + 10.0 ** -self.digits)[:, None])
+        score = np.round(rank[q, v], self.digits)
+        good = np.isfinite(score) & (score <= most[q])
+        if self.exclude_self:
+            good &= self.names[at[q]] != ids[v]
+        self.held.append((at[q[good]], ids[v[good]], score[good]))
+        self.pending += len(self.held[-1][0])
+        if self.k is not None and self.pending > self.PENDING + 2 * self.kept:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and ranks that are left."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at, ids, score = (np.concatenate(x) for x in zip(*self.held))
+        if self.k is not None and len(at):
+            order = np.lexsort((ids, score, at))
+            at, ids, score = at[order], ids[order], score[order]
+            begins = np.concatenate(([True], at[1:] != at[:-1]))
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+            last = place == self.k - 1
+            self.most[at[last]] = np.minimum(self.most[at[last]], score[last])
+            kept = place < self.k
+            at, ids, score = at[kept], ids[kept], score[kept]
+        self.held, self.pending, self.kept = [(at, ids, score)], len(at), len(at)
+        return at, ids, score
+
+
+def _parts(cells: pd.DataFrame, on: list[str]) -> pd.DataFrame:
+    """The table of cells with the parts in which they meet queries: cells are packed up to a
+    number of rows, larger ones are cut into parts of their own."""
+    cells = cells.sort_values([*on, "dim", "cell"], ignore_index=True)
+    base, splits, following = np.zeros(len(cells), np.int64), np.ones(len(cells), np.int64), 0
+    for key, at in cells.groupby([*on, "dim"]).indices.items():
+        rows = part_rows(key[-1] if isinstance(key, tuple) else key)
+        now, filled = -1, 0
+        for i in at:
+            n = int(cells["n"].iloc[i])
+            splits[i] = max(1, -(-n // rows))
+            if splits[i] > 1:
+                base[i], following = following, following + int(splits[i])
+                continue
+            if now < 0 or filled + n > rows:
+                now, filled, following = following, 0, following + 1
+            base[i], filled = now, filled + n
+    return cells.assign(base=base, splits=splits)
+
+
+def part_rows(dim: int, most: int | None = None) -> int:
+    """Rows of a part or block: fewer if vectors are long."""
+    return min(PART_ROWS if most is None else most, max(1000, (32 << 20) // (8 * int(dim))))
+
+
+def _by_part(cells: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, places of its cells, whether the part is the cell's first) of one (metadata, dim)."""
+    base, splits = cells["base"].to_numpy(), cells["splits"].to_numpy()
+    held: dict[int, list[int]] = {}
+    for i, (b, s) in enumerate(zip(base.tolist(), splits.tolist())):
+        for p in range(b, b + s):
+            held.setdefault(p, []).append(i)
+    return [(p, np.array(at), base[at] == p) for p, at in held.items()]
+
+
+def _visits(groups: dict, pivots: dict, on: list[str], metric: str, first: bool):
+    """One row per query and part that holds cells to visit: `need` has a bit per cell of the part.
+
+    The first round visits the nearest cells in one part, that of the nearest cell; the other round
+    all cells not `seen` that may hold something as near as the k-th row found.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, pivots = shared.value
-        groups = dict(list(table.groupby([*on, "dim"], dropna=True)))
         for pdf in batches:
             lengths = pdf["query_vec"].map(lambda v: 0 if v is None else len(v))
             for key, asked in pdf.groupby([*[pdf[c] for c in on], lengths], sort=False):
                 key = key if isinstance(key, tuple) else (key,)
-                cells = groups.get(key)
+                cells, listed = groups.get(key, (None, None))
                 if cells is None or not key[-1]:
                     continue
                 matrix, at = _matrix(asked["query_vec"])
                 if not len(at):
                     continue
-                matrix = prepared(matrix, metric, True)
-                bounds = _bounds(matrix, cells, pivots[key[-1]])
-                out: list[list] = [[], [], [], []]
-                for row, q in zip(bounds, at):
-                    order = np.lexsort((cells["cell"].to_numpy(), row))
-                    reach = asked["kth"].iloc[q]
-                    near = order if np.isnan(reach) else order[row[order] <= reach]
-                    some = near[begin:end]
-                    for column, value in zip(out, ([int(q)] * len(some), cells["cell"].to_numpy()[some],
-                                                   cells["n"].to_numpy()[some], [max(len(near) - end, 0)] * len(some))):
-                        column.extend(value)
-                if out[0]:
-                    found = asked.iloc[out[0]].drop(columns=["kth"]).copy()
-                    place = {int(q): i for i, q in enumerate(at)}
-                    found["query_vec"] = [matrix[place[q]] for q in out[0]]
-                    found["dim"], found["cell"], found["held"], found["more"] = key[-1], out[1], out[2], out[3]
-                    yield found
+                asked, matrix = asked.iloc[at], prepared(matrix, metric, True)
+                step = max(1, 2_000_000 // len(cells))
+                for lo in range(0, len(asked), step):
+                    yield from visit(asked.iloc[lo:lo + step], matrix[lo:lo + step], cells, listed, pivots[key[-1]], int(key[-1]))
+
+    def visit(asked, matrix, cells, listed, centres, dim) -> Iterator[pd.DataFrame]:
+        bounds = _bounds(matrix, cells, centres)
+        reach = asked["kth"].to_numpy(np.float64)
+        base, numbers = cells["base"].to_numpy(), cells["cell"].to_numpy()
+        home = base[bounds.argmin(axis=1)]
+        need = bounds <= np.where(np.isnan(reach), np.inf, reach)[:, None]
+        if first:
+            # the cells of a query's own part, in the order of their bounds
+            near = base[None, :] == home[:, None]
+            order = np.argsort(np.where(near, bounds, np.inf), axis=1, kind="stable")[:, :FIRST_CELLS]
+            among = np.zeros(need.shape, bool)
+            np.put_along_axis(among, order, True, axis=1)
+            need &= near & among
+        else:
+            for row, seen in zip(need, asked["seen"]):
+                if seen is not None and len(seen):
+                    row[np.searchsorted(numbers, np.asarray(seen))] = False
+        for part, places, begins in listed:
+            own = need[:, places]
+            some = np.flatnonzero(own.any(axis=1))
+            if len(some):
+                own = own[some]
+                found = asked.iloc[some].drop(columns=["seen"]).copy()
+                found["query_vec"], found["dim"], found["home"], found["part"] = list(matrix[some]), dim, home[some], part
+                found["need"] = [r.tobytes() for r in np.packbits(own, axis=1)]
+                found["cells"] = (own & begins).sum(axis=1)
+                found["visits"] = [numbers[places[r]].tolist() if first else None for r in own]
+                yield found
 
     return run
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def search(
     index: VectorIndex, queries: DataFrame, k: int | None = 5, least: float | None = None,
     query_col: str = "query_id", query_vec_col: str = "query_vec", exclude_self: bool = False,
@@ -205,86 +310,110 @@ def search(
     The score is the rounded squared distance, least first, or the rounded cosine, greatest
     first; ties go to the least id. `least` (cosines only) leaves out rows below it. Metadata of
     the index must agree; nulls agree with nothing.
+
+    Cells lie in parts and queries, by their nearest cell, in blocks of bounded size. A task holds one
+    block and one part. So rows that move are the vectors times the blocks that visit them, and
+    the queries times the parts they visit, not times the cells.
     """
     spark, on, id_col, metric = index.rows.sparkSession, index.on, index.id_col, index.metric
-    digits, asked = DIGITS[metric], queries.select(query_col, F.col(query_vec_col).cast("array<double>").alias("query_vec"), *on)
+    digits = DIGITS[metric]
     reach = None if least is None else float(np.sqrt(max(2.0 - 2.0 * least, 0.0) + MARGIN))
-    asked = _stored(asked.withColumn("kth", F.lit(reach).cast("double")), "index-queries")
+    asked = _stored(queries.select(query_col, F.col(query_vec_col).cast("array<double>").alias("query_vec"), *on).withColumns({
+        "row": F.monotonically_increasing_id(), "kth": F.lit(reach).cast("double"), "seen": F.lit(None).cast("array<int>")}), "index-queries")
     kind_v, kind_q = index.rows.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
     pair = f"{query_col} {kind_q}, {id_col} {kind_v}, score double"
-    visit_schema = StructType([*asked.drop("kth").schema.fields, *spark.createDataFrame(
-        [], "dim int, cell int, held bigint, more bigint").schema.fields])
+    visit_schema = StructType([*asked.drop("seen").schema.fields, *spark.createDataFrame(
+        [], "dim int, home bigint, part bigint, need binary, cells bigint, visits array<int>").schema.fields])
     order = Window.partitionBy(query_col).orderBy(F.col("score") if metric == "l2" else F.desc("score"), id_col)
-
-    def meet(key, rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or some.empty:
-            return pd.DataFrame({query_col: some[query_col][:0], id_col: rows[id_col][:0], "score": pd.Series([], dtype=float)})
-        v, q = np.stack(rows["vec"].to_numpy()), np.stack(some["query_vec"].to_numpy())
-        if metric == "l2":
-            score = np.round(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (q @ v.T), 0.0), digits)
-            rank = score
-        else:
-            score = np.round(q @ v.T, digits)
-            rank = -score
-        ids, names = rows[id_col].to_numpy(), some[query_col].to_numpy()
-        out = np.zeros(score.shape, bool) if least is None else score < least
-        if exclude_self:
-            out |= names[:, None] == ids[None, :]
-        found = []
-        for i in range(len(names)):
-            near = np.flatnonzero(~out[i])
-            if k is not None and len(near) > k:
-                # all rows up to the k-th score, so that ties go by id
-                near = near[rank[i][near] <= np.partition(rank[i][near], k - 1)[k - 1]]
-                near = near[np.lexsort((ids[near], rank[i][near]))][:k]
-            found.append(pd.DataFrame({query_col: names[i], id_col: ids[near], "score": score[i][near]}))
-        return pd.concat(found)
-
-    best, visited, begin, end = None, None, 0, FIRST_CELLS if k is not None else 1 << 30
-    while True:
-        visits = _stored(asked.mapInPandas(_visits(index, begin, end, query_col), visit_schema), "index-visits")
-        cells = [(r["dim"], r["cell"]) for r in visits.select("dim", "cell").distinct().collect()]
-        if not cells:
-            break
-        # the cells of this round as partitions to read; then parts of cells meet blocks of queries
-        by_dim = {d: sorted({c for e, c in cells if e == d}) for d, _ in cells}
-        pool = index.rows.where(" OR ".join(f"dim = {d} AND cell IN ({', '.join(map(str, cs))})" for d, cs in by_dim.items()))
-        keys = [*on, "dim", "cell"]
-        load = visits.groupBy(*keys).agg(F.max("held").alias("held"), F.count("*").alias("asking")).select(
-            *keys, F.ceil(F.col("held") / PART_ROWS).alias("parts"), F.ceil(F.col("asking") / BLOCK_QUERIES).alias("blocks"))
-        left = pool.join(load, keys).withColumn("__part", F.pmod(F.xxhash64(id_col), F.col("parts"))).withColumn(
-            "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        right = visits.join(load, keys).withColumn("__block", F.pmod(F.xxhash64(query_col), F.col("blocks"))).withColumn(
-            "__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        group = [*keys, "__part", "__block"]
-        found = left.select(*group, id_col, "vec").groupBy(*group).cogroup(
-            right.select(*group, query_col, "query_vec").groupBy(*group)).applyInPandas(meet, pair)
-        best = found if best is None else best.unionByName(found)
-        if k is not None:
-            best = best.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")
-        best = _stored(best, "index-best")
-        count = visits.groupBy(query_col).agg(F.count("*").alias("cells_visited"), F.max("more").alias("more"))
-        visited = count if visited is None else visited.unionByName(count)
-        begin, end = end, end + 2 * (end - begin)
-        if k is None or not visits.where("more > 0").limit(1).count():
-            # places before `begin` are done for every query whose orders end there
-            break
-        # queries with k rows need look no further than the k-th; others look everywhere
-        far = F.max(F.col("score")) if metric == "l2" else F.max(F.lit(2.0) - 2 * F.col("score"))
-        kth = best.groupBy(query_col).agg(F.count("*").alias("__n"), F.sqrt(far + MARGIN).alias("__far"))
-        asked = _stored(asked.join(kth, query_col, "left").withColumn("kth", F.when(
-            F.col("__n") >= k, F.least("__far", F.coalesce("kth", "__far"))).otherwise(F.col("kth"))).drop("__n", "__far"), "index-queries")
+    table = _parts(index.cells, on)
+    groups = {}
+    for key, some in table.groupby([*on, "dim"]):
+        groups[key if isinstance(key, tuple) else (key,)] = (some, _by_part(some))
+    shared = spark.sparkContext.broadcast((groups, index.pivots))
+    members = spark.sparkContext.broadcast({p: some["cell"].to_numpy()[at] for some, listed in groups.values() for p, at, _ in listed})
+    place = spark.createDataFrame(
+        [tuple(getattr(x, "item", lambda x=x: x)() for x in r) for r in table[[*on, "dim", "cell", "base", "splits"]].itertuples(index=False)],
+        StructType([*index.rows.select(*on, "dim", "cell").schema.fields, *spark.createDataFrame([], "base bigint, splits bigint").schema.fields]))
+
+    def meet(key: tuple, rows: pa.Table, some: pa.Table) -> pa.Table:
+        names, ids = some[query_col].combine_chunks(), rows[id_col].combine_chunks()
+        found = Nearest(names.to_numpy(zero_copy_only=False), k, digits, exclude_self, np.inf if least is None else -least)
+        if rows.num_rows and some.num_rows:
+            cells, v, q = members.value[key[0].as_py()], _vectors(rows["vec"]), _vectors(some["query_vec"])
+            if k is not None:
+                found.most = np.minimum(found.most, some["rank"].combine_chunks().fill_null(np.inf).to_numpy())
+            bits = np.frombuffer(b"".join(some["need"].to_pylist()), np.uint8).reshape(some.num_rows, -1)
+            need = np.unpackbits(bits, axis=1, count=len(cells)).astype(bool)
+            of, keys = rows["cell"].to_numpy(), ids.to_numpy(zero_copy_only=False)
+            for j, cell in enumerate(cells):
+                at, own = np.flatnonzero(need[:, j]), np.flatnonzero(of == cell)
+                step = max(1, 1_000_000 // max(len(own), 1))
+                for lo in range(0, len(at) if len(own) else 0, step):
+                    found.take(at[lo:lo + step], ranks(q[at[lo:lo + step]], v[own], metric), keys[own])
+        at, near, score = found.best()
+        kinds = [names.type, ids.type, pa.float64()]
+        return pa.Table.from_arrays([names.take(pa.array(at, pa.int64())), pa.array(near, kinds[1]), pa.array(
+            score if metric == "l2" else -score, kinds[2])], names=[query_col, id_col, "score"])
+
+    best, visited = None, None
+    for first in ((True, False) if k is not None else (False,)):
+        def run(batches: Iterator[pd.DataFrame], first: bool = first) -> Iterator[pd.DataFrame]:
+            return _visits(*shared.value, on, metric, first)(batches)
+
+        visits = _stored(asked.mapInPandas(run, visit_schema), "index-visits")
+        # queries of one nearest part are a block, cut if they are many
+        load = visits.groupBy("home").agg(F.max("dim").alias("dim"), F.count_distinct("row").alias("n")).collect()
+        if load:
+            blocks = spark.createDataFrame([(r["home"], -(-r["n"] // part_rows(r["dim"], BLOCK_QUERIES))) for r in load], "home bigint, blocks bigint")
+            # the k-th rank of rows found before bounds what can still be of use
+            rank = F.lit(None).cast("double") if best is None else F.col("rank")
+            some = visits if best is None else visits.join(kth.select(query_col, "rank"), query_col, "left")
+            right = some.join(F.broadcast(blocks), "home").withColumn("block", F.struct("home", F.pmod(F.xxhash64("row"), F.col("blocks")))).select(
+                "part", "block", query_col, "query_vec", "need", rank.alias("rank"))
+            asking = visits.join(F.broadcast(blocks), "home").select(
+                "part", F.struct("home", F.pmod(F.xxhash64("row"), F.col("blocks"))).alias("block")).distinct()
+            cells = [(r["dim"], r["cell"]) for r in visits.select("part").distinct().join(place.select("dim", "cell", F.explode(F.sequence(
+                "base", F.col("base") + F.col("splits") - 1)).alias("part")), "part").select("dim", "cell").distinct().collect()]
+            by_dim = {d: sorted({c for e, c in cells if e == d}) for d, _ in cells}
+            pool = index.rows.where(" OR ".join(f"dim = {d} AND cell IN ({', '.join(map(str, cs))})" for d, cs in by_dim.items()))
+            left = pool.join(F.broadcast(place), [*on, "dim", "cell"]).withColumn(
+                "part", F.col("base") + F.pmod(F.xxhash64(id_col), F.col("splits"))).join(F.broadcast(asking), "part").select(
+                "part", "block", id_col, "cell", "vec")
+            found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, pair)
+            best = found if best is None else best.unionByName(found)
+            if k is not None:
+                best = best.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")
+            best = _stored(best, "index-best")
+            count = visits.select(query_col, F.col("cells").alias("cells_visited"))
+            visited = count if visited is None else visited.unionByName(count)
+        if first and best is not None:
+            # queries with k rows need look no further than the k-th; others look everywhere
+            far = F.max(F.col("score") if metric == "l2" else -F.col("score"))
+            kth = _stored(best.groupBy(query_col).agg(F.count("*").alias("n"), far.alias("rank")).where(F.col("n") >= k).select(
+                query_col, "rank", F.sqrt((F.col("rank") if metric == "l2" else 2 + 2 * F.col("rank")) + MARGIN).alias("far")), "index-kth")
+            seen = visits.where("part = home").select("row", F.col("visits").alias("found"))
+            asked = _stored(asked.join(kth, query_col, "left").join(seen, "row", "left").select(
+                query_col, "query_vec", *on, "row", F.least("far", "kth").alias("kth"), F.col("found").alias("seen")), "index-queries")
     if best is None:
         return spark.createDataFrame([], pair), spark.createDataFrame([], f"{query_col} {kind_q}, cells_visited bigint, cells bigint")
-    totals = spark.createDataFrame(
-        [(*[getattr(x, "item", lambda x=x: x)() for x in key[:-1]], int(key[-1]), len(some)) for key, some in index.cells.groupby([*on, "dim"], dropna=True)],
-        StructType([*asked.select(*on).schema.fields, *spark.createDataFrame([], "dim int, cells bigint").schema.fields]))
+    totals = place.groupBy(*on, "dim").agg(F.count("*").alias("cells"))
     asked_of = asked.withColumn("dim", F.size("query_vec"))
     report = visited.groupBy(query_col).agg(F.sum("cells_visited").alias("cells_visited"))
     return best, asked_of.join(totals, [*on, "dim"]).join(report, query_col, "left").select(
         query_col, F.coalesce("cells_visited", F.lit(0)).cast("bigint").alias("cells_visited"), "cells")
 
 
+def ranks(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Squared distances, or cosines of prepared vectors with the other sign."""
+    if metric != "l2":
+        return -(queries @ rows.T)
+    d = queries @ rows.T
+    d *= -2.0
+    d += (queries * queries).sum(1)[:, None]
+    d += (rows * rows).sum(1)[None, :]
+    return np.maximum(d, 0.0, out=d)
+
+
 def _stored(df: DataFrame, purpose: str) -> DataFrame:
     """Written, so that rounds do not repeat each other's work."""
     folder = shared_dir(df.sparkSession, purpose)

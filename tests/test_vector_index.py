@@ -124,3 +124,15 @@ def test_only_visited_cells_are_scanned(spark):
     index = vi.build_index(table(spark, mixed_rows()))
     some = index.rows.where(F.expr("dim = 6 AND cell IN (1, 2)"))
     assert "PartitionFilters: [" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_move_by_parts_not_by_cells(spark, monkeypatch):
+    """Independent directions, where no bound prunes and every query visits every cell."""
+    rng = np.random.default_rng(9)
+    data = [(i, "ab"[i % 2], v) for i, v in enumerate(rng.normal(size=(900, 24)))]
+    moved, stored = [], vi._stored
+    monkeypatch.setattr(vi, "_stored", lambda df, purpose: moved.append((purpose, stored(df, purpose))) or moved[-1][1])
+    found, visits = vi.search(vi.build_index(table(spark, data), on=["g"]), asked(spark, data), 3, exclude_self=True)
+    assert listed(found) == plain(data, data, 3, on=True, exclude_self=True)
+    assert sum(r["cells_visited"] for r in visits.collect()) > 20 * len(data)
+    assert sum(df.count() for purpose, df in moved if purpose == "index-visits") <= 2 * len(data)
