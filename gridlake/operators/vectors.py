@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import fixed_values as fv
 from gridlake.functions.digest import cache_key
 from gridlake.functions.vector import cosine, squared_distance
-from gridlake.operators.vector_index import build_index, search
+from gridlake.operators.vector_index import DIGITS, Nearest, build_index, prepared, ranks, search
 
 DISTANCE_DIGITS = 6
 
@@ -64,15 +64,48 @@ def _few(queries: DataFrame, query_vec_col: str, width: int, max_broadcast_bytes
     return 8 * ((numbers or 0) + n * width) <= max_broadcast_bytes
 
 
-def _meet(vectors: DataFrame, queries: DataFrame, work, out: str) -> DataFrame:
-    """work(vector batch, queries) over all vectors; the queries go to every task."""
-    shared = queries.sparkSession.sparkContext.broadcast(queries.toPandas())
+def _asked_by_length(queries: pd.DataFrame, on: list[str], query_col: str, query_vec_col: str) -> dict:
+    """(names, matrix) of the queries by metadata and length; missing vectors are left out."""
+    lengths = queries[query_vec_col].map(lambda v: 0 if v is None else len(v))
+    return {
+        key if isinstance(key, tuple) else (key,): (some[query_col].to_numpy(), np.stack(some[query_vec_col].to_numpy()).astype(np.float64))
+        for key, some in queries[lengths > 0].groupby([*[queries[c] for c in on], lengths], sort=False)}
+
+
+def _meet(
+    vectors: DataFrame, queries: DataFrame, k: int | None, metric: str, most: float, on: list[str], id_col: str, vec_col: str,
+    query_col: str, query_vec_col: str, exclude_self: bool = False,
+) -> DataFrame:
+    """The best rows of each task for every query. The queries go to every task as matrices, and a
+    task keeps no more than their best rows, whatever its number of batches."""
+    shared = queries.sparkSession.sparkContext.broadcast(
+        _asked_by_length(queries.toPandas(), on, query_col, query_vec_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, found = shared.value, {}
         for pdf in batches:
-            yield work(pdf, shared.value)
-
-    return vectors.mapInPandas(run, out)
+            lengths = pdf[vec_col].map(lambda v: 0 if v is None else len(v))
+            for key, rows in pdf.groupby([*[pdf[c] for c in on], lengths], sort=False):
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in asked or not key[-1]:
+                    continue
+                names, matrix = asked[key]
+                best = found.setdefault(key, Nearest(names, k, DIGITS[metric], exclude_self, most))
+                v, ids = prepared(np.stack(rows[vec_col].to_numpy()).astype(np.float64), metric, False), rows[id_col].to_numpy()
+                step = max(1, 1_000_000 // len(ids))
+                for lo in range(0, len(names), step):
+                    at = np.arange(lo, min(lo + step, len(names)))
+                    best.take(at, ranks(prepared(matrix[lo:lo + step], metric, True), v, metric), ids)
+                if k is None:
+                    yield listed(found.pop(key))
+        for best in found.values():
+            yield listed(best)
+
+    def listed(best: Nearest) -> pd.DataFrame:
+        at, ids, score = best.best()
+        return pd.DataFrame({query_col: best.names[at], id_col: ids, "score": score if metric == "l2" else -score})
+
+    return vectors.select(id_col, vec_col, *on).mapInPandas(run, _pair_schema(vectors, queries, id_col, query_col))
 
 
 def _pair_schema(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str) -> str:
@@ -90,7 +123,7 @@ def nearest_for_each(
     """k nearest vectors for every query; `on` lists metadata columns that must agree.
 
     Missing vectors and those of another length than the query never rank. Distances are
-    matrix products over Arrow batches, and a batch passes on only its own k best per query,
+    matrix products over Arrow batches, and a task passes on only its own k best per query,
     so no pair table exists. Queries of many bytes meet the cells of an index instead.
     """
     on = on or []
@@ -100,13 +133,8 @@ def nearest_for_each(
         partial, _ = search(index, queries, k, None, query_col, query_vec_col, exclude_self)
         return partial.withColumn("rank", F.row_number().over(order))
 
-    def best_of(pdf: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return _batch_best(
-            pdf, q, k, on, id_col, vec_col, query_col, query_vec_col, exclude_self)
-
-    partial = _meet(
-        vectors.select(id_col, vec_col, *on), queries.select(query_col, query_vec_col, *on),
-        best_of, _pair_schema(vectors, queries, id_col, query_col))
+    partial = _meet(vectors, queries.select(query_col, query_vec_col, *on), k, "l2", np.inf, on, id_col, vec_col,
+                    query_col, query_vec_col, exclude_self)
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -124,91 +152,14 @@ def cosine_for_each(
         index = build_index(vectors, None, "cosine", None, id_col, vec_col)
         return search(index, queries, k, least, query_col, query_vec_col)[0]
 
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.stack(rows.to_numpy()).astype(np.float64)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(length > 0, length, 1.0)
-
-    def work(pdf: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for rows, asked in _by_length(pdf, q, vec_col, query_vec_col):
-            scores = np.round(unit(asked[query_vec_col]) @ unit(rows[vec_col]).T, 12)
-            ids, names = rows[id_col].to_numpy(), asked[query_col].to_numpy()
-            for i, row in enumerate(scores):
-                near = np.arange(len(ids)) if least is None else np.flatnonzero(row >= least)
-                if k is not None:
-                    near = near[np.lexsort((ids[near], -row[near]))][:k]
-                if len(near):
-                    found.append(pd.DataFrame({query_col: names[i], id_col: ids[near], "score": row[near]}))
-        columns = [query_col, id_col, "score"]
-        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
-
-    scored = _meet(
-        vectors.select(id_col, vec_col), queries.select(query_col, query_vec_col), work,
-        _pair_schema(vectors, queries, id_col, query_col))
+    scored = _meet(vectors, queries.select(query_col, query_vec_col), k, "cosine", np.inf if least is None else -least, [], id_col,
+                   vec_col, query_col, query_vec_col)
     if k is None:
         return scored
     order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
     return scored.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")
 
 
-def _by_length(pdf: pd.DataFrame, queries: pd.DataFrame, vec_col: str, query_vec_col: str):
-    """(vectors, queries) of one length each, both present."""
-    if pdf.empty or queries.empty:
-        return
-    held = pdf[vec_col].map(lambda v: 0 if v is None else len(v)).to_numpy()
-    asked = queries[query_vec_col].map(lambda v: 0 if v is None else len(v)).to_numpy()
-    for n in np.intersect1d(held, asked):
-        if n:
-            yield pdf[held == n], queries[asked == n]
-
-
-def _batch_best(
-    pdf: pd.DataFrame, queries: pd.DataFrame, k: int, on: list[str], id_col: str, vec_col: str,
-    query_col: str, query_vec_col: str, exclude_self: bool,
-) -> pd.DataFrame:
-    """Best k rows of a batch per query."""
-    found = []
-    groups = [((), pdf)] if not on else pdf.groupby(on, sort=False)
-    for key, rows in groups:
-        asked = queries
-        for name, value in zip(on, key if isinstance(key, tuple) else (key,)):
-            asked = asked[asked[name] == value]
-        for rows, asked in _by_length(rows, asked, vec_col, query_vec_col):
-            found += _best_of_length(rows, asked, k, id_col, vec_col, query_col, query_vec_col, exclude_self)
-    columns = [query_col, id_col, "score"]
-    return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
-
-
-def _best_of_length(
-    rows: pd.DataFrame, asked: pd.DataFrame, k: int, id_col: str, vec_col: str, query_col: str,
-    query_vec_col: str, exclude_self: bool,
-) -> list[pd.DataFrame]:
-    found = []
-    v = np.stack(rows[vec_col].to_numpy()).astype(np.float64)
-    ids = rows[id_col].to_numpy()
-    v_sq = (v * v).sum(axis=1)
-    step = max(1, 4_000_000 // len(ids))
-    for at in range(0, len(asked), step):
-        part = asked.iloc[at:at + step]
-        q = np.stack(part[query_vec_col].to_numpy()).astype(np.float64)
-        d = np.maximum((q * q).sum(axis=1)[:, None] + v_sq[None, :] - 2.0 * (q @ v.T), 0.0)
-        d = np.round(d, DISTANCE_DIGITS)
-        names = part[query_col].to_numpy()
-        if exclude_self:
-            d[names[:, None] == ids[None, :]] = np.inf
-        take = min(k, len(ids))
-        for i, row in enumerate(d):
-            # All rows up to the k-th distance, so that ties break by id.
-            edge = np.partition(row, take - 1)[take - 1]
-            near = np.flatnonzero(row <= edge)
-            near = near[np.lexsort((ids[near], row[near]))][:take]
-            near = near[np.isfinite(row[near])]
-            found.append(pd.DataFrame({
-                query_col: names[i], id_col: ids[near], "score": row[near]}))
-    return found
-
-
 def similar_texts(
     docs: DataFrame, query: list[float], k: int = 5, text: str = "content",
     id_col: str = "id", vec_col: str = "embedding",

@@ -136,3 +136,17 @@ def test_queries_move_by_parts_not_by_cells(spark, monkeypatch):
     assert listed(found) == plain(data, data, 3, on=True, exclude_self=True)
     assert sum(r["cells_visited"] for r in visits.collect()) > 20 * len(data)
     assert sum(df.count() for purpose, df in moved if purpose == "index-visits") <= 2 * len(data)
+
+
+def test_tasks_pass_on_their_own_best_only(spark):
+    """Few rows go on however many batches a task has."""
+    data = [(i, "a", v) for i, v in enumerate(clustered(400, 6, 9, 4))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        partial = vc._meet(table(spark, data).coalesce(1), asked(spark, data), 3, "l2", np.inf, [], "vec_id", "embedding",
+                           "query_id", "query_vec", True)
+        assert partial.count() == 3 * len(data)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert listed(partial) == plain(data, data, 3, exclude_self=True)
