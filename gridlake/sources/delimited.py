@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pandas as pd
@@ -19,6 +20,8 @@ ROWS_SCHEMA = "path string, sheet_idx int, sheet_name string, row_index bigint,
 #: Blocks whose beginnings are broadcast: one row per input split, of which the driver holds a
 #: task each. Beyond it the optimizer chooses the join.
 BROADCAST_BLOCKS = 1_000_000
+#: Blocks that are smaller than this share a task.
+TASK_BYTES = 4 << 20
 #: Longest field, beyond the csv module's own limit.
 csv.field_size_limit((1 << 31) - 1)
 
@@ -44,7 +47,24 @@ def parse_delimited(contents: DataFrame, sep: str) -> DataFrame:
     return contents.select("path", "content").mapInPandas(run, ROWS_SCHEMA)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", glob: str = "*.csv") -> DataFrame:
+_BLOCK_CONFS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+
+
+@contextmanager
+def _blocks_of(spark: SparkSession, block_bytes: int | None) -> Iterator[None]:
+    """Spark's file blocks of another size while files are read."""
+    before = {n: spark.conf.get(n) for n in _BLOCK_CONFS}
+    try:
+        if block_bytes is not None:
+            spark.conf.set(_BLOCK_CONFS[0], str(block_bytes))
+            spark.conf.set(_BLOCK_CONFS[1], "100")
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", glob: str = "*.csv", block_bytes: int | None = None) -> DataFrame:
     """All matching files, of any size, split over tasks; a record may span lines.
 
     A line break ends a record unless it stands in quotes, which depends on all that comes
@@ -53,12 +73,17 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", glob: str = "
     both. A block is then a map from how it begins to how it ends. These maps, one small row
     per block, are composed by running windows over a file's blocks, which gives each block its
     true beginning and first record number. Only pieces of records that cross a border move.
+    `block_bytes` sets the size of blocks for the files alone; small blocks share a task.
     """
     lines = (
         spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
         .text(path, lineSep="\n").select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"))
-    cut = _written(lines.mapInArrow(lambda batches: _cut_blocks(batches, sep), CUT), "csv-cut")
+    with _blocks_of(spark, block_bytes):
+        if block_bytes is not None and block_bytes < TASK_BYTES:
+            cores = spark.sparkContext.defaultParallelism
+            lines = lines.coalesce(max(cores, -(-lines.rdd.getNumPartitions() * block_bytes // TASK_BYTES)))
+        cut = _written(lines.mapInArrow(lambda batches: _cut_blocks(batches, sep), CUT), "csv-cut")
     starts = _written(block_starts(cut.where("kind = 2").select("path", "block", "told.*")), "csv-starts")
     few = starts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
 
