@@ -21,3 +21,33 @@ def test_small_blocks_share_tasks(spark, tmp_path, monkeypatch):
     assert len(glob.glob(folders["csv-cut"] + "/*.parquet")) <= spark.sparkContext.defaultParallelism
     got = {(r["path"][-5:], r["row_index"]): r["cells"] for r in rows.collect()}
     assert got == {(f"{d}.csv", i + 1): [str(i), f'a "{i}",\n{d}'] for d in range(3) for i in range(300)}
+
+
+def test_keys_of_a_slot_are_judged_together(spark, tmp_path):
+    """Many keys in few states, the failures those of the batch form."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from gridlake.operators.limiter import failure_counts
+    from gridlake.streaming import limiter
+    from gridlake.streaming.jobs import run_to_table
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, f"k{i * 31 % 400}" if i % 50 else None, start + dt.timedelta(seconds=i * 7919 % 90000), "fsn"[i * 13 % 7 % 3]) for i in range(3000)]
+    rows.append((9999, "end", start + dt.timedelta(days=9), "n"))
+    events = spark.createDataFrame(rows, "event_id long, key string, at timestamp, kind string")
+    failure, success = F.col("kind") == "f", F.col("kind") == "s"
+    kinds = dict(window_seconds=20000, slot_seconds=30000)
+    root = str(tmp_path)
+    for part in range(3):
+        events.where((F.col("event_id") % 3 == part) & (F.col("event_id") != 9999)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        run_to_table(limiter.limit_failures(stream, "key", "at", "event_id", failure, success, delay="3 days", **kinds), root)
+    events.where("event_id = 9999").write.mode("append").parquet(f"{root}/in")
+    got = run_to_table(limiter.limit_failures(stream, "key", "at", "event_id", failure, success, delay="3 days", **kinds), root)
+    want = failure_counts(events.where("event_id <> 9999"), "key", "at", failure, success, tie="event_id", **kinds)
+    columns = ["event_id", "key", "failures", "blocked"]
+    assert sorted(got.select(*columns).collect(), key=lambda r: r[0]) == sorted(want.select(*columns).collect(), key=lambda r: r[0])
+    state = spark.read.format("statestore").load(f"{root}/state")
+    assert state.count() <= 2 * limiter.KEY_GROUPS
