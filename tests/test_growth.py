@@ -51,3 +51,29 @@ def test_keys_of_a_slot_are_judged_together(spark, tmp_path):
     assert sorted(got.select(*columns).collect(), key=lambda r: r[0]) == sorted(want.select(*columns).collect(), key=lambda r: r[0])
     state = spark.read.format("statestore").load(f"{root}/state")
     assert state.count() <= 2 * limiter.KEY_GROUPS
+
+
+def test_timers_follow_buckets_not_keys():
+    import numpy as np
+    import pandas as pd
+
+    from gridlake.streaming.limiter import sliding_failures
+    from gridlake.streaming.timed_limiter import Limiter
+    from tests.test_timed_limiter import SECOND, Clock, Handle
+
+    rng = np.random.default_rng(3)
+    n, window = 4000, 300
+    rows = pd.DataFrame({"k": rng.choice([f"u{i}" for i in range(60)], n), "micros": np.sort(rng.choice(6000, n, replace=False)) * SECOND,
+                         "event_id": range(n), "is_failure": rng.random(n) < 0.5, "is_success": rng.random(n) < 0.05, "is_own": True})
+    limiter, handle = Limiter("k", window, 5, 6000, 100), Handle()
+    limiter.init(handle)
+    for part in (rows[::2], rows[1::2]):
+        list(limiter.handleInputRows((0, 0), iter([part]), Clock(0)))
+    assert len(handle.timers) <= 61
+    got = pd.concat([f for at in sorted(handle.timers) for f in limiter.handleExpiredTimer((0, 0), Clock(at), None)])
+    assert len(got) == n
+    for key, some in rows.groupby("k"):
+        want, _ = sliding_failures(np.zeros(0, np.int64), some["micros"].to_numpy(), some["is_failure"].to_numpy(),
+                                   some["is_success"].to_numpy(), window * SECOND)
+        mine = got[got["k"] == key].set_index("event_id")["failures"]
+        assert mine.loc[some["event_id"]].tolist() == want.tolist()
