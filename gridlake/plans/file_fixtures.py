@@ -9,7 +9,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -90,13 +90,31 @@ def _short_sheet(content: bytes) -> bytes:
     return out.getvalue()
 
 
-def write_csv_files(grid: DataFrame, width: int, root: str, sep: str = ",") -> None:
-    """One delimited file per document below root, rows in order."""
+def _csv_writer(grid: DataFrame, width: int, sep: str):
     columns = [F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)]
-    (
+    return (
         grid.repartition("document_id").sortWithinPartitions("document_id", "row_index")
         .select("document_id", *columns)
-        .write.mode("append").partitionBy("document_id").option("sep", sep).option("escape", '"')
+        .write.mode("append").option("sep", sep).option("escape", '"')
         .option("nullValue", "").option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).csv(root)
+        .option("ignoreTrailingWhiteSpace", False)
     )
+
+
+def write_csv_files(grid: DataFrame, width: int, root: str, sep: str = ",") -> None:
+    """One delimited file per document below root, rows in order."""
+    _csv_writer(grid, width, sep).partitionBy("document_id").csv(root)
+
+
+def write_csv_bundles(grid: DataFrame, width: int, root: str, sep: str = ",") -> None:
+    """Delimited files of many documents each, for documents of a few rows: a file for each would
+    cost more than its rows. A document's rows stand together, in order, behind its id."""
+    _csv_writer(grid, width, sep).csv(root)
+
+
+def unbundled(rows: DataFrame) -> DataFrame:
+    """Parsed rows of bundles with the document and the row's number in it."""
+    records = rows.withColumn("document_id", F.get("cells", F.lit(0)))
+    first = F.min("row_index").over(Window.partitionBy("path", "document_id"))
+    return records.withColumn("row_index", F.col("row_index") - first + 1).withColumn(
+        "cells", F.slice("cells", F.lit(2), F.size("cells") - 1))

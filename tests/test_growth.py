@@ -77,3 +77,21 @@ def test_timers_follow_buckets_not_keys():
                                    some["is_success"].to_numpy(), window * SECOND)
         mine = got[got["k"] == key].set_index("event_id")["failures"]
         assert mine.loc[some["event_id"]].tolist() == want.tolist()
+
+
+def test_small_documents_share_files(spark, tmp_path):
+    """As many files as tasks, not as documents; rows with breaks and quotes as before."""
+    from pyspark.sql import functions as F
+
+    from gridlake.plans import file_fixtures as ff
+
+    grid = spark.range(900).select(
+        F.concat(F.lit("d"), (F.col("id") % 300).cast("string")).alias("document_id"), F.col("id").alias("row_index"),
+        F.array(F.col("id").cast("string"), F.when(F.col("id") % 7 > 0, F.lit('"a",\n\tb'))).alias("cells"))
+    root = str(tmp_path / "in")
+    ff.write_csv_bundles(grid, 2, root, "\t")
+    assert len(glob.glob(root + "/*.csv")) <= 8
+    rows = ff.unbundled(delimited.read_delimited(spark, root, "\t", block_bytes=997)).collect()
+    assert {(r["document_id"], r["row_index"]): r["cells"] for r in rows} == {
+        (f"d{i % 300}", i // 300 + 1): [str(i), '"a",\n\tb' if i % 7 else None] for i in range(900)}
+    assert len(rows) == 900
