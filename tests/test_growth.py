@@ -95,3 +95,26 @@ def test_small_documents_share_files(spark, tmp_path):
     assert {(r["document_id"], r["row_index"]): r["cells"] for r in rows} == {
         (f"d{i % 300}", i // 300 + 1): [str(i), '"a",\n\tb' if i % 7 else None] for i in range(900)}
     assert len(rows) == 900
+
+
+def test_views_read_their_own_folder(spark, monkeypatch):
+    """A view of one sheet must not scan the rows of all sheets; mixed layouts and types stay."""
+    from gridlake.operators import typed as ty
+    from tests.test_golden import grid_of
+
+    monkeypatch.setattr(ty, "SHEETS_PER_PART", 2)
+    grid = None
+    for i in range(12):
+        head = [["sku", "qty", "day", "n"], ["qty", "sku", "x y", "n"]][i % 2]
+        rows = [[f"A{r}", f"{i},{r:03}", f"2026-01-0{r + 1}", "1"] if i % 2 == 0 else [f"{i}.{r}", f"B{r}", "t", "1"] for r in range(3)]
+        one = grid_of(spark, [head, *rows], f"v{i}")
+        grid = one if grid is None else grid.unionByName(one)
+    views = ty.publish_views(spark, ty.infer(grid), "7")
+    assert sorted(views) == sorted(f"t_v{i}_0" for i in range(12))
+    for i in (4, 7):
+        got = spark.sql(f"SELECT * FROM t_v{i}_0")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(part" in plan and "Join" not in plan
+        assert got.selectExpr("sku", "qty").orderBy("qty").collect() == [
+            (f"A{r}", float(i * 1000 + r)) if i % 2 == 0 else (f"B{r}", float(f"{i}.{r}")) for r in range(3)]
+        assert got.schema[2].dataType.simpleString() == ("timestamp_ntz" if i % 2 == 0 else "string")
