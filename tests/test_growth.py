@@ -118,3 +118,36 @@ def test_views_read_their_own_folder(spark, monkeypatch):
         assert got.selectExpr("sku", "qty").orderBy("qty").collect() == [
             (f"A{r}", float(i * 1000 + r)) if i % 2 == 0 else (f"B{r}", float(f"{i}.{r}")) for r in range(3)]
         assert got.schema[2].dataType.simpleString() == ("timestamp_ntz" if i % 2 == 0 else "string")
+
+
+def test_requests_share_the_hits_of_their_value(spark, monkeypatch):
+    """The same choice from hits by value as from hits by request; pairs are made last."""
+    from pyspark.sql import functions as F
+
+    from gridlake.operators import access as ac
+    from gridlake.operators.access import SHEET_KEYS
+
+    rows = spark.range(240).select(
+        F.concat(F.lit("d"), (F.col("id") % 6).cast("string")).alias("document_id"), F.lit(0).alias("sheet_idx"),
+        F.col("id").alias("row_index"),
+        F.array(F.when(F.col("id") % 3 > 0, F.lit("F")), F.lit(" f "), (F.col("id") % 11).cast("string")).alias("cells"))
+    asked = spark.range(40).select(F.col("id").alias("request_id"), F.when(F.col("id") % 2 == 0, " f").otherwise(
+        F.col("id").cast("string")).alias("value"))
+    documents = rows.select("document_id").distinct().withColumn("filename", F.concat(F.lit("z"), F.lit("d5") < F.col("document_id"), "document_id"))
+    candidates = spark.createDataFrame([(r, f"d{d}", float(r * 7 % 5 + d)) for r in range(0, 30) for d in (r % 6, 3, 8)] + [(2, "d1", None)],
+                                       "request_id long, document_id string, score double")
+    few = ac.lookup_anywhere(rows, asked).select("request_id", *SHEET_KEYS, "row_index")
+    want = sorted(tuple(r) for r in ac.first_document_with_hit(few, candidates, documents).select(
+        "request_id", "document_id", "tier", "n_matches").collect())
+    pairs = sorted(tuple(r) for r in few.collect())
+    monkeypatch.setattr(ac, "FEW_REQUESTS", 3)
+    many = ac.lookup_anywhere(rows, asked)
+    assert sorted(tuple(r) for r in many.select("request_id", *SHEET_KEYS, "row_index").collect()) == pairs
+    assert not any(c.startswith("__") for c in many.columns)
+    plan = many._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Aggregate [request_id" not in "\n".join(plan[:8])
+    values = asked.select("request_id", ac.compact(F.col("value")).alias("value"))
+    hits = ac.lookup_anywhere(rows, values.select(F.col("value").alias("request_id"), "value").distinct())
+    assert hits.count() < len(pairs) / 5
+    got = ac.first_document_with_hit(hits, candidates, documents, values)
+    assert sorted(tuple(r) for r in got.select("request_id", "document_id", "tier", "n_matches").collect()) == want
