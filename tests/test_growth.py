@@ -151,3 +151,14 @@ def test_requests_share_the_hits_of_their_value(spark, monkeypatch):
     assert hits.count() < len(pairs) / 5
     got = ac.first_document_with_hit(hits, candidates, documents, values)
     assert sorted(tuple(r) for r in got.select("request_id", "document_id", "tier", "n_matches").collect()) == want
+
+
+def test_distinct_values_carry_no_sketches(spark, tmp_path):
+    """Also for a flag or keys that are null."""
+    from gridlake.plans import relational
+
+    spark.createDataFrame([(f, None if f == "N" else i % 50, i) for i in range(300) for f in ("A", "N", None)],
+                          "l_returnflag string, l_partkey long, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = relational.r19_approx(spark, str(tmp_path))
+    assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, df.collect()), key=str) == [("A", True, True), ("N", True, True), (None, True, True)]
