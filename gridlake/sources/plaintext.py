@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +14,28 @@ from gridlake.functions.text import clean_text
 FALLBACK_ENCODINGS = ["gbk", "gb2312", "latin1"]
 
 
-def _decode_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First fallback encoding that decodes; latin1 always does."""
+#: Files that are decoded and passed on together; a whole batch of long texts would be held thrice.
+SLICE_ROWS = 100
+
+
+def _decoded(content: bytes) -> tuple[str, str]:
+    """Text by the first fallback encoding that decodes; latin1 always does."""
+    for encoding in FALLBACK_ENCODINGS:
+        try:
+            return content.decode(encoding), encoding
+        except UnicodeDecodeError:
+            continue
+    raise ValueError("no fallback encoding decodes this file")
+
+
+def _decode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"]):
-            for encoding in FALLBACK_ENCODINGS:
-                try:
-                    rows.append((path, content, content.decode(encoding), encoding))
-                    break
-                except UnicodeDecodeError:
-                    continue
-        yield pd.DataFrame(rows, columns=["path", "content", "text", "encoding"])
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            some = batch.slice(at, SLICE_ROWS)
+            told = [_decoded(c) for c in some.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [some.column("path"), some.column("content"), pa.array([t for t, _ in told], pa.string()),
+                 pa.array([e for _, e in told], pa.string())], ["path", "content", "text", "encoding"])
 
 
 def decode_texts(contents: DataFrame) -> DataFrame:
@@ -35,7 +45,7 @@ def decode_texts(contents: DataFrame) -> DataFrame:
     base = contents.select("path", "content")
     direct = base.where(valid).select(
         "path", "content", as_text.alias("text"), F.lit("utf-8").alias("encoding"))
-    rest = base.where(~valid).mapInPandas(
+    rest = base.where(~valid).mapInArrow(
         _decode_rest, "path string, content binary, text string, encoding string")
     return direct.unionByName(rest)
 

@@ -162,3 +162,17 @@ def test_distinct_values_carry_no_sketches(spark, tmp_path):
     df = relational.r19_approx(spark, str(tmp_path))
     assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, df.collect()), key=str) == [("A", True, True), ("N", True, True), (None, True, True)]
+
+
+def test_texts_are_decoded_in_slices():
+    import pyarrow as pa
+
+    from gridlake.sources import plaintext
+
+    contents = ["编号".encode("gbk") * 9, b"\xff\xfe", "é".encode("latin1")] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(300)]), pa.array(contents, pa.binary())], ["path", "content"])
+    got = list(plaintext._decode_rest(iter([batch])))
+    assert [b.num_rows for b in got] == [plaintext.SLICE_ROWS] * 3
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["content"] for r in rows] == contents and rows[0]["text"] == "编号" * 9
+    assert [r["encoding"] for r in rows[:3]] == ["gbk", "latin1", "latin1"]
