@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gridlake.functions import fixed_values as fv
 from gridlake.functions.a1 import cell_range, col_letter
@@ -20,6 +22,9 @@ CHUNK_COLUMNS = [
     "source_uri", "chunk_index",
 ]
 
+#: Texts that are cut and passed on together.
+SLICE_ROWS = 100
+
 
 def split_texts(
     docs: DataFrame, key: str, text: str, size: int = fv.CHUNK_SIZE,
@@ -28,18 +33,13 @@ def split_texts(
     """Recursive character split: one row per chunk with key, chunk_index and content."""
     seps = separators or fv.SPLIT_SEPARATORS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (k, i, chunk)
-                for k, t in zip(batch[key], batch[text]) if t
-                for i, chunk in enumerate(recursive_chunks(t, size, overlap, seps))
-            ]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "content"])
-
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(
-        run, f"{key} {kind}, chunk_index bigint, content string")
+
+    def cut(names: list, texts: list[str | None]) -> list[tuple]:
+        return [(k, i, chunk) for k, t in zip(names, texts) if t
+                for i, chunk in enumerate(recursive_chunks(t, size, overlap, seps))]
+
+    return _cut_texts(docs.select(key, text), cut, f"{key} {kind}, chunk_index bigint, content string")
 
 
 def split_sentences(
@@ -48,19 +48,36 @@ def split_sentences(
 ) -> DataFrame:
     """Sentence split: key, chunk_index, start_pos, end_pos, total_chunks and content."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text]):
-                cut = list(sentence_chunks(t or "", size, overlap))
-                rows += [(k, i, a, b, len(cut), c) for i, (a, b, c) in enumerate(cut)]
-            yield pd.DataFrame(rows, columns=[
-                key, "chunk_index", "start_pos", "end_pos", "total_chunks", "content"])
-
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(
-        run, f"{key} {kind}, chunk_index bigint, start_pos bigint, end_pos bigint, "
-             "total_chunks bigint, content string")
+
+    def cut(names: list, texts: list[str | None]) -> list[tuple]:
+        rows = []
+        for k, t in zip(names, texts):
+            found = list(sentence_chunks(t or "", size, overlap))
+            rows += [(k, i, a, b, len(found), c) for i, (a, b, c) in enumerate(found)]
+        return rows
+
+    return _cut_texts(docs.select(key, text), cut, f"{key} {kind}, chunk_index bigint, start_pos bigint, "
+                      "end_pos bigint, total_chunks bigint, content string")
+
+
+def _cut_texts(
+    docs: DataFrame, cut: Callable[[list, list[str | None]], list[tuple]], schema: str
+) -> DataFrame:
+    """The rows that cut makes of (keys, texts), a slice of an Arrow batch at a time: a whole batch
+    of long texts and its chunks would lie in memory several times."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    return docs.mapInArrow(lambda batches: _cut_slices(batches, cut, fields), schema)
+
+
+def _cut_slices(batches: Iterator[pa.RecordBatch], cut: Callable, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            names, texts = (c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns)
+            rows = cut(names, texts)
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
 
 
 def page_text(pages: Column) -> Column:

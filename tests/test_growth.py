@@ -176,3 +176,24 @@ def test_texts_are_decoded_in_slices():
     rows = [r for b in got for r in b.to_pylist()]
     assert [r["content"] for r in rows] == contents and rows[0]["text"] == "编号" * 9
     assert [r["encoding"] for r in rows[:3]] == ["gbk", "latin1", "latin1"]
+
+
+def test_texts_are_cut_in_slices():
+    """As many chunks as before, passed on for a slice of a batch."""
+    import pyarrow as pa
+
+    from gridlake.functions.splitters import recursive_chunks
+    from gridlake.operators import chunks as ch
+
+    texts = ["one two " * 300, "", None, "short"] * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(range(240)), pa.array(texts)], ["k", "t"])
+    fields = pa.schema([("k", pa.int64()), ("chunk_index", pa.int64()), ("content", pa.string())])
+
+    def cut(names, some):
+        assert len(names) <= ch.SLICE_ROWS
+        return [(k, i, c) for k, t in zip(names, some) if t for i, c in enumerate(recursive_chunks(t, 1000, 200, [" ", ""]))]
+
+    got = list(ch._cut_slices(iter([batch]), cut, fields))
+    assert len(got) == 3
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [
+        (k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(recursive_chunks(t, 1000, 200, [" ", ""]))]
