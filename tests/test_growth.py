@@ -197,3 +197,17 @@ def test_texts_are_cut_in_slices():
     assert len(got) == 3
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [
         (k, i, c) for k, t in enumerate(texts) if t for i, c in enumerate(recursive_chunks(t, 1000, 200, [" ", ""]))]
+
+
+def test_sentences_are_cut_in_slices(spark, monkeypatch):
+    """The same spans whatever the slice."""
+    from gridlake.functions.splitters import sentence_chunks
+    from gridlake.operators import chunks as ch
+
+    texts = ["An end. " * 200 + "x" * 1500, "", None, "short"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    want = [(k, i, a, b, c) for k, t in enumerate(texts) for i, (a, b, c) in enumerate(sentence_chunks(t or "", 1000, 200))]
+    for rows in (1, 7, 100):
+        monkeypatch.setattr(ch, "SLICE_ROWS", rows)
+        got = ch.split_sentences(docs, "k", "t").select("k", "chunk_index", "start_pos", "end_pos", "content").collect()
+        assert sorted(map(tuple, got)) == want
