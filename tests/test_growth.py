@@ -211,3 +211,19 @@ def test_sentences_are_cut_in_slices(spark, monkeypatch):
         monkeypatch.setattr(ch, "SLICE_ROWS", rows)
         got = ch.split_sentences(docs, "k", "t").select("k", "chunk_index", "start_pos", "end_pos", "content").collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_frames_are_dealt_out_once(spark):
+    """Lists of frames are not built before they move; order and ties as before, null frames count."""
+    from gridlake.streaming.frames import fold_frames
+
+    rows = [(r, s, f"<{s * 37 % 11}>" if s % 5 else None) for r in range(3) for s in range(-25, 60)] + [(1, 7, "b"), (1, 7, "a")]
+    frames = spark.createDataFrame(rows[::-1], "r long, s long, c string")
+    df = fold_frames(frames, "r", "s", "c", block=10)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    want = {}
+    for r, s, c in sorted(rows, key=lambda x: (x[0], x[1], x[2] or "")):
+        n, text = want.get(r, (0, ""))
+        want[r] = n + 1, text + (c or "")
+    assert {x["r"]: (x["n_frames"], x["answer"]) for x in df.collect()} == want
