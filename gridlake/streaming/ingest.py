@@ -13,19 +13,20 @@ from gridlake.operators.typed import infer
 from gridlake.sources.delimited import as_grid
 from gridlake.sources.readers import read_contents
 from gridlake.sources.versions import Versions
-from gridlake.streaming.jobs import new_files, run_each_batch
+from gridlake.streaming.jobs import few_listing_tasks, new_files, run_each_batch
 
 
 def ingest_tables(
     spark: SparkSession, inbox: str, root: str, identify: Callable[[Column], dict[str, Column]],
-    extension: str = "csv", per_batch: int = 1000,
+    extension: str = "csv", per_batch: int | None = None,
 ) -> DataFrame:
     """Parse, infer and chunk files that are new since the last run; returns the chunk store.
 
     identify maps the path column to document_id, user_id, filename and file_type. The
     parsed grid is written first, so later steps read a table and not the files again. Grid,
     chunks and rejected chunks of a micro-batch become visible together, by one version; a
-    repeated batch finds its number published and changes nothing.
+    repeated batch finds its number published and changes nothing. per_batch bounds its files,
+    by default their bytes are bounded.
     """
     versions = Versions(spark, root)
 
@@ -49,6 +50,7 @@ def ingest_tables(
         put(chunks, "chunks", "user_id")
         versions.publish(state, changed, ("ingest", number))
 
-    files = new_files(spark, inbox, f"*.{extension}", per_batch)
-    run_each_batch(files, f"{root}/progress", handle)
+    with few_listing_tasks(spark):
+        files = new_files(spark, inbox, f"*.{extension}", per_batch)
+        run_each_batch(files, f"{root}/progress", handle)
     return versions.read("chunks")

@@ -227,3 +227,22 @@ def test_frames_are_dealt_out_once(spark):
         n, text = want.get(r, (0, ""))
         want[r] = n + 1, text + (c or "")
     assert {x["r"]: (x["n_frames"], x["answer"]) for x in df.collect()} == want
+
+
+def test_small_files_share_batches(spark, tmp_path):
+    """A micro-batch is bounded by bytes, not by its number of files; listing keeps to few tasks."""
+    from gridlake.streaming import jobs
+
+    (tmp_path / "in").mkdir()
+    for i in range(12):
+        (tmp_path / "in" / f"{i}.csv").write_text("x" * 100)
+    name, seen = jobs._LISTING, {}
+    before = spark.conf.get(name)
+    with jobs.few_listing_tasks(spark):
+        assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
+        for bound in (500, 1 << 20):
+            found = seen.setdefault(bound, [])
+            jobs.run_each_batch(jobs.new_files(spark, str(tmp_path / "in"), "*.csv", batch_bytes=bound),
+                                str(tmp_path / f"p{bound}"), lambda df, n: found.append(df.count()))
+    assert spark.conf.get(name) == before
+    assert sum(seen[500]) == 12 and max(seen[500]) == 5 and seen[1 << 20] == [12]
