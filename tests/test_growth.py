@@ -246,3 +246,18 @@ def test_small_files_share_batches(spark, tmp_path):
                                 str(tmp_path / f"p{bound}"), lambda df, n: found.append(df.count()))
     assert spark.conf.get(name) == before
     assert sum(seen[500]) == 12 and max(seen[500]) == 5 and seen[1 << 20] == [12]
+
+
+def test_refusals_pass_the_contents_once(spark):
+    """Files above the limit are told in the same pass; no rows of whole sheets are made."""
+    from gridlake.plans import file_fixtures as ff
+    from gridlake.sources import workbook as wb
+
+    good = ff.xlsx_bytes({"A": [["x", "1"]] * 40})
+    files = spark.createDataFrame([("good", good), ("short", ff._short_sheet(good)), ("none", None), ("text", b"x"), ("empty", b""),
+                                   ("large", good + b"0" * 9000)], "path string, content binary")
+    df = wb.refused_workbooks(files, max_bytes=len(good))
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, df.select("path", "sheet_name", "reason").collect())) == [
+        ("empty", None, "not a workbook: BadZipFile"), ("large", None, wb.TOO_LARGE),
+        ("short", "A", "broken sheet: ExpatError"), ("text", None, "not a workbook: BadZipFile")]
