@@ -23,6 +23,10 @@ from gridlake.operators.relational import tenant_scope
 from gridlake.sources.scratch import shared_dir
 
 
+#: Rows of a grid whose cells one task sorts.
+ROWS_PER_TASK = 200_000
+
+
 @dataclass
 class SheetModel:
     """Everything inferred about the sheets of a grid."""
@@ -156,6 +160,15 @@ def typed_cells(model: SheetModel, percent: str = "null") -> DataFrame:
     )
 
 
+def in_even_tasks(model: SheetModel, rows_per_task: int = ROWS_PER_TASK) -> SheetModel:
+    """The model with its grid dealt out so that a task holds a bounded number of rows, for
+    aggregates that sort their cells. A small grid, and one in enough tasks, stays as it is."""
+    n = -(-model.grid.count() // rows_per_task)
+    if n <= model.grid.rdd.getNumPartitions():
+        return model
+    return SheetModel(model.grid.repartition(n, *SHEET_KEYS, "row_index"), model.tables, model.columns)
+
+
 def conversion_failures(model: SheetModel, percent: str = "null") -> DataFrame:
     """Cells that hold a value their column's type cannot take; they load as NULL."""
     cells = typed_cells(model, percent)

@@ -261,3 +261,18 @@ def test_refusals_pass_the_contents_once(spark):
     assert sorted(map(tuple, df.select("path", "sheet_name", "reason").collect())) == [
         ("empty", None, "not a workbook: BadZipFile"), ("large", None, wb.TOO_LARGE),
         ("short", "A", "broken sheet: ExpatError"), ("text", None, "not a workbook: BadZipFile")]
+
+
+def test_sorted_cells_lie_in_even_tasks(spark):
+    """A large grid is dealt out by a bounded number of rows, a small one stays."""
+    from gridlake.operators import typed as ty
+    from tests.test_golden import grid_of
+
+    grid = grid_of(spark, [["sku", "qty"], *[[f"A{r}", str(r)] for r in range(300)]], "even").coalesce(1)
+    model = ty.infer(grid)
+    assert ty.in_even_tasks(model) is model
+    even = ty.in_even_tasks(model, rows_per_task=20)
+    assert even.grid.rdd.getNumPartitions() == 16
+    assert max(even.grid.rdd.glom().map(len).collect()) < 60
+    key = ["document_id", "row_index", "col_index", "number", "text"]
+    assert sorted(map(str, ty.typed_cells(even).select(*key).collect())) == sorted(map(str, ty.typed_cells(model).select(*key).collect()))
