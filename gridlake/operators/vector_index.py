@@ -162,6 +162,8 @@ class Nearest:
 
     #: Found rows beyond which only the best are kept.
     PENDING = 1_000_000
+    #: Rows that give queries their first bound; queries and rows of one product.
+    SEED, QUERIES, ROWS = 512, 1024, 2048
 
     def __init__(self, names: np.ndarray, k: int | None, digits: int, exclude_self: bool = False, most: np.ndarray | float = np.inf):
         self.names, self.k, self.digits, self.exclude_self = names, k, digits, exclude_self
@@ -180,15 +182,81 @@ class Nearest:
             self.most[at[first]] = np.where(np.isnan(edge), np.inf, edge)
         most = self.most[at]
         q, v = np.nonzero(rank <= (most + 10.0 ** -self.digits)[:, None])
-        score = np.round(rank[q, v], self.digits)
-        good = np.isfinite(score) & (score <= most[q])
-        if self.exclude_self:
-            good &= self.names[at[q]] != ids[v]
-        self.held.append((at[q[good]], ids[v[good]], score[good]))
-        self.pending += len(self.held[-1][0])
+        self._hold(at[q], ids[v], np.round(rank[q, v], self.digits))
+        if self.k is not None and self.pending > self.PENDING + 2 * self.kept:
+            self.best()
+
+    def scan(self, at: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str) -> None:
+        """Prepared rows for the prepared queries at places `at`.
+
+        All pairs meet in products of single precision, whose error has a bound; only pairs that
+        may be good within it are ranked in double precision.
+        """
+        right = np.concatenate([rows, (rows * rows).sum(1)[:, None]], axis=1) if metric == "l2" else rows
+        fine = np.isfinite(right).all(axis=1)
+        if not fine.all():
+            rows, right, ids = rows[fine], right[fine], ids[fine]
+        fresh = self.k is not None and bool(np.isinf(self.most[at]).any())
+        if fresh:
+            self._bound(at, queries, rows[:max(self.SEED, 2 * self.k)], ids, metric)
+        single = right.astype(np.float32)
+        longest = np.sqrt((right * right).sum(1)).max(initial=0.0)
+        lo, width = 0, self.SEED
+        while lo < len(ids):
+            hi = min(len(ids), lo + (min(width, self.ROWS) if fresh else self.ROWS))
+            for a in range(0, len(at), self.QUERIES):
+                self._near(at[a:a + self.QUERIES], queries[a:a + self.QUERIES], rows[lo:hi], single[lo:hi], longest, ids[lo:hi], metric)
+            if self.k is not None and self.pending - self.kept >= max(self.k * len(at), self.kept // 2):
+                self.best()
+            lo, width = hi, 2 * width
+
+    def _bound(self, at: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str) -> None:
+        """A bound for queries that have none, from the first rows."""
+        some = np.flatnonzero(np.isinf(self.most[at])) if len(rows) >= self.k else []
+        step = max(1, 1_000_000 // max(len(rows), 1))
+        for lo in range(0, len(some), step):
+            own = some[lo:lo + step]
+            q = queries[own]
+            rank = ranks(q, rows, metric)
+            if self.exclude_self:
+                rank = np.where(self.names[at[own]][:, None] == ids[None, :len(rows)], np.inf, rank)
+            edge = np.partition(rank, self.k - 1, axis=1)[:, self.k - 1]
+            # products are inexact by what the squares have
+            edge += 4 * (q.shape[1] + 8) * np.finfo(np.float64).eps * ((q * q).sum(1) + (rows * rows).sum(1).max())
+            edge = np.round(edge, self.digits) + 10.0 ** -self.digits
+            self.most[at[own]] = np.where(np.isnan(edge), np.inf, edge)
+
+    def _near(self, at: np.ndarray, q: np.ndarray, v: np.ndarray, single: np.ndarray, longest: float, ids: np.ndarray, metric: str) -> None:
+        # rank is left @ right and, for distances, the square of the query
+        left = np.concatenate([-2.0 * q, np.ones((len(q), 1))], axis=1) if metric == "l2" else -q
+        own = (q * q).sum(1) if metric == "l2" else np.zeros(len(q))
+        lengths = np.sqrt((left * left).sum(1))
+        slack = (left.shape[1] + 8) * float(np.finfo(np.float32).eps) * lengths * longest + 1e-15 * own + 10.0 ** -self.digits
+        if not (longest < 1e18 and lengths.max(initial=0.0) < 1e18):
+            self.take(at, ranks(q, v, metric), ids)
+            return
+        with np.errstate(over="ignore"):
+            limit = np.nextafter((self.most[at] + slack - own).astype(np.float32), np.float32(np.inf))
+        flat = _places(left.astype(np.float32) @ single.T <= limit[:, None])
+        step = max(1, 4_000_000 // left.shape[1])
+        for lo in range(0, len(flat), step):
+            i, j = np.divmod(flat[lo:lo + step], len(ids))
+            if metric == "l2":
+                apart = q[i] - v[j]
+                score = np.einsum("ij,ij->i", apart, apart)
+            else:
+                score = -np.einsum("ij,ij->i", q[i], v[j])
+            self._hold(at[i], ids[j], np.round(score, self.digits))
         if self.k is not None and self.pending > self.PENDING + 2 * self.kept:
             self.best()
 
+    def _hold(self, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        good = np.isfinite(score) & (score <= self.most[at])
+        if self.exclude_self:
+            good &= self.names[at] != ids
+        self.held.append((at[good], ids[good], score[good]))
+        self.pending += len(self.held[-1][0])
+
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of queries, ids and ranks that are left."""
         if not self.held:
@@ -207,6 +275,15 @@ class Nearest:
         return at, ids, score
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few true values, looked for eight at a time."""
+    flat = mask.ravel()
+    whole = len(flat) & ~7
+    some = np.flatnonzero(flat[:whole].view(np.uint64))
+    i, j = np.nonzero(flat[:whole].reshape(-1, 8)[some])
+    return np.concatenate([8 * some[i] + j, whole + np.flatnonzero(flat[whole:])])
+
+
 def _parts(cells: pd.DataFrame, on: list[str]) -> pd.DataFrame:
     """The table of cells with the parts in which they meet queries: cells are packed up to a
     number of rows, larger ones are cut into parts of their own."""
@@ -347,9 +424,8 @@ def search(
             of, keys = rows["cell"].to_numpy(), ids.to_numpy(zero_copy_only=False)
             for j, cell in enumerate(cells):
                 at, own = np.flatnonzero(need[:, j]), np.flatnonzero(of == cell)
-                step = max(1, 1_000_000 // max(len(own), 1))
-                for lo in range(0, len(at) if len(own) else 0, step):
-                    found.take(at[lo:lo + step], ranks(q[at[lo:lo + step]], v[own], metric), keys[own])
+                if len(at) and len(own):
+                    found.scan(at, q[at], v[own], keys[own], metric)
         at, near, score = found.best()
         kinds = [names.type, ids.type, pa.float64()]
         return pa.Table.from_arrays([names.take(pa.array(at, pa.int64())), pa.array(near, kinds[1]), pa.array(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from gridlake.functions import fixed_values as fv
 from gridlake.functions.digest import cache_key
 from gridlake.functions.vector import cosine, squared_distance
-from gridlake.operators.vector_index import DIGITS, Nearest, build_index, prepared, ranks, search
+from gridlake.operators.vector_index import DIGITS, Nearest, _stored, build_index, prepared, search
 
 DISTANCE_DIGITS = 6
+#: Blocks in which queries go to all tasks; each block reads all vectors once.
+MOST_BLOCKS = 16
 
 
 def nearest(
@@ -58,10 +61,10 @@ def checked(stored: DataFrame, queries: DataFrame, vec_col: str = "embedding",
     return queries.join(ok, "collection").where("__ok").drop("__ok")
 
 
-def _few(queries: DataFrame, query_vec_col: str, width: int, max_broadcast_bytes: int) -> bool:
-    """Whether the queries, counted first, are few enough bytes to go to every task."""
-    n, numbers = queries.agg(F.count("*"), F.sum(F.size(query_vec_col))).first()
-    return 8 * ((numbers or 0) + n * width) <= max_broadcast_bytes
+def _bytes(queries: DataFrame, query_vec_col: str, width: int) -> int:
+    """Bytes of the queries, counted before they may go to every task."""
+    n, numbers = queries.agg(F.count("*"), F.sum(F.greatest(F.size(query_vec_col), F.lit(0)))).first()
+    return 8 * ((numbers or 0) + n * width)
 
 
 def _asked_by_length(queries: pd.DataFrame, on: list[str], query_col: str, query_vec_col: str) -> dict:
@@ -92,10 +95,7 @@ def _meet(
                 names, matrix = asked[key]
                 best = found.setdefault(key, Nearest(names, k, DIGITS[metric], exclude_self, most))
                 v, ids = prepared(np.stack(rows[vec_col].to_numpy()).astype(np.float64), metric, False), rows[id_col].to_numpy()
-                step = max(1, 1_000_000 // len(ids))
-                for lo in range(0, len(names), step):
-                    at = np.arange(lo, min(lo + step, len(names)))
-                    best.take(at, ranks(prepared(matrix[lo:lo + step], metric, True), v, metric), ids)
+                best.scan(np.arange(len(names)), prepared(matrix, metric, True), v, ids, metric)
                 if k is None:
                     yield listed(found.pop(key))
         for best in found.values():
@@ -124,18 +124,32 @@ def nearest_for_each(
 
     Missing vectors and those of another length than the query never rank. Distances are
     matrix products over Arrow batches, and a task passes on only its own k best per query,
-    so no pair table exists. Queries of many bytes meet the cells of an index instead.
+    so no pair table exists. Queries of more bytes go in blocks, one after the other, and beyond
+    MOST_BLOCKS blocks they meet the cells of an index instead.
     """
     on = on or []
     order = Window.partitionBy(query_col).orderBy("score", id_col)
-    if not _few(queries, query_vec_col, 2 + len(on), max_broadcast_bytes):
+    size = _bytes(queries, query_vec_col, 2 + len(on))
+    if size > max_broadcast_bytes * MOST_BLOCKS:
         index = build_index(vectors, None, "l2", on, id_col, vec_col)
         partial, _ = search(index, queries, k, None, query_col, query_vec_col, exclude_self)
         return partial.withColumn("rank", F.row_number().over(order))
 
-    partial = _meet(vectors, queries.select(query_col, query_vec_col, *on), k, "l2", np.inf, on, id_col, vec_col,
-                    query_col, query_vec_col, exclude_self)
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    vectors, queries = vectors.select(id_col, vec_col, *on), queries.select(query_col, query_vec_col, *on)
+    blocks = -(-size // max_broadcast_bytes) if size else 1
+    if blocks > 1:
+        # read once per block
+        vectors, queries = _stored(vectors, "nearest-vectors"), _stored(queries, "nearest-queries")
+
+    def best(some: DataFrame) -> DataFrame:
+        partial = _meet(vectors, some, k, "l2", np.inf, on, id_col, vec_col, query_col, query_vec_col, exclude_self)
+        return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return best(queries)
+    block = F.pmod(F.xxhash64(query_col), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [
+        _stored(best(queries.where(block == i)), "nearest-best") for i in range(blocks)])
 
 
 def cosine_for_each(
@@ -148,7 +162,7 @@ def cosine_for_each(
     another length are left out. One bound must be given: all pairs are never listed."""
     if k is None and least is None:
         raise ValueError("give k or least")
-    if not _few(queries, query_vec_col, 2, max_broadcast_bytes):
+    if _bytes(queries, query_vec_col, 2) > max_broadcast_bytes:
         index = build_index(vectors, None, "cosine", None, id_col, vec_col)
         return search(index, queries, k, least, query_col, query_vec_col)[0]
 

@@ -189,8 +189,8 @@ def c10_question(spark, sf):
     docs = table(spark, sf, "documents")
     asked = table(spark, sf, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(
         F.max(F.struct("turn", "text"))["text"].alias("question"))
-    questions = embed_texts(asked, "question", vec_col="query_vec").select("query_id", "query_vec")
-    vectors = embed_texts(spread(docs).select("doc_id", "text"), "text").select("doc_id", "embedding")
+    questions = embed_texts(asked, "question", vec_col="query_vec", keep=["query_id"])
+    vectors = embed_texts(spread(docs).select("doc_id", "text"), "text", keep=["doc_id"])
     hits = vc.nearest_for_each(vectors, questions, 5, id_col="doc_id").select("query_id", "doc_id", "rank")
     found = docs.select("doc_id", F.col("lang").alias("source"), F.col("text").alias("content"), F.when(
         F.col("doc_id") % 4 != 0, F.concat(F.lit("file_"), F.col("doc_id").cast("string"))).alias("filename"))

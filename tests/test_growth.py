@@ -276,3 +276,54 @@ def test_sorted_cells_lie_in_even_tasks(spark):
     assert max(even.grid.rdd.glom().map(len).collect()) < 60
     key = ["document_id", "row_index", "col_index", "number", "text"]
     assert sorted(map(str, ty.typed_cells(even).select(*key).collect())) == sorted(map(str, ty.typed_cells(model).select(*key).collect()))
+
+
+def test_query_blocks_meet_vectors_in_turn(spark, monkeypatch):
+    """More queries than one broadcast holds need no index and no shuffle of the vectors."""
+    import numpy as np
+
+    from gridlake.operators import vectors as vc
+
+    rng = np.random.default_rng(8)
+    rows = [[float(x) for x in v] for v in rng.normal(size=(700, 5))]
+    rows += rows[:40] + [[float("nan")] * 5, [1e200] * 5, [3e19, 0.0, 0.0, 0.0, 0.0], None]
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, rows[i]) for i in range(0, 700, 9)], "query_id long, query_vec array<double>")
+    size = 8 * queries.count() * 7
+    monkeypatch.setattr(vc, "build_index", None)
+    want = sorted(map(tuple, vc.nearest_for_each(table, queries, 4).collect()))
+    got = sorted(map(tuple, vc.nearest_for_each(table, queries, 4, max_broadcast_bytes=size // 5).collect()))
+    assert got == want
+    good = np.array(rows[:740])
+    for q in range(0, 700, 9):
+        apart = np.round(((good - good[q]) ** 2).sum(1), 6)
+        best = np.lexsort((np.arange(740), apart))[:4]
+        assert [(v, s) for i, v, s, _ in sorted(want, key=lambda r: r[3]) if i == q] == [(v, apart[v]) for v in best]
+
+
+def test_products_pass_on_few_pairs(monkeypatch):
+    """All pairs meet in single precision; few are ranked, and those as all pairs in double."""
+    import numpy as np
+
+    from gridlake.operators import vector_index as vi
+
+    rng = np.random.default_rng(9)
+    rows, ids = 1e3 + rng.normal(size=(6000, 8)), np.arange(6000)
+    queries = rows[::50] + 0.01 * rng.normal(size=(120, 8))
+    ranked = []
+    monkeypatch.setattr(vi.Nearest, "_hold", lambda self, at, ids, score, old=vi.Nearest._hold: (ranked.append(len(at)), old(self, at, ids, score))[1])
+    for metric in ("l2", "cosine"):
+        q, v = vi.prepared(queries, metric, True), vi.prepared(rows, metric, False)
+        found = vi.Nearest(np.arange(120), 5, vi.DIGITS[metric])
+        for lo in range(0, 6000, 2000):
+            found.scan(np.arange(120), q, v[lo:lo + 2000], ids[lo:lo + 2000], metric)
+        at, near, score = found.best()
+        for i in range(120):
+            exact = ((v - q[i]) ** 2).sum(1) if metric == "l2" else -(v @ q[i])
+            np.testing.assert_allclose(score[at == i], np.sort(exact)[:5], atol=2e-6)
+    assert found.k == 5 and all(ranked)
+    centred = vi.Nearest(np.arange(120), 5, 6)
+    ranked.clear()
+    for lo in range(0, 6000, 2000):
+        centred.scan(np.arange(120), queries - 1e3, rows[lo:lo + 2000] - 1e3, ids[lo:lo + 2000], "l2")
+    assert sum(ranked) < 120 * 6000 / 20
