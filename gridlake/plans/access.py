@@ -322,8 +322,10 @@ def a01_question_headers(spark, sf):
 
 def _slices(spark, sf):
     grid = fx.orders_grid(spark, sf)
-    tables = table_summary(grid)
+    # a row per sheet, and questions after their patterns: every later step reads both
+    tables = fx.stored(table_summary(grid), "summaries")
     questions = qs.access_intent(fx.question_log(spark, sf), "question")
+    questions = fx.stored(questions.where(F.col("operation").isin(ac.ENUMERATIONS)), "questions")
     said = questions.withColumn("said", ac.column_text(F.col("operation"), F.col("question")))
     mentioned = ac.mentioned_columns(said, column_names(tables), "said")
     return ac.question_slices(questions, tables, mentioned), ac.positioned(grid, tables)

@@ -85,9 +85,14 @@ def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders_grid as ingest leaves it: written once, then read by every later step."""
-    path = shared_dir(spark, "grid")
-    orders_grid(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(orders_grid(spark, sf_dir), "grid")
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written once and read back."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _sql_list(values: list[str | None]) -> str:

@@ -327,3 +327,30 @@ def test_products_pass_on_few_pairs(monkeypatch):
     for lo in range(0, 6000, 2000):
         centred.scan(np.arange(120), queries - 1e3, rows[lo:lo + 2000] - 1e3, ids[lo:lo + 2000], "l2")
     assert sum(ranked) < 120 * 6000 / 20
+
+
+def test_lines_are_made_before_questions_meet_them(spark):
+    """A line that many questions ask for is made once for them; the same lines whatever the groups."""
+    from gridlake.operators import access as ac
+
+    rows = spark.createDataFrame(
+        [("d", 0, p + 2, p, [f"a{p}", None, f" x\n{p}"][:1 + p % 3]) for p in range(1, 60) if p % 11],
+        "document_id string, sheet_idx int, row_index long, position long, cells array<string>")
+    forms = [None, [(3, "C")], [(1, "A"), (3, "C")]]
+    asked = [(i, "d", 0, i % 7 + 1, (i * 13) % 58 + 1, forms[i % 3]) for i in range(40)]
+    slices = spark.createDataFrame(
+        asked, "request_id long, document_id string, sheet_idx int, low long, high long, cols array<struct<col_index:int,technical_name:string>>")
+    want = []
+    for r, _, _, low, high, cols in asked:
+        for p in range(low, high + 1):
+            if p % 11 and p < 60:
+                cells = [f"a{p}", "", f"x {p}"][:1 + p % 3]
+                values = dict(enumerate(cells, 1))
+                said = [(n, values.get(c, "")) for c, n in cols or []]
+                text = " | ".join([str(p + 2), *cells]) if not cols else f"第{p + 2}行: " + (
+                    said[0][1] if len(said) == 1 else " | ".join(f"{n}={v}" for n, v in said))
+                want.append((r, p + 2, text))
+    plan = ac.question_rows(slices, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan[:plan.index("Join")] and "regexp_replace" in plan
+    for slot, more in ((200, {}), (7, {"together": 2})):
+        assert sorted(map(tuple, ac.question_rows(slices, rows, slot, **more).collect())) == sorted(want)
