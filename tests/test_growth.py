@@ -1,6 +1,7 @@
 """What a step moves or starts must not grow faster than its input."""
 
 import glob
+import os
 
 from gridlake.sources import delimited
 
@@ -354,3 +355,40 @@ def test_lines_are_made_before_questions_meet_them(spark):
     assert "regexp_replace" not in plan[:plan.index("Join")] and "regexp_replace" in plan
     for slot, more in ((200, {}), (7, {"together": 2})):
         assert sorted(map(tuple, ac.question_rows(slices, rows, slot, **more).collect())) == sorted(want)
+
+
+def test_pairs_of_one_value_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Rows and requests of a hot value meet in many tasks, each pair once, and take little room when written."""
+    from pyspark.sql import functions as F
+
+    from gridlake.operators import access as ac
+
+    rows = spark.range(100).select(
+        F.concat(F.lit("d"), F.floor(F.col("id") / 30).cast("string")).alias("document_id"), F.lit(0).alias("sheet_idx"),
+        (F.col("id") % 30 + 2).alias("row_index"),
+        F.array(F.when(F.col("id") % 9 > 0, F.lit(" F")), F.lit("f"), F.col("id").cast("string")).alias("cells"))
+    asked = spark.range(20_000).select(F.col("id").alias("request_id"), F.when(F.col("id") % 50 > 0, F.lit(" f ")).when(
+        F.col("id") % 100 > 0, (F.col("id") % 70).cast("string")).alias("value"))
+    columns = ["request_id", "document_id", "sheet_idx", "row_index"]
+
+    def facts(df):
+        return tuple(df.agg(F.count("*"), F.count_distinct(*columns), F.bit_xor(F.xxhash64(*columns, "cells"))).first())
+
+    want = facts(ac.lookup_anywhere(rows, asked))
+    names = rows.select("document_id", "sheet_idx").distinct().select("*", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("col_index"), F.lit(n).alias("technical_name")) for i, n in enumerate("ABC", 1)])).alias("c")).select(
+        "document_id", "sheet_idx", "c.*")
+    own = asked.where("request_id < 900").select("*", F.lit("d1").alias("document_id"), F.lit(0).alias("sheet_idx"), F.get(F.array(
+        F.lit("A"), F.lit("B"), F.lit(None).cast("string")), F.col("request_id") % 3).alias("lookup_column"))
+    some = sorted(tuple(r) for r in ac.lookup(rows, names, own).select(*columns, "cells").collect())
+    for name, n in {"FEW_REQUESTS": 3, "ROWS_TOGETHER": 10, "REQUESTS_TOGETHER": 6000, "PAIRS_PER_TASK": 100_000}.items():
+        monkeypatch.setattr(ac, name, n, raising=False)
+    got = ac.lookup_anywhere(rows, asked)
+    assert not any(c.startswith("__") for c in got.columns)
+    assert facts(got) == want and want[0] == want[1] > 1_900_000
+    shares = [r["count"] for r in got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert max(shares) < want[0] / 3
+    got.select("request_id", "document_id", "row_index").write.parquet(str(tmp_path / "pairs"))
+    assert sum(map(os.path.getsize, glob.glob(str(tmp_path / "pairs" / "*.parquet")))) < want[0] / 2
+    monkeypatch.setattr(ac, "REQUESTS_TOGETHER", 50)
+    assert sorted(tuple(r) for r in ac.lookup(rows, names, own).select(*columns, "cells").collect()) == some
