@@ -392,3 +392,29 @@ def test_pairs_of_one_value_are_dealt_out(spark, tmp_path, monkeypatch):
     assert sum(map(os.path.getsize, glob.glob(str(tmp_path / "pairs" / "*.parquet")))) < want[0] / 2
     monkeypatch.setattr(ac, "REQUESTS_TOGETHER", 50)
     assert sorted(tuple(r) for r in ac.lookup(rows, names, own).select(*columns, "cells").collect()) == some
+
+
+def test_views_share_generated_code(spark, monkeypatch):
+    """Views of equal columns run one piece of code, and one of them reads its pages only, not its folder."""
+    from pyspark.sql import functions as F
+
+    from gridlake.operators import typed as ty
+    from tests.test_golden import grid_of
+
+    monkeypatch.setattr(ty, "SHEETS_PER_PART", 100)
+    monkeypatch.setattr(ty, "ROWS_PER_PAGE", 5, raising=False)
+    grid = None
+    for i in range(6):
+        one = grid_of(spark, [["sku", "qty", "n"], *[[f"A{i}", f"{r}.5", "1"] for r in range(40)]], "same").withColumn("sheet_idx", F.lit(i))
+        grid = one if grid is None else grid.unionByName(one)
+    views = ty.publish_views(spark, ty.infer(grid), "7")
+    assert sorted(views) == [f"t_same_{i}" for i in range(6)]
+    codes, scanned = set(), []
+    for view in views:
+        got = spark.sql(f"SELECT sku, qty FROM {view}")
+        assert sorted(map(tuple, got.collect())) == sorted((f"A{view[-1]}", r + 0.5) for r in range(40))
+        run = got._jdf.queryExecution()
+        codes.add(run.debug().codegenToSeq().apply(0)._2())
+        scanned.append(run.executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value())
+    assert len(codes) == 1
+    assert all(40 <= n <= 160 for n in scanned), scanned
